@@ -1,6 +1,6 @@
 """Quality classifier: non-negative positive-unlabelled learning on surface statistics of whole texts.
 
-Trusted positives are training rows labelled 1; every other training row is unlabelled web text. The class prior is the
+Trusted positives are training rows labelled 1; unlabelled web text is a sample of all training rows. The class prior is the
 share of 1 among the labelled training rows (1 and 0 count there alone). Fitting takes bounded samples:
 ``max_positive`` and ``max_unlabelled`` rows, chosen by the key's hash.
 
@@ -61,9 +61,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: F.Column, label: st
     total, ones = marked.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     by = F.xxhash64(F.col("k").cast("string"), F.lit("sample"))
     positive = smallest(marked.where("y = 1").select("k"), max_positive, by, F.col("k"))
-    other = docs.where(train & F.col(key).isNotNull()).select(F.col(key).alias("k")).join(marked.where("y = 1"), "k", "left_anti")
-    both = positive.select("k", F.lit(True).alias("p")).union(smallest(other, max_unlabelled, by, F.col("k")).select("k", F.lit(False)))
-    return both.groupBy("k").agg(F.max("p").alias("p")), (ones / total if total else 0.0)
+    # unlabelled text is a sample of all training rows, as the class prior is theirs; a row may be in both samples
+    web = docs.where(train & F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+    both = positive.select("k", F.lit(True).alias("p")).union(smallest(web, max_unlabelled, by, F.col("k")).select("k", F.lit(False)))
+    return both, (ones / total if total else 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "quality", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000) -> nnpu.PUModel:
@@ -76,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "quali
 
     # both samples are bounded, and so is this broadcast
     sample = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "k").select(F.col("k").cast("string"), "p", "t")
-    got = sample.mapInArrow(run, "k string, p boolean, x array<double>").toArrow().sort_by([("k", "ascending")])
+    got = sample.mapInArrow(run, "k string, p boolean, x array<double>").toArrow().sort_by([("k", "ascending"), ("p", "ascending")])
     x = np.array(got["x"].to_pylist(), float).reshape(-1, N_FEATURES)
     p = np.array(got["p"].to_pylist(), bool)
     return nnpu.fit(x[p], x[~p], prior, hidden=16, steps=500, rate=0.02)

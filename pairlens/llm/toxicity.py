@@ -1,8 +1,8 @@
 """Toxicity: non-negative positive-unlabelled learning on the presence of words.
 
-Confirmed toxic training rows are the positives, all other training rows are unlabelled. Words are lower-cased, stripped of
-ASCII punctuation and hashed to ``BUCKETS``; the ``max_words`` buckets that are most more frequent among positives become the
-features of a linear scorer. The class prior is the share of 1 among the labelled training rows. Fitting takes bounded
+Confirmed toxic training rows are the positives; a sample of all training rows is the unlabelled text. Words are lower-cased, stripped of
+ASCII punctuation and hashed to ``BUCKETS``, and so are their beginnings of 4 to 8 characters; the ``max_words`` buckets that are most more frequent among positives, and that by the
+class prior mark more positives than other rows, become the features of a linear scorer. The class prior is the share of 1 among the labelled training rows. Fitting takes bounded
 samples (``max_positive``, ``max_unlabelled`` rows by the key's hash); scoring reads whole texts.
 
 Defined cases: null text counts as empty and gets the score of a text without any feature. A null key is scored, but never
@@ -28,9 +28,18 @@ BUCKETS = 1 << 22
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def parts(word: bytes) -> list[int]:
+    """The buckets of a word and of its beginnings of 4 to 8 characters, which catch compounds and inflections."""
+    w = word.strip(_EDGE)
+    if not w:
+        return []
+    text = w.decode("utf-8", "replace")
+    return [zlib.crc32(w) % BUCKETS, *[zlib.crc32(b"^" + text[:k].encode()) % BUCKETS for k in range(4, min(9, len(text)))]]
+
+
 def buckets(text: bytes | None) -> list[int]:
-    """The distinct word buckets of a whole text, ascending."""
-    return sorted({zlib.crc32(w) % BUCKETS for w in {x.strip(_EDGE) for x in set(words(text))} if w})
+    """The distinct buckets of a whole text, ascending."""
+    return sorted({b for w in set(words(text)) for b in parts(w)})
 
 
 @dataclass
@@ -46,35 +55,37 @@ class ToxicityModel:
                     x[i, j] = 1
         return x
 
-    def score(self, texts: list[bytes | None]) -> np.ndarray:
-        """Only words of the model are looked up; a cache holds the hashes of words seen."""
-        x, seen = np.zeros((len(texts), len(self.columns))), {}
+    def score(self, texts: list[bytes | None], seen: dict[bytes, list[int]] | None = None) -> np.ndarray:
+        """seen: the columns of words met before; emptied when it has a few hundred thousand."""
+        x, seen = np.zeros((len(texts), len(self.columns))), {} if seen is None else seen
+        get = self.columns.get
+        if len(seen) > 300_000:
+            seen.clear()
         for i, t in enumerate(texts):
             for w in set(words(t)):
-                j = seen.get(w)
-                if j is None:
-                    s = w.strip(_EDGE)
-                    j = seen[w] = self.columns.get(zlib.crc32(s) % BUCKETS, -1) if s else -1
-                if j >= 0:
+                at = seen.get(w)
+                if at is None:
+                    at = seen[w] = [j for b in parts(w) if (j := get(b)) is not None]
+                for j in at:
                     x[i, j] = 1
         return self.scorer.score(x)
 
 
-def chosen(p: list[list[int]], u: list[list[int]], max_words: int, min_share: float = 0.01) -> dict[int, int]:
+def chosen(p: list[list[int]], u: list[list[int]], prior: float, max_words: int, min_share: float = 0.02) -> dict[int, int]:
     """Buckets by the z statistic of their share among positives against unlabelled rows, largest first."""
     if not p or not u:
         return {}
     cp = np.bincount(np.concatenate([np.array(r, np.int64) for r in p]), minlength=BUCKETS)
     cu = np.bincount(np.concatenate([np.array(r, np.int64) for r in u]), minlength=BUCKETS)
-    at = np.nonzero(cp >= max(3, min_share * len(p)))[0]
+    at = np.nonzero(cp >= max(5, min_share * len(p)))[0]
     a, b = cp[at] / len(p), cu[at] / len(u)
     both = (cp[at] + cu[at]) / (len(p) + len(u))
     z = (a - b) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / len(u)) + 1e-12)
     good = np.lexsort((at, -z))
-    return {int(at[k]): j for j, k in enumerate([k for k in good if z[k] > 4][:max_words])}
+    return {int(at[k]): j for j, k in enumerate([k for k in good if z[k] > 5 and prior * a[k] >= 0.7 * b[k]][:max_words])}
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 128) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 160) -> ToxicityModel:
     rows, prior = training_rows(docs, labels, train, label, key, max_positive, max_unlabelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +94,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic
 
     # both samples are bounded, and so is this broadcast
     sample = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "k").select(F.col("k").cast("string"), "p", "t")
-    got = sample.mapInArrow(run, "k string, p boolean, x array<int>").toArrow().sort_by([("k", "ascending")])
+    got = sample.mapInArrow(run, "k string, p boolean, x array<int>").toArrow().sort_by([("k", "ascending"), ("p", "ascending")])
     p, x = got["p"].to_pylist(), got["x"].to_pylist()
     pos, unl = [r for r, y in zip(x, p, strict=True) if y], [r for r, y in zip(x, p, strict=True) if not y]
-    model = ToxicityModel(chosen(pos, unl, max_words), None)
-    model.scorer = nnpu.fit(model.matrix(pos), model.matrix(unl), prior, steps=400, rate=0.1, decay=3e-5, standardise=False)
+    model = ToxicityModel(chosen(pos, unl, prior, max_words), None)
+    model.scorer = nnpu.fit(model.matrix(pos), model.matrix(unl), prior, steps=300, rate=0.03, decay=3e-5, standardise=False)
     return model
 
 
@@ -96,8 +107,10 @@ def predict(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: st
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, list[int]] = {}
         for b in batches:
-            s = model.score(utf8(b.column(1)))
+            texts = utf8(b.column(1))
+            s = np.concatenate([model.score(texts[i : i + 1000], seen) for i in range(0, len(texts), 1000)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], names=["key", "score", "predicted"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
