@@ -220,7 +220,7 @@ def learn(held: DataFrame, n: int, v: int, rounds: int) -> dict[int, list[float]
     return weights
 
 
-def score_texts(docs: DataFrame, train: Column, deleted: Column, key: str = "doc_id", text: str = "text", rounds: int = 12, block_tokens: int = 3_000_000, buckets: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, deleted: Column, key: str = "doc_id", text: str = "text", rounds: int = 12, block_tokens: int = 1_000_000, buckets: int | None = None) -> DataFrame:
     """One row for each row: key, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     train: rows to learn from; deleted: those of them whose tokens only teach the weights.
