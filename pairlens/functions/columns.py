@@ -30,8 +30,8 @@ def require_columns(df: DataFrame, columns: Sequence[str], caller: str) -> None:
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows without a missing value in the columns (all, if none are named)."""
-    return nan_to_null(df, columns).dropna("any", subset=list(columns) if columns else None)
+    """Rows without a NULL or NaN in the columns (all, if none are named)."""
+    return df.dropna("any", subset=list(columns) if columns else None)
 
 
 def forward_fill(x: str | Column, w: WindowSpec, limit: int = 3) -> Column:

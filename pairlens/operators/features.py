@@ -71,7 +71,7 @@ def feature_frame(bars: DataFrame, staged: bool = False) -> DataFrame:
         df = drop_incomplete(df)
     df = momentum_features(df)
     if staged:
-        df = drop_incomplete(df)
+        df = with_returns(drop_incomplete(df))
     return drop_incomplete(volatility_features(df))
 
 

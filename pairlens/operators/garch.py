@@ -12,7 +12,7 @@ from ..functions.columns import KEY, TS
 from .recurrence import Recurrence, linear_recurrence
 
 COARSE = [(a, b) for a in (0.02, 0.05, 0.1, 0.2, 0.3) for b in (0.3, 0.5, 0.7, 0.8, 0.9, 0.95) if a + b < 0.999]
-MOST_BETA = 0.98
+LEAST_BETA, MOST_BETA = 0.2, 0.98
 
 
 def _variances(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -20,7 +20,7 @@ def _variances(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(TS)
     before = F.lag(F.col("e") * F.col("e")).over(w)
     drive = F.when(before.isNull(), F.col("target")).otherwise((1 - F.col("alpha") - F.col("beta")) * F.col("target") + F.col("alpha") * before)
-    out = linear_recurrence(rows.withColumn("__drive", drive), [Recurrence("variance", "beta", "__drive", MOST_BETA)], keys)
+    out = linear_recurrence(rows.withColumn("__drive", drive), [Recurrence("variance", "beta", "__drive", LEAST_BETA, MOST_BETA)], keys)
     return out.drop("__drive")
 
 
@@ -46,7 +46,7 @@ def garch_fit(df: DataFrame, column: str, refinements: int = 1) -> DataFrame:
     found = best(rows.select("*", F.inline(grid)))
     for _ in range(refinements):
         near = F.array(*[F.struct(F.lit(x).alias("fa"), F.lit(y).alias("fb")) for x in (0.6, 0.8, 1.0, 1.3, 1.6) for y in (-0.06, -0.03, 0.0, 0.03, 0.06)])
-        beta = F.round(F.least(F.greatest(F.col("b0") + F.col("fb"), F.lit(0.05)), F.lit(MOST_BETA)), 6)
+        beta = F.round(F.least(F.greatest(F.col("b0") + F.col("fb"), F.lit(LEAST_BETA)), F.lit(MOST_BETA)), 6)
         wide = rows.join(found.select(KEY, F.col("alpha").alias("a0"), F.col("beta").alias("b0")), KEY).select("*", F.inline(near))
         wide = wide.withColumns({"alpha": F.round(F.col("a0") * F.col("fa"), 6), "beta": beta}).where("alpha + beta < 0.999").drop("a0", "b0", "fa", "fb")
         found = best(wide.dropDuplicates([KEY, TS, "alpha", "beta"]))

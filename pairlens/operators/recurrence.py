@@ -1,8 +1,9 @@
-"""Linear recurrences y[t] = a * y[t-1] + b[t] over the rows of a series, as scans over blocks of rows.
+"""Linear recurrences y[t] = a * y[t-1] + b[t] over the rows of a series, as windows.
 
-Inside a block of 32 rows, y without what came before is a^j times the running sum of b * a^-j, one window. The blocks' last
-values are again such a recurrence with decay a^32, on a table 32 times smaller. Once the decay of a level is so small that only
-a few earlier blocks matter to a double, the sum over those is written out. No step is sequential over a series, and all windows are bounded or running sums.
+Rows are cut into blocks. Inside a block, y without what came before is a^j times the running sum of b * a^-j. The block is as long as a^-j can be without
+overflow, so the decay over a whole block is tiny: what goes into a block is the last value of the block before, and of as many earlier
+ones as still matter to a double (none, for usual spans). Each of these is a running window over the same partitioning: no join, and no step
+that is sequential over a series.
 """
 
 from __future__ import annotations
@@ -15,63 +16,53 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, TS
 
-BLOCK = 32
-_MOST_LAGS = 6
+#: exp of this is far below the largest double; the square of a price times it still is.
+_LOG_LIMIT = 500.0
+_MOST_BLOCK = 4096
 
 
 @dataclass(frozen=True)
 class Recurrence:
-    """name = decay * (name, one row before) + input. decay: a number, or a column that is constant in a series and at most most_decay."""
+    """name = decay * (name, one row before) + input. decay: a number, or a column that is constant in a series and between least and most."""
 
     name: str
     decay: float | str
     input: str
-    most_decay: float | None = None
+    least: float | None = None
+    most: float | None = None
 
-    def bound(self) -> float:
-        return self.decay if isinstance(self.decay, float) else self.most_decay
+    def bounds(self) -> tuple[float, float]:
+        return (self.decay, self.decay) if isinstance(self.decay, float) else (self.least, self.most)
 
 
-def _power(decay: float | str, n: Column | int) -> Column:
-    return F.pow(F.lit(decay) if isinstance(decay, float) else F.col(decay), F.lit(n) if isinstance(n, int) else n)
+def block_rows(recurrences: list[Recurrence]) -> int:
+    least = min(r.bounds()[0] for r in recurrences)
+    return max(2, min(_MOST_BLOCK, int(_LOG_LIMIT / -math.log(least)))) if 0 < least < 1 else _MOST_BLOCK
 
 
-def linear_recurrence(df: DataFrame, recurrences: list[Recurrence], keys: tuple[str, ...] = (KEY,), order: str = TS, block: int = BLOCK) -> DataFrame:
-    """Adds a column for each recurrence. Inputs must not be NULL; a NULL input counts as 0."""
+def _power(decay: float | str, n: Column) -> Column:
+    return F.pow(F.lit(decay) if isinstance(decay, float) else F.col(decay), n)
+
+
+def linear_recurrence(df: DataFrame, recurrences: list[Recurrence], keys: tuple[str, ...] = (KEY,), order: str = TS, block: int | None = None) -> DataFrame:
+    """Adds a column for each recurrence. A NULL input counts as 0."""
+    size = block or block_rows(recurrences)
     w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("__i", F.row_number().over(w) - 1).withColumns({"__block": F.floor(F.col("__i") / block), "__at": (F.col("__i") % block).cast("double")})
-    inside = Window.partitionBy(*keys, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    local = {f"__y_{r.name}": F.sum(F.coalesce(F.col(r.input), F.lit(0.0)) * _power(r.decay, -F.col("__at"))).over(inside) * _power(r.decay, F.col("__at")) for r in recurrences}
-    rows = rows.withColumns(local)
-    decays = sorted({r.decay for r in recurrences if isinstance(r.decay, str)})
-    ends = rows.groupBy(*keys, "__block").agg(*[F.max_by(f"__y_{r.name}", "__at").alias(f"__e_{r.name}") for r in recurrences], *[F.first(d).alias(d) for d in decays])
-    carries = _carries(ends, recurrences, keys, block)
-    joined = rows.join(carries, [*keys, "__block"])
-    out = {r.name: F.col(f"__y_{r.name}") + _power(r.decay, F.col("__at") + 1) * F.col(f"__c_{r.name}") for r in recurrences}
-    return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
-
-
-def _carries(ends: DataFrame, recurrences: list[Recurrence], keys: tuple[str, ...], block: int) -> DataFrame:
-    """What goes into each block: the value of y at the end of the block before, 0 for the first."""
-    most = max(r.bound() for r in recurrences) ** block
-    lags = 1 + math.ceil(math.log(1e-20) / math.log(most)) if 0 < most < 1 else 1
-    w = Window.partitionBy(*keys).orderBy("__block")
-    if lags <= _MOST_LAGS:
-        carry = {r.name: sum((_power(r.decay, block * k) * F.coalesce(F.lag(f"__e_{r.name}", k + 1).over(w), F.lit(0.0)) for k in range(lags)), F.lit(0.0)) for r in recurrences}
-        return ends.select(*keys, "__block", *[c.alias(f"__c_{n}") for n, c in carry.items()])
-    deeper = ends
-    up = []
-    for k, r in enumerate(recurrences):
-        decay = r.decay**block if isinstance(r.decay, float) else f"__d{k}"
-        if isinstance(decay, str):
-            deeper = deeper.withColumn(decay, _power(r.decay, block))
-        up.append(Recurrence(f"__s_{r.name}", decay, f"__e_{r.name}", None if isinstance(decay, float) else r.bound() ** block))
-    deeper = deeper.withColumnRenamed("__block", "__b")
-    scanned = linear_recurrence(deeper, up, keys, "__b", block).withColumnRenamed("__b", "__block")
-    return scanned.select(*keys, "__block", *[F.coalesce(F.lag(f"__s_{r.name}", 1).over(w), F.lit(0.0)).alias(f"__c_{r.name}") for r in recurrences])
-
-
-def ema(df: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...] = (KEY,), order: str = TS) -> DataFrame:
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__i", F.row_number().over(w) - 1).withColumns({"__block": F.floor(F.col("__i") / size), "__at": (F.col("__i") % size).cast("double")})
+    inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__y_{r.name}": F.sum(F.coalesce(F.col(r.input), F.lit(0.0)) * _power(r.decay, -F.col("__at"))).over(inside) * _power(r.decay, F.col("__at")) for r in recurrences})
+    is_end = F.col("__at") == size - 1
+    rows = rows.withColumns({f"__e_{r.name}": F.when(is_end, F.col(f"__y_{r.name}")) for r in recurrences})
+    most = max(r.bounds()[1] for r in recurrences)
+    earlier = math.ceil(math.log(1e-18) / (size * math.log(most))) - 1 if 0 < most < 1 else 0
+    for _ in range(min(earlier, 1000)):
+        rows = rows.withColumns({f"__e_{r.name}": F.when(is_end, F.col(f"__y_{r.name}") + _power(r.decay, F.lit(float(size))) * F.coalesce(F.last(f"__e_{r.name}", ignorenulls=True).over(before), F.lit(0.0))) for r in recurrences})
+    out = {r.name: F.col(f"__y_{r.name}") + _power(r.decay, F.col("__at") + 1) * F.coalesce(F.last(f"__e_{r.name}", ignorenulls=True).over(before), F.lit(0.0)) for r in recurrences}
+    return rows.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def ema(df: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...] = (KEY,), order: str = TS, block: int | None = None) -> DataFrame:
     """Exponential moving averages {name: (column, span)}: recursive, seeded with the first value."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
     parts, temp = [], {}
@@ -79,10 +70,10 @@ def ema(df: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...]
         alpha = 2.0 / (span + 1)
         temp[f"__in_{name}"] = F.when(first, F.col(column)).otherwise(F.col(column) * alpha)
         parts.append(Recurrence(name, 1.0 - alpha, f"__in_{name}"))
-    return linear_recurrence(df.withColumns(temp), parts, keys, order).drop(*temp)
+    return linear_recurrence(df.withColumns(temp), parts, keys, order, block).drop(*temp)
 
 
-def ewm_std(df: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...] = (KEY,), order: str = TS) -> DataFrame:
+def ewm_std(df: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, ...] = (KEY,), order: str = TS, block: int | None = None) -> DataFrame:
     """Unbiased exponentially weighted deviations {name: (column, span)} with all weights normalised. NULL inputs must lead only."""
     parts, temp = [], {}
     for name, (column, span) in specs.items():
@@ -90,7 +81,7 @@ def ewm_std(df: DataFrame, specs: dict[str, tuple[str, int]], keys: tuple[str, .
         for k, (value, decay) in enumerate(((F.when(x.isNotNull(), 1.0), a), (x, a), (x * x, a), (F.when(x.isNotNull(), 1.0), a * a))):
             temp[f"__i{k}_{name}"] = value
             parts.append(Recurrence(f"__s{k}_{name}", decay, f"__i{k}_{name}"))
-    out = linear_recurrence(df.withColumns(temp), parts, keys, order)
+    out = linear_recurrence(df.withColumns(temp), parts, keys, order, block)
     made = {}
     for name in specs:
         s0, s1, s2, q = (F.col(f"__s{k}_{name}") for k in range(4))

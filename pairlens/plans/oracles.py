@@ -6,8 +6,8 @@ from .queries import COSTS, IC_SIGNALS
 
 BARS = """bars AS (
   SELECT l_linestatus AS series_id, CAST(l_shipdate AS TIMESTAMP) AS ts,
-    round(avg(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) END), 6) AS a_close,
-    round(avg(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) END), 6) AS b_close
+    floor(avg(CASE WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) END) * 1e6 + 0.5) / 1e6 AS a_close,
+    floor(avg(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) END) * 1e6 + 0.5) / 1e6 AS b_close
   FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 2)"""
 
 
@@ -113,7 +113,7 @@ DAY = "strftime(ts, '%Y-%m-%d') AS day"
 
 
 def r(*names: str, places: int = 6) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), {places}) AS {n}" for n in names)
+    return ", ".join(f"CASE WHEN round(CAST({n} AS DOUBLE), {places}) = 0 THEN 0.0 ELSE round(CAST({n} AS DOUBLE), {places}) END AS {n}" for n in names)
 
 
 def _with(ctes: str, select: str) -> str:
@@ -137,10 +137,10 @@ def oracle_sql() -> dict[str, str]:
         "pair_bars": _with(f"{BARS}, {RAW}", f"SELECT series_id, {DAY}, {r('a_close', 'b_close', 'ratio')} FROM raw"),
         "csv_stage": _with(BARS, f"SELECT series_id, {DAY}, {r('a_close', 'b_close')} FROM bars"),
         "lookback_scan": _with(BARS, f"SELECT series_id, {DAY}, {r('a_close', 'b_close')} FROM bars WHERE ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1998-01-01'"),
-        "pair_universe": f"""WITH q AS (SELECT o_orderpriority AS t, CAST(o_orderdate AS TIMESTAMP) AS ts, round(avg(CAST(o_totalprice AS DOUBLE)), 6) AS c FROM orders GROUP BY 1, 2)
+        "pair_universe": f"""WITH q AS (SELECT o_orderpriority AS t, CAST(o_orderdate AS TIMESTAMP) AS ts, floor(avg(CAST(o_totalprice AS DOUBLE)) * 1e6 + 0.5) / 1e6 AS c FROM orders GROUP BY 1, 2)
 SELECT a.t || '/' || b.t AS series_id, count(*) AS n_bars, round(avg(a.c / b.c), 6) AS mean_ratio, round(stddev_samp(a.c / b.c), 6) AS std_ratio, min(strftime(a.ts, '%Y-%m-%d')) AS first_day, max(strftime(a.ts, '%Y-%m-%d')) AS last_day
 FROM q a JOIN q b ON a.ts = b.ts AND a.t < b.t GROUP BY 1""",
-        "macro_merge": """WITH h AS (SELECT date_trunc('hour', ts) AS ts, event_type AS t, round(avg(value), 6) AS v FROM events GROUP BY 1, 2),
+        "macro_merge": """WITH h AS (SELECT date_trunc('hour', ts) AS ts, event_type AS t, floor(avg(value) * 1e6 + 0.5) / 1e6 AS v FROM events GROUP BY 1, 2),
 rates AS (SELECT coalesce(a.ts, b.ts) AS ts, a.v AS l, b.v AS s FROM (SELECT * FROM h WHERE t = 'purchase') a FULL JOIN (SELECT * FROM h WHERE t = 'signup') b ON a.ts = b.ts),
 filled AS (SELECT ts, last_value(l IGNORE NULLS) OVER w AS l, last_value(s IGNORE NULLS) OVER w AS s FROM rates WINDOW w AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
 SELECT strftime(m.ts, '%Y-%m-%d %H:%M') AS hour, round(m.v, 6) AS "index", round(l, 6) AS yield_long, round(s, 6) AS yield_short, round(l - s, 6) AS yield_curve_slope FROM h m JOIN filled f ON m.ts = f.ts WHERE m.t = 'click' AND l IS NOT NULL AND s IS NOT NULL""",
@@ -148,9 +148,9 @@ SELECT strftime(m.ts, '%Y-%m-%d %H:%M') AS hour, round(m.v, 6) AS "index", round
 SELECT strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(x, 6) AS x, round(last_value(x IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS filled FROM h""",
         "zscore_30_90": _with(BASE, f"SELECT series_id, {DAY}, round(ratio_zscore_30, 6) AS z30, round(ratio_zscore_90, 6) AS z90 FROM feat"),
         "roll_z_60": _with(f"{BARS}, {RAW}", f"SELECT series_id, {DAY}, round({_z60('ratio')}, 6) AS z60 FROM raw"),
-        "ret_vol_features": _with(BASE, f"SELECT series_id, {DAY}, {r('ratio_slope', *[f'{k}_{c}' for k in 'ab' for c in ('ret_1', 'ret_5', 'ret_20', 'vol_5', 'vol_20', 'vol_60', 'atr_14', 'atr_pct')], 'vol_ratio', 'vol_ratio_5', 'vol_ratio_60')} FROM more"),
-        "ema_features": _with(BASE + ", " + EMA, f"SELECT series_id, {DAY}, {r('a_ema_slope', 'b_ema_slope', 'ratio_ema_slope', 'rel_strength_5', 'rel_strength_20')} FROM emas"),
-        "macd": _with(BASE + ", " + EMA, f"SELECT series_id, {DAY}, {r(*[f'{k}_macd{c}' for k in 'ab' for c in ('', '_signal', '_hist')])} FROM emas"),
+        "ret_vol_features": _with(BASE, f"SELECT series_id, {DAY}, {r('ratio_slope', *[f'{k}_{c}' for k in 'ab' for c in ('ret_1', 'ret_5', 'ret_20', 'vol_5', 'vol_20', 'vol_60', 'atr_14', 'atr_pct')], 'vol_ratio', 'vol_ratio_5', 'vol_ratio_60', places=4)} FROM more"),
+        "ema_features": _with(BASE + ", " + EMA, f"SELECT series_id, {DAY}, {r('a_ema_slope', 'b_ema_slope', 'ratio_ema_slope', 'rel_strength_5', 'rel_strength_20', places=4)} FROM emas"),
+        "macd": _with(BASE + ", " + EMA, f"SELECT series_id, {DAY}, {r(*[f'{k}_macd{c}' for k in 'ab' for c in ('', '_signal', '_hist')], places=4)} FROM emas"),
         "ewma_vol": _with(
             f"{BARS}, {RAW}, num AS (SELECT *, row_number() {W} AS i FROM raw), pairs AS (SELECT x.series_id, x.ts, pow(19.0 / 21, x.i - y.i) AS w, y.a_ret_1 AS a, y.b_ret_1 AS b FROM num x JOIN num y ON x.series_id = y.series_id AND y.i BETWEEN x.i - 600 AND x.i AND y.a_ret_1 IS NOT NULL)",
             f"SELECT n.series_id, strftime(n.ts, '%Y-%m-%d') AS day, {', '.join(f'round(CASE WHEN count(w) > 1 THEN sqrt(greatest((sum(w * {k} * {k}) / sum(w) - pow(sum(w * {k}) / sum(w), 2)) * sum(w) * sum(w) / (sum(w) * sum(w) - sum(w * w)), 0)) END, 6) AS {k}_cond_vol' for k in 'ab')} FROM num n LEFT JOIN pairs p ON n.series_id = p.series_id AND n.ts = p.ts GROUP BY n.series_id, n.ts",
@@ -165,7 +165,7 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(x, 6) AS x, round(last_valu
         "rule_signal": _with(PLAIN, f"SELECT series_id, {DAY}, signal, {r('ratio_zscore_30', 'ratio_slope')} FROM frame"),
         "position_size": _with(PLAIN, f"SELECT series_id, {DAY}, {r('size')} FROM sized"),
         "backtest_curve": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT series_id, {DAY}, signal, CAST(switched AS BIGINT) AS switched, {r('daily_return', 'capital', 'drawdown')} FROM dd"),
-        "backtest_columns": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT s.series_id, strftime(s.ts, '%Y-%m-%d') AS day, round(s.ratio, 6) AS ratio, round(capital, 6) AS capital, round(daily_return, 6) AS daily_return FROM sized s LEFT JOIN bt USING (series_id, ts)"),
+        "backtest_columns": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT s.series_id, strftime(s.ts, '%Y-%m-%d') AS day, round(s.ratio, 6) AS ratio, round(capital, 6) AS capital, CASE WHEN round(daily_return, 6) = 0 THEN 0.0 ELSE round(daily_return, 6) END AS daily_return FROM sized s LEFT JOIN bt USING (series_id, ts)"),
         "backtest_metrics": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT series_id, {r(*METRICS, 'final_capital')}, round(final_capital - 1, 6) AS total_return, n_turns FROM met"),
         "cost_sweep": _with(
             PLAIN + ", priced AS (SELECT * FROM sized, (VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in COSTS) + ") c(spread, slippage)), " + folds("priced", "series_id, spread, slippage", "spread + slippage"),

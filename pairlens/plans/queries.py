@@ -39,7 +39,7 @@ def hour(c: str = TS) -> Column:
 def out(df: DataFrame, *keys, places: int = 6, **columns) -> DataFrame:
     """Keys as they are, doubles rounded, integers as long."""
     kinds = dict(df.dtypes)
-    picked = [F.round(k, places).alias(k) if kinds.get(k) == "double" else F.col(k).cast("long").alias(k) if kinds.get(k) in ("int", "smallint", "tinyint") else F.col(k) for k in keys]
+    picked = [(F.round(k, places) + 0.0).alias(k) if kinds.get(k) == "double" else F.col(k).cast("long").alias(k) if kinds.get(k) in ("int", "smallint", "tinyint") else F.col(k) for k in keys]
     return df.select(*[v.alias(k) for k, v in columns.items()], *picked)
 
 
@@ -98,17 +98,17 @@ def roll_z_60(spark, sf_dir):
 @query
 def ret_vol_features(spark, sf_dir):
     df = features.volatility_features(features.ratio_features(bars(spark, sf_dir)), conditional=False)
-    return out(df, KEY, "ratio_slope", "a_ret_1", "a_ret_5", "a_ret_20", "b_ret_5", "b_ret_20", "a_vol_5", "a_vol_20", "a_vol_60", "b_vol_5", "b_vol_20", "b_vol_60", "a_atr_14", "b_atr_14", "a_atr_pct", "b_atr_pct", "vol_ratio", "vol_ratio_5", "vol_ratio_60", day=day())
+    return out(df, KEY, "ratio_slope", "a_ret_1", "a_ret_5", "a_ret_20", "b_ret_1", "b_ret_5", "b_ret_20", "a_vol_5", "a_vol_20", "a_vol_60", "b_vol_5", "b_vol_20", "b_vol_60", "a_atr_14", "b_atr_14", "a_atr_pct", "b_atr_pct", "vol_ratio", "vol_ratio_5", "vol_ratio_60", places=4, day=day())
 
 
 @query
 def ema_features(spark, sf_dir):
-    return out(features.momentum_features(features.ratio_features(bars(spark, sf_dir))), KEY, "a_ema_slope", "b_ema_slope", "ratio_ema_slope", "rel_strength_5", "rel_strength_20", day=day())
+    return out(features.momentum_features(features.ratio_features(bars(spark, sf_dir))), KEY, "a_ema_slope", "b_ema_slope", "ratio_ema_slope", "rel_strength_5", "rel_strength_20", places=4, day=day())
 
 
 @query
 def macd(spark, sf_dir):
-    return out(features.momentum_features(features.ratio_features(bars(spark, sf_dir))), KEY, "a_macd", "a_macd_signal", "a_macd_hist", "b_macd", "b_macd_signal", "b_macd_hist", day=day())
+    return out(features.momentum_features(features.ratio_features(bars(spark, sf_dir))), KEY, "a_macd", "a_macd_signal", "a_macd_hist", "b_macd", "b_macd_signal", "b_macd_hist", places=4, day=day())
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,11 @@ from ..functions.columns import KEY, TS, drop_incomplete, forward_fill, over_ser
 BARS = T.StructType([T.StructField(KEY, T.StringType()), T.StructField(TS, T.TimestampType()), T.StructField("a_close", T.DoubleType()), T.StructField("b_close", T.DoubleType())])
 
 
+def fixed(x: Column) -> Column:
+    """Six decimals, by the same arithmetic in any engine."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +55,7 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
 
 def quotes_to_bars(quotes: DataFrame, a: str, b: str, field: str = "close") -> DataFrame:
     """Long quotes (series_id, ts, ticker, field, value) to two-leg bars; rows without both legs go. The mean of equal keys counts."""
-    wide = quotes.where(F.col("field") == field).groupBy(KEY, TS).pivot("ticker", [a, b]).agg(F.round(F.avg("value"), 6))
+    wide = quotes.where(F.col("field") == field).groupBy(KEY, TS).pivot("ticker", [a, b]).agg(fixed(F.avg("value")))
     return drop_incomplete(wide.select(KEY, TS, F.col(a).alias("a_close"), F.col(b).alias("b_close")))
 
 
@@ -66,7 +71,7 @@ def bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quotes_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean order value of each priority, as the price of an instrument."""
     o = read_table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("timestamp").alias(TS)).agg(F.round(F.avg(F.col("o_totalprice").cast("double")), 6).alias("close"))
+    return o.groupBy(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("timestamp").alias(TS)).agg(fixed(F.avg(F.col("o_totalprice").cast("double"))).alias("close"))
 
 
 def pair_universe(quotes: DataFrame) -> DataFrame:
@@ -87,5 +92,5 @@ def macro_merge(market: DataFrame, long_rate: DataFrame, short_rate: DataFrame,
 def macro_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three event types as hourly series: one as the market, two as sparse rates."""
     e = read_table(spark, sf_dir, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias(TS), "event_type", F.col("value").cast("double").alias("value"))
-    hourly = lambda kind, name: e.where(F.col("event_type") == kind).groupBy(TS).agg(F.round(F.avg("value"), 6).alias(name))
+    hourly = lambda kind, name: e.where(F.col("event_type") == kind).groupBy(TS).agg(fixed(F.avg("value")).alias(name))
     return macro_merge(hourly("click", "index"), hourly("purchase", "yield_long"), hourly("signup", "yield_short"))
