@@ -82,7 +82,7 @@ def chosen(p: list[list[int]], u: list[list[int]], prior: float, max_words: int,
     both = (cp[at] + cu[at]) / (len(p) + len(u))
     z = (a - b) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / len(u)) + 1e-12)
     good = np.lexsort((at, -z))
-    return {int(at[k]): j for j, k in enumerate([k for k in good if z[k] > 5 and prior * a[k] >= 0.7 * b[k]][:max_words])}
+    return {int(at[k]): j for j, k in enumerate([k for k in good if z[k] > 3 and prior * a[k] >= 0.7 * b[k]][:max_words])}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 160) -> ToxicityModel:
