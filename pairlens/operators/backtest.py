@@ -171,7 +171,7 @@ def fit_decay(curve: DataFrame, value: str = "ic_composite", t: str = "window_id
     ratio = grid[1] / grid[0]
     for _ in range(refinements):
         near = [ratio ** (k / 8 - 1) for k in range(17)]
-        found = best(points.join(found.select(KEY, F.col("b").alias("b0")), KEY).withColumn("b", F.col("b0") * F.explode(F.array(*map(F.lit, near)))))
+        found = best(points.join(found.select(KEY, F.col("b").alias("b0")), KEY).withColumn("near", F.explode(F.array(*map(F.lit, near)))).withColumn("b", F.col("b0") * F.col("near")))
         ratio = ratio ** (1 / 8)
     out = enough.join(found, KEY, "left")
     ok = (F.col("n_points") >= least) & F.col("b").isNotNull()

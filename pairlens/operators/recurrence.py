@@ -18,7 +18,9 @@ from ..functions.columns import KEY, TS
 
 #: exp of this is far below the largest double; the square of a price times it still is.
 _LOG_LIMIT = 500.0
-_MOST_BLOCK = 4096
+_MOST_BLOCK = 1 << 16
+#: A decay to exp(-_FORGOTTEN) is nothing to a double.
+_FORGOTTEN, _MOST_EARLIER = 42.0, 20
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,11 @@ def _power(decay: float | str, n: Column) -> Column:
 
 def linear_recurrence(df: DataFrame, recurrences: list[Recurrence], keys: tuple[str, ...] = (KEY,), order: str = TS, block: int | None = None) -> DataFrame:
     """Adds a column for each recurrence. A NULL input counts as 0."""
-    size = block or block_rows(recurrences)
+    most = max(r.bounds()[1] for r in recurrences)
+    # at most _MOST_EARLIER blocks before the last are looked back on
+    size = max(block or block_rows(recurrences), math.ceil(_FORGOTTEN / (_MOST_EARLIER * -math.log(most))) if 0 < most < 1 else 2)
+    if size > block_rows(recurrences):
+        raise ValueError(f"decays from {min(r.bounds()[0] for r in recurrences)} to {most} lie too far apart for one call")
     w = Window.partitionBy(*keys).orderBy(order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("__i", F.row_number().over(w) - 1).withColumns({"__block": F.floor(F.col("__i") / size), "__at": (F.col("__i") % size).cast("double")})
@@ -54,9 +60,8 @@ def linear_recurrence(df: DataFrame, recurrences: list[Recurrence], keys: tuple[
     rows = rows.withColumns({f"__y_{r.name}": F.sum(F.coalesce(F.col(r.input), F.lit(0.0)) * _power(r.decay, -F.col("__at"))).over(inside) * _power(r.decay, F.col("__at")) for r in recurrences})
     is_end = F.col("__at") == size - 1
     rows = rows.withColumns({f"__e_{r.name}": F.when(is_end, F.col(f"__y_{r.name}")) for r in recurrences})
-    most = max(r.bounds()[1] for r in recurrences)
-    earlier = math.ceil(math.log(1e-18) / (size * math.log(most))) - 1 if 0 < most < 1 else 0
-    for _ in range(min(earlier, 1000)):
+    earlier = math.ceil(_FORGOTTEN / (size * -math.log(most))) - 1 if 0 < most < 1 else 0
+    for _ in range(earlier):
         rows = rows.withColumns({f"__e_{r.name}": F.when(is_end, F.col(f"__y_{r.name}") + _power(r.decay, F.lit(float(size))) * F.coalesce(F.last(f"__e_{r.name}", ignorenulls=True).over(before), F.lit(0.0))) for r in recurrences})
     out = {r.name: F.col(f"__y_{r.name}") + _power(r.decay, F.col("__at") + 1) * F.coalesce(F.last(f"__e_{r.name}", ignorenulls=True).over(before), F.lit(0.0)) for r in recurrences}
     return rows.select(*df.columns, *[c.alias(n) for n, c in out.items()])
