@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nnpu
-from .common import utf8, words
+from .common import stage_table, utf8, words
 from .quality import training_rows
 
 BUCKETS = 1 << 22
@@ -71,18 +71,20 @@ class ToxicityModel:
         return self.scorer.score(x)
 
 
-def chosen(p: list[list[int]], u: list[list[int]], prior: float, max_words: int, min_share: float = 0.02) -> dict[int, int]:
-    """Buckets by the z statistic of their share among positives against unlabelled rows, largest first."""
-    if not p or not u:
+def choose(sample: DataFrame, prior: float, max_words: int, min_share: float = 0.02) -> dict[int, int]:
+    """Columns of the max_words buckets with the largest z statistic of their share among positives against unlabelled rows.
+
+    sample: (p, x), x being a row's buckets. Counted on the executors; the driver gets the chosen ones only.
+    """
+    n_p, n_u = sample.agg(F.count(F.when(F.col("p"), 1)), F.count(F.when(~F.col("p"), 1))).first()
+    if not n_p or not n_u:
         return {}
-    cp = np.bincount(np.concatenate([np.array(r, np.int64) for r in p]), minlength=BUCKETS)
-    cu = np.bincount(np.concatenate([np.array(r, np.int64) for r in u]), minlength=BUCKETS)
-    at = np.nonzero(cp >= max(5, min_share * len(p)))[0]
-    a, b = cp[at] / len(p), cu[at] / len(u)
-    both = (cp[at] + cu[at]) / (len(p) + len(u))
-    z = (a - b) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / len(u)) + 1e-12)
-    good = np.lexsort((at, -z))
-    return {int(at[k]): j for j, k in enumerate([k for k in good if z[k] > 3 and prior * a[k] >= 0.7 * b[k]][:max_words])}
+    counts = sample.select("p", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.count(F.when(F.col("p"), 1)).alias("cp"), F.count(F.when(~F.col("p"), 1)).alias("cu"))
+    a, b, both = F.col("cp") / n_p, F.col("cu") / n_u, (F.col("cp") + F.col("cu")) / (n_p + n_u)
+    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
+    # by the prior, most rows with such a bucket must be positives
+    good = counts.where(F.col("cp") >= max(5, min_share * n_p)).withColumn("z", z).where((F.col("z") > 3) & (a * prior >= b * 0.7))
+    return {r["bucket"]: k for k, r in enumerate(good.orderBy(F.desc("z"), "bucket").limit(max_words).collect())}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 160) -> ToxicityModel:
@@ -94,11 +96,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic
 
     # both samples are bounded, and so is this broadcast
     sample = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "k").select(F.col("k").cast("string"), "p", "t")
-    got = sample.mapInArrow(run, "k string, p boolean, x array<int>").toArrow().sort_by([("k", "ascending"), ("p", "ascending")])
-    p, x = got["p"].to_pylist(), got["x"].to_pylist()
-    pos, unl = [r for r, y in zip(x, p, strict=True) if y], [r for r, y in zip(x, p, strict=True) if not y]
-    model = ToxicityModel(chosen(pos, unl, prior, max_words), None)
-    model.scorer = nnpu.fit(model.matrix(pos), model.matrix(unl), prior, steps=300, rate=0.03, decay=3e-5, standardise=False)
+    sample = stage_table(sample.mapInArrow(run, "k string, p boolean, x array<int>"), "sample")
+    model = ToxicityModel(choose(sample, prior, max_words), None)
+    kept = F.array_intersect("x", F.array(*[F.lit(b) for b in model.columns])) if model.columns else F.array().cast("array<int>")
+    got = sample.select("k", "p", kept.alias("x")).toArrow().sort_by([("k", "ascending"), ("p", "ascending")])
+    p, x = np.array(got["p"].to_pylist(), bool), model.matrix(got["x"].to_pylist())
+    model.scorer = nnpu.fit(x[p], x[~p], prior, steps=300, rate=0.03, decay=3e-5, standardise=False)
     return model
 
 
