@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors. Each vector is represented by the order of its ``prefix`` nearest pivots, and posted in the inverted file of each with
+Pivots are different vectors of a bounded sample (8 times as many rows as pivots). Each vector is represented by the order of its ``prefix`` nearest pivots, and posted in the inverted file of each with
 the pivot's rank. A query reads the files of its own nearest pivots; ranks met there add up to the footrule distance of the two orders (a pivot
 outside a prefix counts as rank ``prefix``). The best ``share`` of a shard by footrule are reranked by exact cosine in double precision.
 
 The index is dealt into shards of about ``shard_rows`` vectors by the id's hash, the queries into blocks of about ``block_rows``; each pair of a shard and a block is one task's group
-and gives k rows a query, whose best k are the result. Like vectors are dealt to all shards alike.
+and gives k rows a query, whose best k are the result. Copies of one vector are
+one candidate in a shard.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids and vectors of another length than
 most (of equally frequent lengths the smallest). Of rows with one id the vector that is smallest in array order counts. Ties go to the smaller id, in
@@ -37,6 +38,18 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def distinct_directions(x: np.ndarray, n: int, most_cosine: float = 0.9) -> np.ndarray:
+    """The first n rows of a sample that lie apart from those before: near copies of one vector would be one pivot many times."""
+    u = unit(x)
+    chosen: list[int] = []
+    for k in range(len(u)):
+        if len(chosen) == n:
+            break
+        if not chosen or (u[chosen] @ u[k]).max() <= most_cosine:
+            chosen.append(k)
+    return u[chosen]
+
+
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each row, nearest first."""
     return np.argsort(-(unit(x) @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
@@ -46,6 +59,11 @@ def search_shard(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q_ids: np.nd
     """(query, id, cosine): the k best of the shard for each query."""
     by_id = np.argsort(ids, kind="stable")
     ids, x, order = ids[by_id], x[by_id], order[by_id]
+    # copies of a vector are one candidate, for which its k + 1 smallest ids stand
+    _, one, group = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    x, order, group = x[one], order[one], group.ravel()
+    members = np.argsort(group, kind="stable")
+    start = np.searchsorted(group[members], np.arange(len(one) + 1))
     n, m = order.shape
     # the inverted files: postings of pivot p are rows[first[p]:first[p + 1]] with their ranks
     flat = order.ravel()
@@ -54,7 +72,8 @@ def search_shard(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q_ids: np.nd
     first = np.searchsorted(flat[post], np.arange(flat.max() + 2)) if n else np.zeros(1, np.int64)
     u, w = unit(x), unit(q)
     take = min(n, max(least, int(np.ceil(share * n)), k + 1))
-    tie = np.arange(n, 0, -1)
+    tie = np.empty(n, np.int64)
+    tie[np.argsort(ids[one])] = np.arange(n, 0, -1)
     out = []
     for i, p in enumerate(q_order):
         gain = np.zeros(n, np.int64)
@@ -64,14 +83,16 @@ def search_shard(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q_ids: np.nd
                 gain[rows[s]] += m - np.maximum(ranks[s], rank)
         # footrule = constant - 2 * gain
         best = np.argpartition(-(gain * (n + 1) + tie), take - 1)[:take] if take < n else np.arange(n)
-        best = best[ids[best] != q_ids[i]]
         cosine = (u[best] * w[i]).sum(1)
-        for j in np.lexsort((ids[best], -cosine))[:k]:
-            out.append((int(q_ids[i]), int(ids[best[j]]), float(cosine[j])))
+        # the best k + 1 distinct vectors hold the best k ids, the query's own left out
+        few = np.lexsort((ids[one[best]], -cosine))[: k + 1]
+        edge = cosine[few[-1]]
+        near = [(-float(cosine[j]), int(v)) for j in np.nonzero(cosine >= edge)[0] for v in ids[members[start[best[j]] : start[best[j] + 1]][: k + 1]] if v != q_ids[i]]
+        out += [(int(q_ids[i]), v, -c) for c, v in sorted(near)[:k]]
     return out
 
 
-def search(table: DataFrame, is_query: Callable[[Column], Column], key: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = 128, prefix: int = 48, share: float = 0.15, least: int = 300, shard_rows: int = 16384, block_rows: int = 2048) -> DataFrame:
+def search(table: DataFrame, is_query: Callable[[Column], Column], key: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = 128, prefix: int = 48, share: float = 0.18, least: int = 300, shard_rows: int = 16384, block_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each id that is_query is true of, against all rows."""
     rows = stage_table(clean(table, key, vector), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -80,7 +101,7 @@ def search(table: DataFrame, is_query: Callable[[Column], Column], key: str = "v
         return table.sparkSession.createDataFrame([], schema)
     rows, d = rows.where(F.size("v") == sizes["d"]), sizes["d"]
     by = F.xxhash64("id", F.lit("pivot"))
-    centre = unit(np.array([r["v"] for r in smallest(rows, pivots, by, F.col("id")).collect()], float))
+    centre = distinct_directions(np.array([r["v"] for r in smallest(rows, 8 * pivots, by, F.col("id")).collect()], float), pivots)
     prefix = min(prefix, len(centre))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
