@@ -122,7 +122,9 @@ def information_coefficients(folds: DataFrame, signals: Sequence[str], key: str
 def walk_forward_rolling(df: DataFrame, size: int = 60, step: int = 20, purge: int = 5, ahead: int = 5, signals: Sequence[str] | None = None, **costs) -> DataFrame:
     """Metrics, span and information coefficients of each rolling window. Changes ahead are of the whole series."""
     signals = list(signals or available_signals(df))
-    folds = rolling_windows(df.withColumn("fwd", forward_change(F.col("ratio"), ahead, over_series())), size, step, purge)
+    needed = [KEY, TS, "ratio", "a_close", "b_close", "ratio_zscore_30", "ratio_slope", "a_vol_20", "b_vol_20", *signals, *([costs["signal_col"]] if costs.get("signal_col") else [])]
+    # three branches start from the windows: kept, so that the features are computed once
+    folds = rolling_windows(df.withColumn("fwd", forward_change(F.col("ratio"), ahead, over_series())).select(*dict.fromkeys(needed), "fwd"), size, step, purge).persist()
     out = fold_spans(folds, "window_idx").join(metrics(run_folds(folds, ["window_idx"], **costs), ["window_idx"]), [KEY, "window_idx"])
     return out.join(information_coefficients(folds, signals), [KEY, "window_idx"], "left")
 
