@@ -9,7 +9,7 @@ import xxhash
 from data import DE, EN, SCHEMA, documents, empty, table, words
 from pyspark.sql import functions as F
 
-from pairlens.llm import decontam, interpolation, langid, mixing, nnpu, quality, simhash, tokencount, toxicity
+from pairlens.llm import decontam, interpolation, langid, mixing, neardup, nnpu, quality, simhash, tokencount, toxicity
 from pairlens.llm.common import remainder
 from pairlens.llm.components import components
 
@@ -135,7 +135,7 @@ def test_near_duplicates(spark):
         by[c].add(r[0])
     want = {(r[0], f"{f:016x}", min((k for k in by[c] if k is not None), default=None)) for r, f, c in zip(rows, fps, classes_by_hand(fps))}
     assert {tuple(r) for r in got} == want
-    kept = simhash.keep_one(table(spark, rows), shingle=3)
+    kept = neardup.keep_one(table(spark, rows), shingle=3)
     assert kept.columns == SCHEMA.replace(" bigint", "").replace(" string", "").replace(" double", "").split(", ")
     assert kept.where("doc_id in (61, 62, 66, 67)").count() == 0 and kept.where("doc_id = 60").count() == 1
     assert simhash.near_duplicates(empty(spark)).count() == 0
