@@ -2,15 +2,17 @@
 
 Pivots are different vectors of a bounded sample (8 times as many rows as pivots). Each vector is represented by the order of its ``prefix`` nearest pivots, and posted in the inverted file of each with
 the pivot's rank. A query reads the files of its own nearest pivots; ranks met there add up to the footrule distance of the two orders (a pivot
-outside a prefix counts as rank ``prefix``). The best ``share`` of a shard by footrule are reranked by exact cosine in double precision.
+outside a prefix counts as rank ``prefix``). The best ``share`` of a shard by footrule are reranked by exact cosine in double precision, and with
+them all whose footrule is nearly that of the last: the cut never falls between rows alike in footrule. If the last is at less than half of the
+largest footrule, the cut lies inside a crowd of near copies; then all up to twice its footrule are reranked, at most the whole shard.
 
 The index is dealt into shards of about ``shard_rows`` vectors by the id's hash, the queries into blocks of about ``block_rows``; each pair of a shard and a block is one task's group
 and gives k rows a query, whose best k are the result. Copies of one vector are
 one candidate in a shard.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids and vectors of another length than
-most (of equally frequent lengths the smallest). Of rows with one id the vector that is smallest in array order counts. Ties go to the smaller id, in
-the footrule order as well. With fewer than k other vectors all are returned. Extra columns are not looked at.
+most (of equally frequent lengths the smallest). Of rows with one id the vector that is smallest in array order counts. Ties go to the smaller
+id. With fewer than k other vectors all are returned. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -55,6 +57,11 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(unit(x) @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
 
 
+def reach(cut: int, largest: int) -> float:
+    """The footrule up to which to rerank, if the best share ends at cut."""
+    return cut + (max(cut, 0.05 * largest) if cut < largest / 2 else 0.02 * largest)
+
+
 def search_shard(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_order: np.ndarray, k: int, share: float, least: int) -> list[tuple[int, int, float]]:
     """(query, id, cosine): the k best of the shard for each query."""
     by_id = np.argsort(ids, kind="stable")
@@ -72,8 +79,7 @@ def search_shard(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q_ids: np.nd
     first = np.searchsorted(flat[post], np.arange(flat.max() + 2)) if n else np.zeros(1, np.int64)
     u, w = unit(x), unit(q)
     take = min(n, max(least, int(np.ceil(share * n)), k + 1))
-    tie = np.empty(n, np.int64)
-    tie[np.argsort(ids[one])] = np.arange(n, 0, -1)
+    largest = m * (m + 1) // 2
     out = []
     for i, p in enumerate(q_order):
         gain = np.zeros(n, np.int64)
@@ -81,8 +87,8 @@ def search_shard(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q_ids: np.nd
             if pivot + 1 < len(first):
                 s = slice(first[pivot], first[pivot + 1])
                 gain[rows[s]] += m - np.maximum(ranks[s], rank)
-        # footrule = constant - 2 * gain
-        best = np.argpartition(-(gain * (n + 1) + tie), take - 1)[:take] if take < n else np.arange(n)
+        far = largest - gain  # half of the footrule
+        best = np.nonzero(far <= reach(int(np.partition(far, take - 1)[take - 1]), largest))[0] if take < n else np.arange(n)
         cosine = (u[best] * w[i]).sum(1)
         # the best k + 1 distinct vectors hold the best k ids, the query's own left out
         few = np.lexsort((ids[one[best]], -cosine))[: k + 1]

@@ -33,6 +33,24 @@ def test_permutation_index(spark):
     assert [r.vec_id for r in q] == [3, 701, 702, 703, 704]
 
 
+@pytest.mark.parametrize("spread", [1e-5, 1e-3, 0.01, 0.05])
+def test_a_third_near_copies(spread):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (6000, 32))
+    crowd = np.arange(0, 6000, 3)
+    x[crowd] = x[0] + rng.normal(0, spread, (len(crowd), 32))
+    pivots = permindex.distinct_directions(x[:1024], 128)
+    order = permindex.orders(x, pivots, 48)
+    q = crowd[::50]
+    got = permindex.search_shard(np.arange(6000), x, order, q, x[q], order[q], 5, 0.18, 300)
+    u, hits = permindex.unit(x), 0
+    for i in q:
+        cosine = u @ u[i]
+        cosine[i] = -9
+        hits += len(set(np.argsort(-cosine, kind="stable")[:5].tolist()) & {v for a, v, _ in got if a == i})
+    assert hits / (5 * len(q)) >= 0.99
+
+
 def test_few_vectors_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     got = permindex.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], schema), lambda i: i == 0).collect()
