@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is made from a bounded sample of training texts. A text is cut
+For each language a zstandard raw-content dictionary is made from excerpts of a bounded sample of training texts, taken all
+over each text. A text is cut
 into pieces of ``piece_bytes`` that are compressed with each dictionary; the language whose pieces take the fewest
 bytes in sum wins. ``score`` is the share of bytes that the best saves against the second best (0 to 1); a text with
 a score below ``min_margin`` is rejected. Pieces keep a long text from becoming its own dictionary.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import utf8
@@ -44,23 +45,34 @@ class LanguageModel:
         return made
 
 
-def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 600, excerpt_bytes: int = 512, dict_bytes: int = 96 * 1024, **model) -> LanguageModel:
-    """Dictionaries from about docs_per_lang rows a language, chosen by the key's hash.
+def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 600, excerpt_bytes: int = 512, pieces: int = 2, dict_bytes: int = 96 * 1024, **model) -> LanguageModel:
+    """Dictionaries from docs_per_lang keys a language, the first by (hash, key); all of them where there are fewer.
 
-    The driver gets at most 1.5 * docs_per_lang + 50 excerpts of excerpt_bytes for each language, however large the table.
+    A language's rows have equal parts of its dict_bytes, excerpt_bytes at most, so that all of them fit. A text longer than its part gives
+    this many pieces, one from a hash-chosen place in each equal section of the text. Repeated rows of a key give
+    one excerpt. The driver gets at most dict_bytes characters for each language, however large the table.
     """
-    rows = train.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = train.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).where("k is not null and t is not null and l is not null")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.countDistinct("k").alias("n")).collect()}
     if not counts:
         return LanguageModel({}, **model)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * docs_per_lang / n))])
+    part = {lang: max(16, min(excerpt_bytes, dict_bytes // min(n, docs_per_lang) - 1)) for lang, n in counts.items()}  # a line feed follows
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("l")]
+    share = of({lang: min(1.0, 1.3 * docs_per_lang / n + 50 / n) for lang, n in counts.items()})
     unit = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
-    some = rows.where(unit < share[F.col("l")]).select("l", unit.alias("u"), F.substring("t", 1, excerpt_bytes).alias("t"))
-    by: dict[str, list[tuple[float, str]]] = {lang: [] for lang in counts}
-    for r in some.toLocalIterator():
-        if len(by[r["l"]]) < 1.5 * docs_per_lang + 50:
-            by[r["l"]].append((r["u"], r["t"]))
-    return LanguageModel({lang: "\n".join(t.lower() for _, t in sorted(got)).encode()[:dict_bytes] for lang, got in by.items()}, **model)
+    some = rows.withColumn("u", unit).where(F.col("u") < share).withColumns({"n": F.length("t"), "part": of(part)})
+    long = (F.floor((F.col("part") + 1) / pieces) - 1).cast("int")
+    section = F.floor(F.col("n") / pieces).cast("int")
+    place = lambda i: (i * section + F.pmod(F.xxhash64("k", i, F.lit("place")), F.greatest(section - long + 1, F.lit(1))) + 1).cast("int")
+    cut = F.when(F.col("n") <= F.col("part"), F.array("t")).otherwise(F.array(*[F.substring(F.col("t"), place(F.lit(i)), long) for i in range(pieces)]))
+    one = some.select("l", "u", "k", cut.alias("cut")).groupBy("l", "u", "k").agg(F.min("cut").alias("cut"))
+    first = one.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy("u", "k"))).where(F.col("nth") <= docs_per_lang)
+    by: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in counts}
+    for r in first.select("l", "nth", "cut").toLocalIterator():
+        most = (part[r["l"]] + 1) // len(r["cut"]) - 1
+        pieces = [p.lower().encode()[:most].decode(errors="ignore").encode() for p in r["cut"]]
+        by[r["l"]].append((r["nth"], b"\n".join(pieces)))
+    return LanguageModel({lang: b"\n".join(t for _, t in sorted(got)) for lang, got in by.items()}, **model)
 
 
 def classify(text: bytes | None, compressors: dict[str, zstandard.ZstdCompressor], piece_bytes: int) -> tuple[str, float]:

@@ -28,6 +28,21 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_bodies_of_all_sampled_rows_are_learned(spark):
+    rng = random.Random(12)
+    header = "licence " * 80  # longer than an excerpt
+    rows = [(k, header + f" mark{k} " + words(rng, EN if k % 2 else DE, 150), "en" if k % 2 else "de", "s", 0, 0.0) for k in range(300)]
+    model = langid.fit(table(spark, rows))
+    for lang, base in (("en", EN), ("de", DE)):
+        assert sum(model.dictionaries[lang].count(w.encode()) for w in base) > 1000
+    # all sampled rows are in the dictionary, whatever the order and number of the rows
+    rows = [(k, f"key{k:04d} " * 30, "en", "s", 0, 0.0) for k in range(1500)]
+    seen = langid.fit(table(spark, rows)).dictionaries["en"]
+    assert len({w for w in seen.split() if w.startswith(b"key") and len(w) == 7}) == 600 and len(seen) <= 96 * 1024
+    again = langid.fit(table(spark, (rows + rows[::3] * 5)[::-1])).dictionaries["en"]
+    assert again == seen
+
+
 def test_narrow_margin_is_rejected(spark):
     rng = random.Random(1)
     mixed = " ".join(words(rng, b, 20) for b in (EN, DE, EN, DE))
