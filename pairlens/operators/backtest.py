@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, TS, average_rank, bar_index, correlation, forward_change, over_series
+from ..sources.shared import staged
 from .signals import available_signals, position_size, rule_signal
 
 METRICS = ["sharpe", "cagr", "max_drawdown", "hit_rate", "calmar"]
@@ -20,8 +21,8 @@ def apply_costs(returns: Column, switched: Column, spread: float | Column = 0.00
     return returns - switched * (F.lit(spread) + F.lit(slippage) if not isinstance(spread, Column) else spread + slippage)
 
 
-def run_folds(df: DataFrame, keys: Sequence[str] = (), signal_col: str | None = None, spread: float | Column = 0.0002, slippage: float | Column = 0.0001) -> DataFrame:
-    """Rows of each fold (series and keys) after its first: signal, size, switched, daily_return, capital.
+def trade(df: DataFrame, keys: Sequence[str] = (), signal_col: str | None = None, spread: float | Column = 0.0002, slippage: float | Column = 0.0001) -> DataFrame:
+    """All rows of each fold (series and keys): signal, size, switched, daily_return, capital; the last two are NULL on the first row.
 
     The first row only gives the price before; on the second the position is still flat and is set at its close. A switch is paid
     on the row where the new signal is seen. signal_col trades a column of 'a' and 'b' in place of the rule.
@@ -38,8 +39,19 @@ def run_folds(df: DataFrame, keys: Sequence[str] = (), signal_col: str | None =
             "switched": F.when(held & (F.col("signal") != F.lag("signal").over(w)), 1).otherwise(0),
         }
     )
-    df = df.where("bar_no >= 1").withColumn("daily_return", apply_costs(F.col("held_size") * F.col("gross"), F.col("switched"), spread, slippage))
-    return df.withColumn("capital", F.product(1 + F.col("daily_return")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    paid = apply_costs(F.col("held_size") * F.col("gross"), F.col("switched"), spread, slippage)
+    df = df.withColumn("daily_return", F.when(F.col("bar_no") >= 1, paid))
+    return df.withColumn("capital", growth("daily_return", w))
+
+
+def growth(returns: str, w: WindowSpec) -> Column:
+    """Running product of 1 + returns; NULL before the first return."""
+    return F.when(F.col(returns).isNotNull(), F.product(1 + F.col(returns)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def run_folds(df: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """The traded rows of each fold: those after its first."""
+    return trade(df, keys, **options).where("bar_no >= 1")
 
 
 def drawdowns(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -63,10 +75,17 @@ def metrics(curve: DataFrame, keys: Sequence[str] = (), per_year: int = 252) ->
     return out.select(KEY, *keys, *[F.round(m, 4).alias(m) for m in METRICS], "final_capital", (F.col("final_capital") - 1).alias("total_return"), F.col("n_turns").cast("long").alias("n_turns"))
 
 
+def compute_metrics(returns: DataFrame, keys: Sequence[str] = (), column: str = "daily_return", changes: str | None = None, spread: float = 0.0002, slippage: float = 0.0001, per_year: int = 252) -> DataFrame:
+    """Metrics of given returns of each series and keys. changes: a 0/1 column of position changes, which are paid for before the curve is built."""
+    w = over_series(*keys)
+    net = F.col(column) if changes is None else apply_costs(F.col(column), F.col(changes), spread, slippage)
+    rows = returns.where(F.col(column).isNotNull()).withColumns({"daily_return": net, "switched": F.coalesce(F.col(changes), F.lit(0)) if changes else F.lit(0)})
+    return metrics(rows.withColumn("capital", growth("daily_return", w)), keys, per_year)
+
+
 def backtest(df: DataFrame, **costs) -> DataFrame:
-    """The frame with capital and daily_return; NULL on each series' first row."""
-    curve = run_folds(df, **costs).select(KEY, TS, "signal", "size", "switched", "capital", "daily_return")
-    return df.join(curve, [KEY, TS], "left")
+    """The frame with signal, size, switched, capital and daily_return; the last two are NULL on each series' first row."""
+    return trade(df, **costs).drop("bar_no", "gross", "held_size")
 
 
 def cost_sweep(df: DataFrame, grid: Sequence[tuple[float, float]]) -> DataFrame:
@@ -76,12 +95,23 @@ def cost_sweep(df: DataFrame, grid: Sequence[tuple[float, float]]) -> DataFrame:
     return metrics(run_folds(wide, ["spread", "slippage"], spread=F.col("spread"), slippage=F.col("slippage")), ["spread", "slippage"])
 
 
-def rolling_windows(df: DataFrame, size: int = 60, step: int = 20, purge: int = 5) -> DataFrame:
-    """A row for each bar and window that holds it. Window k starts at row k * (step + purge) and must fit in the series."""
-    i, n, stride = F.col("bar_idx"), F.col("n_bars"), step + purge
+def rolling_windows(df: DataFrame, size: int | Column = 60, step: int | Column = 20, purge: int | Column = 5) -> DataFrame:
+    """A row for each bar and window that holds it. Window k starts at row k * (step + purge) and must fit in the series. A size or step may be a column."""
+    i, n = F.col("bar_idx"), F.col("n_bars")
+    size, step, purge = (x if isinstance(x, Column) else F.lit(x) for x in (size, step, purge))
+    stride = step + purge
     low = F.greatest(F.lit(0).cast("long"), F.ceil((i - size + 1) / stride))
     high = F.least(F.floor(i / stride), F.floor((n - size) / stride))
-    return bar_index(df).withColumns({"__low": low, "__high": high}).where("__high >= __low").withColumn("window_idx", F.explode(F.sequence("__low", "__high"))).drop("__low", "__high")
+    rows = df if {"bar_idx", "n_bars"} <= set(df.columns) else bar_index(df)
+    return rows.withColumns({"__low": low, "__high": high}).where("__high >= __low").withColumn("window_idx", F.explode(F.sequence("__low", "__high"))).drop("__low", "__high")
+
+
+def window_sweep(df: DataFrame, grid: Sequence[tuple[int, int]], purge: int = 5, **costs) -> DataFrame:
+    """Means of the window metrics for each (window, step) of a short list, as rows of one job."""
+    settings = F.array(*[F.struct(F.lit(a).alias("window"), F.lit(b).alias("step")) for a, b in grid])
+    folds = rolling_windows(bar_index(df).select("*", F.inline(settings)), F.col("window"), F.col("step"), purge)
+    each = metrics(run_folds(folds, ["window", "step", "window_idx"], **costs), ["window", "step", "window_idx"])
+    return each.groupBy(KEY, "window", "step").agg(F.count("*").alias("n_windows"), *[F.avg(m).alias(m) for m in METRICS])
 
 
 def anchored_folds(df: DataFrame, n_splits: int = 5, purge: int = 20, least: int = 30) -> DataFrame:
@@ -97,6 +127,13 @@ def fold_spans(folds: DataFrame, key: str) -> DataFrame:
     return folds.groupBy(KEY, key).agg(F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"), F.count("*").alias("n_bars"))
 
 
+def anchored_curve(df: DataFrame, n_splits: int = 5, purge: int = 20, **costs) -> DataFrame:
+    """The traded rows of all anchored test folds of at least 10 bars one after the other; capital starts at 1 in each."""
+    folds = anchored_folds(df, n_splits, purge)
+    whole = folds.withColumn("__n", F.count("*").over(Window.partitionBy(KEY, "fold"))).where("__n >= 10").drop("__n")
+    return run_folds(whole, ["fold"], **costs)
+
+
 def walk_forward_anchored(df: DataFrame, n_splits: int = 5, purge: int = 20, **costs) -> DataFrame:
     """Metrics and span of each anchored test fold of at least 10 bars."""
     folds = anchored_folds(df, n_splits, purge)
@@ -123,8 +160,9 @@ def walk_forward_rolling(df: DataFrame, size: int = 60, step: int = 20, purge: i
     """Metrics, span and information coefficients of each rolling window. Changes ahead are of the whole series."""
     signals = list(signals or available_signals(df))
     needed = [KEY, TS, "ratio", "a_close", "b_close", "ratio_zscore_30", "ratio_slope", "a_vol_20", "b_vol_20", *signals, *([costs["signal_col"]] if costs.get("signal_col") else [])]
-    # three branches start from the windows: kept, so that the features are computed once
-    folds = rolling_windows(df.withColumn("fwd", forward_change(F.col("ratio"), ahead, over_series())).select(*dict.fromkeys(needed), "fwd"), size, step, purge).persist()
+    folds = rolling_windows(df.withColumn("fwd", forward_change(F.col("ratio"), ahead, over_series())).select(*dict.fromkeys(needed), "fwd"), size, step, purge)
+    # spans, metrics and coefficients start from the windows
+    folds = staged(folds, "windows")
     out = fold_spans(folds, "window_idx").join(metrics(run_folds(folds, ["window_idx"], **costs), ["window_idx"]), [KEY, "window_idx"])
     return out.join(information_coefficients(folds, signals), [KEY, "window_idx"], "left")
 
@@ -150,32 +188,43 @@ def ic_statistics(folds: DataFrame) -> DataFrame:
 
 
 def decay_grid(low: float = 1e-3, high: float = 5.0, n: int = 60) -> list[float]:
-    """Decay rates at equal steps of their logarithm."""
-    return [low * (high / low) ** (k / (n - 1)) for k in range(n)]
+    """Decay rates: none, and equal steps of their logarithm."""
+    return [0.0, *(low * (high / low) ** (k / (n - 1)) for k in range(n))]
 
 
-def fit_decay(curve: DataFrame, value: str = "ic_composite", t: str = "window_idx", step_days: float = 20, refinements: int = 3, least: int = 4) -> DataFrame:
-    """value = a * exp(-b t) + c by least squares: for each b of a grid the rest is linear regression, the best b is refined.
+def fit_decay(curve: DataFrame, value: str = "ic_composite", t: str = "window_idx", step_days: float = 20, stride_days: float | None = None, refinements: int = 3, least: int = 4) -> DataFrame:
+    """value = a * exp(-b t) + c with b >= 0 by least squares: for each b of a grid the rest is linear regression, the best b is refined.
 
+    Without decay (b = 0) the curve is its mean, its half-life infinite. alpha_initial is a + c, the curve at its start. Half-lives in
+    days take step_days a window, in the classic form the step alone; stride_days (step and purge) is the true distance of windows.
     The grid is a short literal array, so candidates are rows beside the points; each round is one aggregation. Fewer than least
     points: NULLs and fit_success false.
     """
     points = curve.where(F.col(value).isNotNull()).select(KEY, F.col(t).cast("double").alias("t"), F.col(value).alias("y"))
-    enough = curve.select(KEY).distinct().join(points.groupBy(KEY).agg(F.count("*").alias("n")), KEY, "left").select(KEY, F.coalesce("n", F.lit(0)).alias("n_points"))
+    enough = curve.groupBy(KEY).agg(F.count(value).alias("n_points"))
 
     def best(rows: DataFrame) -> DataFrame:
-        x = F.exp(-F.col("b") * F.col("t"))
-        fits = rows.withColumn("x", x).groupBy(KEY, "b").agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("c"), (F.regr_syy("y", "x") * (1 - F.regr_r2("y", "x"))).alias("sse"))
+        flat, x = F.col("b") == 0, F.exp(-F.col("b") * F.col("t"))
+        fits = rows.withColumn("x", x).groupBy(KEY, "b").agg(
+            F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("c"), (F.regr_syy("y", "x") * (1 - F.regr_r2("y", "x"))).alias("sse"), F.avg("y").alias("mean"), F.regr_syy("y", "y").alias("spread")
+        )
+        fits = fits.select(KEY, "b", F.when(flat, 0.0).otherwise(F.col("a")).alias("a"), F.when(flat, F.col("mean")).otherwise(F.col("c")).alias("c"), F.when(flat, F.col("spread")).otherwise(F.col("sse")).alias("sse"))
         return fits.where("a is not null and sse is not null").groupBy(KEY).agg(F.min(F.struct("sse", "b", "a", "c")).alias("fit")).select(KEY, "fit.*")
 
     grid = decay_grid()
     found = best(points.withColumn("b", F.explode(F.array(*map(F.lit, grid)))))
-    ratio = grid[1] / grid[0]
-    for _ in range(refinements):
-        near = [ratio ** (k / 8 - 1) for k in range(17)]
-        found = best(points.join(found.select(KEY, F.col("b").alias("b0")), KEY).withColumn("near", F.explode(F.array(*map(F.lit, near)))).withColumn("b", F.col("b0") * F.col("near")))
-        ratio = ratio ** (1 / 8)
+    for near in refining(grid[2] / grid[1], refinements):
+        rates = found.select(KEY, F.explode(F.transform(F.array(*map(F.lit, near)), lambda x: F.col("b") * x)).alias("b")).distinct()
+        found = best(points.join(rates, KEY))
     out = enough.join(found, KEY, "left")
     ok = (F.col("n_points") >= least) & F.col("b").isNotNull()
-    half = F.when(F.col("b") > 1e-9, F.log(F.lit(2.0)) / F.col("b") * step_days).otherwise(F.lit(float("inf")))
-    return out.select(KEY, *[F.when(ok, F.col(c)).alias(n) for c, n in (("a", "alpha_initial"), ("b", "decay_rate"), ("c", "alpha_floor"))], F.when(ok, half).alias("half_life_days"), F.when(ok, F.col("sse")).alias("sse"), ok.alias("fit_success"))
+    half = F.when(F.col("b") > 1e-9, F.log(F.lit(2.0)) / F.col("b")).otherwise(F.lit(float("inf")))
+    shown = {"alpha_initial": (F.col("a") + F.col("c"), 6), "alpha_floor": (F.col("c"), 6), "decay_rate": (F.col("b"), 6), "half_life_windows": (half, 2), "half_life_days": (half * float(stride_days or step_days), 1)}
+    # rounding is for finite numbers
+    rounded = lambda x, n: F.when(F.abs(x) < float("inf"), F.round(x, n)).otherwise(x)
+    return out.select(KEY, *[F.when(ok, rounded(x, n)).alias(name) for name, (x, n) in shown.items()], F.when(ok, F.col("sse")).alias("sse"), ok.alias("fit_success"))
+
+
+def refining(ratio: float, rounds: int) -> list[list[float]]:
+    """Factors around the best rate so far, from one step of the last grid below it to one above."""
+    return [[ratio ** ((k / 8 - 1) / 8**r) for k in range(17)] for r in range(rounds)]

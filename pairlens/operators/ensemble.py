@@ -15,10 +15,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, TS, require_columns
+from ..sources.shared import shared_folder, staged
 from .regimes import encoded
 from .signals import CLASSES, STRATEGY, target_labels, train_test_split
 
@@ -28,30 +29,39 @@ FEATURES = [*STRATEGY, *RAW, "regime_encoded"]
 
 @dataclass
 class Leaf:
-    """A leaf: its value, and for each feature on its path the interval it allows and the share of training rows that goes along."""
+    """A leaf: its value, for each feature on its path the interval it allows and the share of training rows that goes along, and its share of all."""
 
     value: float
     path: list[tuple[int, float, float, float]]
+    share: float = 1.0
 
 
-def leaves(tree) -> tuple[list[Leaf], float]:
-    """The leaves of a Spark ML regression tree and its mean value over the training rows."""
-    out, total = [], tree._call_java("rootNode").impurityStats().count()
-    mean = 0.0
+def trees_of(model, spark: SparkSession) -> list[list[Leaf]]:
+    """The leaves of each tree of a boosted or forest model, from the node table that Spark ML saves with it."""
+    path = shared_folder(spark, "trees")
+    model.write().save(path)
+    n = "nodeData."
+    rows = spark.read.parquet(f"{path}/data").select("treeID", *[F.col(n + c).alias(c) for c in ("id", "prediction", "leftChild", "rightChild")], F.get("nodeData.impurityStats", F.lit(0)).alias("rows"), F.col("nodeData.split.featureIndex").alias("feature"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("at")).collect()
+    by: dict[int, dict[int, Row]] = {}
+    for r in rows:
+        by.setdefault(r["treeID"], {})[r["id"]] = r
+    return [leaves(by[k]) for k in sorted(by)]
 
-    def walk(node, path: dict[int, tuple[float, float, float]]) -> None:
-        nonlocal mean
-        if node.getClass().getSimpleName() == "LeafNode":
-            out.append(Leaf(node.prediction(), [(f, *v) for f, v in path.items()]))
-            mean += node.prediction() * node.impurityStats().count() / total
+
+def leaves(nodes: dict[int, Row]) -> list[Leaf]:
+    out = []
+
+    def walk(r: Row, path: dict[int, tuple[float, float, float]], share: float) -> None:
+        if r["leftChild"] < 0:
+            out.append(Leaf(r["prediction"], [(f, *v) for f, v in path.items()], share))
             return
-        f, at, n = node.split().featureIndex(), node.split().threshold(), node.impurityStats().count()
-        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, lo, hi in ((node.leftChild(), low, min(high, at)), (node.rightChild(), max(low, at), high)):
-            walk(child, path | {f: (lo, hi, share * child.impurityStats().count() / n)})
+        low, high, along = path.get(r["feature"], (-np.inf, np.inf, 1.0))
+        for child, lo, hi in ((nodes[r["leftChild"]], low, min(high, r["at"])), (nodes[r["rightChild"]], max(low, r["at"]), high)):
+            part = child["rows"] / r["rows"]
+            walk(child, path | {r["feature"]: (lo, hi, along * part)}, share * part)
 
-    walk(tree._call_java("rootNode"), {})
-    return out, mean
+    walk(nodes[0], {}, 1.0)
+    return out
 
 
 def attributions(trees: list[tuple[float, list[Leaf]]], x: np.ndarray) -> np.ndarray:
@@ -83,25 +93,28 @@ def feature_matrix(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def fit(df: DataFrame, n_trees: int = 50, depth: int = 4, rate: float = 0.05, share: float = 0.8, train_share: float = 0.8, model: str = "boosted", seed: int = 42, features: list[str] = FEATURES):
-    """A pooled model from the first train_share of each series' labelled rows."""
-    rows = train_test_split(target_labels(feature_matrix(df, features)), train_share).where("is_train").select("features", F.col("label").cast("double").alias("label")).persist()
+def fit(df: DataFrame, n_trees: int = 300, depth: int = 4, rate: float = 0.05, share: float = 0.8, train_share: float = 0.8, model: str = "boosted", seed: int = 42, features: list[str] = FEATURES, fit_upto: float | None = None, rows_per_task: int = 50_000):
+    """A pooled model from the first train_share of each series' labelled rows. fit_upto goes to the labels' threshold."""
+    spark = df.sparkSession
+    rows = train_test_split(target_labels(feature_matrix(df, features), fit_upto=fit_upto), train_share).where("is_train").select("features", F.col("label").cast("double").alias("label"))
+    rows = staged(rows, "training")
+    # each of many short rounds is a job over all partitions: as many as the rows fill
+    rows = rows.repartition(max(1, -(-rows.count() // rows_per_task))).persist()
     if model == "forest":
         fitted = RandomForestClassifier(numTrees=n_trees, maxDepth=depth, seed=seed, subsamplingRate=share).fit(rows)
     else:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))  # the rounds' lineage is cut every tenth
         one = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed)
-        fitted = OneVsRest(classifier=one).fit(rows)
+        fitted = OneVsRest(classifier=one, parallelism=len(CLASSES)).fit(rows)
     rows.unpersist()
     return fitted
 
 
 def predict(df: DataFrame, model: OneVsRestModel, features: list[str] = FEATURES, attribute: bool = True) -> DataFrame:
     """predicted, ensemble_signal, ensemble_confidence (normalised sigmoid of twice the margin), margin, base, and shap_<feature> of the predicted class."""
-    trees, bases = [], []
-    for part in model.models:
-        got = [(w, *leaves(t)) for w, t in zip(part.treeWeights, part.trees, strict=True)]
-        trees.append([(w, found) for w, found, _ in got])
-        bases.append(sum(w * mean for w, _, mean in got))
+    trees = [list(zip(part.treeWeights, trees_of(part, df.sparkSession), strict=True)) for part in model.models]
+    bases = [sum(w * leaf.value * leaf.share for w, found in one for leaf in found) for one in trees]
     names = [CLASSES[k] for k in sorted(CLASSES)]
     shap = [f"shap_{f}" for f in features]
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import change, clip, drop_incomplete, over_series, rolling, zscore
+from ..functions.columns import KEY, TS, change, clip, drop_incomplete, over_series, rolling, zscore
+from ..sources.shared import staged
 from .recurrence import ema, ewm_std
 
+#: Rows after which averages of spans up to 30 hold nothing of what came before: (29 / 31) ** 800 is below 1e-23.
+FORGOTTEN = 800
+
 RATIO = ["ratio", "ratio_zscore_30", "ratio_zscore_90", "ratio_slope", "a_ret_5", "a_ret_20", "b_ret_5", "b_ret_20", "a_vol_20", "b_vol_20", "vol_ratio"]
 MOMENTUM = ["a_ema_slope", "b_ema_slope", "ratio_ema_slope", "a_macd", "a_macd_signal", "a_macd_hist", "b_macd", "b_macd_signal", "b_macd_hist", "a_breakout", "b_breakout", "rel_strength_5", "rel_strength_20"]
 VOLATILITY = ["a_vol_5", "b_vol_5", "a_vol_60", "b_vol_60", "a_atr_14", "b_atr_14", "a_atr_pct", "b_atr_pct", "vol_ratio_5", "vol_ratio_60", "a_cond_vol", "b_cond_vol", "cond_vol_ratio"]
@@ -87,6 +93,8 @@ def halo_blocks(df: DataFrame, block_rows: int, halo: int) -> DataFrame:
 
     Windows by (series_id, block_id) then see what a bounded frame of at most halo rows before needs; keep rows where is_halo is false.
     """
+    if not 0 <= halo <= block_rows:
+        raise ValueError(f"a halo of {halo} rows needs blocks of at least as many, not {block_rows}")
     block = F.floor(F.col("bar_idx") / block_rows)
     copies = F.when((F.col("bar_idx") % block_rows >= block_rows - halo) & (halo > 0), F.array(block, block + 1)).otherwise(F.array(block))
     return df.withColumn("block_id", F.explode(copies)).withColumn("is_halo", F.col("block_id") != block)
@@ -98,8 +106,29 @@ def long_bar_index(df: DataFrame, partitions: int | None = None) -> DataFrame:
     The partitions are sorted and numbered in place; only their counts by series are added up.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(n, "series_id", "ts").withColumn("__p", F.spark_partition_id()).persist()
-    counts = cut.groupBy("series_id", "__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("series_id").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy("series_id", "__p").orderBy("ts")) - 1
-    return cut.withColumn("__own", own).join(before, ["series_id", "__p"]).withColumn("bar_idx", F.col("__before") + F.col("__own")).drop("__p", "__own", "__before")
+    # the borders of a range partitioning are drawn anew each time it runs: written once, so that counts and rows see the same
+    cut = staged(df.repartitionByRange(n, KEY, TS).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = cut.groupBy(KEY, "__p").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(KEY).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy(KEY, "__p").orderBy(TS)) - 1
+    return cut.withColumn("__own", own).join(before, [KEY, "__p"]).withColumn("bar_idx", F.col("__before") + F.col("__own")).drop("__p", "__own", "__before")
+
+
+def blockwise(df: DataFrame, operator: Callable[[DataFrame, WindowSpec], DataFrame], halo: int, block_rows: int = 100_000) -> DataFrame:
+    """operator(rows, window of a block) on series cut into blocks with the last halo rows before each, which go afterwards.
+
+    Exact for frames of at most halo rows; averages that forget (spans up to 30) are exact to a double with FORGOTTEN.
+    """
+    blocks = halo_blocks(long_bar_index(df), max(block_rows, halo), halo)
+    return operator(blocks, Window.partitionBy(KEY, "block_id").orderBy(TS)).where("not is_halo").drop("bar_idx", "block_id", "is_halo")
+
+
+def long_series_features(bars: DataFrame, block_rows: int = 100_000) -> DataFrame:
+    """feature_frame for series too long for one task: each block with its halo is a series of its own."""
+
+    def features(rows: DataFrame, _: WindowSpec) -> DataFrame:
+        named = rows.withColumns({"__series": F.col(KEY), KEY: F.concat_ws("#", KEY, "block_id")})
+        # rows of a later block that are complete are those past its halo, as it is longer than any frame
+        return feature_frame(named).withColumn(KEY, F.col("__series")).drop("__series")
+
+    return blockwise(bars, features, FORGOTTEN, block_rows)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, TS
+from ..sources.shared import staged
 from .recurrence import Recurrence, linear_recurrence
 
 COARSE = [(a, b) for a in (0.02, 0.05, 0.1, 0.2, 0.3) for b in (0.3, 0.5, 0.7, 0.8, 0.9, 0.95) if a + b < 0.999]
@@ -24,44 +25,45 @@ def _variances(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return out.drop("__drive")
 
 
-def _centred(df: DataFrame, column: str) -> DataFrame:
-    """Returns in percent, less their mean."""
-    everything = Window.partitionBy(KEY)
-    rows = df.where(F.col(column).isNotNull()).select(KEY, TS, (F.col(column) * 100).alias("r"))
+def centred(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(series_id, leg, ts, e, target): returns in percent less their mean, a leg for each column; legs without variance go."""
+    legs = F.array(*[F.struct(F.lit(c).alias("leg"), (F.col(c) * 100).alias("r")) for c in columns])
+    everything = Window.partitionBy(KEY, "leg")
+    rows = df.select(KEY, TS, F.inline(legs)).where(F.col("r").isNotNull())
     rows = rows.withColumn("e", F.col("r") - F.avg("r").over(everything))
-    return rows.withColumn("target", F.avg(F.col("e") * F.col("e")).over(everything)).where("target > 0")
+    return rows.withColumn("target", F.avg(F.col("e") * F.col("e")).over(everything)).where("target > 0").select(KEY, "leg", TS, "e", "target")
 
 
-def garch_fit(df: DataFrame, column: str, refinements: int = 1) -> DataFrame:
-    """(series_id, alpha, beta, target, log_likelihood): the best of the grid for each series."""
-    rows = _centred(df, column)
+def _best(rows: DataFrame) -> DataFrame:
+    """The likeliest (alpha, beta) of each series and leg among its candidates."""
+    v = _variances(rows, (KEY, "leg", "alpha", "beta"))
+    ll = F.sum(-0.5 * (F.log("variance") + F.col("e") * F.col("e") / F.col("variance")))
+    fits = v.groupBy(KEY, "leg", "alpha", "beta").agg(ll.alias("ll"), F.first("target").alias("target"))
+    return fits.groupBy(KEY, "leg").agg(F.max(F.struct("ll", "alpha", "beta", "target")).alias("f")).select(KEY, "leg", "f.*")
 
-    def best(wide: DataFrame) -> DataFrame:
-        v = _variances(wide, (KEY, "alpha", "beta"))
-        ll = F.sum(-0.5 * (F.log("variance") + F.col("e") * F.col("e") / F.col("variance")))
-        fits = v.groupBy(KEY, "alpha", "beta").agg(ll.alias("ll"), F.first("target").alias("target"))
-        return fits.groupBy(KEY).agg(F.max(F.struct("ll", "alpha", "beta", "target")).alias("f")).select(KEY, "f.*")
 
+def fit_legs(rows: DataFrame, refinements: int = 2) -> DataFrame:
+    """(series_id, leg, ll, alpha, beta, target) from centred rows: the best of the grid, then of finer grids around it."""
     grid = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in COARSE])
-    found = best(rows.select("*", F.inline(grid)))
-    for _ in range(refinements):
-        near = F.array(*[F.struct(F.lit(x).alias("fa"), F.lit(y).alias("fb")) for x in (0.6, 0.8, 1.0, 1.3, 1.6) for y in (-0.06, -0.03, 0.0, 0.03, 0.06)])
-        beta = F.round(F.least(F.greatest(F.col("b0") + F.col("fb"), F.lit(LEAST_BETA)), F.lit(MOST_BETA)), 6)
-        wide = rows.join(found.select(KEY, F.col("alpha").alias("a0"), F.col("beta").alias("b0")), KEY).select("*", F.inline(near))
-        wide = wide.withColumns({"alpha": F.round(F.col("a0") * F.col("fa"), 6), "beta": beta}).where("alpha + beta < 0.999").drop("a0", "b0", "fa", "fb")
-        found = best(wide.dropDuplicates([KEY, TS, "alpha", "beta"]))
-    return found.withColumnRenamed("ll", "log_likelihood")
-
-
-def garch_volatility(df: DataFrame, column: str, refinements: int = 1) -> DataFrame:
-    """(series_id, ts, cond_vol): the square root of the fitted variance, in units of the returns."""
-    fit = garch_fit(df, column, refinements).select(KEY, "alpha", "beta")
-    return _variances(_centred(df, column).join(fit, KEY), (KEY,)).select(KEY, TS, (F.sqrt("variance") / 100).alias("cond_vol"))
-
-
-def with_garch(df: DataFrame, refinements: int = 1) -> DataFrame:
-    """a_garch_vol, b_garch_vol and their ratio (b over a), beside the frame."""
-    for leg in "ab":
-        vol = garch_volatility(df, f"{leg}_ret_1", refinements).withColumnRenamed("cond_vol", f"{leg}_garch_vol")
-        df = df.join(vol, [KEY, TS], "left")
-    return df.withColumn("garch_vol_ratio", F.try_divide("b_garch_vol", "a_garch_vol"))
+    found = _best(rows.select("*", F.inline(grid)))
+    for k in range(refinements):
+        shrink = 0.35**k
+        near = F.array(*[F.struct(F.lit(x**shrink).alias("fa"), F.lit(y * shrink).alias("fb")) for x in (0.6, 0.8, 1.0, 1.3, 1.6) for y in (-0.06, -0.03, 0.0, 0.03, 0.06)])
+        beta = F.round(F.least(F.greatest(F.col("beta") + F.col("fb"), F.lit(LEAST_BETA)), F.lit(MOST_BETA)), 6)
+        tried = found.select(KEY, "leg", "alpha", "beta", F.inline(near)).select(KEY, "leg", F.round(F.col("alpha") * F.col("fa"), 6).alias("alpha"), beta.alias("beta"))
+        # few rows a series: made distinct before they meet the returns
+        found = _best(rows.join(tried.where("alpha + beta < 0.999").distinct(), [KEY, "leg"]))
+    return found
+
+
+def garch_fit(df: DataFrame, column: str, refinements: int = 2) -> DataFrame:
+    """(series_id, alpha, beta, target, log_likelihood): the best of the grid for each series."""
+    return fit_legs(centred(df, [column]), refinements).drop("leg").withColumnRenamed("ll", "log_likelihood")
+
+
+def with_garch(df: DataFrame, refinements: int = 2) -> DataFrame:
+    """a_garch_vol, b_garch_vol (roots of the fitted variances, in units of the returns) and their ratio (b over a), beside the frame."""
+    rows = staged(centred(df, ["a_ret_1", "b_ret_1"]), "returns")
+    fit = fit_legs(rows, refinements).select(KEY, "leg", "alpha", "beta")
+    vol = _variances(rows.join(fit, [KEY, "leg"]), (KEY, "leg")).groupBy(KEY, TS).agg(*[F.max(F.when(F.col("leg") == f"{leg}_ret_1", F.sqrt("variance") / 100)).alias(f"{leg}_garch_vol") for leg in "ab"])
+    return df.join(vol, [KEY, TS], "left").withColumn("garch_vol_ratio", F.try_divide("b_garch_vol", "a_garch_vol"))

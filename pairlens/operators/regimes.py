@@ -1,17 +1,25 @@
-"""Regimes: hidden Markov and mixture models over standardised features, their names, and what is counted about them."""
+"""Regimes: hidden Markov and mixture models over standardised features, their names, and what is counted about them.
+
+A hidden Markov model is fitted over blocks of at most ``block_rows`` rows of a series. A block's rows are one product of k x k matrices, so
+messages come in two steps: the blocks' products side by side, their running products along each series (k * k numbers a block), then
+all rows of the blocks side by side. A long series is many tasks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, TS, over_series, require_columns
+from ..sources.shared import staged
+from .features import long_bar_index
 
-FEATURES = ["ratio_zscore_30", "ratio_zscore_90", "ratio_slope", "a_vol_20", "b_vol_20", "vol_ratio", "a_ema_slope", "b_ema_slope", "rel_strength_20", "a_atr_pct", "a_macd_hist"]
+FEATURES = ["ratio_zscore_30", "ratio_slope", "vol_ratio", "a_ema_slope", "b_ema_slope", "ratio_ema_slope", "a_macd_hist", "rel_strength_20", "a_atr_pct", "a_cond_vol", "cond_vol_ratio"]
 REGIMES = ["crisis", "range_bound", "risk_on", "trending"]
 
 
@@ -31,6 +39,8 @@ class HiddenMarkov:
     centre: np.ndarray
     covariance: np.ndarray
     log_likelihood: float = -np.inf
+    rounds: int = 0
+    converged: bool = False
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
         out = np.empty((len(x), len(self.centre)))
@@ -40,44 +50,100 @@ class HiddenMarkov:
             out[:, k] = -0.5 * (z**2).sum(0) - np.log(np.diag(half)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
         return out
 
-    def standardised(self, rows: pd.DataFrame) -> np.ndarray:
-        return (rows[self.features].to_numpy(float) - self.mean) / self.scale
-
     def state_means(self) -> np.ndarray:
         return self.centre * self.scale + self.mean
 
 
-def _scaled(log_density: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = log_density.max(1)
-    return np.exp(log_density - top[:, None]), top
-
-
-def expectation(model: HiddenMarkov, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood, state probabilities of each row, expected moves; scaled forward and backward messages."""
-    b, top = _scaled(model.log_density(x))
-    n, k = b.shape
-    forward, weight, back = np.empty((n, k)), np.empty(n), np.ones((n, k))
-    now = model.start * b[0]
-    for t in range(n):
-        now = now if t == 0 else (forward[t - 1] @ model.move) * b[t]
-        weight[t] = now.sum()
-        forward[t] = now / weight[t]
-    for t in range(n - 2, -1, -1):
-        back[t] = model.move @ (b[t + 1] * back[t + 1]) / weight[t + 1]
-    moves = model.move * (forward[:-1].T @ (b[1:] * back[1:] / weight[1:, None]))
-    return float((np.log(weight) + top).sum()), forward * back, moves
+def steps(model: HiddenMarkov, x: np.ndarray, first: bool) -> tuple[np.ndarray, float]:
+    """What each row does to the forward message, as k x k matrices, and the logarithm that was divided out. A series' first row moves nowhere."""
+    d = model.log_density(x)
+    top = d.max(1)
+    b = np.exp(d - top[:, None])
+    m = model.move[None] * b[:, None, :]
+    if first:
+        m[0] = np.diag(b[0])
+    return m, float(top.sum())
+
+
+def _norm(p: np.ndarray) -> np.ndarray:
+    return np.maximum(p.max(axis=(-1, -2), keepdims=True), 1e-300)
+
+
+def products(m: np.ndarray, length: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Running products of matrices m (n, k, k) inside pieces of this length, from each piece's left and from its right, each up to a factor."""
+    n, k, _ = m.shape
+    pieces = -(-n // length)
+    padded = np.concatenate([m, np.broadcast_to(np.eye(k), (pieces * length - n, k, k))]).reshape(pieces, length, k, k)
+    left, right = np.empty_like(padded), np.empty_like(padded)
+    left[:, 0] = padded[:, 0] / _norm(padded[:, 0])
+    for t in range(1, length):
+        now = left[:, t - 1] @ padded[:, t]
+        left[:, t] = now / _norm(now)
+    right[:, -1] = np.eye(k)
+    for t in range(length - 2, -1, -1):
+        now = padded[:, t + 1] @ right[:, t + 1]
+        right[:, t] = now / _norm(now)
+    return left, right
+
+
+def transfer(model: HiddenMarkov, x: np.ndarray, first: bool) -> np.ndarray:
+    """The product over a whole block, up to a factor."""
+    total = np.eye(len(model.centre))
+    for piece in products(steps(model, x, first)[0])[0][:, -1]:
+        total = total @ piece
+        total = total / _norm(total)
+    return total
+
+
+def expectation(model: HiddenMarkov, x: np.ndarray, first: bool = True, incoming: np.ndarray | None = None, outgoing: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, state probabilities of each row and expected moves of a block, from the messages that reach it from both sides."""
+    m, log_top = steps(model, x, first)
+    n, k = len(x), len(model.centre)
+    incoming = model.start if incoming is None else incoming / incoming.sum()
+    left, right = products(m)
+    pieces, length = left.shape[:2]
+    carry, back = np.empty((pieces + 1, k)), np.ones((pieces + 1, k))
+    carry[0] = incoming
+    for s in range(pieces):
+        now = carry[s] @ left[s, -1]
+        carry[s + 1] = now / now.sum()
+    back[pieces] = np.ones(k) if outgoing is None else outgoing / outgoing.max()
+    for s in range(pieces - 1, 0, -1):
+        now = left[s, -1] @ back[s + 1]
+        back[s] = now / now.max()
+    forward = np.einsum("si,slij->slj", carry[:-1], left).reshape(-1, k)[:n]
+    forward /= forward.sum(1, keepdims=True)
+    behind = np.einsum("slij,sj->sli", right, back[1:]).reshape(-1, k)[:n]
+    before = np.concatenate([incoming[None], forward[:-1]])
+    weight = np.einsum("ti,tij->t", before, m)
+    g = forward * behind
+    g /= g.sum(1, keepdims=True)
+    moves = before[:, :, None] * m * behind[:, None, :]
+    moves /= moves.sum(axis=(1, 2), keepdims=True)
+    return float(np.log(weight).sum() + log_top), g, moves[1 if first else 0 :].sum(0)
+
+
+def best_scores(model: HiddenMarkov, x: np.ndarray, first: bool) -> np.ndarray:
+    """The best log score of a path through the block from each state before it to each state at its end."""
+    d, move = model.log_density(x), np.log(model.move + 1e-300)
+    k = len(d[0])
+    v = np.where(np.eye(k) > 0, d[0][None], -np.inf) if first else move + d[0][None]
+    for row in d[1:]:
+        v = (v[:, :, None] + move[None]).max(1) + row[None]
+    return v
 
 
-def viterbi(model: HiddenMarkov, x: np.ndarray) -> np.ndarray:
+def path_between(model: HiddenMarkov, x: np.ndarray, first: bool, before: int, end: int) -> np.ndarray:
+    """The likeliest states of a block between the state before it and its last state."""
     d, move = model.log_density(x), np.log(model.move + 1e-300)
     came = np.zeros(d.shape, int)
-    score = np.log(model.start + 1e-300) + d[0]
+    score = (np.where(np.arange(d.shape[1]) == before, 0.0, -np.inf) if first else move[before]) + d[0]
     for t in range(1, len(d)):
-        all_moves = score[:, None] + move
-        came[t] = all_moves.argmax(0)
-        score = all_moves.max(0) + d[t]
+        every = score[:, None] + move
+        came[t] = every.argmax(0)
+        score = every.max(0) + d[t]
     path = np.empty(len(d), int)
-    path[-1] = score.argmax()
+    path[-1] = end
     for t in range(len(d) - 1, 0, -1):
         path[t - 1] = came[t, path[t]]
     return path
@@ -90,64 +156,158 @@ def standard(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray
     return np.array(r[:d], float), np.maximum(np.array(r[d:], float), 1e-12)
 
 
-def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4, n_restarts: int = 3, max_iter: int = 30, tol: float = 1e-4, seed: int = 42, ridge: float = 1e-3) -> HiddenMarkov:
-    """Baum-Welch pooled over series. Each round is one job: a task a series and restart adds up its expected counts, Spark
-    adds those up, and the driver holds a few numbers a state. The best restart by log likelihood is returned."""
+def standardised(df: DataFrame, features: list[str], mean: np.ndarray, scale: np.ndarray) -> list[Column]:
+    return [((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(features, mean, scale, strict=True)]
+
+
+def fit_rows(df: DataFrame, share: float | None) -> DataFrame:
+    """The first share of each series' rows, in time order; all of them without one."""
+    if share is None:
+        return df
+    kept = df.withColumn("__place", F.row_number().over(over_series()) / F.count("*").over(Window.partitionBy(KEY)))
+    return kept.where(F.col("__place") <= share).drop("__place")
+
+
+def series_blocks(df: DataFrame, features: list[str], mean: np.ndarray, scale: np.ndarray, block_rows: int) -> DataFrame:
+    """Complete rows packed into blocks in time order: series_id, block, times, x (the standardised features one row after the other)."""
+    rows = long_bar_index(df.select(KEY, TS, *features).dropna())
+    item = F.struct(F.col(TS).alias("at"), F.array(*standardised(rows, features, mean, scale)).alias("x"))
+    packed = rows.groupBy(KEY, F.floor(F.col("bar_idx") / block_rows).alias("block")).agg(F.sort_array(F.collect_list(item)).alias("r"))
+    return staged(packed.select(KEY, "block", F.transform("r", lambda r: r["at"]).alias("times"), F.flatten(F.transform("r", lambda r: r["x"])).alias("x")), "blocks")
+
+
+def starts(rows: DataFrame, features: list[str], mean: np.ndarray, scale: np.ndarray, n_states: int, n_restarts: int, seed: int) -> list[HiddenMarkov]:
+    """Models that start from mixtures of a few rounds, one for each seed."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(rows.select(*standardised(rows, features, mean, scale))).select("v").persist()
+    d, out = len(features), []
+    for k in range(n_restarts):
+        mixed = GaussianMixture(featuresCol="v", k=n_states, seed=seed + k, maxIter=8).fit(vectors)
+        move = np.full((n_states, n_states), 0.1 / n_states) + 0.9 * np.eye(n_states)
+        covariance = np.stack([g.cov.toArray() for g in mixed.gaussians]) + 0.05 * np.eye(d)
+        out.append(HiddenMarkov(features, mean, scale, np.full(n_states, 1 / n_states), move, np.stack([g.mean.toArray() for g in mixed.gaussians]), covariance))
+    vectors.unpersist()
+    return out
+
+
+def _messages(blocks: DataFrame, models: list[HiddenMarkov], d: int) -> DataFrame:
+    """(series_id, block, incoming, outgoing): what reaches each block from both sides, for one model after the other."""
+    k = len(models[0].centre)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = [np.array(v, float).reshape(-1, d) for v in b["x"]]
+            yield pd.DataFrame({KEY: b[KEY], "block": b["block"], "m": [np.concatenate([transfer(m, v, at == 0).ravel() for m in models]) for v, at in zip(x, b["block"], strict=True)]})
+
+    def along(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        m = np.stack(part["m"].to_numpy()).reshape(len(part), len(models), k, k)
+        incoming, outgoing = np.empty((len(part), len(models), k)), np.ones((len(part), len(models), k))
+        incoming[0] = np.stack([x.start for x in models])
+        for t in range(1, len(part)):
+            now = np.einsum("ri,rij->rj", incoming[t - 1], m[t - 1])
+            incoming[t] = now / now.sum(1, keepdims=True)
+        for t in range(len(part) - 2, -1, -1):
+            now = np.einsum("rij,rj->ri", m[t + 1], outgoing[t + 1])
+            outgoing[t] = now / now.max(1, keepdims=True)
+        flat = lambda a: list(a.reshape(len(part), -1))
+        return pd.DataFrame({KEY: part[KEY], "block": part["block"], "incoming": flat(incoming), "outgoing": flat(outgoing)})
+
+    made = blocks.select(KEY, "block", "x").mapInPandas(whole, f"{KEY} string, block bigint, m array<double>")
+    return made.groupBy(KEY).applyInPandas(along, f"{KEY} string, block bigint, incoming array<double>, outgoing array<double>")
+
+
+def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4, n_restarts: int = 10, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42, ridge: float = 1e-3, block_rows: int = 4096) -> HiddenMarkov:
+    """Baum-Welch pooled over series. Each round is one job: tasks add up the expected counts of their blocks, for all restarts that
+    have not settled, Spark adds those up, and the driver holds a few numbers a state. The best restart by log likelihood is returned;
+    its ``converged`` tells whether it gained less than tol in the last round."""
     features = features or FEATURES
     require_columns(df, features, "hmm_fit")
-    rows = df.select(KEY, TS, *features).dropna().persist()
+    rows = df.select(KEY, TS, *features).dropna()
     n = rows.count()
     if n < 10 * n_states:
         raise ValueError(f"{n} complete rows are too few for {n_states} states")
     mean, scale = standard(rows, features)
-    some = rows.orderBy(F.xxhash64(KEY, TS, F.lit(seed))).limit(max(200, 20 * n_states)).select(*features).toPandas().to_numpy(float)
-    some = (some - mean) / scale
-    rng, d = np.random.default_rng(seed), len(features)
-    models = []
-    for _ in range(n_restarts):
-        centre = some[rng.choice(len(some), n_states, replace=False)]
-        models.append(HiddenMarkov(features, mean, scale, np.full(n_states, 1 / n_states), np.full((n_states, n_states), 0.1 / n_states) + 0.9 * np.eye(n_states), centre, np.stack([np.eye(d)] * n_states)))
-        models[-1].move /= models[-1].move.sum(1, keepdims=True)
-    size = 1 + n_states + n_states**2 + n_states + n_states * d + n_states * d * d
+    d = len(features)
+    models = starts(rows, features, mean, scale, n_states, n_restarts, seed)
+    blocks = series_blocks(df, features, mean, scale, block_rows).persist()
+    alone = blocks.where("block > 0").isEmpty()
     live = list(range(n_restarts))
-
-    def step(key, part: pd.DataFrame) -> pd.DataFrame:
-        model = models[int(part["restart"].iloc[0])]
-        x = model.standardised(part.sort_values(TS))
-        ll, g, moves = expectation(model, x)
-        outer = np.einsum("tk,ti,tj->kij", g, x, x, optimize=True)
-        sums = np.concatenate([[ll], g[0], moves.ravel(), g.sum(0), (g.T @ x).ravel(), outer.ravel()])
-        return pd.DataFrame({"restart": int(part["restart"].iloc[0]), "at": np.arange(size), "v": sums})
+    cut = np.cumsum([1, n_states, n_states**2, n_states, n_states * d])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(live), cut[-1] + n_states * d * d))
+        for b in batches:
+            for row in b.itertuples(index=False):
+                x, first = np.array(row.x, float).reshape(-1, d), row.block == 0
+                sides = [(None, None)] * len(live) if alone else zip(np.reshape(row.incoming, (len(live), -1)), np.reshape(row.outgoing, (len(live), -1)), strict=True)
+                for k, (incoming, outgoing) in enumerate(sides):
+                    ll, g, moves = expectation(models[live[k]], x, first, None if first else incoming, outgoing)
+                    second = np.stack([(x * g[:, [j]]).T @ x for j in range(n_states)])
+                    total[k] += np.concatenate([[ll], g[0] * first, moves.ravel(), g.sum(0), (g.T @ x).ravel(), second.ravel()])
+        if total.any():
+            yield pd.DataFrame({"restart": live, "v": list(total)})
 
     for _ in range(max_iter):
         if not live:
             break
-        spread = rows.withColumn("restart", F.explode(F.array(*map(F.lit, live))))
-        got = spread.groupBy(KEY, "restart").applyInPandas(step, "restart int, at int, v double").groupBy("restart", "at").agg(F.sum("v").alias("v")).toPandas()
+        sided = blocks if alone else blocks.join(_messages(blocks, [models[k] for k in live], d), [KEY, "block"])
+        parts = sided.drop("times").mapInPandas(sums, "restart int, v array<double>").select("restart", F.posexplode("v").alias("at", "v"))
+        got = parts.groupBy("restart", "at").agg(F.sum("v").alias("v")).toPandas()
         for k in list(live):
-            v = got[got.restart == k].sort_values("at").v.to_numpy()
-            m, cut = models[k], np.cumsum([1, n_states, n_states**2, n_states, n_states * d])
-            ll, start, moves, mass, first, second = np.split(v, cut)
+            m = models[k]
+            ll, start, moves, mass, first, second = np.split(got[got.restart == k].sort_values("at").v.to_numpy(), cut)
             mass = np.maximum(mass, 1e-8)
             m.start, moves = start / start.sum(), moves.reshape(n_states, n_states) + 1e-8
             m.move, m.centre = moves / moves.sum(1, keepdims=True), first.reshape(n_states, d) / mass[:, None]
             m.covariance = second.reshape(n_states, d, d) / mass[:, None, None] - np.einsum("ki,kj->kij", m.centre, m.centre) + ridge * np.eye(d)
-            if ll[0] - m.log_likelihood < tol:
-                live.remove(k)
+            m.converged, m.rounds = bool(ll[0] - m.log_likelihood < tol), m.rounds + 1
             m.log_likelihood = float(ll[0])
-    rows.unpersist()
+        live = [k for k in live if not models[k].converged]
+    blocks.unpersist()
     return max(models, key=lambda m: m.log_likelihood)
 
 
-def hmm_states(df: DataFrame, model: HiddenMarkov) -> DataFrame:
-    """(series_id, ts, regime_state): the likeliest path of each series over its complete rows."""
+def hmm_states(df: DataFrame, model: HiddenMarkov, block_rows: int = 4096) -> DataFrame:
+    """(series_id, ts, regime_state): the likeliest path of each series over its complete rows. Blocks give their best scores, which
+    are followed along the series to the states at the blocks' ends; then each block finds its own part of the path."""
+    d, kind = len(model.features), dict(df.dtypes)[TS]
+    blocks = series_blocks(df, model.features, model.mean, model.scale, block_rows)
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({KEY: b[KEY], "block": b["block"], "m": [best_scores(model, np.array(v, float).reshape(-1, d), at == 0).ravel() for v, at in zip(b["x"], b["block"], strict=True)]})
 
-    def path(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(TS)
-        return pd.DataFrame({KEY: part[KEY], TS: part[TS], "regime_state": viterbi(model, model.standardised(part)).astype("int32")})
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        m = np.stack(part["m"].to_numpy()).reshape(len(part), len(model.start), -1)
+        score = [np.log(model.start + 1e-300)]
+        for v in m:
+            score.append((score[-1][:, None] + v).max(0))
+        state = [int(score[-1].argmax())]
+        for t in range(len(part) - 1, -1, -1):
+            state.append(int((score[t] + m[t][:, state[-1]]).argmax()))
+        state = state[::-1]
+        return pd.DataFrame({KEY: part[KEY], "block": part["block"], "before": state[:-1], "end": state[1:]})
 
-    kind = dict(df.dtypes)[TS]
-    return df.select(KEY, TS, *model.features).dropna().groupBy(KEY).applyInPandas(path, f"{KEY} string, {TS} {kind}, regime_state int")
+    def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["state"] = [path_between(model, np.array(r.x, float).reshape(-1, d), r.block == 0, r.before, r.end) for r in b.itertuples(index=False)]
+            yield b[[KEY, "times", "state"]]
+
+    at = blocks.select(KEY, "block", "x").mapInPandas(scores, f"{KEY} string, block bigint, m array<double>").groupBy(KEY).applyInPandas(ends, f"{KEY} string, block bigint, before int, end int")
+    got = blocks.join(at, [KEY, "block"]).mapInPandas(paths, f"{KEY} string, times array<{kind}>, state array<int>")
+    return got.select(KEY, F.inline(F.arrays_zip("times", "state"))).select(KEY, F.col("times").alias(TS), F.col("state").alias("regime_state"))
+
+
+def model_tables(spark: SparkSession, model: HiddenMarkov) -> tuple[DataFrame, DataFrame]:
+    """(state, regime, feature, mean), means in original units, and (from_state, from_regime, to_state, to_regime, probability)."""
+    names, k = name_states(model.state_means(), model.features), len(model.start)
+    means = [(i, names[i], f, float(model.state_means()[i, j])) for i in range(k) for j, f in enumerate(model.features)]
+    moves = [(i, names[i], j, names[j], float(model.move[i, j])) for i in range(k) for j in range(k)]
+    return spark.createDataFrame(means, "state int, regime string, feature string, mean double"), spark.createDataFrame(moves, "from_state int, from_regime string, to_state int, to_regime string, probability double")
 
 
 def name_states(means: np.ndarray, features: list[str], volatility: str = "a_atr_pct", score: str = "ratio_zscore_30") -> dict[int, str]:
@@ -163,33 +323,38 @@ def name_states(means: np.ndarray, features: list[str], volatility: str = "a_atr
     return names | {int(k): "trending" for k in left}
 
 
-def fit_and_label(df: DataFrame, n_states: int = 4, n_restarts: int = 3, model: str = "hmm", seed: int = 42, max_iter: int = 30, features: list[str] | None = None) -> DataFrame:
-    """The frame with regime_state and regime; rows with a missing feature keep NULLs. model: hmm, gmm, or none (all range_bound)."""
+def fit_and_label(df: DataFrame, n_states: int = 4, n_restarts: int = 10, model: str = "hmm", seed: int = 42, max_iter: int = 1000, features: list[str] | None = None, fit_upto: float | None = None) -> DataFrame:
+    """The frame with regime_state and regime; rows with a missing feature keep NULLs. model: hmm, gmm, or none (all range_bound).
+
+    Models are fitted on all rows, or on the first share fit_upto of each series, and label all rows.
+    """
     features = features or FEATURES
     if model == "none":
         return df.withColumns({"regime_state": F.lit(None).cast("int"), "regime": F.lit("range_bound")})
     if model == "gmm":
-        states, means = gmm_states(df, features, n_states, n_restarts, seed)
+        states, means = gmm_states(df, features, n_states, n_restarts, seed, fit_upto)
     else:
-        fitted = hmm_fit(df, features, n_states, n_restarts, max_iter, seed=seed)
+        fitted = hmm_fit(fit_rows(df, fit_upto), features, n_states, n_restarts, max_iter, seed=seed)
         states, means = hmm_states(df, fitted), fitted.state_means()
     names = F.create_map(*[F.lit(x) for pair in name_states(means, features).items() for x in pair])
     return df.join(states, [KEY, TS], "left").withColumn("regime", names[F.col("regime_state")])
 
 
-def gmm_states(df: DataFrame, features: list[str], n_states: int, n_restarts: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+def gmm_states(df: DataFrame, features: list[str], n_states: int, n_restarts: int, seed: int, fit_upto: float | None = None) -> tuple[DataFrame, np.ndarray]:
     """States of a Gaussian mixture without time; the best of a few seeds by log likelihood."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    rows = df.select(KEY, TS, *features).dropna().persist()
-    mean, scale = standard(rows, features)
-    scaled = rows.select(KEY, TS, *[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(features, mean, scale, strict=True)])
-    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(scaled).persist()
-    fits = [GaussianMixture(featuresCol="v", predictionCol="regime_state", k=n_states, seed=seed + k, maxIter=30).fit(vectors) for k in range(n_restarts)]
+    rows = df.select(KEY, TS, *features).dropna()
+    known = fit_rows(rows, fit_upto)
+    mean, scale = standard(known, features)
+    vectors = lambda r: VectorAssembler(inputCols=features, outputCol="v").transform(r.select(KEY, TS, *standardised(r, features, mean, scale))).select(KEY, TS, "v")
+    train = vectors(known).persist()
+    fits = [GaussianMixture(featuresCol="v", predictionCol="regime_state", k=n_states, seed=seed + k, maxIter=100).fit(train) for k in range(n_restarts)]
     best = max(fits, key=lambda m: m.summary.logLikelihood)
+    train.unpersist()
     centre = np.array([g.mean.toArray() for g in best.gaussians])
-    return best.transform(vectors).select(KEY, TS, F.col("regime_state").cast("int").alias("regime_state")), centre * scale + mean
+    return best.transform(vectors(rows)).select(KEY, TS, F.col("regime_state").cast("int").alias("regime_state")), centre * scale + mean
 
 
 def regime_statistics(df: DataFrame) -> DataFrame:

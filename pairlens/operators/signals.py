@@ -106,9 +106,19 @@ def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def accuracy(df: DataFrame, predicted: str = "predicted", label: str = "label") -> DataFrame:
-    """Share of right predictions overall (class NULL) and by true class; classes without rows are not listed."""
+    """Share of right predictions overall (class NULL) and by true class. Rows without a label are left out, classes without rows are not listed."""
     right = F.avg((F.col(predicted) == F.col(label)).cast("double")).alias("accuracy")
-    return df.rollup(KEY, label).agg(right, F.count("*").alias("n")).where(F.col(KEY).isNotNull())
+    known = df.where(F.col(label).isNotNull() & F.col(KEY).isNotNull())
+    return known.rollup(KEY, label).agg(right, F.count("*").alias("n"), F.grouping_id().alias("__set")).where("__set < 2").drop("__set")
+
+
+def signal_counts(df: DataFrame) -> DataFrame:
+    """Rows of each series on which all signals that are there have a value, and those on which each has."""
+    found = [c for c in SIGNALS if c in df.columns]
+    every = F.lit(True)
+    for c in found:
+        every = every & F.col(c).isNotNull()
+    return df.groupBy(KEY).agg(F.count("*").alias("n_rows"), F.count(F.when(every, 1)).alias("n_all"), *[F.count(c).alias(f"n_{c}") for c in found])
 
 
 def train_test_split(df: DataFrame, share: float = 0.8) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import COSTS, IC_SIGNALS
+from ..operators.backtest import decay_grid, refining
+from .queries import COSTS, IC_SIGNALS, WINDOWS
 
 BARS = """bars AS (
   SELECT l_linestatus AS series_id, CAST(l_shipdate AS TIMESTAMP) AS ts,
@@ -77,21 +78,30 @@ strat AS (
 strategy AS (SELECT *, CASE WHEN most IS NOT NULL THEN bo_conf0 END AS bo_confidence FROM strat)"""
 
 
-def folds(source: str, keys: str, cost: str = "0.0002 + 0.0001") -> str:
-    """Backtest of each group of keys: bt (rows), dd (with drawdown), met (metrics)."""
+def traded(source: str, keys: str, cost: str = "0.0002 + 0.0001") -> str:
+    """Backtest of each group of keys: bt (rows)."""
     w = f"(PARTITION BY {keys} ORDER BY ts)"
     return f"""lagged AS (SELECT *, row_number() OVER {w} - 1 AS bar_no, lag(signal) OVER {w} AS held, lag(size) OVER {w} AS held_size, a_close / lag(a_close) OVER {w} - 1 AS ra, b_close / lag(b_close) OVER {w} - 1 AS rb FROM {source}),
 moves AS (SELECT *, CASE WHEN bar_no >= 2 AND signal <> held THEN 1 ELSE 0 END AS switched, CASE WHEN bar_no >= 2 THEN held_size * CASE WHEN held = 'a' THEN ra ELSE rb END ELSE 0.0 END AS gross FROM lagged WHERE bar_no >= 1),
-bt AS (SELECT *, product(1 + daily_return) OVER (PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS capital FROM (SELECT *, gross - switched * ({cost}) AS daily_return FROM moves)),
-dd AS (SELECT *, capital / max(capital) OVER (PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM bt),
+bt AS (SELECT *, product(1 + daily_return) OVER (PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS capital FROM (SELECT *, gross - switched * ({cost}) AS daily_return FROM moves))"""
+
+
+def measured(keys: str) -> str:
+    """Of bt: dd (with drawdown), met (metrics)."""
+    return f"""dd AS (SELECT *, capital / max(capital) OVER (PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM bt),
 met0 AS (SELECT {keys}, coalesce(avg(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(252), 0) AS sharpe,
   CASE WHEN count(*) < 2 THEN 0 WHEN arg_max(capital, ts) / arg_min(capital, ts) <= 0 THEN -1 ELSE pow(arg_max(capital, ts) / arg_min(capital, ts), 252.0 / count(*)) - 1 END AS cagr,
   min(drawdown) AS max_drawdown, coalesce(avg(CASE WHEN daily_return <> 0 THEN CASE WHEN daily_return > 0 THEN 1.0 ELSE 0.0 END END), 0) AS hit_rate, arg_max(capital, ts) AS final_capital, CAST(sum(switched) AS BIGINT) AS n_turns FROM dd GROUP BY {keys}),
 met AS (SELECT {keys}, round(sharpe, 4) AS sharpe, round(cagr, 4) AS cagr, round(max_drawdown, 4) AS max_drawdown, round(hit_rate, 4) AS hit_rate, round(coalesce(cagr / nullif(abs(max_drawdown), 0), 0), 4) AS calmar, final_capital, n_turns FROM met0)"""
 
 
-def windows(source: str) -> str:
-    return f"wins AS (SELECT f.*, k AS window_idx FROM {source} f, generate_series(0, 2000) g(k) WHERE bar_idx >= 25 * k AND bar_idx < 25 * k + 60 AND 25 * k + 60 <= n)"
+def folds(source: str, keys: str, cost: str = "0.0002 + 0.0001") -> str:
+    return traded(source, keys, cost) + ", " + measured(keys)
+
+
+def windows(source: str, size: int = 60, step: int = 20) -> str:
+    at = f"{step + 5} * k"
+    return f"wins AS (SELECT f.*, k AS window_idx FROM {source} f, generate_series(0, 2000) g(k) WHERE bar_idx >= {at} AND bar_idx < {at} + {size} AND {at} + {size} <= n)"
 
 
 def ics(signals: list[str]) -> str:
@@ -120,16 +130,34 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes} {select}"
 
 
-def _anchored() -> str:
+def _anchored_rows(name: str) -> str:
     numbered = "SELECT *, CAST(floor((bar_idx - 20.0) / test) AS BIGINT) AS fold FROM (SELECT *, greatest(n // 6, 30) AS test FROM sized)"
-    return PLAIN + f", wins AS (SELECT * FROM ({numbered}) WHERE fold BETWEEN 1 AND 5 AND (fold + 1) * test + 20 <= n), " + folds("wins", "series_id, fold")
+    return f"{name} AS (SELECT * FROM ({numbered}) WHERE fold BETWEEN 1 AND 5 AND (fold + 1) * test + 20 <= n)"
+
+
+def _anchored() -> str:
+    return PLAIN + ", " + _anchored_rows("wins") + ", " + folds("wins", "series_id, fold")
 
 
 def _regimes(select: str, more: str = "") -> str:
     return _with(BASE + f", reg AS (SELECT *, {REGIME} AS regime FROM more)" + more, select)
 
 
-_DECAY_B = [1e-3 * 5000.0 ** (k / 59) for k in range(60)]
+def _decay() -> str:
+    """The best rate of the grid, then of finer grids around it: d0, d1, ... each hold one row a series."""
+    points = "pts AS (SELECT series_id, CAST(window_idx AS DOUBLE) AS t, ic_composite AS y FROM ic WHERE ic_composite IS NOT NULL)"
+    fit = """SELECT series_id, b, CASE WHEN b = 0 THEN 0 ELSE regr_slope(y, exp(-b * t)) END AS a, CASE WHEN b = 0 THEN avg(y) ELSE regr_intercept(y, exp(-b * t)) END AS c,
+  CASE WHEN b = 0 THEN regr_syy(y, y) ELSE regr_syy(y, exp(-b * t)) * (1 - regr_r2(y, exp(-b * t))) END AS sse FROM {} GROUP BY series_id, b HAVING a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse, b) = 1"""
+    listed = lambda x: "(SELECT unnest([" + ", ".join(map(repr, x)) + "]::DOUBLE[]) AS f)"
+    ctes = [points, f"d0 AS ({fit.format(f'(SELECT pts.*, f AS b FROM pts, {listed(decay_grid())})')})"]
+    near = refining(decay_grid()[2] / decay_grid()[1], 3)
+    ctes += [f"d{k + 1} AS ({fit.format(f'(SELECT DISTINCT pts.*, d{k}.b * f AS b FROM pts JOIN d{k} USING (series_id), {listed(x)})')})" for k, x in enumerate(near)]
+    shown = {"alpha_initial": "round(a + c, 6)", "decay_rate": "round(b, 6)", "alpha_floor": "round(c, 6)", "half_life_windows": "CASE WHEN b > 1e-9 THEN round(ln(2) / b, 2) ELSE 'inf'::DOUBLE END", "half_life_days": "CASE WHEN b > 1e-9 THEN round(ln(2) / b * 20, 1) ELSE 'inf'::DOUBLE END"}
+    picked = ", ".join(f"CASE WHEN ok THEN round({x}, 4) END AS {n}" for n, x in shown.items())
+    return ", ".join(ctes) + f", cnt AS (SELECT series_id, count(ic_composite) AS k, count(*) AS n_windows FROM met LEFT JOIN ic USING (series_id, window_idx) GROUP BY 1), fitted AS (SELECT series_id, n_windows, {picked}, CASE WHEN ok THEN round(sse, 4) END AS sse, ok AS fit_success FROM (SELECT *, k >= 4 AND b IS NOT NULL AS ok FROM cnt LEFT JOIN d3 USING (series_id)))"
+
+
+_FITTED = "alpha_initial, decay_rate, alpha_floor, half_life_windows, half_life_days"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -184,10 +212,23 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(x, 6) AS x, round(last_valu
         "ic_by_window": _with(PLAIN + ", " + windows("sized") + ", " + ics(["ratio_zscore_30", "ratio_slope"]), f"SELECT series_id, window_idx, {r('ic_ratio_zscore_30', 'ic_ratio_slope', 'ic_composite')} FROM ic"),
         "ic_stats": _with(WALK, "SELECT series_id, round(avg(ic_composite), 5) AS ic_mean, round(stddev_samp(ic_composite), 5) AS ic_std, round(min(ic_composite), 5) AS ic_min, round(max(ic_composite), 5) AS ic_max, round(avg(sharpe), 5) AS mean_sharpe, round(avg(hit_rate), 5) AS mean_hit_rate, count(*) AS n_windows FROM met LEFT JOIN ic USING (series_id, window_idx) GROUP BY 1"),
         "alpha_decay": _with(WALK, f"SELECT series_id, window_idx, round(ic_composite, 5) AS ic_composite, round(ic_composite / nullif(abs(first_value(ic_composite) OVER (PARTITION BY series_id ORDER BY window_idx)), 0), 5) AS normalized_alpha, {r('sharpe', 'hit_rate', places=5)} FROM met LEFT JOIN ic USING (series_id, window_idx)"),
-        "decay_fit": _with(
-            WALK + ", cand AS (SELECT series_id, b, regr_slope(ic_composite, exp(-b * window_idx)) AS a, regr_intercept(ic_composite, exp(-b * window_idx)) AS c, regr_syy(ic_composite, exp(-b * window_idx)) * (1 - regr_r2(ic_composite, exp(-b * window_idx))) AS sse FROM ic, (SELECT unnest([" + ", ".join(map(repr, _DECAY_B)) + "]::DOUBLE[]) AS b) WHERE ic_composite IS NOT NULL GROUP BY series_id, b), best AS (SELECT * FROM cand WHERE a IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse, b) = 1), cnt AS (SELECT series_id, count(ic_composite) AS k FROM met LEFT JOIN ic USING (series_id, window_idx) GROUP BY 1)",
-            "SELECT series_id, " + ", ".join(f"CASE WHEN ok THEN round({c}, 4) END AS {n}" for c, n in (("a", "alpha_initial"), ("b", "decay_rate"), ("c", "alpha_floor"), ("ln(2) / b * 20", "half_life_days"), ("sse", "sse"))) + ", ok AS fit_success FROM (SELECT *, k >= 4 AND b IS NOT NULL AS ok FROM cnt LEFT JOIN best USING (series_id))",
+        "decay_fit": _with(WALK + ", " + _decay(), f"SELECT series_id, {_FITTED}, sse, fit_success FROM fitted"),
+        "whole_analysis": _with(
+            PLAIN + ", " + _anchored_rows("anch") + ", " + windows("sized") + ", " + folds("wins", "series_id, window_idx") + ", " + ics(["z30"]) + ", " + _decay() + ", folded AS (SELECT series_id, count(*) AS r, count(DISTINCT fold) AS f FROM anch GROUP BY 1)",
+            f"SELECT series_id, {_FITTED}, fit_success, n_windows AS n_folds, n_windows AS n_decay_curve, 6 AS n_summary, f AS n_anchored, r - f AS n_anchored_curve FROM fitted JOIN folded USING (series_id)",
+        ),
+        "long_series": _with(BASE + ", " + EMA, f"SELECT series_id, {DAY}, {r('ratio_zscore_30', 'ratio_zscore_90', 'ratio_ema_slope', 'a_macd_hist', 'a_vol_60', 'b_atr_pct', places=4)} FROM emas WHERE ratio_zscore_90 IS NOT NULL"),
+        "window_sweep": "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(_with(PLAIN + ", " + windows("sized", size, step) + ", " + folds("wins", "series_id, window_idx"), f"SELECT series_id, {size} AS window, {step} AS step, count(*) AS n_windows, {', '.join(f'round(avg({m}), 5) AS {m}' for m in METRICS)} FROM met GROUP BY 1") for size, step in WINDOWS) + ")",
+        "given_returns": _with(
+            PLAIN + f""", g AS (SELECT series_id, ts, ratio / lag(ratio) {W} - 1 AS gain, CASE WHEN signal <> lag(signal) {W} THEN 1 ELSE 0 END AS switched FROM sized),
+bt AS (SELECT *, product(1 + daily_return) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS capital FROM (SELECT *, gain - switched * 0.0003 AS daily_return FROM g WHERE gain IS NOT NULL)), """
+            + measured("series_id"),
+            f"SELECT series_id, {r(*METRICS, 'final_capital')}, n_turns FROM met",
         ),
+        "anchored_curve": _with(_anchored(), f"SELECT series_id, fold, {DAY}, {r('daily_return', 'capital')} FROM bt"),
+        "signal_counts": _with(FULL, "SELECT series_id, count(*) AS n_rows, count(CASE WHEN mr_signal IS NOT NULL AND mom_signal IS NOT NULL AND bo_signal IS NOT NULL THEN 1 END) AS n_all, count(mr_signal) AS n_mr_signal, count(mom_signal) AS n_mom_signal, count(bo_signal) AS n_bo_signal FROM strategy GROUP BY 1"),
+        "garch_gain": _with(f"{BARS}, {RAW}", "SELECT series_id, leg, round(var_pop(x * 100), 6) AS target, true AS holds FROM (SELECT series_id, 'a_ret_1' AS leg, a_ret_1 AS x FROM raw UNION ALL SELECT series_id, 'b_ret_1', b_ret_1 FROM raw) GROUP BY 1, 2"),
+        "shap_sums": _with(FULL, f"SELECT series_id, {DAY}, true AS adds_up, true AS in_range FROM strategy WHERE mom_signal IS NOT NULL AND bo_confidence IS NOT NULL"),
         "strategy_signals": _with(FULL, f"SELECT series_id, {DAY}, regime, {r(*[f'{p}_{k}' for p in ('mr', 'mom', 'bo') for k in ('signal', 'confidence')])} FROM strategy"),
         "sub_signal_latest": _with(
             FULL + ", last AS (SELECT * FROM strategy QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) = 1)",
@@ -199,7 +240,7 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(x, 6) AS x, round(last_valu
     rows |= {
         "target_labels": _with(PLAIN + label, f"SELECT series_id, {DAY}, {r('fwd', 'threshold')}, CAST(label AS BIGINT) AS label FROM lab"),
         "class_distribution": _with(PLAIN + label, "SELECT series_id, CAST(label AS BIGINT) AS label, count(*) AS n, ['BUY_A', 'HOLD', 'BUY_B'][label + 1] AS class_name FROM lab GROUP BY series_id, label"),
-        "accuracy_by_class": _with(PLAIN + label, "SELECT series_id, CAST(label AS BIGINT) AS label, round(avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM lab WHERE NOT is_train GROUP BY GROUPING SETS ((series_id), (series_id, label))"),
+        "accuracy_by_class": _with(PLAIN + label, "SELECT series_id, CAST(label AS BIGINT) AS label, round(avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM lab WHERE NOT is_train AND label IS NOT NULL GROUP BY GROUPING SETS ((series_id), (series_id, label))"),
         "train_test_split": _with(PLAIN + label, "SELECT series_id, is_train, count(*) AS n, min(strftime(ts, '%Y-%m-%d')) AS first_day, max(strftime(ts, '%Y-%m-%d')) AS last_day FROM lab GROUP BY 1, 2"),
         "regime_stats": _regimes("SELECT series_id, regime, count(*) AS days, round(count(*) / max(n), 6) AS share, round(avg(ratio), 6) AS mean_ratio, round(avg(a_vol_20), 6) AS mean_vol FROM (SELECT *, CAST(count(*) OVER (PARTITION BY series_id) AS DOUBLE) AS n FROM reg) WHERE regime IS NOT NULL GROUP BY 1, 2"),
         "regime_share": _regimes(f"SELECT series_id, {DAY}, " + ", ".join(f"round({guard('avg', 'x_' + k, 30, 5)}, 6) AS share_{k}" for k in ("crisis", "range_bound", "risk_on", "trending")) + " FROM (SELECT *, " + ", ".join(f"CASE WHEN regime = '{k}' THEN 1.0 ELSE 0.0 END AS x_{k}" for k in ("crisis", "range_bound", "risk_on", "trending")) + " FROM reg)"),
@@ -215,8 +256,8 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(x, 6) AS x, round(last_valu
     shown = ["ratio_zscore_30", "ratio_zscore_90", "ratio_slope", "a_ret_5", "b_ret_5", "a_vol_20", "vol_ratio"]
     contributions = lambda t: " UNION ALL ".join(f"SELECT series_id, '{c}' AS feature, {c} AS value FROM {t}" for c in shown)
     rows |= {
-        "top_features": _with(PLAIN, f"SELECT feature, round(avg(abs(value)), 6) AS importance FROM ({contributions('frame')}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
-        "latest_top_contributions": _with(PLAIN + ", last AS (SELECT * FROM frame QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) = 1)", f"SELECT series_id, feature, round(value, 6) AS value, place FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(value) DESC, feature) AS place FROM ({contributions('last')})) WHERE place <= 4"),
+        "top_columns": _with(PLAIN, f"SELECT feature, round(avg(abs(value)), 6) AS importance FROM ({contributions('frame')}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
+        "latest_columns": _with(PLAIN + ", last AS (SELECT * FROM frame QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) = 1)", f"SELECT series_id, feature, round(value, 6) AS value, place FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(value) DESC, feature) AS place FROM ({contributions('last')})) WHERE place <= 4"),
         "whole_pipeline": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT series_id, {r(*METRICS, 'final_capital')}, n_turns FROM met"),
         "stream_bars": """WITH t AS (SELECT * FROM events WHERE event_type IN ('click', 'view')), b AS (SELECT date_trunc('hour', ts) AS w, max(CASE WHEN event_type = 'click' THEN {'at': ts, 'v': value} END).v AS a_close, max(CASE WHEN event_type = 'view' THEN {'at': ts, 'v': value} END).v AS b_close FROM t GROUP BY 1)
 SELECT 'click/view' AS series_id, strftime(w, '%Y-%m-%d %H:%M') AS hour, round(a_close, 6) AS a_close, round(b_close, 6) AS b_close FROM b WHERE a_close IS NOT NULL AND b_close IS NOT NULL AND w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM t)""",

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEY, TS, drop_incomplete, forward_fill, over_series, soft_zscore, zscore
+from ..functions.columns import KEY, TS, drop_incomplete, over_series, soft_zscore, zscore
 from ..operators import backtest as bt
 from ..operators import ensemble, features, garch, regimes, signals
 from ..operators.recurrence import ewm_std
 from ..sources import bars as src
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, staged
 from ..streaming import bars as streams
-from .pipeline import Config, analysis, pipeline
+from .pipeline import Config, analysis, pipeline, write_analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 COSTS = [(0.0, 0.0), (0.0002, 0.0001), (0.001, 0.0005)]
-#: Conditions of the rule prediction that accuracy and contributions are shown on.
+WINDOWS = [(60, 20), (90, 30), (120, 20)]
+DECAY = ["alpha_initial", "decay_rate", "alpha_floor", "half_life_windows", "half_life_days"]
 IC_SIGNALS = ["mr_signal", "mom_signal", "bo_signal"]
 
 
@@ -80,8 +81,8 @@ def macro_merge(spark, sf_dir):
 @query
 def forward_fill_limit(spark, sf_dir):
     e = src.read_table(spark, sf_dir, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias(TS), "event_type", "value")
-    sparse = e.groupBy(TS).agg(F.round(F.max(F.when(F.col("event_type") == "signup", F.col("value"))), 6).alias("x")).withColumn(KEY, F.lit("signup"))
-    return out(sparse.select(TS, "x", forward_fill("x", over_series(), 3).alias("filled")), "x", "filled", hour=hour())
+    sparse = e.groupBy(TS).agg(F.round(F.max(F.when(F.col("event_type") == "signup", F.col("value"))), 6).alias("x")).withColumns({KEY: F.lit("signup"), "filled": F.col("x")})
+    return out(src.filled_forward(sparse, ["filled"], 3), "x", "filled", hour=hour())
 
 
 @query
@@ -131,10 +132,15 @@ def ratio_band(spark, sf_dir):
 @query
 def halo_zscore(spark, sf_dir):
     """The 90-row score through blocks of 256 rows with copied edges."""
-    df = features.halo_blocks(features.long_bar_index(features.with_ratio(bars(spark, sf_dir))), 256, 89)
-    w = Window.partitionBy(KEY, "block_id").orderBy(TS)
-    df = df.withColumn("z90", zscore(F.col("ratio"), 90, w)).where(~F.col("is_halo"))
-    return out(df, KEY, "bar_idx", "z90", day=day())
+    df = features.blockwise(features.with_ratio(bars(spark, sf_dir)), lambda rows, w: rows.withColumns({"z90": zscore(F.col("ratio"), 90, w), "at": F.col("bar_idx")}), 89, 256)
+    return out(df, KEY, "z90", bar_idx=F.col("at"), day=day())
+
+
+@query
+def long_series(spark, sf_dir):
+    """All features through blocks of a thousand rows, for series too long for one task."""
+    df = features.long_series_features(bars(spark, sf_dir), 1000)
+    return out(df, KEY, "ratio_zscore_30", "ratio_zscore_90", "ratio_ema_slope", "a_macd_hist", "a_vol_60", "b_atr_pct", places=4, day=day())
 
 
 @query
@@ -175,6 +181,24 @@ def cost_sweep(spark, sf_dir):
     return out(bt.cost_sweep(frame(spark, sf_dir), COSTS), KEY, "spread", "slippage", *bt.METRICS, "final_capital", "n_turns")
 
 
+@query
+def window_sweep(spark, sf_dir):
+    return out(bt.window_sweep(frame(spark, sf_dir), WINDOWS), KEY, "window", "step", "n_windows", *bt.METRICS, places=5)
+
+
+@query
+def given_returns(spark, sf_dir):
+    """Metrics of the ratio's daily change as a return, with a cost wherever the rule's side changes."""
+    df, w = frame(spark, sf_dir).withColumn("signal", signals.rule_signal()), over_series()
+    df = df.select(KEY, TS, (F.col("ratio") / F.lag("ratio").over(w) - 1).alias("gain"), F.coalesce(F.col("signal") != F.lag("signal").over(w), F.lit(False)).cast("int").alias("changed"))
+    return out(bt.compute_metrics(df, column="gain", changes="changed"), KEY, *bt.METRICS, "final_capital", "n_turns")
+
+
+@query
+def anchored_curve(spark, sf_dir):
+    return out(bt.anchored_curve(frame(spark, sf_dir)), KEY, "fold", "daily_return", "capital", day=day())
+
+
 @query
 def wf_anchored(spark, sf_dir):
     df = bt.walk_forward_anchored(frame(spark, sf_dir))
@@ -215,8 +239,7 @@ def alpha_decay(spark, sf_dir):
 
 @query
 def decay_fit(spark, sf_dir):
-    """On the coarse grid; the analysis refines."""
-    return out(bt.fit_decay(bt.walk_forward_rolling(frame(spark, sf_dir)), refinements=0), KEY, "alpha_initial", "decay_rate", "alpha_floor", "half_life_days", "sse", "fit_success", places=4)
+    return out(bt.fit_decay(bt.walk_forward_rolling(frame(spark, sf_dir))), KEY, *DECAY, "sse", "fit_success", places=4)
 
 
 @query
@@ -224,6 +247,11 @@ def strategy_signals(spark, sf_dir):
     return out(signal_frame(spark, sf_dir), KEY, "regime", *signals.STRATEGY, day=day())
 
 
+@query
+def signal_counts(spark, sf_dir):
+    return out(signals.signal_counts(signal_frame(spark, sf_dir)), KEY, "n_rows", "n_all", *[f"n_{s}" for s in IC_SIGNALS])
+
+
 @query
 def sub_signal_latest(spark, sf_dir):
     return out(signals.sub_signals(signal_frame(spark, sf_dir)), KEY, "model", "signal", "direction", "confidence", day=day())
@@ -288,15 +316,31 @@ def plain_contributions(df: DataFrame) -> DataFrame:
 
 
 @query
-def top_features(spark, sf_dir):
+def top_columns(spark, sf_dir):
+    """Mean absolute values of given columns; ``top_features`` is the same of attributions."""
     return out(ensemble.top_features(plain_contributions(frame(spark, sf_dir)), 5), "feature", "importance")
 
 
 @query
-def latest_top_contributions(spark, sf_dir):
+def latest_columns(spark, sf_dir):
     return out(ensemble.latest_contributions(plain_contributions(frame(spark, sf_dir)), 4), KEY, "feature", "value", "place")
 
 
+def predictions(spark: SparkSession, sf_dir: str, attribute: bool = True) -> DataFrame:
+    df = staged(signal_frame(spark, sf_dir), "signals")
+    return ensemble.predict(df, ensemble.fit(df), attribute=attribute)
+
+
+@query
+def top_features(spark, sf_dir):
+    return out(ensemble.top_features(predictions(spark, sf_dir)), "feature", "importance")
+
+
+@query
+def latest_top_contributions(spark, sf_dir):
+    return out(ensemble.latest_contributions(predictions(spark, sf_dir)), KEY, "feature", "value", "place")
+
+
 @query
 def csv_stage(spark, sf_dir):
     """Bars written as CSV and read again by schema, from the first path of a list that is there."""
@@ -307,34 +351,59 @@ def csv_stage(spark, sf_dir):
 
 @query
 def gmm_regimes(spark, sf_dir):
-    df = regimes.fit_and_label(features.feature_frame(bars(spark, sf_dir)), model="gmm", n_restarts=2)
+    df = regimes.fit_and_label(features.feature_frame(bars(spark, sf_dir)), model="gmm")
     return out(df, KEY, "regime_state", "regime", day=day())
 
 
 @query
 def hmm_regimes(spark, sf_dir):
-    df = regimes.fit_and_label(features.feature_frame(bars(spark, sf_dir)), model="hmm", n_restarts=2, max_iter=12)
+    df = regimes.fit_and_label(staged(features.feature_frame(bars(spark, sf_dir)), "features"), model="hmm")
     return out(df, KEY, "regime_state", "regime", day=day())
 
 
+@query
+def hmm_tables(spark, sf_dir):
+    """State means and move probabilities of a model that saw the first four fifths of each series."""
+    df = staged(features.feature_frame(bars(spark, sf_dir)), "features")
+    means, moves = regimes.model_tables(spark, regimes.hmm_fit(regimes.fit_rows(df, 0.8)))
+    named = moves.select(F.lit("move").alias("kind"), F.col("from_regime").alias("regime"), F.concat_ws(":", "to_state", "to_regime").alias("name"), F.col("probability").alias("value"))
+    return out(named.union(means.select(F.lit("mean"), "regime", "feature", "mean")), "kind", "regime", "name", "value")
+
+
 @query
 def garch_vol(spark, sf_dir):
     df = garch.with_garch(features.with_returns(bars(spark, sf_dir)))
     return out(df, KEY, "a_garch_vol", "b_garch_vol", "garch_vol_ratio", day=day())
 
 
+@query
+def garch_gain(spark, sf_dir):
+    """What the fit must hold for each series: parameters in range, no candidate of the coarse grid likelier, the variances' start at the mean square."""
+    rows = staged(garch.centred(features.with_returns(bars(spark, sf_dir)), ["a_ret_1", "b_ret_1"]), "returns")
+    best, coarse = garch.fit_legs(rows), garch.fit_legs(rows, 0).select(KEY, "leg", F.col("ll").alias("ll0"))
+    sure = (F.col("ll") >= F.col("ll0") - 1e-9) & (F.col("alpha") > 0) & (F.col("beta") > 0) & (F.col("alpha") + F.col("beta") < 1)
+    return out(best.join(coarse, [KEY, "leg"]).withColumn("holds", sure), KEY, "leg", "target", "holds")
+
+
 @query
 def ensemble_predict(spark, sf_dir):
-    df = signal_frame(spark, sf_dir)
-    got = ensemble.predict(df, ensemble.fit(df, n_trees=5), attribute=False)
-    return out(got, KEY, "predicted", "ensemble_signal", "ensemble_confidence", day=day())
+    return out(predictions(spark, sf_dir, attribute=False), KEY, "predicted", "ensemble_signal", "ensemble_confidence", day=day())
 
 
 @query
 def shap_values(spark, sf_dir):
-    df = signal_frame(spark, sf_dir)
-    got = ensemble.predict(df, ensemble.fit(df, n_trees=5))
-    return out(got, KEY, "predicted", "margin", "base", *[f"shap_{f}" for f in ensemble.FEATURES], day=day())
+    return out(predictions(spark, sf_dir), KEY, "predicted", "margin", "base", *[f"shap_{f}" for f in ensemble.FEATURES], day=day())
+
+
+@query
+def shap_sums(spark, sf_dir):
+    """What attributions must hold on each row: with the base they sum to the margin, and the confidence is that of the largest of three classes."""
+    df = predictions(spark, sf_dir)
+    total = F.col("base")
+    for f in ensemble.FEATURES:
+        total = total + F.col(f"shap_{f}")
+    df = df.select(KEY, TS, (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"), (F.col("ensemble_confidence").between(1 / 3 - 1e-9, 1) & F.col("predicted").isin(0, 1, 2)).alias("in_range"))
+    return out(df, KEY, "adds_up", "in_range", day=day())
 
 
 @query
@@ -345,8 +414,14 @@ def whole_pipeline(spark, sf_dir):
 
 @query
 def whole_analysis(spark, sf_dir):
-    """The refined decay fit of the rolling analysis."""
-    return out(analysis(frame(spark, sf_dir))["decay_fit"], KEY, "alpha_initial", "decay_rate", "alpha_floor", "half_life_days", "fit_success", places=4)
+    """All results of the analysis written as stages and read again; the decay fit beside the rows of each."""
+    results, folder = analysis(frame(spark, sf_dir)), shared_folder(spark, "analysis")
+    write_analysis(results, folder)
+    stages = {name: spark.read.parquet(f"{folder}/{name}") for name in results}
+    got = stages["decay_fit"]
+    for name in ("folds", "decay_curve", "summary", "anchored", "anchored_curve"):
+        got = got.join(stages[name].groupBy(KEY).agg(F.count("*").alias(f"n_{name}")), KEY)
+    return out(got, KEY, *DECAY, "fit_success", *[f"n_{n}" for n in ("folds", "decay_curve", "summary", "anchored", "anchored_curve")], places=4)
 
 
 @query

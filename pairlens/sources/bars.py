@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import KEY, TS, drop_incomplete, forward_fill, over_series
+from ..functions.columns import KEY, TS, drop_incomplete, forward_fill, nan_to_null
+from ..operators.features import blockwise
 
 BARS = T.StructType([T.StructField(KEY, T.StringType()), T.StructField(TS, T.TimestampType()), T.StructField("a_close", T.DoubleType()), T.StructField("b_close", T.DoubleType())])
 
@@ -23,9 +25,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, schema: T.StructType = BARS, fmt: str = "parquet", since: str | None = None, until: str | None = None) -> DataFrame:
-    """Bars from Parquet or CSV; since and until go to the scan."""
+    """Bars from Parquet or CSV, NaN as NULL; since and until go to the scan."""
     df = spark.read.schema(schema).options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).load(path)
-    return between(df, since, until)
+    return nan_to_null(between(df, since, until))
 
 
 def between(df: DataFrame, since: str | None = None, until: str | None = None, column: str = TS) -> DataFrame:
@@ -36,14 +38,14 @@ def between(df: DataFrame, since: str | None = None, until: str | None = None, c
 
 
 def read_first_available(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
-    """The first of the paths that is there (most enriched first); FileNotFoundError if none is."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    """The first of the paths that is there (most enriched first), NaN as NULL; FileNotFoundError if none is."""
     for p in paths:
-        path = hadoop(p)
-        if path.getFileSystem(conf).exists(path):
-            reader = spark.read.options(**({"header": "true"} if fmt == "csv" else {}))
-            return (reader.schema(schema) if schema else reader).format(fmt).load(p)
+        reader = spark.read.options(**({"header": "true"} if fmt == "csv" else {}))
+        try:
+            return nan_to_null((reader.schema(schema) if schema else reader).format(fmt).load(p))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"none of {list(paths)}")
 
 
@@ -54,8 +56,8 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: st
 
 
 def quotes_to_bars(quotes: DataFrame, a: str, b: str, field: str = "close") -> DataFrame:
-    """Long quotes (series_id, ts, ticker, field, value) to two-leg bars; rows without both legs go. The mean of equal keys counts."""
-    wide = quotes.where(F.col("field") == field).groupBy(KEY, TS).pivot("ticker", [a, b]).agg(fixed(F.avg("value")))
+    """Long quotes (series_id, ts, ticker, field, value) to two-leg bars; rows without both legs go, NaN is NULL. The mean of equal keys counts."""
+    wide = nan_to_null(quotes.where(F.col("field") == field)).groupBy(KEY, TS).pivot("ticker", [a, b]).agg(fixed(F.avg("value")))
     return drop_incomplete(wide.select(KEY, TS, F.col(a).alias("a_close"), F.col(b).alias("b_close")))
 
 
@@ -81,10 +83,15 @@ def pair_universe(quotes: DataFrame) -> DataFrame:
     return joined.select(F.concat_ws("/", F.col("a.ticker"), F.col("b.ticker")).alias(KEY), F.col("a.ts").alias(TS), F.col("a.close").alias("a_close"), F.col("b.close").alias("b_close"))
 
 
+def filled_forward(df: DataFrame, columns: Sequence[str], limit: int = 3) -> DataFrame:
+    """Each column's last value of the row and at most limit rows before it, in blocks: one long series is many tasks."""
+    return blockwise(df, lambda rows, w: rows.withColumns({c: forward_fill(c, w, limit) for c in columns}), halo=limit)
+
+
 def macro_merge(market: DataFrame, long_rate: DataFrame, short_rate: DataFrame, fill_limit: int = 3) -> DataFrame:
     """Rates joined fully on time and filled forward, then joined to the market's times; adds the slope of the curve."""
     rates = long_rate.join(short_rate, TS, "full").withColumn(KEY, F.lit("rates"))
-    rates = rates.select(TS, *[forward_fill(c, over_series(), fill_limit).alias(c) for c in ("yield_long", "yield_short")])
+    rates = filled_forward(rates, ["yield_long", "yield_short"], fill_limit).drop(KEY)
     out = market.join(rates, TS).withColumn("yield_curve_slope", F.col("yield_long") - F.col("yield_short"))
     return drop_incomplete(out.select(TS, "index", "yield_long", "yield_short", "yield_curve_slope"))
 

@@ -34,32 +34,32 @@ def stream_bars(ticks: DataFrame, a: str, b: str, width: str = "1 hour", delay:
     return bars.where("a_close is not null and b_close is not null").select(F.lit(f"{a}/{b}").alias(KEY), F.col("w.start").alias(TS), "a_close", "b_close")
 
 
-STATE = "ema_fast double, ema_slow double, n bigint, ratios array<double>"
+STATE = "ema_fast double, ema_slow double, n bigint, last timestamp, ratios array<double>"
 OUT = f"{KEY} string, {TS} timestamp, ratio double, ema_slope double, zscore_30 double, zscore_90 double, signal string"
 
 
 def incremental_features(bars: DataFrame, idle: str | None = None) -> DataFrame:
     """Per series the averages (10 and 30), scores (30 and 90) and the rule signal of each new bar, from a state of the two
-    averages and the last 90 ratios. Bars of a batch are taken in time order."""
+    averages and the last 90 ratios. All bars of a batch are taken in time order, however they are cut into pieces. A bar that is not after the
+    last one of the state comes too late and is left out, as are repeats of a time (the first by the two closes counts) and bars without a ratio."""
     timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        fast, slow, n, ratios = state.get if state.exists else (0.0, 0.0, 0, [])
-        ratios, out = list(ratios), []
-        for part in parts:
-            for row in part.sort_values(TS).itertuples(index=False):
-                r = row.a_close / row.b_close if row.b_close else float("nan")
-                if np.isnan(r):
-                    continue
-                fast, slow = (r, r) if n == 0 else (fast + (r - fast) * 2 / 11, slow + (r - slow) * 2 / 31)
-                n, ratios = n + 1, [*ratios, r][-90:]
-                z = [score(ratios, size) for size in (30, 90)]
-                slope = r - ratios[-6] if len(ratios) > 5 else None
-                out.append((key[0], getattr(row, TS), r, fast - slow, *z, decide(z[0], slope)))
-        state.update((fast, slow, n, ratios))
+        fast, slow, n, last, ratios = state.get if state.exists else (0.0, 0.0, 0, None, [])
+        last, ratios, out = None if last is None else pd.Timestamp(last), list(ratios), []
+        for row in pd.concat(list(parts)).sort_values([TS, "a_close", "b_close"]).itertuples(index=False):
+            at, r = getattr(row, TS), row.a_close / row.b_close if row.b_close else float("nan")
+            if np.isnan(r) or last is not None and at <= last:
+                continue
+            fast, slow = (r, r) if n == 0 else (fast + (r - fast) * 2 / 11, slow + (r - slow) * 2 / 31)
+            n, last, ratios = n + 1, at, [*ratios, r][-90:]
+            z = [score(ratios, size) for size in (30, 90)]
+            slope = r - ratios[-6] if len(ratios) > 5 else None
+            out.append((key[0], at, r, fast - slow, *z, decide(z[0], slope)))
+        state.update((fast, slow, n, None if last is None else last.to_pydatetime(), ratios))
         if idle is not None:
             state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
