@@ -33,11 +33,14 @@ def utf8(array: pa.Array) -> list[bytes | None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
+    """The folder that driver and executors share; on one machine (tests) a folder of our own where none is set, on a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pairlens-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

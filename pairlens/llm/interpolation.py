@@ -7,11 +7,11 @@ words and one end a text; the first context of a text is its start.
 
 How it runs: the documents are cut into token blocks (about ``block_tokens``), each written once as numbers into the block's own vocabulary.
 A block asks for the corpus counts of its distinct words and word pairs: one row for each block and bucket of the 64-bit hashes, with the block's own counts, so a
-word that is everywhere is one number a block. Each bucket adds up what the blocks have and answers each block. Blocks and answers meet by
+word that is everywhere is one number a block. There are as many buckets as the tokens fill (``bucket_tokens`` each). Each bucket adds up what the blocks have and answers each block. Blocks and answers meet by
 block, where all tokens are scored. Every count covers the whole corpus, and all that is shuffled grows with the input. Hashes of different pairs are taken to differ.
 
 Defined cases: null and blank texts are an end only. Rows with a null key are scored, not learned from, and not held out. With no training
-rows N = V = 0 and each token has probability 1. Repeated rows count and are scored each. Extra columns are not looked at.
+rows N = V = 0 and each token has probability 1. Words may hold any bytes but white space, NUL among them; keys may be of any type. Repeated rows count and are scored each. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stage_table, utf8, words
 
 #: Codes of a block's vocabulary that every block has.
 END, START = 0, 1
 KEPT, DELETED, OTHER = 0, 1, 2
-_END = b"\x00end"
+#: What stands for them among the words: no word holds a space.
+_END, _START = b" end", b" start"
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -63,7 +65,7 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
 
 class Block:
     def __init__(self) -> None:
-        self.vocabulary: dict[bytes, int] = {_END: END, b"\x00start": START}
+        self.vocabulary: dict[bytes, int] = {_END: END, _START: START}
         self.codes: list[int] = []
         self.lengths: list[int] = []
         self.parts: list[int] = []
@@ -86,17 +88,19 @@ class Block:
         return [block_id, self.ids, pack(lengths), pack(parts), pack(hashes), pack(codes[deleted]), pack(codes[~deleted])]
 
 
-BLOCK = "block bigint, ids array<bigint>, lengths binary, parts binary, hashes binary, deleted binary, codes binary"
+BLOCK = ["block", "ids", "lengths", "parts", "hashes", "deleted", "codes"]
 
 
 def token_blocks(docs: DataFrame, part: Column, key: str, text: str, block_tokens: int) -> DataFrame:
+    kind = docs.schema[key].dataType
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, block = TaskContext.get().partitionId(), 0, Block()
 
         def out() -> pa.RecordBatch:
             r = block.row((task << 24) + n)
-            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
+            kinds = [pa.int64(), pa.list_(to_arrow_type(kind)), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds, strict=True)], names=BLOCK)
 
         for b in batches:
             for k, t, p in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -107,7 +111,19 @@ def token_blocks(docs: DataFrame, part: Column, key: str, text: str, block_token
         if block.ids:
             yield out()
 
-    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), part.cast("int").alias("p")).mapInArrow(run, BLOCK)
+    schema = f"block bigint, ids array<{kind.simpleString()}>" + "".join(f", {c} binary" for c in BLOCK[2:])
+    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), part.cast("int").alias("p")).mapInArrow(run, schema)
+
+
+def n_buckets(blocks: DataFrame, tokens_each: int) -> int:
+    """As many hash buckets as the tokens fill, so that one bucket's counts fit a task however large the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int(unpack(x, "i4").sum()) for b in batches for x in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    total = blocks.select("lengths").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return max(1, -(-total // tokens_each))
 
 
 def contexts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -220,16 +236,16 @@ def learn(held: DataFrame, n: int, v: int, rounds: int) -> dict[int, list[float]
     return weights
 
 
-def score_texts(docs: DataFrame, train: Column, deleted: Column, key: str = "doc_id", text: str = "text", rounds: int = 12, block_tokens: int = 1_000_000, buckets: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, deleted: Column, key: str = "doc_id", text: str = "text", rounds: int = 12, block_tokens: int = 1_000_000, bucket_tokens: int = 1_000_000) -> DataFrame:
     """One row for each row: key, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     train: rows to learn from; deleted: those of them whose tokens only teach the weights.
     """
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     train, deleted = F.coalesce(train, F.lit(False)), F.coalesce(deleted, F.lit(False))
     part = F.when(~train, OTHER).when(deleted, DELETED).otherwise(KEPT)
+    kind = docs.schema[key].dataType.simpleString()
     blocks = stage_table(token_blocks(docs, part, key, text, block_tokens), "blocks")
+    buckets = n_buckets(blocks, bucket_tokens)
     answers = stage_table(requests(blocks, buckets).groupBy("bucket", "kind").applyInPandas(answer, ANSWER), "answers")
     sums = answers.where("block < 0 and kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "tokens", "types_kept", "tokens_kept")]).first()
     v, n, v_kept, n_kept = sums
@@ -251,7 +267,7 @@ def score_texts(docs: DataFrame, train: Column, deleted: Column, key: str = "doc
     held = stage_table(held.groupBy("context", "pair", "ctx", "word").agg(F.sum("times").alias("times")), "held")
     weights = learn(held, n_kept, v_kept, rounds)
     table = np.array([weights.get(c) or weights.get(max((k for k in weights if k < c), default=-1)) or [0.4, 0.4, 0.2] for c in range(64)]) if weights else np.tile([0.4, 0.4, 0.2], (64, 1))
-    unknown = 1.0 / (v + 1)
+    unknown, whole = 1.0 / (v + 1), kind in ("tinyint", "smallint", "int", "bigint")
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         b = left.iloc[0]
@@ -266,9 +282,9 @@ def score_texts(docs: DataFrame, train: Column, deleted: Column, key: str = "doc
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
         base = np.log10((cw + 1) / (n + 1.0 * (v + 1)))
         return pd.DataFrame({
-            "key": pd.array(b.ids, dtype="Int64"), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((cw > 0).astype(np.int64), at), "train_tokens": np.full(len(lengths), n),
+            "key": pd.array(b.ids, dtype="Int64") if whole else pd.Series(list(b.ids), dtype=object), "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat((cw > 0).astype(np.int64), at), "train_tokens": np.full(len(lengths), n),
             "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(p), at),
         })
 
-    out = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInPandas(score, "key bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = blocks.groupBy("block").cogroup(given.groupBy("block")).applyInPandas(score, f"key {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("key", key)

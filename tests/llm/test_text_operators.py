@@ -236,7 +236,7 @@ def test_interpolation(spark):
     assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got) and not base
     # the model is a probability: over all next words of a context it sums to 1 (here: each training text scores above its base)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    whole = interpolation.score_texts(docs.repartition(3), remainder("doc_id", 7) != 2, remainder("doc_id", 7) == 3, rounds=4, buckets=5).collect()
+    whole = interpolation.score_texts(docs.repartition(3), remainder("doc_id", 7) != 2, remainder("doc_id", 7) == 3, rounds=4, bucket_tokens=9000).collect()
     pair = lambda rs: sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in rs)
     assert pair(whole) == pair(got)
     assert interpolation.score_texts(empty(spark), F.lit(True), F.lit(False)).count() == 0
@@ -244,6 +244,56 @@ def test_interpolation(spark):
     assert all(r.score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in untrained)
 
 
+def interpolation_by_hand(texts, kept, deleted, rounds):
+    """Scores of the model, with plain counts and plain expectation-maximisation."""
+    tokens = [(t or "").lower().split() + [None] for t in texts]  # None ends a text, "" starts one
+    pairs = lambda t: list(zip(["", *t[:-1]], t))
+    bucket = lambda c: c.bit_length()
+
+    def counts(rows):
+        word, pair = Counter(w for t in rows for w in t), Counter(p for t in rows for p in pairs(t))
+        return word, pair, Counter({**{u: word[u] for u in word}, "": word[None]}), sum(word.values()), len(word)
+
+    word, pair, ctx, n, v = counts([t for t, k in zip(tokens, kept) if k])
+    held = [(bucket(ctx[u]), pair[u, w] / ctx[u] if ctx[u] else 0.0, word[w] / n, 1 / (v + 1)) for t, d in zip(tokens, deleted) if d for u, w in pairs(t)]
+    weights = {b: [0.4, 0.4, 0.2] for b in {h[0] for h in held}}
+    for _ in range(rounds):
+        got = {b: [0.0] * 3 for b in weights}
+        for b, *p in held:
+            parts = [a * x for a, x in zip(weights[b], p)]
+            for k in range(3):
+                got[b][k] += parts[k] / sum(parts)
+        weights = {b: [(x + 1e-3) / (sum(g) + 3e-3) for x in g] for b, g in got.items()}
+    word, pair, ctx, n, v = counts([t for t, k, d in zip(tokens, kept, deleted) if k or d])
+
+    def one(u, w):
+        b = bucket(ctx[u])
+        a = weights.get(b) or weights.get(max((x for x in weights if x < b), default=-1)) or [0.4, 0.4, 0.2]
+        return (a[0] * pair[u, w] / ctx[u] + a[1] * word[w] / n if ctx[u] else (a[0] + a[1]) * word[w] / n) + a[2] / (v + 1)
+
+    base = [sum(math.log10((word[w] + 1) / (n + v + 1)) for w in t) for t in tokens]
+    return base, [sum(math.log10(one(u, w)) for u, w in pairs(t)) for t in tokens]
+
+
+def test_interpolation_scores_by_hand(spark):
+    rng = random.Random(31)
+    texts = [words(rng, EN, rng.randint(1, 25)) for _ in range(60)] + ["", None, "unseen words only", "a \x00end \x00end \x00start b"]
+    part = [k % 4 for k in range(len(texts))]  # 0, 1: kept; 2: deleted; 3: not learned from
+    base, want = interpolation_by_hand(texts, [p < 2 for p in part], [p == 2 for p in part], 5)
+    docs = spark.createDataFrame([(f"key{k}", t, p) for k, (t, p) in enumerate(zip(texts, part))], "doc_id string, text string, part int")
+    for size in (50, 10**6):
+        got = {r.doc_id: r for r in interpolation.score_texts(docs, F.col("part") < 3, F.col("part") == 2, rounds=5, block_tokens=size, bucket_tokens=size).collect()}
+        assert [got[f"key{k}"].score for k in range(len(texts))] == pytest.approx(want, abs=1e-9)
+        assert [got[f"key{k}"].base_score for k in range(len(texts))] == pytest.approx(base, abs=1e-9)
+
+
+def test_words_may_hold_nul(spark):
+    docs = spark.createDataFrame([(k, "one two \x00end \x00end") for k in range(8)], "doc_id bigint, text string")
+    got = interpolation.score_texts(docs, F.lit(True), F.col("doc_id") == 1, rounds=2).collect()
+    want = 3 * math.log10(9 / 45) + 2 * math.log10(17 / 45)  # N = 40, V = 4: one, two, the odd word (twice) and the end
+    assert all(r.base_score == pytest.approx(want) and r.n_known == 5 for r in got)
+
+
 def test_risk_of_positive_unlabelled_learning():
     rng = np.random.default_rng(0)
     x_p, neg = rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (1400, 2))
