@@ -1,11 +1,13 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from pairlens.llm import permindex, warc
+from pairlens.llm.common import stage_path, stage_table
 
 
 def test_permutation_index(spark):
@@ -88,8 +90,23 @@ def test_loser_tree():
     rng = random.Random(3)
     for k in (1, 2, 3, 7, 16):
         pieces = [sorted((("run", rng.choice("abc"), rng.randint(0, 9), rng.randint(0, 99)) for _ in range(rng.randint(0, 30))), key=warc.order) for _ in range(k)]
-        merged = list(warc.LoserTree(pieces))
-        assert [warc.order(r) for r in merged] == sorted(warc.order(r) for p in pieces for r in p)
+        merged = list(warc.LoserTree([map(warc.order, p) for p in pieces]))
+        assert [key for _, key in merged] == sorted(warc.order(r) for p in pieces for r in p)
+        assert Counter(run for run, _ in merged) == Counter({i: len(p) for i, p in enumerate(pieces) if p})
+    assert list(warc.LoserTree([])) == []
+
+
+def test_any_id_and_small_ranges(spark):
+    ids = [-(2**63), -5, 0, 253_402_300_800, 2**63 - 1]
+    rows = [(k, f"http://h{k % 3}.example", f"page {k % 2}" * 400) for k in ids] + [(k, "http://x.example", "y" * 200_000) for k in range(10, 14)]
+    path = stage_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path, file_bytes=50_000)
+    found = stage_table(warc.runs(spark, path), "runs")
+    assert found.select("run").distinct().count() > 1  # by bytes
+    got = warc.merge(found, rows_per_task=2).collect()
+    assert {r.page_id for r in got} == {r[0] for r in rows} and len(got) == len(rows)
+    keys = [(r.url_key, r.captured_at, r.page_id) for r in got]
+    assert keys == sorted(keys) and all(r.captured_at.year < 2100 for r in got)
 
 
 def test_broken_records():
