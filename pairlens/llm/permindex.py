@@ -6,8 +6,9 @@ outside a prefix counts as rank ``prefix``). The best ``share`` of a shard by fo
 them all whose footrule is nearly that of the last: the cut never falls between rows alike in footrule. If the last is at less than half of the
 largest footrule, the cut lies inside a crowd of near copies; then all up to twice its footrule are reranked, at most the whole shard.
 
-The index is dealt into shards of about ``shard_rows`` vectors by the id's hash, the queries into blocks of about ``block_rows``; each pair of a shard and a block is one task's group
-and gives k rows a query, whose best k are the result. Copies of one vector are
+The index is dealt into shards by the id's hash (as many as there are cores while they hold ``least_shard`` vectors or more, then of about ``shard_rows``), the queries into blocks of about
+``block_rows``; each pair of a shard and a block is one task's group and gives k rows a query, whose best k are the result. What is shuffled is each vector once a block of queries and each query
+once a shard. A shard ranks all its vectors for a query: in many dimensions without clusters the nearest are hardly nearer than the rest, and a file of few pivots misses them. Copies of one vector are
 one candidate in a shard.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids and vectors of another length than
@@ -98,8 +99,11 @@ def search_shard(ids: np.ndarray, x: np.ndarray, order: np.ndarray, q_ids: np.nd
     return out
 
 
-def search(table: DataFrame, is_query: Callable[[Column], Column], key: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = 128, prefix: int = 48, share: float = 0.18, least: int = 300, shard_rows: int = 16384, block_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each id that is_query is true of, against all rows."""
+def search(table: DataFrame, is_query: Callable[[Column], Column], key: str = "vec_id", vector: str = "embedding", k: int = 5, pivots: int = 128, prefix: int = 48, share: float = 0.18, least: int = 300, shard_rows: int = 65536, block_rows: int = 65536, least_shard: int = 8192) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each id that is_query is true of, against all rows.
+
+    At least ``least`` vectors of a shard are reranked, however small the share.
+    """
     rows = stage_table(clean(table, key, vector), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -118,7 +122,9 @@ def search(table: DataFrame, is_query: Callable[[Column], Column], key: str = "v
 
     posted = stage_table(rows.select("id", "v", is_query(F.col("id")).alias("q")).mapInArrow(post, "id bigint, v binary, o binary, q boolean"), "postings")
     n_queries = posted.where("q").count()
-    shards, blocks = max(1, -(-sizes["n"] // shard_rows)), max(1, -(-n_queries // block_rows))
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-sizes["n"] // shard_rows), min(cores, -(-sizes["n"] // least_shard)))
+    blocks = max(1, -(-n_queries // block_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     base = posted.select("id", "v", "o", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
     asked = posted.where("q").select("id", "v", "o", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pairlens.llm import permindex, warc
@@ -53,6 +54,22 @@ def test_a_third_near_copies(spread):
     assert hits / (5 * len(q)) >= 0.99
 
 
+def test_recall_on_fifty_thousand_vectors_without_clusters(spark):
+    """The hardest case: the five nearest have cosines of about 0.5."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (50_000, 64)).astype(np.float32)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": x.tolist()}), "vec_id bigint, embedding array<float>")
+    got = permindex.search(table, lambda i: i % 500 == 0).toPandas()
+    u, hits = permindex.unit(x.astype(float)), 0
+    for q, mine in got.groupby("query_id"):
+        cosine = u @ u[q]
+        cosine[q] = -9
+        best = np.argsort(-cosine)[:5]
+        hits += len(set(best.tolist()) & set(mine.vec_id))
+        np.testing.assert_allclose(mine.score, cosine[mine.vec_id], atol=1e-12)
+    assert len(got) == 500 and hits / 500 >= 0.9
+
+
 def test_few_vectors_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     got = permindex.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], schema), lambda i: i == 0).collect()
