@@ -1,93 +1,171 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds join training passages to test items, then Smith-Waterman alignment of words.
 
 An item of L words may be edited in E = floor(edits * L) words. Of the ways to tile the item with n-grams (n is 3, or less for
 short items) that with the rarest grams in the corpus gives E + 1 disjoint seeds: E edits can spoil at most E of them, so each such
-copy keeps a seed. A document that holds a seed is aligned with the item in a window around it; match 1, mismatch and gap -0.5.
-A passage is reported if its alignment scores at least ``min_score`` times L, which is what a copy with a fifth of its words replaced gets.
-
-The items are taken in blocks of at most ``block_words`` words (a single longer item is a block); each block is sent to the tasks, and the corpus
-is scanned twice: for the frequencies of the block's n-grams, and for the seeds. Nothing is sent between documents.
-
-Defined cases: null texts hold no words and are never contaminated; items with fewer than ``min_words`` words (5, as shingles of five
-words) are not looked for; equal items are reported under each item_id; a document's repeats of an item give one row, its best
-alignment (the first of equal ones). Repeated rows are reported each. Extra columns are not looked at.
+copy keeps a seed. Longer items have more seeds, the rarest gram of each stretch, so that ``min_run`` words copied in a row hold one.
+Documents and items meet by a join on seeds; a document is aligned with the item in windows around the places where they meet: match 1,
+mismatch and gap -0.5. A passage is reported if its alignment scores ``min_score`` times L or more, which is what a copy with a fifth of its words
+replaced gets, or ``min_run`` or more.
+
+The corpus is scanned twice, whatever the number of items: for the frequencies of the items' n-grams, and for the seeds. Each scan looks
+n-grams up in a filter of bits (16 MB at most, smaller for few items) before they are counted or joined; what passes it by chance is
+dropped by the join, so the filter's size changes no result. Only documents that hold a seed are written.
+
+Defined cases: null texts hold no words and are never contaminated; items without words (or with fewer than ``min_words``) are not
+looked for; items of fewer than five words are found where all their words stand in a row. Equal items are reported under each item_id; a document's repeats of an item
+give one row, its best alignment (the first of equal ones). Repeated rows are reported each. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, utf8, words
-
-
-@dataclass
-class Items:
-    """A block of items, with n-grams as numbers: words are numbered in the block."""
-
-    ids: list
-    codes: list[np.ndarray]
-    vocabulary: dict[bytes, int]
-    edits: float = 0.2
-    seeds: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = field(default_factory=dict)
-
-    def allowed(self, item: int) -> int:
-        return int(self.edits * len(self.codes[item]) + 1e-9)
-
-    def size(self, item: int) -> int:
-        """n of the item's n-grams."""
-        n = len(self.codes[item])
-        return max(1, min(3, n // (self.allowed(item) + 1)))
-
-    def keys(self, codes: np.ndarray, n: int) -> np.ndarray:
-        """The n-gram that starts at each word; -1 where a word is not in the block."""
-        v = len(self.vocabulary)
-        if len(codes) < n:
-            return np.zeros(0, np.int64)
-        key, ok = np.zeros(len(codes) - n + 1, np.int64), np.ones(len(codes) - n + 1, bool)
-        for j in range(n):
-            part = codes[j : len(codes) - n + 1 + j]
-            key, ok = key * v + part, ok & (part >= 0)
-        return np.where(ok, key, -1)
-
-    def grams(self) -> dict[int, np.ndarray]:
-        by: dict[int, list] = {}
-        for i, c in enumerate(self.codes):
-            by.setdefault(self.size(i), []).append(self.keys(c, self.size(i)))
-        return {n: np.unique(np.concatenate(k)) for n, k in by.items()}
-
-    def encode(self, text: bytes | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words(text)], np.int64)
-
-
-def items_of(rows: list[tuple], edits: float) -> Items:
-    vocabulary: dict[bytes, int] = {}
-    codes = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t.encode())], np.int64) for _, t in rows]
-    return Items([r[0] for r in rows], codes, vocabulary, edits)
-
-
-def pick_seeds(items: Items, frequency: dict[int, dict[int, int]]) -> None:
-    by: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for i, c in enumerate(items.codes):
-        n, need = items.size(i), items.allowed(i) + 1
-        key = items.keys(c, n)
-        best = None
-        for offset in range(n):
-            at = range(offset, len(key), n)
-            if len(at) < need:
-                continue
-            rare = sorted((frequency[n].get(int(key[p]), 0), p) for p in at)[:need]
+from .common import row_hashes, stage_table, utf8, words
+
+MOST_LOG_BITS, SHIFTS = 27, (0, 27, 37)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def allowed(n: int, edits: float) -> int:
+    return int(edits * n + 1e-9)
+
+
+def gram_size(n: int, edits: float) -> int:
+    """n of the n-grams of an item of this many words."""
+    return max(1, min(3, n // (allowed(n, edits) + 1)))
+
+
+def grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n-gram that starts at each word."""
+    if len(codes) < n:
+        return np.zeros(0, np.uint64)
+    h = np.full(len(codes) - n + 1, n, np.uint64)
+    for j in range(n):
+        h = (h ^ codes[j : len(codes) - n + 1 + j]) * _MIX
+        h = h ^ (h >> np.uint64(29))
+    return h
+
+
+class Coder:
+    """Words as 64-bit hashes; those met before are looked up (a few hundred thousand at most)."""
+
+    def __init__(self) -> None:
+        self.seen: dict[bytes, int] = {}
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        w, seen = words(text), self.seen
+        if len(seen) > 400_000:
+            seen.clear()
+        for x in set(w).difference(seen):
+            seen[x] = xxhash.xxh3_64_intdigest(x)
+        return np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
+
+
+def item_table(benchmark: DataFrame, item: str, text: str, edits: float, min_words: int) -> DataFrame:
+    """One row for each item: iid, item, n (of its n-grams), codes, grams."""
+    kind = benchmark.schema[item].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
+        for b in batches:
+            codes = [coder(t) for t in utf8(b.column(2))]
+            at = [k for k, c in enumerate(codes) if len(c) >= max(1, min_words)]
+            n = [gram_size(len(codes[k]), edits) for k in at]
+            lists = [pa.array([x.view(np.int64) for x in v], pa.list_(pa.int64())) for v in ([codes[k] for k in at], [grams(codes[k], m) for k, m in zip(at, n, strict=True)])]
+            index = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(index), b.column(1).take(index), pa.array(n, pa.int32()), *lists], names=["iid", "item", "n", "codes", "grams"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("iid"), F.col(item).alias("item"), F.col(text).cast("string").alias("text"))
+    return stage_table(rows.mapInArrow(run, f"iid bigint, item {kind.simpleString()}, n int, codes array<bigint>, grams array<bigint>"), "items")
+
+
+class GramFilter:
+    """Bits for a set of n-grams (column gram, and column n): true of all of them and of few others."""
+
+    def __init__(self, table: DataFrame):
+        found = table.groupBy("n").agg(F.count("*").alias("c")).collect()
+        self.sizes = sorted(r["n"] for r in found)
+        total = sum(r["c"] for r in found)
+        self.log_bits = min(MOST_LOG_BITS, max(12, (64 * total).bit_length()))
+        mask = (1 << self.log_bits) - 1
+        slots = F.explode(F.array(*[F.shiftrightunsigned("gram", s).bitwiseAND(F.lit(mask)) for s in SHIFTS]))
+        # as many rows as the filter has words, however many grams there are
+        rows = table.select(slots.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+        bits = np.zeros(1 << (self.log_bits - 6), np.int64)
+        bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+        self.bits = table.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def passed(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be in the set."""
+        bits, mask, at = self.bits.value, np.uint64((1 << self.log_bits) - 1), np.arange(len(h))
+        for s in SHIFTS:
+            slot = h[at] >> np.uint64(s) & mask
+            at = at[(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
+
+
+def frequencies(docs: DataFrame, text: str, known: GramFilter, most: int = 500_000) -> DataFrame:
+    """(gram, c): how often each n-gram that passes the filter is in the corpus, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, held, n_held = Coder(), [], 0
+
+        def summed() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "c"])
+
+        for b in batches:
+            for t in utf8(b.column(0)):
+                codes = coder(t)
+                for n in known.sizes:
+                    h = grams(codes, n)
+                    h = h[known.passed(h)]
+                    held.append(h)
+                    n_held += len(h)
+                if n_held > most:
+                    yield summed()
+                    held, n_held = [], 0
+        yield summed()
+
+    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def pick(counts: np.ndarray, n: int, length: int, edits: float, min_run: int) -> list[int]:
+    """Where an item's seeds start: E + 1 disjoint ones of the rarest tiling, and the rarest of each stretch that min_run words hold whole."""
+    need, best = allowed(length, edits) + 1, None
+    for offset in range(n):
+        at = range(offset, len(counts), n)
+        if len(at) >= need:
+            rare = sorted((counts[p], p) for p in at)[:need]
             if best is None or sum(f for f, _ in rare) < best[0]:
                 best = (sum(f for f, _ in rare), [p for _, p in rare])
-        for p in best[1]:
-            by.setdefault(n, {}).setdefault(int(key[p]), []).append((i, p))
-    items.seeds = {n: (np.array(sorted(d)), [d[k] for k in sorted(d)]) for n, d in by.items()}
+    chosen, stretch = set(best[1]), max(1, (min_run - n + 1) // 2)
+    if length > min_run:
+        chosen |= {min(range(k, min(k + stretch, len(counts))), key=lambda p: (counts[p], p)) for k in range(0, len(counts), stretch)}
+    return sorted(chosen)
+
+
+def seed_table(items: DataFrame, frequency: DataFrame, edits: float, min_run: int) -> DataFrame:
+    """(gram, n, iid, at): the seeds of all items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for iid, n, length, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out += [(rows[p]["gram"], n, iid, p) for p in pick(np.array([r["c"] for r in rows]), n, length, edits, min_run)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["gram", "n", "iid", "at"])
+
+    each = items.select("iid", "n", F.size("codes").alias("length"), F.posexplode("grams").alias("at", "gram")).join(frequency, "gram", "left")
+    # one group an item, as long as the item is
+    rows = each.groupBy("iid", "n", "length").agg(F.sort_array(F.collect_list(F.struct("at", "gram", F.coalesce("c", F.lit(0)).alias("c")))).alias("rows"))
+    return stage_table(rows.select("iid", "n", "length", "rows").mapInArrow(run, "gram bigint, n int, iid bigint, at int"), "seeds")
 
 
 def align(item: np.ndarray, window: np.ndarray, penalty: float = 0.5) -> tuple[float, int, int]:
@@ -113,110 +191,78 @@ def align(item: np.ndarray, window: np.ndarray, penalty: float = 0.5) -> tuple[f
     return best
 
 
-def find(items: Items, codes: np.ndarray, min_score: float) -> list[tuple]:
-    """(item, score, first word, last word) for each item that the document holds."""
-    hits: dict[int, set[int]] = {}
-    for n, (seed, where) in items.seeds.items():
-        key = items.keys(codes, n)
-        if not len(key) or not len(seed):
-            continue
-        at = np.minimum(np.searchsorted(seed, key), len(seed) - 1)
-        for p in np.nonzero(seed[at] == key)[0]:
-            for i, q in where[at[p]]:
-                hits.setdefault(i, set()).add(int(p) - q)
-    found = []
-    for i in sorted(hits):
-        c, slack = items.codes[i], items.allowed(i) + 1
-        spans: list[list[int]] = []
-        for d in sorted(hits[i]):
-            lo, hi = max(0, d - slack), min(len(codes), d + len(c) + slack)
-            if spans and lo <= spans[-1][1] - len(c):
-                spans[-1][1] = max(spans[-1][1], hi)
-            else:
-                spans.append([lo, hi])
-        best = max(((*(a := align(c, codes[lo:hi]))[:1], -lo, a[1] + lo, a[2] + lo) for lo, hi in spans), default=None)
-        if best and best[0] >= min_score * len(c) - 1e-9:
-            found.append((i, best[0] / len(c), best[2], best[3]))
-    return found
-
-
-def blocks(benchmark: DataFrame, item: str, text: str, edits: float, min_words: int, block_words: int) -> Iterator[Items]:
-    n = F.regexp_count(F.col(text), F.lit(WORD))
-    rows = benchmark.select(F.col(item).alias("i"), F.col(text).cast("string").alias("t"), n.alias("n")).where(F.col("n") >= min_words)
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if not total:
-        return
-    many = -(-total // block_words)
-    for k in range(many):
-        got = [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(many)) == k).select("i", "t").collect()]
-        if got:
-            yield items_of(sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[1])), edits)
-
-
-def frequencies(docs: DataFrame, items: Items, text: str) -> dict[int, dict[int, int]]:
-    """How often each n-gram of the block is in the corpus; as many numbers as the block has n-grams."""
-    grams = items.grams()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {n: np.zeros(len(g), np.int64) for n, g in grams.items()}
+def best_passage(item: np.ndarray, codes: np.ndarray, diagonals: list[int], slack: int) -> tuple[float, int, int]:
+    """The best alignment of an item with windows of a document around the places where seeds met: score, first and last word."""
+    spans: list[list[int]] = []
+    for d in sorted(diagonals):
+        lo, hi = max(0, d - slack), min(len(codes), d + len(item) + slack)
+        if spans and lo <= spans[-1][1] - len(item):
+            spans[-1][1] = max(spans[-1][1], hi)
+        else:
+            spans.append([lo, hi])
+    found = ((*(a := align(item, codes[lo:hi]))[:1], -lo, a[1] + lo, a[2] + lo) for lo, hi in spans)
+    score, _, first, last = max(found)
+    return score, first, last
+
+
+def passages(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, edits: float, min_score: float, min_words: int, min_run: int) -> DataFrame:
+    """(key, h1, h2, item, score, length, matched, first_word, last_word) for each row and item it holds a copy of; h1 and h2 name the row."""
+    kind = docs.schema[key].dataType
+    items = item_table(benchmark, item, item_text, edits, min_words)
+    known = GramFilter(items.select("n", F.explode("grams").alias("gram")).distinct())
+    seeds = seed_table(items, frequencies(docs, text, known), edits, min_run)
+    wanted = GramFilter(seeds.select("n", "gram").distinct())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder()
         for b in batches:
-            for t in utf8(b.column(0)):
-                codes = items.encode(t)
-                for n, g in grams.items():
-                    key = items.keys(codes, n)
-                    key = key[key >= 0]
-                    if len(key):
-                        at = np.minimum(np.searchsorted(g, key), len(g) - 1)
-                        np.add.at(total[n], at[g[at] == key], 1)
-        for n, c in total.items():
-            k = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k.astype(np.int32)), pa.array(c[k])], names=["n", "g", "c"])
-
-    out: dict[int, dict[int, int]] = {n: {} for n in grams}
-    for r in docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "n int, g int, c bigint").groupBy("n", "g").agg(F.sum("c").alias("c")).collect():
-        out[r["n"]][int(grams[r["n"]][r["g"]])] = r["c"]
-    return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 5, block_words: int = 200_000) -> DataFrame:
-    """(key, item, score, first_word, last_word) for each document and item it holds a copy of."""
-    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType
-    schema = f"key {kind}, item {item_kind.simpleString()}, score double, first_word int, last_word int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, item, item_text, edits, min_words, block_words):
-        pick_seeds(items, frequencies(docs, items, text))
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at, got = [], []
-                for row, t in enumerate(utf8(b.column(1))):
-                    f = find(items, items.encode(t), min_score)
-                    at += [row] * len(f)
-                    got += f
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at, pa.int64())), pa.array([items.ids[g[0]] for g in got], _arrow(item_kind)), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int32())],
-                    names=["key", "item", "score", "first_word", "last_word"],
-                )
-
-        out = out.union(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema))
-    return out.withColumnsRenamed({"key": key, "item": item})
-
-
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 5, block_words: int = 200_000) -> DataFrame:
-    """The rows that hold no copy of an item, all columns as they are."""
-    at, schema, out = docs.columns.index(text), docs.schema, docs
-    for items in blocks(benchmark, item, item_text, edits, min_words, block_words):
-        pick_seeds(items, frequencies(docs, items, text))
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not find(items, items.encode(t), min_score) for t in utf8(b.column(at))], pa.bool_()))
-
-        out = out.mapInArrow(run, schema)
-    return out
+            row, met = [], []
+            for k, t in enumerate(utf8(b.column(4))):
+                codes = coder(t)
+                hits = [(p, g) for n in wanted.sizes for g in [grams(codes, n)] for p in [wanted.passed(g)] if len(p)]
+                if hits:
+                    row.append(k)
+                    met.append((codes.view(np.int64), np.concatenate([p for p, _ in hits]).astype(np.int32), np.concatenate([g[p] for p, g in hits]).view(np.int64)))
+            index = pa.array(row, pa.int64())
+            lists = [pa.array([m[k] for m in met], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(index) for k in range(4)), *lists], names=["rid", "key", "h1", "h2", "codes", "at", "gram"])
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for k, (item_codes, codes, diagonals) in enumerate(zip(b.column(4), b.column(5), b.column(6).to_pylist(), strict=True)):
+                c = np.asarray(item_codes.values)
+                score, first, last = best_passage(c, np.asarray(codes.values), diagonals, allowed(len(c), edits) + 1)
+                if score >= min_score * len(c) - 1e-9 or score >= min_run - 1e-9:
+                    at.append(k)
+                    out.append((score / len(c), len(c), score, first, last))
+            cols, index = list(zip(*out, strict=True)) if out else [()] * 5, pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k).take(index) for k in range(4)), *(pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()), strict=True))],
+                names=["key", "h1", "h2", "item", "score", "length", "matched", "first_word", "last_word"],
+            )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), *row_hashes(docs), F.col(text).cast("string").alias("text"))
+    found = stage_table(rows.mapInArrow(scan, f"rid bigint, key {kind.simpleString()}, h1 bigint, h2 bigint, codes array<bigint>, at array<int>, gram array<bigint>"), "met")
+    hits = found.select("rid", F.inline(F.arrays_zip("at", "gram"))).withColumnRenamed("at", "place").join(seeds.select("gram", "iid", "at"), "gram")
+    pairs = hits.groupBy("rid", "iid").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+    both = pairs.join(found.select("rid", "key", "h1", "h2", "codes"), "rid").join(items.select("iid", "item", F.col("codes").alias("item_codes")), "iid")
+    schema = f"key {kind.simpleString()}, h1 bigint, h2 bigint, item {benchmark.schema[item].dataType.simpleString()}, score double, length int, matched double, first_word int, last_word int"
+    return both.select("key", "h1", "h2", "item", "item_codes", "codes", "diagonals").mapInArrow(aligned, schema)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 1, min_run: int = 25) -> DataFrame:
+    """(key, item, score, length, matched, first_word, last_word) for each document and item it holds a copy of.
+
+    score is the share of the item's words that the alignment is worth, matched that worth itself, length the item's words.
+    """
+    found = passages(docs, benchmark, key, text, item, item_text, edits, min_score, min_words, min_run)
+    return found.drop("h1", "h2").withColumnsRenamed({"key": key, "item": item})
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 1, min_run: int = 25) -> DataFrame:
+    """The rows that hold no copy of an item, all columns as they are. Rows equal in all columns share their fate."""
+    h1, h2 = row_hashes(docs)
+    gone = passages(docs, benchmark, key, text, item, item_text, edits, min_score, min_words, min_run)
+    gone = stage_table(gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct(), "gone")
+    return docs.select("*", h1.alias("__h1"), h2.alias("__h2")).join(gone, ["__h1", "__h2"], "left_anti").select(*docs.columns)

@@ -175,16 +175,53 @@ def test_decontamination(spark):
     docs = [filler(80) + items[0] + filler(40), filler(10) + edited + filler(300), gapped, filler(500), items[3] + filler(20), items[1][:5] + filler(50), filler(3) + [w.upper() for w in items[4]], None, "", items[1] * 3]
     rows = [(k, d if d is None or isinstance(d, str) else " ".join(d), "en", "s", 0, 0.0) for k, d in enumerate(docs)]
     bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(None, None), (9, "")], "item_id bigint, text string")
-    for limit in (200_000, 20):
-        got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(table(spark, rows), bench, block_words=limit).collect()}
-        assert set(got) == {(0, 0), (1, 0), (2, 2), (6, 4), (9, 1)}
-        assert got[0, 0].score == 1 and (got[0, 0].first_word, got[0, 0].last_word) == (80, 109) and got[1, 0].score == pytest.approx(1 - 4 * 1.5 / 30)
-    clean = decontam.keep_clean(table(spark, rows), bench)
-    assert {r.doc_id for r in clean.collect()} == {3, 4, 5, 7, 8} and clean.columns == table(spark, rows).columns
+    found = decontam.contaminated(table(spark, rows + rows[1:2]), bench).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert set(got) == {(0, 0), (1, 0), (2, 2), (4, 3), (6, 4), (9, 1)} and len(found) == 7  # repeated rows are reported each
+    assert got[0, 0].score == 1 and (got[0, 0].first_word, got[0, 0].last_word) == (80, 109) and got[1, 0].score == pytest.approx(1 - 4 * 1.5 / 30)
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(table(spark, rows), bench, min_words=5).collect()} == set(got) - {(4, 3)}
+    clean = decontam.keep_clean(table(spark, rows + rows[3:4] + rows[0:1]), bench)
+    assert sorted(r.doc_id for r in clean.collect()) == [3, 3, 5, 7, 8] and clean.columns == table(spark, rows).columns
     assert decontam.contaminated(empty(spark), bench).count() == 0
     assert decontam.contaminated(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_runs_of_long_items_are_found(spark):
+    rng = random.Random(14)
+    item = [f"i{k}" for k in range(200)]
+    filler = lambda n: [f"f{rng.randrange(50)}" for _ in range(n)]
+    docs = {k: filler(30) + item[k : k + 27] + filler(30) for k in range(0, 170, 7)} | {500: filler(40) + item[60:80] + filler(40), 501: filler(9) + item[10:30] + ["x"] + item[30:46] + filler(9)}
+    rows = [(k, " ".join(d), "en", "s", 0, 0.0) for k, d in docs.items()]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(table(spark, rows), bench).collect()}
+    assert set(got) == set(docs) - {500} and got[0].matched == 27 and got[501].matched == 35.5 and got[0].length == 200
+
+
+def test_contamination_equals_aligning_everything(spark):
+    """All documents against all items, without seeds; every word of an alignment at the threshold is in few places, so seeds must find all."""
+    rng = random.Random(15)
+    base = [f"w{k}" for k in range(300)]
+    items = [[rng.choice(base) for _ in range(rng.randint(5, 60))] for _ in range(12)]
+    docs = []
+    for k in range(60):
+        d = list(items[k % 12])
+        for _ in range(rng.randint(0, max(1, len(d) // 4))):
+            d[rng.randrange(len(d))] = rng.choice(base)
+        docs.append([rng.choice(base) for _ in range(rng.randint(0, 60))] + d + [rng.choice(base) for _ in range(rng.randint(0, 60))])
+    number = {w: i for i, w in enumerate(base)}
+    code = lambda ws: np.array([number[w] for w in ws])
+    want = set()
+    for k, d in enumerate(docs):
+        for i, it in enumerate(items):
+            score = decontam.align(code(it), code(d))[0]
+            if score >= 0.7 * len(it) - 1e-9 or score >= 25:
+                want.add((k, i, round(score, 6)))
+    rows = [(k, " ".join(d), "en", "s", 0, 0.0) for k, d in enumerate(docs)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, round(r.matched, 6)) for r in decontam.contaminated(table(spark, rows), bench).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30
+
+
 def test_alignment_equals_the_full_table():
     rng = np.random.default_rng(3)
     for _ in range(50):
