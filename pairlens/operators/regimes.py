@@ -181,10 +181,10 @@ def starts(rows: DataFrame, features: list[str], mean: np.ndarray, scale: np.nda
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    vectors = VectorAssembler(inputCols=features, outputCol="v").transform(rows.select(*standardised(rows, features, mean, scale))).select("v").persist()
+    vectors = VectorAssembler(inputCols=features, outputCol="__features").transform(rows.select(*standardised(rows, features, mean, scale))).select("__features").persist()
     d, out = len(features), []
     for k in range(n_restarts):
-        mixed = GaussianMixture(featuresCol="v", k=n_states, seed=seed + k, maxIter=8).fit(vectors)
+        mixed = GaussianMixture(featuresCol="__features", k=n_states, seed=seed + k, maxIter=8).fit(vectors)
         move = np.full((n_states, n_states), 0.1 / n_states) + 0.9 * np.eye(n_states)
         covariance = np.stack([g.cov.toArray() for g in mixed.gaussians]) + 0.05 * np.eye(d)
         out.append(HiddenMarkov(features, mean, scale, np.full(n_states, 1 / n_states), move, np.stack([g.mean.toArray() for g in mixed.gaussians]), covariance))
@@ -348,9 +348,9 @@ def gmm_states(df: DataFrame, features: list[str], n_states: int, n_restarts: in
     rows = df.select(KEY, TS, *features).dropna()
     known = fit_rows(rows, fit_upto)
     mean, scale = standard(known, features)
-    vectors = lambda r: VectorAssembler(inputCols=features, outputCol="v").transform(r.select(KEY, TS, *standardised(r, features, mean, scale))).select(KEY, TS, "v")
+    vectors = lambda r: VectorAssembler(inputCols=features, outputCol="__features").transform(r.select(KEY, TS, *standardised(r, features, mean, scale))).select(KEY, TS, "__features")
     train = vectors(known).persist()
-    fits = [GaussianMixture(featuresCol="v", predictionCol="regime_state", k=n_states, seed=seed + k, maxIter=100).fit(train) for k in range(n_restarts)]
+    fits = [GaussianMixture(featuresCol="__features", predictionCol="regime_state", k=n_states, seed=seed + k, maxIter=100).fit(train) for k in range(n_restarts)]
     best = max(fits, key=lambda m: m.summary.logLikelihood)
     train.unpersist()
     centre = np.array([g.mean.toArray() for g in best.gaussians])

@@ -63,10 +63,58 @@ def test_planted_decay_is_found(spark):
     rng = np.random.default_rng(5)
     rows = [("s", k, float(0.6 * np.exp(-0.25 * k) + 0.1 + rng.normal(0, 0.01))) for k in range(15)] + [("short", k, 0.1) for k in range(3)]
     got = bt.fit_decay(spark.createDataFrame(rows, "series_id string, window_idx int, ic_composite double")).toPandas().set_index("series_id")
-    assert got.alpha_initial["s"] == pytest.approx(0.6, abs=0.06) and got.decay_rate["s"] == pytest.approx(0.25, abs=0.05) and got.alpha_floor["s"] == pytest.approx(0.1, abs=0.04)
+    assert got.alpha_initial["s"] == pytest.approx(0.7, abs=0.06) and got.decay_rate["s"] == pytest.approx(0.25, abs=0.05) and got.alpha_floor["s"] == pytest.approx(0.1, abs=0.04)
     assert not got.fit_success["short"] and np.isnan(got.alpha_initial["short"])
 
 
+def test_decay_by_hand(spark):
+    """Without noise: 0.6 exp(-k / 4) + 0.1 starts at 0.7 and halves in 4 ln 2 = 2.77 windows; a constant does not decay; a rising curve falls towards its end."""
+    rows = [("clean", k, float(0.6 * np.exp(-0.25 * k) + 0.1)) for k in range(15)] + [("flat", k, 0.25) for k in range(6)] + [("gap", k, None if k == 3 else float(-0.5 * np.exp(-0.4 * k) + 0.3)) for k in range(12)]
+    df = spark.createDataFrame(rows, "series_id string, window_idx int, ic_composite double")
+    got = bt.fit_decay(df).toPandas().set_index("series_id")
+    assert got.loc["clean", ["alpha_initial", "alpha_floor", "decay_rate"]].tolist() == pytest.approx([0.7, 0.1, 0.25], abs=2e-4)
+    assert got.half_life_windows["clean"] == pytest.approx(2.77, abs=0.011) and got.half_life_days["clean"] == pytest.approx(55.5, abs=0.15)
+    assert got.loc["flat", ["alpha_initial", "alpha_floor", "decay_rate"]].tolist() == [0.25, 0.25, 0.0] and np.isinf(got.half_life_windows["flat"]) and np.isinf(got.half_life_days["flat"]) and got.fit_success["flat"]
+    assert got.loc["gap", ["alpha_initial", "alpha_floor", "decay_rate"]].tolist() == pytest.approx([-0.2, 0.3, 0.4], abs=1e-3)
+    true_days = bt.fit_decay(df, stride_days=25).toPandas().set_index("series_id").half_life_days["clean"]
+    assert true_days == pytest.approx(69.3, abs=0.2)
+
+
+def test_backtest_keeps_the_first_row(frame):
+    out = bt.backtest(frame)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and out.where("daily_return is null and capital is null").count() == 2 and out.count() == frame.count()
+
+
+def test_metrics_of_given_returns(frame):
+    traded = bt.run_folds(frame, spread=0.0, slippage=0.0)
+    by_hand = bt.metrics(bt.run_folds(frame)).orderBy("series_id").collect()
+    paid = bt.compute_metrics(traded.select("series_id", "ts", "daily_return", "switched"), changes="switched").orderBy("series_id").collect()
+    assert [r.asDict() for r in paid] == [pytest.approx(r.asDict()) for r in by_hand]
+    free = bt.compute_metrics(traded.select("series_id", "ts", "daily_return")).first()
+    assert free.n_turns == 0 and free.final_capital > paid[0].final_capital
+
+
+def test_anchored_curve_and_sweep(frame):
+    curve = bt.anchored_curve(frame)
+    folds = {(r.series_id, r.fold): r.n_bars for r in bt.walk_forward_anchored(frame).collect()}
+    assert {(r.series_id, r.fold): r.n for r in curve.groupBy("series_id", "fold").agg(F.count("*").alias("n")).collect()} == {k: n - 1 for k, n in folds.items()}
+    swept = {(r.series_id, r.window, r.step): r for r in bt.window_sweep(frame, [(60, 20), (100, 10)]).collect()}
+    one = bt.metrics(bt.run_folds(bt.rolling_windows(frame, 100, 10), ["window_idx"]), ["window_idx"]).where("series_id = 'x'").toPandas()
+    assert swept["x", 100, 10].n_windows == len(one) and swept["x", 100, 10].sharpe == pytest.approx(one.sharpe.mean())
+
+
+def test_accuracy_leaves_out_rows_without_a_label(spark):
+    df = spark.createDataFrame([("s", 0, 0), ("s", 0, 1), ("s", None, 1), ("s", 2, 2)], "series_id string, label int, predicted int")
+    got = {(r.series_id, r.label): (r.accuracy, r.n) for r in s.accuracy(df).collect()}
+    assert got == {("s", None): (pytest.approx(2 / 3), 3), ("s", 0): (0.5, 2), ("s", 2): (1.0, 1)}
+
+
+def test_counts_of_signals(spark):
+    df = spark.createDataFrame([("s", 0.1, None, 0.2), ("s", 0.1, 0.3, 0.2)], "series_id string, mr_signal double, mom_signal double, bo_signal double")
+    assert s.signal_counts(df).first().asDict() == {"series_id": "s", "n_rows": 2, "n_all": 1, "n_mr_signal": 2, "n_mom_signal": 1, "n_bo_signal": 2}
+
+
 def test_signals_stay_in_range(frame):
     df = s.strategy_signals(frame.withColumn("regime", F.lit("trending"))).toPandas()
     for p in ("mr", "mom", "bo"):

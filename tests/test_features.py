@@ -121,3 +121,14 @@ def test_null_handling_helpers(spark):
 def test_constant_correlation_is_null(spark):
     df = spark.createDataFrame([(1.0, float(k)) for k in range(5)], "x double, y double")
     assert df.agg(C.correlation("x", "y")).first()[0] is None
+
+
+def test_long_series_in_blocks_equal_whole_ones(spark):
+    df = spark.createDataFrame(panel(2600, ("x", "y")))
+    got = f.long_series_features(df, 900).orderBy("series_id", "ts").toPandas()
+    want = f.feature_frame(df).orderBy("series_id", "ts").toPandas()
+    assert len(got) == len(want) and set(want.columns) == set(got.columns)
+    for c in want.columns.drop(["series_id", "ts"]):
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-7, atol=1e-9)
+    with pytest.raises(ValueError):
+        f.halo_blocks(df.withColumn("bar_idx", F.lit(0)), 10, 20)

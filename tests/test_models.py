@@ -1,3 +1,6 @@
+import datetime as dt
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -28,6 +31,71 @@ def test_hidden_states_are_found_again(spark):
     np.testing.assert_allclose(model.move.sum(1), 1)
 
 
+def sequential_messages(model, x):
+    """Forward and backward messages row after row."""
+    b = np.exp(model.log_density(x))
+    n, k = b.shape
+    forward, back = np.empty((n, k)), np.ones((n, k))
+    forward[0] = model.start * b[0]
+    for t in range(1, n):
+        forward[t] = forward[t - 1] @ model.move * b[t]
+    for t in range(n - 2, -1, -1):
+        back[t] = model.move @ (b[t + 1] * back[t + 1])
+    total = forward[-1].sum()
+    moves = sum(np.outer(forward[t - 1], b[t] * back[t]) * model.move for t in range(1, n)) / total
+    return np.log(total), forward * back / total, moves
+
+
+def small_model(seed=3, k=3, d=2):
+    rng = np.random.default_rng(seed)
+    return regimes.HiddenMarkov(["u", "v"], np.zeros(d), np.ones(d), rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.normal(0, 1, (k, d)), np.stack([np.eye(d)] * k)), rng
+
+
+def test_messages_by_blocks_equal_those_row_by_row():
+    model, rng = small_model()
+    x = rng.normal(0, 1, (150, 2))
+    ll, g, moves = sequential_messages(model, x)
+    got = regimes.expectation(model, x)
+    assert got[0] == pytest.approx(ll)
+    np.testing.assert_allclose(got[1], g, atol=1e-9)
+    np.testing.assert_allclose(got[2], moves, atol=1e-9)
+    # two blocks, with what reaches each from the other
+    a, b = x[:70], x[70:]
+    outgoing, incoming = regimes.transfer(model, b, False) @ np.ones(3), model.start @ regimes.transfer(model, a, True)
+    one, two = regimes.expectation(model, a, True, None, outgoing), regimes.expectation(model, b, False, incoming, None)
+    assert one[0] + two[0] == pytest.approx(ll)
+    np.testing.assert_allclose(np.concatenate([one[1], two[1]]), g, atol=1e-9)
+    np.testing.assert_allclose(one[2] + two[2], moves, atol=1e-9)
+
+
+def test_a_series_in_many_blocks(spark):
+    model, rng = small_model()
+    p = pd.concat([pd.DataFrame(rng.normal(0, 1.5, (n, 2)), columns=["u", "v"]).assign(series_id=s, ts=pd.date_range("2020-01-01", periods=n)) for s, n in (("x", 230), ("y", 40), ("z", 1))])
+    df = spark.createDataFrame(p)
+    paths = [regimes.hmm_states(df, model, block_rows=size).orderBy("series_id", "ts").toPandas() for size in (32, 4096)]
+    pd.testing.assert_frame_equal(*paths)
+    fits = [regimes.hmm_fit(df, ["u", "v"], n_states=2, n_restarts=2, max_iter=4, block_rows=size) for size in (32, 4096)]
+    assert fits[0].log_likelihood == pytest.approx(fits[1].log_likelihood) and fits[0].rounds == 4 and not fits[0].converged
+    np.testing.assert_allclose(fits[0].centre, fits[1].centre, atol=1e-8)
+    # the likeliest of all paths, by trying them
+    few = p[p.series_id == "x"].head(7)
+    d, best = model.log_density(few[["u", "v"]].to_numpy()), []
+    for path in itertools.product(range(3), repeat=7):
+        best.append((np.log(model.start[path[0]]) + sum(np.log(model.move[i, j]) for i, j in zip(path, path[1:])) + sum(d[t, k] for t, k in enumerate(path)), path))
+    got = regimes.hmm_states(spark.createDataFrame(few), model, block_rows=3).orderBy("ts").toPandas().regime_state
+    assert tuple(got) == max(best)[1]
+
+
+def test_fits_that_do_not_look_ahead(spark):
+    model, rng = small_model()
+    p = pd.DataFrame(rng.normal(0, 1, (200, 2)), columns=["u", "v"]).assign(series_id="s", ts=pd.date_range("2020-01-01", periods=200))
+    later = p.assign(u=np.where(np.arange(200) >= 100, 50.0, p.u))
+    fits = [regimes.hmm_fit(regimes.fit_rows(spark.createDataFrame(x), 0.5), ["u", "v"], 2, 1, 3) for x in (p, later)]
+    np.testing.assert_allclose(fits[0].state_means(), fits[1].state_means())
+    means, moves = regimes.model_tables(spark, regimes.HiddenMarkov(["a_atr_pct", "ratio_zscore_30"], np.zeros(2), np.ones(2), model.start, model.move, model.centre, model.covariance))
+    assert means.count() == 6 and moves.groupBy("from_state").sum("probability").where("abs(`sum(probability)` - 1) > 1e-9").count() == 0
+
+
 def test_state_names():
     means = np.array([[0.9, 2.0], [0.1, 0.0], [0.5, -1.0], [0.6, 1.0]])
     assert regimes.name_states(means, ["a_atr_pct", "ratio_zscore_30"]) == {0: "crisis", 1: "range_bound", 2: "risk_on", 3: "trending"}
@@ -66,6 +134,8 @@ def test_attributions_add_up(spark):
     shap = out[[c for c in out if c.startswith("shap_")]].sum(axis=1)
     np.testing.assert_allclose(shap + out.base, out.margin, atol=1e-9)
     assert out.ensemble_confidence.between(1 / 3 - 1e-9, 1).all()
+    counts = [leaf.share for tree in ensemble.trees_of(ensemble.fit(df, n_trees=2).models[0], spark) for leaf in tree]
+    assert sum(counts) == pytest.approx(2)  # the leaves of each tree share all rows
     assert ensemble.top_features(spark.createDataFrame(out), 3).count() == 3
     with pytest.raises(ValueError):
         ensemble.top_features(df, 3)
@@ -83,6 +153,9 @@ def test_sources(spark, tmp_path):
     src.write_stage(df, str(tmp_path / "p"))
     assert src.read_first_available(spark, [str(tmp_path / "none"), str(tmp_path / "p")]).count() == 20
     assert src.read_bars(spark, str(tmp_path / "p"), since="2020-01-11 00:00:00").count() == 10
+    holes = spark.createDataFrame([("s", dt.datetime(2020, 1, 1), float("nan"), 1.0)], src.BARS)
+    src.write_stage(holes, str(tmp_path / "holes"), partition_by=None)
+    assert src.read_bars(spark, str(tmp_path / "holes")).first().a_close is None and src.read_first_available(spark, [str(tmp_path / "holes")]).first().a_close is None
     with pytest.raises(FileNotFoundError):
         src.read_first_available(spark, [str(tmp_path / "none")])
     q = spark.createDataFrame([("s", 1, "A", "close", 1.0), ("s", 1, "B", "close", 2.0), ("s", 2, "A", "close", 3.0), ("s", 1, "A", "open", 9.0)], "series_id string, ts int, ticker string, field string, value double")

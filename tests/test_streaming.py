@@ -35,3 +35,23 @@ def test_state_equals_batch_and_latest_is_kept(spark, tmp_path):
     st.upsert_latest(source(), str(tmp_path / "last")).awaitTermination()
     last = spark.read.parquet(str(tmp_path / "last/v2")).toPandas()
     assert len(last) == 2 and (last.ts == p.ts.max()).all()
+
+
+def test_pieces_of_a_batch_and_late_bars(spark, tmp_path):
+    """A batch that comes in pieces of 50 rows in no order equals the whole; bars that are not after the state's last go."""
+    p = panel(300)
+    cut = p.ts.sort_values().iloc[199]
+    late = p[p.ts == cut].assign(a_close=999.0)
+    shuffled = lambda d, k: spark.createDataFrame(d.sample(frac=1, random_state=k)).coalesce(1)
+    shuffled(p[p.ts <= cut], 1).write.parquet(str(tmp_path / "in/0"))
+    shuffled(pd.concat([p[p.ts > cut], late, p[p.ts == p.ts.min()]]), 2).write.parquet(str(tmp_path / "in/1"))
+    source = spark.readStream.schema("series_id string, ts timestamp, a_close double, b_close double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = st.run_available(st.incremental_features(source), "f", str(tmp_path / "out")).orderBy("ts").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = f.momentum_features(f.ratio_features(spark.createDataFrame(p))).orderBy("ts").toPandas()
+    assert len(got) == 300
+    np.testing.assert_allclose(got.ema_slope, want.ratio_ema_slope, rtol=1e-8, atol=1e-12)
