@@ -5,8 +5,8 @@ the largest sum of piece scores, then the fewest tokens. The new distinct pre-to
 their trie: the forward scores (best sum and count at each place) of the prefix that two neighbours share are computed
 once. The count at a pre-token's end is stored; a cache of at most ``cache_words`` counts serves later batches of the task.
 
-The public vocabulary is a BPE one and gives merge ranks, not probabilities: a piece of rank r (from 0) scores -ln(r + 2),
-as Zipf's law has it. A character without a piece becomes one byte token for each UTF-8 byte, each with the score of the last rank + 1.
+The public vocabulary is a BPE one and gives merge ranks, not probabilities, and tokenizers are not trained here: a piece of rank r (from 0) scores -ln(r + 2),
+as Zipf's law has it; a vocabulary with scores of its own may be given. A character without a piece becomes one byte token for each UTF-8 byte, each with the score of the last rank + 1.
 
 Defined cases: null and blank texts have 0 tokens. Rows are counted each, repeated or not; null keys are kept. A word of any length takes
 time linear in its length. Extra columns are not looked at.
@@ -14,6 +14,7 @@ time linear in its length. Extra columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import os
 from collections.abc import Iterator
@@ -78,12 +79,18 @@ class TrieCounter:
 _counters: dict[str, TrieCounter] = {}
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, step: int = 500) -> DataFrame:
-    """One row for each row: key, n_pretokens, n_tokens, n_bytes. vocabulary: a path that every executor has."""
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | dict[str, float] = VOCABULARY, step: int = 500) -> DataFrame:
+    """One row for each row: key, n_pretokens, n_tokens, n_bytes.
+
+    vocabulary: pieces with scores, or the path of a model on the driver; the pieces go to the tasks with the job. Tasks of a worker share counts.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    pieces = load_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
+    name = hashlib.sha1(repr(sorted(pieces.items())).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary, whatever the number of documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.get(vocabulary) or _counters.setdefault(vocabulary, TrieCounter(load_vocabulary(vocabulary)))
+        counter = _counters.get(name) or _counters.setdefault(name, TrieCounter(sent.value))
         for b in batches:
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
