@@ -45,15 +45,17 @@ class LanguageModel:
         return made
 
 
-def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 600, excerpt_bytes: int = 512, pieces: int = 2, dict_bytes: int = 96 * 1024, **model) -> LanguageModel:
+def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 600, excerpt_bytes: int = 512, pieces: int = 2, dict_bytes: int = 96 * 1024, max_langs: int = 1000, **model) -> LanguageModel:
     """Dictionaries from docs_per_lang keys a language, the first by (hash, key); all of them where there are fewer.
 
     A language's rows have equal parts of its dict_bytes, excerpt_bytes at most, so that all of them fit. A text longer than its part gives
     this many pieces, one from a hash-chosen place in each equal section of the text. Repeated rows of a key give
-    one excerpt. The driver gets at most dict_bytes characters for each language, however large the table.
+    one excerpt. The driver gets at most dict_bytes characters for each language, however large the table. More than max_langs languages are an error.
     """
     rows = train.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).where("k is not null and t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.countDistinct("k").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.countDistinct("k").alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"{lang} has more than {max_langs} values: it does not name languages")
     if not counts:
         return LanguageModel({}, **model)
     part = {lang: max(16, min(excerpt_bytes, dict_bytes // min(n, docs_per_lang) - 1)) for lang, n in counts.items()}  # a line feed follows

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -24,6 +25,8 @@ def test_language(spark):
     kept = langid.keep_identified(docs, model)
     assert kept.columns == docs.columns and kept.where("doc_id between 60 and 63").count() == 0 and kept.where("doc_id < 60").count() == 62
     assert langid.predict(empty(spark), model).count() == 0
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs, max_langs=1)
     none = langid.fit(empty(spark))
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
 
@@ -252,6 +255,8 @@ def test_token_counts(spark):
     assert c.counts == {w: by_hand(w, c) for w in ws}
     got = {r.doc_id: r for r in tokencount.count_tokens(table(spark)).collect()}
     assert len(got) == 72 and all(got[k].n_tokens == 0 for k in (60, 61, 62)) and got[64].n_pretokens == 30_000
+    own = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(table(spark, [(1, "ab bab üb", "x", "s", 0, 0.0)]), vocabulary=pieces).collect()}
+    assert own == {1: sum(by_hand(w, c) for w in ("ab", "bab", "üb"))}
     small = tokencount.TrieCounter(tokencount.load_vocabulary(), cache_words=5)
     one = [(r[0], small.batch([(r[1] or "").encode()])[1][0]) for r in documents()]
     assert all(got[k].n_tokens == n for k, n in one)
@@ -342,6 +347,77 @@ def test_risk_of_positive_unlabelled_learning():
     assert a == pytest.approx(0.5 * math.log1p(math.exp(-2))) and b == pytest.approx(math.log1p(math.exp(-2)) - 0.5 * math.log1p(math.exp(2)))
 
 
+@pytest.mark.parametrize("hidden", [0, 2])
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_fit_follows_the_numerical_gradient(hidden, prior):
+    """The same few steps by plain Adam on differences of the risk; the larger prior makes the second part negative."""
+    rng = np.random.default_rng(4)
+    x_p, x_u = rng.normal(0.5, 1, (20, 3)), rng.normal(0, 1, (30, 3))
+    got = nnpu.fit(x_p, x_u, prior, hidden=hidden, steps=4, rate=0.1, decay=0.01)
+    mean, scale = x_u.mean(0), x_u.std(0)
+    zp, zu = (x_p - mean) / scale, (x_u - mean) / scale
+    rng = np.random.default_rng(7)
+    d, w = 3, []
+    if hidden:
+        w, d = [rng.normal(0, 1 / np.sqrt(3), (3, hidden)), np.zeros(hidden)], hidden
+    w += [rng.normal(0, 1 / np.sqrt(d), (d, 1)) if hidden else np.zeros((d, 1)), np.zeros(1)]
+
+    def scores(x):
+        return ((np.tanh(x @ w[0] + w[1]) if hidden else x) @ w[-2] + w[-1])[:, 0]
+
+    def objective():
+        first, second = nnpu.risk(scores(zp), scores(zu), prior)
+        decay = 0.005 * sum((a**2).sum() for a in w if a.ndim == 2)
+        return (first + second if sign > 0 else -second) + decay
+
+    m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
+    for t in range(1, 5):
+        sign = 1 if nnpu.risk(scores(zp), scores(zu), prior)[1] >= 0 else -1
+        grads = [np.zeros_like(a) for a in w]
+        for a, g in zip(w, grads):
+            for i in np.ndindex(a.shape):
+                kept = a[i]
+                a[i] = kept + 1e-6
+                up = objective()
+                a[i] = kept - 1e-6
+                g[i], a[i] = (up - objective()) / 2e-6, kept
+        for k, g in enumerate(grads):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            w[k] -= 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    for a, b in zip(got.weights, w):
+        np.testing.assert_allclose(a, b, atol=2e-5)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("query,table_,label,least", [("op1_language_id", "documents", "lang", 0.97), ("op6_toxicity", "labels", "toxic", 0.93), ("op10_quality", "labels", "quality", 0.95)])
+def test_held_out_accuracy_on_whole_tables(spark, query, table_, label, least):
+    from pairlens.llm import queries
+
+    got = queries.queries()[query](spark, SF)
+    truth = spark.read.parquet(f"{SF}/{table_}.parquet").where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("truth")).distinct()
+    rows = got.where("held_out").join(truth, "doc_id").collect()
+    right = [r.lang_pred == r.truth if label == "lang" else r.predicted == r.truth for r in rows if label != "lang" or r.lang_pred != "und"]
+    assert len(right) > 50 and sum(right) >= least * len(right)
+
+
+@pytest.mark.parametrize("operator", [quality, toxicity])
+def test_long_texts_are_read_whole(spark, operator):
+    label = "quality" if operator is quality else "toxic"
+    rng = random.Random(16)
+    mark = " ".join(["###", "@@@", "%%%"] * 30_000) if operator is quality else "vile nasty"
+    rows = [(k, words(rng, EN, 40) + (" " + ("vile" if operator is toxicity else "### @@@ %%% " * 20) if k % 4 == 0 else ""), "en", "s", 0, 0.0) for k in range(400)]
+    flag = lambda bad: int(bad == (operator is toxicity))
+    labels = spark.createDataFrame([(k, flag(k % 4 == 0)) for k in range(400)], f"doc_id bigint, {label} int")
+    long = words(rng, EN, 60_000)
+    docs = table(spark, rows + [(1000, long, "en", "s", 0, 0.0), (1001, long + " " + mark, "en", "s", 0, 0.0)])
+    model = operator.fit(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in operator.predict(docs, model).collect()}
+    assert (got[1001] > got[1000]) == (operator is toxicity)
+
+
 @pytest.mark.parametrize("operator,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, operator, label):
     rng = random.Random(6)
