@@ -143,6 +143,23 @@ def test_links_keep_all_components(spark, dense):
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(n for n in got if got[n] == r) for r in set(got.values())}
 
 
+def test_what_a_dense_bucket_looks_up_is_crowded(spark):
+    """A bucket of two beside one of 300, whose members all look it up: the links are those of all pairs, and no pair is made between the buckets."""
+    rng = random.Random(18)
+    low = 0b111
+    fps = sorted({(rng.getrandbits(31) << 32) | low for _ in range(300)} | {(rng.getrandbits(31) << 32) | (low & ~1) for _ in range(2)})
+    fps += [fps[0] ^ 1, fps[5] ^ (1 << 40) ^ 1]
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    edges = simhash.links(df, 256)
+    got = {r.node: r.root for r in components(edges).collect()}
+    groups = defaultdict(set)
+    for f, c in zip(fps, classes_by_hand(fps)):
+        groups[c].add(f)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(n for n in got if got[n] == r) for r in set(got.values())}
+    assert edges.count() < 50
+
+
 def test_near_duplicates(spark):
     rows = documents()
     got = simhash.near_duplicates(table(spark, rows)).collect()
@@ -153,7 +170,7 @@ def test_near_duplicates(spark):
         by[c].add(r[0])
     want = {(r[0], f"{f:016x}", min((k for k in by[c] if k is not None), default=None)) for r, f, c in zip(rows, fps, classes_by_hand(fps))}
     assert {tuple(r) for r in got} == want
-    kept = neardup.keep_one(table(spark, rows), shingle=3)
+    kept = neardup.keep_one_row(table(spark, rows), shingle=3)
     assert kept.columns == SCHEMA.replace(" bigint", "").replace(" string", "").replace(" double", "").split(", ")
     assert kept.where("doc_id in (61, 62, 66, 67)").count() == 0 and kept.where("doc_id = 60").count() == 1
     assert simhash.near_duplicates(empty(spark)).count() == 0
