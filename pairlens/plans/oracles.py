@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.backtest import decay_grid, refining
+from ..operators.garch import COARSE
 from .queries import COSTS, IC_SIGNALS, WINDOWS
 
 BARS = """bars AS (
@@ -227,6 +228,21 @@ bt AS (SELECT *, product(1 + daily_return) OVER (PARTITION BY series_id ORDER BY
         ),
         "anchored_curve": _with(_anchored(), f"SELECT series_id, fold, {DAY}, {r('daily_return', 'capital')} FROM bt"),
         "signal_counts": _with(FULL, "SELECT series_id, count(*) AS n_rows, count(CASE WHEN mr_signal IS NOT NULL AND mom_signal IS NOT NULL AND bo_signal IS NOT NULL THEN 1 END) AS n_all, count(mr_signal) AS n_mr_signal, count(mom_signal) AS n_mom_signal, count(bo_signal) AS n_bo_signal FROM strategy GROUP BY 1"),
+        "garch_coarse": _with(
+            f"""{BARS}, {RAW}, legs AS (SELECT series_id, 'a_ret_1' AS leg, ts, a_ret_1 * 100 AS x FROM raw WHERE a_ret_1 IS NOT NULL UNION ALL SELECT series_id, 'b_ret_1', ts, b_ret_1 * 100 FROM raw WHERE b_ret_1 IS NOT NULL),
+cen AS (SELECT series_id, leg, ts, x - avg(x) OVER (PARTITION BY series_id, leg) AS e, row_number() OVER (PARTITION BY series_id, leg ORDER BY ts) - 1 AS i FROM legs),
+tar AS (SELECT *, avg(e * e) OVER (PARTITION BY series_id, leg) AS target FROM cen),
+grid(alpha, beta) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in COARSE)}),
+var AS (
+  SELECT series_id, leg, alpha, beta, i, e, target, target AS variance FROM tar, grid WHERE i = 0
+  UNION ALL
+  SELECT n.series_id, n.leg, v.alpha, v.beta, n.i, n.e, n.target, (1 - v.alpha - v.beta) * n.target + v.alpha * v.e * v.e + v.beta * v.variance FROM var v JOIN tar n ON n.series_id = v.series_id AND n.leg = v.leg AND n.i = v.i + 1)""",
+            "SELECT series_id, leg, round(alpha, 4) AS alpha, round(beta, 4) AS beta, round(ll, 4) AS ll FROM (SELECT series_id, leg, alpha, beta, sum(-0.5 * (ln(variance) + e * e / variance)) AS ll FROM var GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY series_id, leg ORDER BY ll DESC) = 1",
+        ),
+        "hmm_holds": _with(PLAIN, "SELECT series_id, count(*) AS n_labelled, true AS one_name, true AS crisis_moves, true AS few_states FROM frame GROUP BY 1"),
+        "missing_regimes": _regimes(f"SELECT series_id, {DAY}, regime, CAST({_weight(0.7, 0.4, 1.2, 1.5)} AS DOUBLE) AS weight, CASE regime WHEN 'crisis' THEN 0::DOUBLE WHEN 'risk_on' THEN 2::DOUBLE WHEN 'trending' THEN 3::DOUBLE ELSE 1::DOUBLE END AS code FROM reg"),
+        "versioned_stages": _with(f"{BARS}, {RAW}", f"SELECT series_id, {DAY}, {r('ratio')}, {r('slope')} FROM (SELECT *, ratio - lag(ratio, 5) {W} AS slope FROM raw)"),
+        "stream_latest": _with(BARS, f"SELECT series_id, {DAY}, {r('a_close', 'b_close')} FROM bars QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) = 1"),
         "garch_gain": _with(f"{BARS}, {RAW}", "SELECT series_id, leg, round(var_pop(x * 100), 6) AS target, true AS holds FROM (SELECT series_id, 'a_ret_1' AS leg, a_ret_1 AS x FROM raw UNION ALL SELECT series_id, 'b_ret_1', b_ret_1 FROM raw) GROUP BY 1, 2"),
         "shap_sums": _with(FULL, f"SELECT series_id, {DAY}, true AS adds_up, true AS in_range FROM strategy WHERE mom_signal IS NOT NULL AND bo_confidence IS NOT NULL"),
         "strategy_signals": _with(FULL, f"SELECT series_id, {DAY}, regime, {r(*[f'{p}_{k}' for p in ('mr', 'mom', 'bo') for k in ('signal', 'confidence')])} FROM strategy"),

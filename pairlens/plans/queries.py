@@ -304,6 +304,13 @@ def regime_transitions(spark, sf_dir):
     return out(regimes.regime_transitions(regimes.rule_regime(features.ratio_features(bars(spark, sf_dir)))), KEY, "from_regime", "to_regime", "n", "probability")
 
 
+@query
+def missing_regimes(spark, sf_dir):
+    """Rows before the first score have no regime: weight 1, and the code of a quiet market."""
+    df = regimes.rule_regime(features.ratio_features(bars(spark, sf_dir)))
+    return out(df.withColumns({"weight": signals.regime_weight("momentum"), "code": regimes.encoded()}), KEY, "regime", "weight", "code", day=day())
+
+
 @query
 def regime_bands(spark, sf_dir):
     df = regimes.regime_bands(regimes.rule_regime(features.ratio_features(bars(spark, sf_dir))))
@@ -341,6 +348,26 @@ def latest_top_contributions(spark, sf_dir):
     return out(ensemble.latest_contributions(predictions(spark, sf_dir)), KEY, "feature", "value", "place")
 
 
+@query
+def versioned_stages(spark, sf_dir):
+    """A stage reads what the one before wrote and writes a version of its own, more columns in each."""
+    path = shared_folder(spark, "stages")
+    src.write_stage(bars(spark, sf_dir), f"{path}/v0", partition_by=None)
+    src.write_stage(features.with_ratio(src.read_first_available(spark, [f"{path}/v1", f"{path}/v0"])), f"{path}/v1", partition_by=None)
+    both = src.read_first_available(spark, [f"{path}/v1", f"{path}/v0"])
+    return out(both.withColumn("slope", F.col("ratio") - F.lag("ratio", 5).over(over_series())), KEY, "ratio", "slope", day=day())
+
+
+@query
+def stream_latest(spark, sf_dir):
+    """The latest bar of each series, kept by merging one batch after the other."""
+    path, folder = shared_folder(spark, "bars"), shared_folder(spark, "latest")
+    src.write_stage(bars(spark, sf_dir).repartitionByRange(3, TS), path, partition_by=None)
+    stream = spark.readStream.schema(src.BARS).option("maxFilesPerTrigger", 1).parquet(path)
+    streams.upsert_latest(stream, folder).awaitTermination()
+    return out(streams.latest_version(spark, folder, src.BARS), KEY, "a_close", "b_close", day=day())
+
+
 @query
 def csv_stage(spark, sf_dir):
     """Bars written as CSV and read again by schema, from the first path of a list that is there."""
@@ -361,6 +388,16 @@ def hmm_regimes(spark, sf_dir):
     return out(df, KEY, "regime_state", "regime", day=day())
 
 
+@query
+def hmm_holds(spark, sf_dir):
+    """What labels must hold: every complete row has one, a state has one name, and the crisis is not the calmest state."""
+    df = regimes.fit_and_label(staged(features.feature_frame(bars(spark, sf_dir)), "features"), model="hmm")
+    per_state = df.groupBy("regime_state").agg(F.count_distinct("regime").alias("names"), F.avg("a_atr_pct").alias("vol"), F.first("regime").alias("name"))
+    whole = per_state.agg((F.max("names") == 1).alias("one_name"), (F.max_by("name", -F.col("vol")) != "crisis").alias("crisis_moves"), (F.count("*") <= 4).alias("few_states"))
+    n = df.groupBy(KEY).agg(F.count("regime").alias("n_labelled"))
+    return out(n.join(F.broadcast(whole)), KEY, "n_labelled", "one_name", "crisis_moves", "few_states")
+
+
 @query
 def hmm_tables(spark, sf_dir):
     """State means and move probabilities of a model that saw the first four fifths of each series."""
@@ -376,6 +413,13 @@ def garch_vol(spark, sf_dir):
     return out(df, KEY, "a_garch_vol", "b_garch_vol", "garch_vol_ratio", day=day())
 
 
+@query
+def garch_coarse(spark, sf_dir):
+    """The likeliest candidate of the coarse grid for each leg."""
+    rows = staged(garch.centred(features.with_returns(bars(spark, sf_dir)), ["a_ret_1", "b_ret_1"]), "returns")
+    return out(garch.fit_legs(rows, 0), KEY, "leg", "alpha", "beta", "ll", places=4)
+
+
 @query
 def garch_gain(spark, sf_dir):
     """What the fit must hold for each series: parameters in range, no candidate of the coarse grid likelier, the variances' start at the mean square."""

@@ -93,13 +93,21 @@ def run_available(stream: DataFrame, name: str, folder: str | None = None) -> Da
 
 
 def upsert_latest(stream: DataFrame, folder: str):
-    """Keep one row a series, its latest, in versions below folder: each batch is merged with the version before."""
+    """Keep one row a series, its latest, in versions below folder: each batch is merged with the version before. A batch that is
+    run again after a failure makes the same version."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = f"{folder}/v{batch_id - 1}"
-        both = batch if batch_id == 0 else batch.unionByName(spark.read.parquet(before))
+        before = f"{folder}/versions/v={batch_id - 1}"
+        both = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(before))
         last = both.groupBy(KEY).agg(F.max_by(F.struct(*batch.columns), TS).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
+        last.write.mode("overwrite").parquet(f"{folder}/versions/v={batch_id}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+
+
+def latest_version(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The rows of the newest version below folder."""
+    versions = spark.read.schema(f"{schema if isinstance(schema, str) else schema.toDDL()}, v long").parquet(f"{folder}/versions")
+    newest = versions.agg(F.max("v")).first()[0]
+    return versions.where(F.col("v") == newest).drop("v")

@@ -33,7 +33,7 @@ def test_state_equals_batch_and_latest_is_kept(spark, tmp_path):
     np.testing.assert_allclose(got.zscore_90.astype(float), want.ratio_zscore_90.astype(float), rtol=1e-7)
     assert (got.signal == want.signal).all()
     st.upsert_latest(source(), str(tmp_path / "last")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "last/v2")).toPandas()
+    last = st.latest_version(spark, str(tmp_path / "last"), "series_id string, ts timestamp, a_close double, b_close double").toPandas()
     assert len(last) == 2 and (last.ts == p.ts.max()).all()
 
 
