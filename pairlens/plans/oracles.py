@@ -275,6 +275,7 @@ var AS (
         "top_columns": _with(PLAIN, f"SELECT feature, round(avg(abs(value)), 6) AS importance FROM ({contributions('frame')}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"),
         "latest_columns": _with(PLAIN + ", last AS (SELECT * FROM frame QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) = 1)", f"SELECT series_id, feature, round(value, 6) AS value, place FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(value) DESC, feature) AS place FROM ({contributions('last')})) WHERE place <= 4"),
         "whole_pipeline": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT series_id, {r(*METRICS, 'final_capital')}, n_turns FROM met"),
+        "whole_pipeline_models": _with(PLAIN + ", " + folds("sized", "series_id") + ", cnt AS (SELECT series_id, count(*) AS k FROM sized GROUP BY 1)", f"SELECT series_id, {r(*METRICS, 'final_capital')}, n_turns, k AS n_regimes, k - 1 AS n_returns, true AS predicted FROM met JOIN cnt USING (series_id)"),
         "stream_bars": """WITH t AS (SELECT * FROM events WHERE event_type IN ('click', 'view')), b AS (SELECT date_trunc('hour', ts) AS w, max(CASE WHEN event_type = 'click' THEN {'at': ts, 'v': value} END).v AS a_close, max(CASE WHEN event_type = 'view' THEN {'at': ts, 'v': value} END).v AS b_close FROM t GROUP BY 1)
 SELECT 'click/view' AS series_id, strftime(w, '%Y-%m-%d %H:%M') AS hour, round(a_close, 6) AS a_close, round(b_close, 6) AS b_close FROM b WHERE a_close IS NOT NULL AND b_close IS NOT NULL AND w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM t)""",
         "stream_features": _with(

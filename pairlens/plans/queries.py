@@ -456,6 +456,14 @@ def whole_pipeline(spark, sf_dir):
     return out(pipeline(bars(spark, sf_dir), Config(regime_model="rule"))[1], KEY, *bt.METRICS, "final_capital", "n_turns")
 
 
+@query
+def whole_pipeline_models(spark, sf_dir):
+    """The same with hidden Markov regimes, GARCH volatility and the ensemble at their classic sizes; the rule's metrics do not depend on them, the frame does."""
+    df, metrics = pipeline(bars(spark, sf_dir), Config(regime_model="hmm", vol_model="garch", ensemble_trees=300))
+    got = df.groupBy(KEY).agg(F.count("regime").alias("n_regimes"), F.count("daily_return").alias("n_returns"), (F.count("ensemble_signal") > 0).alias("predicted"))
+    return out(metrics.join(got, KEY), KEY, *bt.METRICS, "final_capital", "n_turns", "n_regimes", "n_returns", "predicted")
+
+
 @query
 def whole_analysis(spark, sf_dir):
     """All results of the analysis written as stages and read again; the decay fit beside the rows of each."""
