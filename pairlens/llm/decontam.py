@@ -52,19 +52,44 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-class Coder:
-    """Words as 64-bit hashes; those met before are looked up (a few hundred thousand at most)."""
-
-    def __init__(self) -> None:
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        w, seen = words(text), self.seen
-        if len(seen) > 400_000:
-            seen.clear()
-        for x in set(w).difference(seen):
-            seen[x] = xxhash.xxh3_64_intdigest(x)
-        return np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
+def codes_of(w: list[bytes]) -> np.ndarray:
+    """Words as 64-bit hashes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+
+
+class Texts:
+    """Some texts of a batch, one after the other: first is the row of the first, codes are all words, start and stop those of each text."""
+
+    def __init__(self, first: int, codes: np.ndarray, lengths: list[int]):
+        self.first, self.codes = first, codes
+        self.stop = np.cumsum(lengths)
+        self.start = self.stop - lengths
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
+
+    def met(self, known: GramFilter) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the n-grams inside a text that pass the filter."""
+        places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for n in known.sizes:
+            h = grams(self.codes, n)
+            at = known.passed(h)
+            at = at[self.row[at] == self.row[at + n - 1]]
+            places.append(at)
+            hashes.append(h[at])
+        return np.concatenate(places), np.concatenate(hashes)
+
+
+def texts_of(array: pa.Array, most: int = 1 << 16) -> Iterator[Texts]:
+    """The texts of a batch in parts of about so many words; a longer text is a part."""
+    held, lengths, first = [], [], 0
+    for t in utf8(array):
+        w = words(t)
+        held += w
+        lengths.append(len(w))
+        if len(held) >= most:
+            yield Texts(first, codes_of(held), lengths)
+            held, lengths, first = [], [], first + len(lengths)
+    if lengths:
+        yield Texts(first, codes_of(held), lengths)
 
 
 def item_table(benchmark: DataFrame, item: str, text: str, edits: float, min_words: int) -> DataFrame:
@@ -72,9 +97,8 @@ def item_table(benchmark: DataFrame, item: str, text: str, edits: float, min_wor
     kind = benchmark.schema[item].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder()
         for b in batches:
-            codes = [coder(t) for t in utf8(b.column(2))]
+            codes = [codes_of(words(t)) for t in utf8(b.column(2))]
             at = [k for k, c in enumerate(codes) if len(c) >= max(1, min_words)]
             n = [gram_size(len(codes[k]), edits) for k in at]
             lists = [pa.array([x.view(np.int64) for x in v], pa.list_(pa.int64())) for v in ([codes[k] for k in at], [grams(codes[k], m) for k, m in zip(at, n, strict=True)])]
@@ -114,20 +138,16 @@ def frequencies(docs: DataFrame, text: str, known: GramFilter, most: int = 500_0
     """(gram, c): how often each n-gram that passes the filter is in the corpus, added up in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, n_held = Coder(), [], 0
+        held, n_held = [], 0
 
         def summed() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "c"])
 
         for b in batches:
-            for t in utf8(b.column(0)):
-                codes = coder(t)
-                for n in known.sizes:
-                    h = grams(codes, n)
-                    h = h[known.passed(h)]
-                    held.append(h)
-                    n_held += len(h)
+            for part in texts_of(b.column(0)):
+                held.append(part.met(known)[1])
+                n_held += len(held[-1])
                 if n_held > most:
                     yield summed()
                     held, n_held = [], 0
@@ -214,15 +234,16 @@ def passages(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
     wanted = GramFilter(seeds.select("n", "gram").distinct())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder()
         for b in batches:
             row, met = [], []
-            for k, t in enumerate(utf8(b.column(4))):
-                codes = coder(t)
-                hits = [(p, g) for n in wanted.sizes for g in [grams(codes, n)] for p in [wanted.passed(g)] if len(p)]
-                if hits:
-                    row.append(k)
-                    met.append((codes.view(np.int64), np.concatenate([p for p, _ in hits]).astype(np.int32), np.concatenate([g[p] for p, g in hits]).view(np.int64)))
+            for part in texts_of(b.column(4)):
+                places, hashes = part.met(wanted)
+                by = np.argsort(part.row[places], kind="stable")
+                places, hashes = places[by], hashes[by]
+                rows, edge = np.unique(part.row[places], return_index=True)
+                for k, lo, hi in zip(rows, edge, np.append(edge[1:], len(places)), strict=False):  # no rows, no edges
+                    row.append(part.first + k)
+                    met.append((part.codes[part.start[k] : part.stop[k]].view(np.int64), (places[lo:hi] - part.start[k]).astype(np.int32), hashes[lo:hi].view(np.int64)))
             index = pa.array(row, pa.int64())
             lists = [pa.array([m[k] for m in met], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(index) for k in range(4)), *lists], names=["rid", "key", "h1", "h2", "codes", "at", "gram"])
