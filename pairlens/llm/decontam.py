@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hashes, stage_table, utf8, words
+from .common import pieces, row_hashes, stage_table, utf8, words
 
 MOST_LOG_BITS, SHIFTS = 27, (0, 27, 37)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +144,7 @@ def frequencies(docs: DataFrame, text: str, known: GramFilter, most: int = 500_0
             u, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "c"])
 
-        for b in batches:
+        for b in pieces(batches):
             for part in texts_of(b.column(0)):
                 held.append(part.met(known)[1])
                 n_held += len(held[-1])
@@ -234,7 +234,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
     wanted = GramFilter(seeds.select("n", "gram").distinct())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             row, met = [], []
             for part in texts_of(b.column(4)):
                 places, hashes = part.met(wanted)

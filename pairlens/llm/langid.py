@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import pieces, utf8
 
 UNKNOWN = "und"
 
@@ -45,7 +45,7 @@ class LanguageModel:
         return made
 
 
-def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 600, excerpt_bytes: int = 512, pieces: int = 2, dict_bytes: int = 96 * 1024, max_langs: int = 1000, **model) -> LanguageModel:
+def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 600, excerpt_bytes: int = 512, n_pieces: int = 2, dict_bytes: int = 96 * 1024, max_langs: int = 1000, **model) -> LanguageModel:
     """Dictionaries from docs_per_lang keys a language, the first by (hash, key); all of them where there are fewer.
 
     A language's rows have equal parts of its dict_bytes, excerpt_bytes at most, so that all of them fit. A text longer than its part gives
@@ -63,17 +63,17 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     share = of({lang: min(1.0, 1.3 * docs_per_lang / n + 50 / n) for lang, n in counts.items()})
     unit = F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
     some = rows.withColumn("u", unit).where(F.col("u") < share).withColumns({"n": F.length("t"), "part": of(part)})
-    long = (F.floor((F.col("part") + 1) / pieces) - 1).cast("int")
-    section = F.floor(F.col("n") / pieces).cast("int")
+    long = (F.floor((F.col("part") + 1) / n_pieces) - 1).cast("int")
+    section = F.floor(F.col("n") / n_pieces).cast("int")
     place = lambda i: (i * section + F.pmod(F.xxhash64("k", i, F.lit("place")), F.greatest(section - long + 1, F.lit(1))) + 1).cast("int")
-    cut = F.when(F.col("n") <= F.col("part"), F.array("t")).otherwise(F.array(*[F.substring(F.col("t"), place(F.lit(i)), long) for i in range(pieces)]))
+    cut = F.when(F.col("n") <= F.col("part"), F.array("t")).otherwise(F.array(*[F.substring(F.col("t"), place(F.lit(i)), long) for i in range(n_pieces)]))
     one = some.select("l", "u", "k", cut.alias("cut")).groupBy("l", "u", "k").agg(F.min("cut").alias("cut"))
     first = one.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy("u", "k"))).where(F.col("nth") <= docs_per_lang)
     by: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in counts}
     for r in first.select("l", "nth", "cut").toLocalIterator():
         most = (part[r["l"]] + 1) // len(r["cut"]) - 1
-        pieces = [p.lower().encode()[:most].decode(errors="ignore").encode() for p in r["cut"]]
-        by[r["l"]].append((r["nth"], b"\n".join(pieces)))
+        cuts = [p.lower().encode()[:most].decode(errors="ignore").encode() for p in r["cut"]]
+        by[r["l"]].append((r["nth"], b"\n".join(cuts)))
     return LanguageModel({lang: b"\n".join(t for _, t in sorted(got)) for lang, got in by.items()}, **model)
 
 
@@ -95,7 +95,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.compressors()
-        for b in batches:
+        for b in pieces(batches):
             got = [classify(t, made, model.piece_bytes) for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[0] != UNKNOWN and x[1] >= model.min_margin for x in got], pa.bool_())],
@@ -112,7 +112,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model.compressors()
-        for b in batches:
+        for b in pieces(batches):
             got = (classify(t, made, model.piece_bytes) for t in utf8(b.column(at)))
             yield b.filter(pa.array([lang != UNKNOWN and score >= model.min_margin for lang, score in got], pa.bool_()))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nnpu
-from .common import smallest, utf8
+from .common import pieces, smallest, utf8
 
 #: Byte classes: upper case, lower case, digit, white space, other ASCII, beyond ASCII.
 _CLASS = np.full(256, 5, np.uint8)
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "quali
     rows, prior = training_rows(docs, labels, train, label, key, max_positive, max_unlabelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(matrix(utf8(b.column(2))).tolist(), pa.list_(pa.float64()))], names=["k", "p", "x"])
 
     # both samples are bounded, and so is this broadcast
@@ -88,7 +88,7 @@ def predict(docs: DataFrame, model: nnpu.PUModel, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             s = model.score(matrix(utf8(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], names=["key", "score", "predicted"])
 
@@ -100,7 +100,7 @@ def keep_good(docs: DataFrame, model: nnpu.PUModel, text: str = "text") -> DataF
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array(model.score(matrix(utf8(b.column(at)))) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
