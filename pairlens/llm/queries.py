@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, interpolation, langid, mixing, permindex, quality, simhash, tokencount, toxicity, warc
+from . import convrepair, decontam, filteraudit, interpolation, langid, mixing, permindex, quality, simhash, tokencount, toxicity, warc
 from .common import read, remainder
 
 
@@ -60,10 +60,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model).withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_simhash, op4_permutation_index, op5_deleted_interpolation, op6_toxicity, op7_decontamination, op8_warc, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_simhash, op4_permutation_index, op5_deleted_interpolation, op6_toxicity, op7_decontamination, op8_warc, op9_token_counts, op10_quality, op11_filter_audit, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each needs hashes, learned models, or alignments that SQL does not have; see tests/llm for the brute-force versions."""
-    return {}
+    """Of the operators that SQL can express. The others need hashes, learned models, or alignments that it does not have; see tests/llm for the brute-force versions."""
+    return {"op11_filter_audit": filteraudit.SQL, "op12_conversation_repair": convrepair.SQL}
