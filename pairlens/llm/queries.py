@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import convrepair, decontam, filteraudit, interpolation, langid, mixing, permindex, quality, simhash, tokencount, toxicity, warc
+from . import convrepair, decontam, filteraudit, interpolation, langid, mixing, permindex, quality, simhash, tokencount, toxicity, vectordedup, warc
 from .common import read, remainder
 
 
@@ -68,8 +68,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convrepair.repair(read(spark, sf_dir, "conversations"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_simhash, op4_permutation_index, op5_deleted_interpolation, op6_toxicity, op7_decontamination, op8_warc, op9_token_counts, op10_quality, op11_filter_audit, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_language_id, op2_mixing, op3_simhash, op4_permutation_index, op5_deleted_interpolation, op6_toxicity, op7_decontamination, op8_warc, op9_token_counts, op10_quality, op11_filter_audit, op12_conversation_repair, op13_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
