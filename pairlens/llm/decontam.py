@@ -3,7 +3,13 @@
 An item of L words may be edited in E = floor(edits * L) words. Of the ways to tile the item with n-grams (n is 3, or less for
 short items) that with the rarest grams in the corpus gives E + 1 disjoint seeds: E edits can spoil at most E of them, so each such
 copy keeps a seed. Longer items have more seeds, the rarest gram of each stretch, so that ``min_run`` words copied in a row hold one.
-Documents and items meet by a join on seeds; a document is aligned with the item in windows around the places where they meet: match 1,
+
+An n-gram that more than ``crowd`` items have (a common opening, a template) is no seed of a single item. Items that have too few
+other n-grams for E + 1 seeds are looked for by all of those, and where edits have spoilt them all, as one unit for each wording of the crowded words, decided by its shortest item
+(single words of the others, outside of n-grams that are left, do not count); ``min_run`` or more such words in a row are
+a unit of their own. So documents that hold a phrase of many items are aligned once with that phrase: rows and alignments grow with documents, not with documents times items.
+
+Documents and units meet by a join on seeds; a document is aligned with the unit in windows around the places where they meet: match 1,
 mismatch and gap -0.5. A passage is reported if its alignment scores ``min_score`` times L or more, which is what a copy with a fifth of its words
 replaced gets, or ``min_run`` or more.
 
@@ -12,7 +18,8 @@ n-grams up in a filter of bits (16 MB at most, smaller for few items) before the
 dropped by the join, so the filter's size changes no result. Only documents that hold a seed are written.
 
 Defined cases: null texts hold no words and are never contaminated; items without words (or with fewer than ``min_words``) are not
-looked for; items of fewer than five words are found where all their words stand in a row. Equal items are reported under each item_id; a document's repeats of an item
+looked for; items of fewer than five words are found where all their words stand in a row, so an item of one word is found in every document with that word (``min_words``
+leaves such items out). Equal items are reported under each item_id, or under the smallest if they are crowded; a document's repeats of a unit
 give one row, its best alignment (the first of equal ones). Repeated rows are reported each. Extra columns are not looked at.
 """
 
@@ -29,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import pieces, row_hashes, stage_table, utf8, words
 
 MOST_LOG_BITS, SHIFTS = 27, (0, 27, 37)
+ITEM, TEMPLATE, PASSAGE = range(3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,35 +165,88 @@ def frequencies(docs: DataFrame, text: str, known: GramFilter, most: int = 500_0
 
 
 def pick(counts: np.ndarray, n: int, length: int, edits: float, min_run: int) -> list[int]:
-    """Where an item's seeds start: E + 1 disjoint ones of the rarest tiling, and the rarest of each stretch that min_run words hold whole."""
+    """Where a unit's seeds start: E + 1 disjoint ones of the rarest tiling, and the rarest of each stretch that min_run words hold whole."""
+    return sorted(set(tiling(counts, n, length, edits)) | set(stretches(counts, 0, len(counts), n, min_run) if length > min_run else ()))
+
+
+def tiling(counts: np.ndarray, n: int, length: int, edits: float, usable: np.ndarray | None = None) -> list[int]:
+    """E + 1 disjoint n-grams of the rarest tiling, none but usable ones; empty if no tiling has as many."""
     need, best = allowed(length, edits) + 1, None
     for offset in range(n):
-        at = range(offset, len(counts), n)
+        at = [p for p in range(offset, len(counts), n) if usable is None or usable[p]]
         if len(at) >= need:
             rare = sorted((counts[p], p) for p in at)[:need]
             if best is None or sum(f for f, _ in rare) < best[0]:
                 best = (sum(f for f, _ in rare), [p for _, p in rare])
-    chosen, stretch = set(best[1]), max(1, (min_run - n + 1) // 2)
-    if length > min_run:
-        chosen |= {min(range(k, min(k + stretch, len(counts))), key=lambda p: (counts[p], p)) for k in range(0, len(counts), stretch)}
-    return sorted(chosen)
+    return best[1] if best else []
 
 
-def seed_table(items: DataFrame, frequency: DataFrame, edits: float, min_run: int) -> DataFrame:
-    """(gram, n, iid, at): the seeds of all items."""
+def stretches(counts: np.ndarray, start: int, stop: int, n: int, min_run: int) -> list[int]:
+    """The rarest n-gram of each stretch between two places; min_run words inside hold a stretch whole."""
+    size = max(1, (min_run - n + 1) // 2)
+    return [min(range(k, min(k + size, stop)), key=lambda p: (counts[p], p)) for k in range(start, stop, size)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for iid, n, length, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += [(rows[p]["gram"], n, iid, p) for p in pick(np.array([r["c"] for r in rows]), n, length, edits, min_run)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["gram", "n", "iid", "at"])
 
-    each = items.select("iid", "n", F.size("codes").alias("length"), F.posexplode("grams").alias("at", "gram")).join(frequency, "gram", "left")
+def runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Where flags are set: (first, one past the last) of each run."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def units_of(codes: np.ndarray, n: int, counts: np.ndarray, crowded: np.ndarray, edits: float, min_run: int) -> list[tuple[int, np.ndarray, int, int, list[int]]]:
+    """What stands for an item: (kind, name, first word, one past the last, places of seeds in the item). Items with units of one kind and name share them.
+
+    ITEM: by itself, with seeds that few items have. TEMPLATE: an item without enough of those to survive all edits, named by its crowded words. PASSAGE: min_run or more crowded words in a row.
+    """
+    length, out = len(codes), []
+    passages_ = [(a, b + n - 1) for a, b in runs(crowded)]
+    seeds = tiling(counts, n, length, edits, ~crowded)
+    if seeds:
+        for a, b in runs(~crowded) if length > min_run else ():
+            # a run of words with one of these n-grams has the first, the last, or a whole stretch
+            seeds += [a, b - 1, *stretches(counts, a, b, n, min_run)]
+        out.append((ITEM, codes, 0, length, sorted(set(seeds))))
+    else:
+        if not crowded.all():
+            out.append((ITEM, codes, 0, length, np.flatnonzero(~crowded).tolist()))
+        named = np.concatenate([[length - sum(b - a for a, b in passages_) > 0], *(np.append(codes[a:b], 0) for a, b in passages_)]).astype(np.uint64)
+        out.append((TEMPLATE, named, 0, length, pick(counts, n, length, edits, min_run)))
+    for a, b in passages_:
+        if b - a >= min_run and not any(kind == PASSAGE and np.array_equal(name, codes[a:b]) for kind, name, *_ in out):
+            out.append((PASSAGE, codes[a:b], a, b, stretches(counts, a, b - n + 1, n, min_run)))
+    return out
+
+
+def unit_table(items: DataFrame, frequency: DataFrame, edits: float, min_run: int, crowd: int) -> DataFrame:
+    """(uid, item, items, n, kind, codes, at, gram): what documents are aligned with. item is the smallest of the unit's items, items their number.
+
+    An n-gram that more than ``crowd`` items have is crowded. Items that agree in what is crowded are one unit there, its shortest item or its passage,
+    so that documents which hold a phrase of many items meet one unit, not each of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "s1", "s2", "iid", "n", "length", "codes", "at", "gram"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        for b in pieces(batches, 200):
+            out, item = [], []
+            for k, (iid, n, words_, rows) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True)):
+                codes = np.array(words_, np.int64).view(np.uint64)
+                counts, crowded = np.array([r["c"] for r in rows]), np.array([r["crowded"] for r in rows])
+                for kind, name, first, last, at in units_of(codes, n, counts, crowded, edits, min_run):
+                    s1, s2 = (iid, 0) if kind == ITEM else (x - (1 << 63) for x in divmod(xxhash.xxh3_128_intdigest(name.tobytes()), 1 << 64))
+                    out.append((kind, s1, s2, iid, n, last - first, codes[first:last].view(np.int64), [p - first for p in at], [rows[p]["gram"] for p in at]))
+                    item.append(k)
+            cols = list(zip(*out, strict=True)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), b.column(1).take(pa.array(item, pa.int64()))], names=[*names, "item"])
+
+    each = items.select("iid", "n", F.posexplode("grams").alias("at", "gram"))
+    found = each.groupBy("gram").agg(F.count_distinct("iid").alias("items")).join(frequency, "gram", "left").select("gram", F.coalesce("c", F.lit(0)).alias("c"), (F.col("items") > crowd).alias("crowded"))
     # one group an item, as long as the item is
-    rows = each.groupBy("iid", "n", "length").agg(F.sort_array(F.collect_list(F.struct("at", "gram", F.coalesce("c", F.lit(0)).alias("c")))).alias("rows"))
-    return stage_table(rows.select("iid", "n", "length", "rows").mapInArrow(run, "gram bigint, n int, iid bigint, at int"), "seeds")
+    rows = each.join(found, "gram").groupBy("iid").agg(F.sort_array(F.collect_list(F.struct("at", "gram", "c", "crowded"))).alias("rows"))
+    kind = items.schema["item"].dataType.simpleString()
+    single = items.select("iid", "item", "n", "codes").join(rows, "iid").mapInArrow(run, f"kind int, s1 bigint, s2 bigint, iid bigint, n int, length int, codes array<bigint>, at array<int>, gram array<bigint>, item {kind}")
+    units = single.groupBy("kind", "s1", "s2", "n").agg(F.count("*").alias("items"), F.min("item").alias("item"), F.min(F.struct("length", "iid", "codes", "at", "gram")).alias("u"))
+    return stage_table(units.select(F.monotonically_increasing_id().alias("uid"), "item", "items", "n", "kind", "u.codes", "u.at", "u.gram"), "units")
 
 
 def align(item: np.ndarray, window: np.ndarray, penalty: float = 0.5) -> tuple[float, int, int]:
@@ -225,12 +286,13 @@ def best_passage(item: np.ndarray, codes: np.ndarray, diagonals: list[int], slac
     return score, first, last
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, edits: float, min_score: float, min_words: int, min_run: int) -> DataFrame:
-    """(key, h1, h2, item, score, length, matched, first_word, last_word) for each row and item it holds a copy of; h1 and h2 name the row."""
+def passages(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str, edits: float, min_score: float, min_words: int, min_run: int, crowd: int) -> DataFrame:
+    """(key, h1, h2, item, items, score, length, matched, first_word, last_word) for each row and unit it holds a copy of; h1 and h2 name the row."""
     kind = docs.schema[key].dataType
     items = item_table(benchmark, item, item_text, edits, min_words)
     known = GramFilter(items.select("n", F.explode("grams").alias("gram")).distinct())
-    seeds = seed_table(items, frequencies(docs, text, known), edits, min_run)
+    units = unit_table(items, frequencies(docs, text, known), edits, min_run, crowd)
+    seeds = units.select("uid", "n", F.inline(F.arrays_zip("at", "gram")))
     wanted = GramFilter(seeds.select("n", "gram").distinct())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,39 +313,40 @@ def passages(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: s
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], []
-            for k, (item_codes, codes, diagonals) in enumerate(zip(b.column(4), b.column(5), b.column(6).to_pylist(), strict=True)):
+            for k, (kind_, item_codes, codes, diagonals) in enumerate(zip(b.column(5).to_pylist(), b.column(6), b.column(7), b.column(8).to_pylist(), strict=True)):
                 c = np.asarray(item_codes.values)
                 score, first, last = best_passage(c, np.asarray(codes.values), diagonals, allowed(len(c), edits) + 1)
-                if score >= min_score * len(c) - 1e-9 or score >= min_run - 1e-9:
+                if kind_ != PASSAGE and score >= min_score * len(c) - 1e-9 or score >= min_run - 1e-9:
                     at.append(k)
                     out.append((score / len(c), len(c), score, first, last))
             cols, index = list(zip(*out, strict=True)) if out else [()] * 5, pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(index) for k in range(4)), *(pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()), strict=True))],
-                names=["key", "h1", "h2", "item", "score", "length", "matched", "first_word", "last_word"],
+                [*(b.column(k).take(index) for k in range(5)), *(pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.int32()), strict=True))],
+                names=["key", "h1", "h2", "item", "items", "score", "length", "matched", "first_word", "last_word"],
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("key"), *row_hashes(docs), F.col(text).cast("string").alias("text"))
     found = stage_table(rows.mapInArrow(scan, f"rid bigint, key {kind.simpleString()}, h1 bigint, h2 bigint, codes array<bigint>, at array<int>, gram array<bigint>"), "met")
-    hits = found.select("rid", F.inline(F.arrays_zip("at", "gram"))).withColumnRenamed("at", "place").join(seeds.select("gram", "iid", "at"), "gram")
-    pairs = hits.groupBy("rid", "iid").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
-    both = pairs.join(found.select("rid", "key", "h1", "h2", "codes"), "rid").join(items.select("iid", "item", F.col("codes").alias("item_codes")), "iid")
-    schema = f"key {kind.simpleString()}, h1 bigint, h2 bigint, item {benchmark.schema[item].dataType.simpleString()}, score double, length int, matched double, first_word int, last_word int"
-    return both.select("key", "h1", "h2", "item", "item_codes", "codes", "diagonals").mapInArrow(aligned, schema)
+    hits = found.select("rid", F.inline(F.arrays_zip("at", "gram"))).withColumnRenamed("at", "place").join(seeds.select("gram", "uid", "at"), "gram")
+    pairs = hits.groupBy("rid", "uid").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))
+    both = pairs.join(found.select("rid", "key", "h1", "h2", "codes"), "rid").join(units.select("uid", "item", "items", F.col("kind").alias("unit"), F.col("codes").alias("item_codes")), "uid")
+    schema = f"key {kind.simpleString()}, h1 bigint, h2 bigint, item {benchmark.schema[item].dataType.simpleString()}, items bigint, score double, length int, matched double, first_word int, last_word int"
+    return both.select("key", "h1", "h2", "item", "items", "unit", "item_codes", "codes", "diagonals").mapInArrow(aligned, schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 1, min_run: int = 25) -> DataFrame:
-    """(key, item, score, length, matched, first_word, last_word) for each document and item it holds a copy of.
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 1, min_run: int = 25, crowd: int = 16) -> DataFrame:
+    """(key, item, items, score, length, matched, first_word, last_word) for each document and unit it holds a copy of.
 
-    score is the share of the item's words that the alignment is worth, matched that worth itself, length the item's words.
+    score is the share of the unit's words that the alignment is worth, matched that worth itself, length the unit's words. A unit is an item (items 1), or what
+    more than crowd items have in common, under the smallest of them.
     """
-    found = passages(docs, benchmark, key, text, item, item_text, edits, min_score, min_words, min_run)
+    found = passages(docs, benchmark, key, text, item, item_text, edits, min_score, min_words, min_run, crowd)
     return found.drop("h1", "h2").withColumnsRenamed({"key": key, "item": item})
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 1, min_run: int = 25) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", edits: float = 0.2, min_score: float = 0.7, min_words: int = 1, min_run: int = 25, crowd: int = 16) -> DataFrame:
     """The rows that hold no copy of an item, all columns as they are. Rows equal in all columns share their fate."""
     h1, h2 = row_hashes(docs)
-    gone = passages(docs, benchmark, key, text, item, item_text, edits, min_score, min_words, min_run)
+    gone = passages(docs, benchmark, key, text, item, item_text, edits, min_score, min_words, min_run, crowd)
     gone = stage_table(gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct(), "gone")
     return docs.select("*", h1.alias("__h1"), h2.alias("__h2")).join(gone, ["__h1", "__h2"], "left_anti").select(*docs.columns)

@@ -217,7 +217,8 @@ def test_runs_of_long_items_are_found(spark):
     assert set(got) == set(docs) - {500} and got[0].matched == 27 and got[501].matched == 35.5 and got[0].length == 200
 
 
-def test_contamination_equals_aligning_everything(spark):
+@pytest.mark.parametrize("crowd", [16, 0])
+def test_contamination_equals_aligning_everything(spark, crowd):
     """All documents against all items, without seeds; every word of an alignment at the threshold is in few places, so seeds must find all."""
     rng = random.Random(15)
     base = [f"w{k}" for k in range(300)]
@@ -238,10 +239,32 @@ def test_contamination_equals_aligning_everything(spark):
                 want.add((k, i, round(score, 6)))
     rows = [(k, " ".join(d), "en", "s", 0, 0.0) for k, d in enumerate(docs)]
     bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id, round(r.matched, 6)) for r in decontam.contaminated(table(spark, rows), bench).collect()}
+    got = {(r.doc_id, r.item_id, round(r.matched, 6)) for r in decontam.contaminated(table(spark, rows), bench, crowd=crowd).collect() if r.length == len(items[r.item_id])}
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30
 
 
+def test_items_with_a_common_phrase_are_one_unit(spark):
+    """Documents with the opening of many items: one row each, not one for each item. Copies of single items are found by their own words."""
+    rng = random.Random(21)
+    words = lambda n, k: [f"{k}x{rng.randrange(400)}" for _ in range(n)]
+    opening, question = [f"o{k}" for k in range(30)], ["what", "is", "the", "capital", "of"]
+    items = [opening + words(20, k) for k in range(40)] + [[*question, f"land{k}"] for k in range(40)]
+    docs = {k: words(30, "d") + opening + words(30, "d") for k in range(50)}
+    docs |= {100 + k: words(9, "d") + items[k][25:] + words(9, "d") for k in range(1, 6)}  # 25 words, five of them common
+    docs |= {200 + k: words(9, "d") + [*question, land] for k, land in enumerate(["land7", "nowhere"])} | {300: words(60, "d") + opening[:20], 301: words(60, "d") + question[:4]}
+    rows = [(k, " ".join(d), "en", "s", 0, 0.0) for k, d in docs.items()]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id bigint, text string")
+    found = decontam.contaminated(table(spark, rows), bench).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, set()).add((r.item_id, r.items))
+    assert all(by[k] == {(0, 40)} for k in range(50)) and all((k, 1) in by[100 + k] and len(by[100 + k]) == 1 for k in range(1, 6))
+    assert by[200] == {(47, 1), (40, 40)} and by[201] == {(40, 40)} and not {300, 301} & set(by)
+    assert {r.doc_id for r in decontam.keep_clean(table(spark, rows), bench).collect()} == {300, 301}
+    # with each item by itself the same documents are found
+    assert {r.doc_id for r in decontam.contaminated(table(spark, rows), bench, crowd=10**6).collect()} == set(by)
+
+
 def test_alignment_equals_the_full_table():
     rng = np.random.default_rng(3)
     for _ in range(50):
