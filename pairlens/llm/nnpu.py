@@ -45,8 +45,8 @@ def risk(g_p: np.ndarray, g_u: np.ndarray, prior: float) -> tuple[float, float]:
     return prior * loss(g_p).mean(), loss(-g_u).mean() - prior * loss(-g_p).mean()
 
 
-def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, hidden: int = 0, steps: int = 400, rate: float = 0.03, decay: float = 1e-4, standardise: bool = True, seed: int = 7) -> PUModel:
-    """Without positives or unlabelled rows the model says the prior for every row."""
+def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, hidden: int = 0, steps: int = 400, rate: float = 0.03, decay: float = 1e-4, standardise: bool = True, seed: int = 7, corrected: bool = True) -> PUModel:
+    """Without positives or unlabelled rows the model says the prior for every row. Not corrected: positives against unlabelled rows, as if those were negatives."""
     prior = float(min(max(prior, 0.0), 1.0))
     d = x_p.shape[1] if x_p.ndim == 2 else x_u.shape[1]
     if not len(x_p) or not len(x_u) or prior in (0.0, 1.0):
@@ -68,7 +68,9 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, hidden: int = 0, steps:
         gp, gu = (hp @ w[-2] + w[-1])[:, 0], (hu @ w[-2] + w[-1])[:, 0]
         _, negative = risk(gp, gu, prior)
         sp, su = sigmoid(gp), sigmoid(gu)
-        if negative >= 0:
+        if not corrected:
+            dp, du = -prior * (1 - sp) / len(gp), (1 - prior) * su / len(gu)
+        elif negative >= 0:
             dp, du = -prior * (1 - sp) / len(gp) - prior * sp / len(gp), su / len(gu)
         else:
             dp, du = prior * sp / len(gp), -su / len(gu)
@@ -82,3 +84,25 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, hidden: int = 0, steps:
             v[k] = 0.999 * v[k] + 0.001 * g * g
             w[k] = w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     return PUModel(mean, scale, w, prior)
+
+
+def class_prior(x_p: np.ndarray, x_u: np.ndarray, hidden: int = 16, steps: int = 200, rate: float = 0.02, least: int = 20) -> float:
+    """The share of positives among unlabelled rows, from both samples alone.
+
+    Any set of rows holds a share of the unlabelled that is at least the prior times its share of the positives, with equality where it holds no
+    negatives. The sets are the upper parts of a scorer that tells positives from unlabelled rows, fitted on one half and read on the other; the ratio that is least with
+    its standard error is the estimate, the mean of both halves. Under ``least`` rows of either: one half.
+    """
+    if min(len(x_p), len(x_u)) < least:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        scorer = fit(x_p[k::2], x_u[k::2], 0.5, hidden, steps, rate, decay=1e-3, corrected=False)
+        p, u = np.sort(scorer.raw(x_p[1 - k :: 2])), np.sort(scorer.raw(x_u[1 - k :: 2]))
+        at = np.quantile(p, np.arange(0.02, 0.6, 0.02))
+        share_p, share_u = (1 - np.searchsorted(s, at) / len(s) for s in (p, u))
+        ratio = share_u / np.maximum(share_p, 1e-9)
+        error = ratio * np.sqrt((1 - share_u) / np.maximum(share_u * len(u), 1e-9) + (1 - share_p) / np.maximum(share_p * len(p), 1e-9))
+        sure = share_u > 0
+        found.append(ratio[sure][(ratio + error)[sure].argmin()] if sure.any() else 0.0)
+    return float(np.clip(np.mean(found), 0.0, 1.0))

@@ -1,11 +1,11 @@
 """Quality classifier: non-negative positive-unlabelled learning on surface statistics of whole texts.
 
-Trusted positives are training rows labelled 1; unlabelled web text is a sample of all training rows. The class prior is the
-share of 1 among the labelled training rows (1 and 0 count there alone). Fitting takes bounded samples:
+Trusted positives are training rows labelled 1; unlabelled web text is a sample of all training rows. The class prior is estimated from both
+(``nnpu.class_prior``), or given; rows labelled 0 are not looked at. Fitting takes bounded samples:
 ``max_positive`` and ``max_unlabelled`` rows, chosen by the key's hash.
 
 Defined cases: null text counts as empty; texts without words have the statistics of an empty text. A null key is scored,
-but never learned from. Without labelled positives each row gets the prior, 0 where nothing is labelled. Repeated label rows count once;
+but never learned from. Without labelled positives each row gets the share of 1 among the labelled, 0 where nothing is labelled. Repeated label rows count once;
 of contradictory ones the largest counts. Extra columns are not looked at.
 """
 
@@ -56,7 +56,7 @@ def matrix(texts: list[bytes | None]) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train: F.Column, label: str, key: str, max_positive: int, max_unlabelled: int) -> tuple[DataFrame, float]:
-    """(key, positive) of the sample, at most max_positive + max_unlabelled rows, and the class prior."""
+    """(key, positive) of the sample, at most max_positive + max_unlabelled rows, and the share of 1 among the labelled."""
     marked = labels.where(train & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label)).alias("y"))
     total, ones = marked.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
     by = F.xxhash64(F.col("k").cast("string"), F.lit("sample"))
@@ -67,19 +67,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: F.Column, label: st
     return both, (ones / total if total else 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "quality", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000) -> nnpu.PUModel:
+def sample_texts(docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, p, t): one text for each row of the sample, however many rows of docs have its key: that of the smallest hash."""
+    # both samples are bounded, and so is this broadcast; texts of one key are cut down in the tasks first
+    found = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "k")
+    return found.groupBy("k", "p").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("r")).select(F.col("k").cast("string"), "p", "r.t")
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "quality", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, prior: float | None = None) -> nnpu.PUModel:
     """train: a condition on the key. Texts of the sample are turned to numbers on the executors; the driver gets those."""
-    rows, prior = training_rows(docs, labels, train, label, key, max_positive, max_unlabelled)
+    rows, labelled = training_rows(docs, labels, train, label, key, max_positive, max_unlabelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(matrix(utf8(b.column(2))).tolist(), pa.list_(pa.float64()))], names=["k", "p", "x"])
 
-    # both samples are bounded, and so is this broadcast
-    sample = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "k").select(F.col("k").cast("string"), "p", "t")
-    got = sample.mapInArrow(run, "k string, p boolean, x array<double>").toArrow().sort_by([("k", "ascending"), ("p", "ascending")])
+    got = sample_texts(docs, rows, key, text).mapInArrow(run, "k string, p boolean, x array<double>").toArrow().sort_by([("k", "ascending"), ("p", "ascending")])
     x = np.array(got["x"].to_pylist(), float).reshape(-1, N_FEATURES)
     p = np.array(got["p"].to_pylist(), bool)
+    if prior is None:
+        prior = nnpu.class_prior(x[p], x[~p]) if p.any() else labelled
     return nnpu.fit(x[p], x[~p], prior, hidden=16, steps=500, rate=0.02)
 
 

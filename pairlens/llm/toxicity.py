@@ -1,7 +1,7 @@
 """Toxicity: non-negative positive-unlabelled learning on the presence of words.
 
 Confirmed toxic training rows are the positives; a sample of all training rows is the unlabelled text. Words are lower-cased, stripped of
-ASCII punctuation and hashed to ``BUCKETS``, and so are their beginnings of 4 to 8 characters; the ``max_words`` buckets that are most more frequent among positives, and that by the
+ASCII punctuation and hashed to ``BUCKETS``, and so are their beginnings of 4 to 8 characters; the ``max_words`` buckets that most surely are more frequent among positives, and that by the
 class prior mark more positives than other rows, become the features of a linear scorer. The class prior is the share of 1 among the labelled training rows. Fitting takes bounded
 samples (``max_positive``, ``max_unlabelled`` rows by the key's hash); scoring reads whole texts.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import nnpu
 from .common import stage_table, utf8, words
-from .quality import training_rows
+from .quality import sample_texts, training_rows
 
 BUCKETS = 1 << 22
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -71,32 +71,37 @@ class ToxicityModel:
         return self.scorer.score(x)
 
 
-def choose(sample: DataFrame, prior: float, max_words: int, min_share: float = 0.02) -> dict[int, int]:
-    """Columns of the max_words buckets with the largest z statistic of their share among positives against unlabelled rows.
+def choose(sample: DataFrame, prior: float, max_words: int) -> dict[int, int]:
+    """Columns of the max_words buckets that tell positives most surely from unlabelled rows.
 
-    sample: (p, x), x being a row's buckets. Counted on the executors; the driver gets the chosen ones only.
+    sample: (k, p, x), x being a row's buckets. The log likelihood ratio of a bucket's rows among positives and among unlabelled rows that are not positives as well, against
+    equal shares, must exceed the logarithm of the number of buckets tried: so few of them get there by chance, in small samples and in large ones. Counted on the executors;
+    the driver gets the chosen ones only.
     """
-    n_p, n_u = sample.agg(F.count(F.when(F.col("p"), 1)), F.count(F.when(~F.col("p"), 1))).first()
-    if not n_p or not n_u:
+    positive = sample.where("p").select("k", F.lit(True).alias("known")).distinct()
+    rows = sample.join(F.broadcast(positive), "k", "left").select("p", "x", (~F.col("p") & F.col("known").isNull()).alias("other"))
+    n_p, n_u, n_o = rows.agg(F.count(F.when(F.col("p"), 1)), F.count(F.when(~F.col("p"), 1)), F.count(F.when(F.col("other"), 1))).first()
+    if not n_p or not n_o:
         return {}
-    counts = sample.select("p", F.explode("x").alias("bucket")).groupBy("bucket").agg(F.count(F.when(F.col("p"), 1)).alias("cp"), F.count(F.when(~F.col("p"), 1)).alias("cu"))
-    a, b, both = F.col("cp") / n_p, F.col("cu") / n_u, (F.col("cp") + F.col("cu")) / (n_p + n_u)
-    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u) + 1e-12)
+    counts = rows.select("p", "other", F.explode("x").alias("bucket")).groupBy("bucket").agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("cp", F.col("p")), ("cu", ~F.col("p")), ("co", F.col("other")))])
+    counts = stage_table(counts, "counts")
+    tried = counts.count()
+    x, m, expected = F.col("cp") / (F.col("cp") + F.col("co")), F.col("cp") + F.col("co"), n_p / (n_p + n_o)
+    part = lambda share, against: F.when(share > 0, share * F.log(share / against)).otherwise(0.0)
+    ratio = m * (part(x, F.lit(expected)) + part(1 - x, F.lit(1 - expected)))
     # by the prior, most rows with such a bucket must be positives
-    good = counts.where(F.col("cp") >= max(5, min_share * n_p)).withColumn("z", z).where((F.col("z") > 3) & (a * prior >= b * 0.7))
-    return {r["bucket"]: k for k, r in enumerate(good.orderBy(F.desc("z"), "bucket").limit(max_words).collect())}
+    good = counts.where((x > expected) & (F.col("cp") / n_p * prior >= F.col("cu") / n_u * 0.7)).withColumn("ratio", ratio).where(F.col("ratio") > float(np.log(max(tried, 2))))
+    return {r["bucket"]: k for k, r in enumerate(good.orderBy(F.desc("ratio"), "bucket").limit(max_words).collect())}
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 160) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, train: F.Column, label: str = "toxic", key: str = "doc_id", text: str = "text", max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 512) -> ToxicityModel:
     rows, prior = training_rows(docs, labels, train, label, key, max_positive, max_unlabelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([buckets(t) for t in utf8(b.column(2))], pa.list_(pa.int32()))], names=["k", "p", "x"])
 
-    # both samples are bounded, and so is this broadcast
-    sample = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "k").select(F.col("k").cast("string"), "p", "t")
-    sample = stage_table(sample.mapInArrow(run, "k string, p boolean, x array<int>"), "sample")
+    sample = stage_table(sample_texts(docs, rows, key, text).mapInArrow(run, "k string, p boolean, x array<int>"), "sample")
     model = ToxicityModel(choose(sample, prior, max_words), None)
     kept = F.array_intersect("x", F.array(*[F.lit(b) for b in model.columns])) if model.columns else F.array().cast("array<int>")
     got = sample.select("k", "p", kept.alias("x")).toArrow().sort_by([("k", "ascending"), ("p", "ascending")])

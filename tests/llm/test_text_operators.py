@@ -485,3 +485,42 @@ def test_classifiers(spark, operator, label):
     if label == "quality":
         kept = quality.keep_good(docs, model)
         assert kept.columns == docs.columns and kept.where("doc_id < 600 and doc_id % 4 = 0").count() < 15
+
+
+def test_the_prior_is_found_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(8)
+    draw = lambda n, shift: rng.normal(0, 1, (n, 3)) + shift
+    for prior in (0.2, 0.5, 0.85):
+        n = rng.binomial(4000, prior)
+        got = nnpu.class_prior(draw(1500, 1.5), np.concatenate([draw(n, 1.5), draw(4000 - n, -1.5)])[rng.permutation(4000)])
+        assert got == pytest.approx(prior, abs=0.06)
+    assert nnpu.class_prior(draw(3, 0), draw(100, 0)) == 0.5
+
+
+@pytest.mark.parametrize("operator,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_samples_are_bounded_in_rows(spark, operator, label):
+    """One key in 100,000 rows gives one text to the fit, and the fit does not depend on their order."""
+    hot = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("of the and "), F.col("id") % 3000).alias("text"))
+    docs = hot.union(spark.createDataFrame([(k, f"the {'vile' if k % 2 else 'of and'} to {k}") for k in range(100)], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], f"doc_id bigint, {label} int")
+    rows, _ = quality.training_rows(docs, labels, F.lit(True), label, "doc_id", 40, 80)
+    taken = [quality.sample_texts(d, rows, "doc_id", "text").collect() for d in (docs, docs.repartition(7))]
+    assert sorted(map(tuple, taken[0])) == sorted(map(tuple, taken[1])) and len(taken[0]) == 30 + 80 and len({(r.k, r.p) for r in taken[0]}) == 110
+    operator.fit(docs, labels, F.lit(True), max_positive=40, max_unlabelled=80)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_toxic_documents_are_found(spark):
+    """Recall, false alarms and ranking on held-out rows; in a small table words of few rows are told from chance, and still scores differ."""
+    from pairlens.llm import queries
+
+    small = queries.queries()["op6_toxicity"](spark, "/root/testdata/sf0.001")
+    assert small.select("score").distinct().count() > 1
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.queries()["op6_toxicity"](spark, sf).where("held_out").join(truth, "doc_id").toPandas()
+    toxic = rows.toxic == 1
+    assert (rows.predicted[toxic] == 1).mean() >= 0.9 and (rows.predicted[~toxic] == 1).mean() < 0.02
+    ranks = rows.score.rank()
+    auc = (ranks[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert auc > 0.95
