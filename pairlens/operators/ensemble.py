@@ -1,25 +1,26 @@
 """Boosted three-class model over signals and features, with attributions for the predicted class.
 
-Trees are Spark ML's. Attributions are exact Shapley values of path-dependent trees: each leaf adds, for each feature on its
-path, a sum over the subsets of the path's other features, computed for a whole Arrow batch at a time.
+Attributions are exact Shapley values of path-dependent trees. A leaf's value reaches a row by a product over the features on its path: 1 or 0 as the row takes
+the leaf's way there, or the share of training weight that does where a feature is unknown. The sums over subsets of known features are coefficients of the
+polynomial of those factors; each feature's own factor is divided out of it. That is quadratic in the depth, for a whole Arrow batch at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
-from math import factorial
+from math import comb
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import KEY, TS, require_columns
-from ..sources.shared import shared_folder, staged
+from ..sources.shared import staged
+from . import boosting
+from .boosting import Boosted, Tree
 from .regimes import encoded
 from .signals import CLASSES, STRATEGY, target_labels, train_test_split
 
@@ -36,121 +37,103 @@ class Leaf:
     share: float = 1.0
 
 
-def trees_of(model, spark: SparkSession) -> list[list[Leaf]]:
-    """The leaves of each tree of a boosted or forest model, from the node table that Spark ML saves with it."""
-    path = shared_folder(spark, "trees")
-    model.write().save(path)
-    n = "nodeData."
-    rows = spark.read.parquet(f"{path}/data").select("treeID", *[F.col(n + c).alias(c) for c in ("id", "prediction", "leftChild", "rightChild")], F.get("nodeData.impurityStats", F.lit(0)).alias("rows"), F.col("nodeData.split.featureIndex").alias("feature"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("at")).collect()
-    by: dict[int, dict[int, Row]] = {}
-    for r in rows:
-        by.setdefault(r["treeID"], {})[r["id"]] = r
-    return [leaves(by[k]) for k in sorted(by)]
-
-
-def leaves(nodes: dict[int, Row]) -> list[Leaf]:
+def leaves(tree: Tree) -> list[Leaf]:
     out = []
 
-    def walk(r: Row, path: dict[int, tuple[float, float, float]], share: float) -> None:
-        if r["leftChild"] < 0:
-            out.append(Leaf(r["prediction"], [(f, *v) for f, v in path.items()], share))
+    def walk(i: int, path: dict[int, tuple[float, float, float]], share: float) -> None:
+        f = int(tree.feature[i])
+        if f < 0:
+            out.append(Leaf(float(tree.value[i]), [(k, *v) for k, v in path.items()], share))
             return
-        low, high, along = path.get(r["feature"], (-np.inf, np.inf, 1.0))
-        for child, lo, hi in ((nodes[r["leftChild"]], low, min(high, r["at"])), (nodes[r["rightChild"]], max(low, r["at"]), high)):
-            part = child["rows"] / r["rows"]
-            walk(child, path | {r["feature"]: (lo, hi, along * part)}, share * part)
+        low, high, along = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, lo, hi in ((2 * i + 1, low, min(high, tree.at[i])), (2 * i + 2, max(low, tree.at[i]), high)):
+            part = tree.cover[child] / tree.cover[i]
+            walk(child, path | {f: (lo, hi, along * part)}, share * part)
 
-    walk(nodes[0], {}, 1.0)
+    walk(0, {}, 1.0)
     return out
 
 
-def attributions(trees: list[tuple[float, list[Leaf]]], x: np.ndarray) -> np.ndarray:
-    """Shapley values (rows, features) of a weighted sum of trees."""
+def attributions(trees: list[list[Leaf]], x: np.ndarray) -> np.ndarray:
+    """Shapley values (rows, features) of a sum of trees."""
     phi = np.zeros(x.shape)
-    for weight, found in trees:
+    for found in trees:
         for leaf in found:
             m = len(leaf.path)
-            along = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in leaf.path]
-            shares = [s for *_, s in leaf.path]
-            for i, (f, *_) in enumerate(leaf.path):
-                rest = [j for j in range(m) if j != i]
-                total = np.zeros(len(x))
-                for size in range(m):
-                    w = factorial(size) * factorial(m - size - 1) / factorial(m)
-                    for chosen in combinations(rest, size):
-                        product = np.full(len(x), w)
-                        for j in rest:
-                            product = product * (along[j] if j in chosen else shares[j])
-                        total += product
-                phi[:, f] += weight * leaf.value * (along[i] - shares[i]) * total
+            if not m:
+                continue
+            known = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in leaf.path]
+            # coefficients by the number of known features
+            whole = [np.ones(len(x))]
+            for o, (*_, z) in zip(known, leaf.path, strict=True):
+                whole = [(z * whole[k] if k < len(whole) else 0.0) + (o * whole[k - 1] if k else 0.0) for k in range(len(whole) + 1)]
+            for o, (f, _, _, z) in zip(known, leaf.path, strict=True):
+                total, rest = np.zeros(len(x)), np.zeros(len(x))
+                for k in range(m - 1, -1, -1):
+                    # without this feature: its factor is z plus o for each known one
+                    rest = np.where(o > 0, whole[k + 1] - z * rest, whole[k] / z)
+                    total += rest / (m * comb(m - 1, k))
+                phi[:, f] += leaf.value * (o - z) * total
     return phi
 
 
 def feature_matrix(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    """Adds regime_encoded and the vector column; rows with a missing feature are skipped."""
+    """Adds regime_encoded, the number of the regime; rows with a missing feature are left out."""
     df = df.withColumn("regime_encoded", encoded())
     require_columns(df, features, "feature_matrix")
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
-
-
-def fit(df: DataFrame, n_trees: int = 300, depth: int = 4, rate: float = 0.05, share: float = 0.8, train_share: float = 0.8, model: str = "boosted", seed: int = 42, features: list[str] = FEATURES, fit_upto: float | None = None, rows_per_task: int = 50_000):
-    """A pooled model from the first train_share of each series' labelled rows. fit_upto goes to the labels' threshold."""
-    spark = df.sparkSession
-    rows = train_test_split(target_labels(feature_matrix(df, features), fit_upto=fit_upto), train_share).where("is_train").select("features", F.col("label").cast("double").alias("label"))
-    rows = staged(rows, "training")
-    # each of many short rounds is a job over all partitions: as many as the rows fill
-    rows = rows.repartition(max(1, -(-rows.count() // rows_per_task))).persist()
-    if model == "forest":
-        fitted = RandomForestClassifier(numTrees=n_trees, maxDepth=depth, seed=seed, subsamplingRate=share).fit(rows)
-    else:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))  # the rounds' lineage is cut every tenth
-        one = GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed)
-        fitted = OneVsRest(classifier=one, parallelism=len(CLASSES)).fit(rows)
-    rows.unpersist()
-    return fitted
-
-
-def predict(df: DataFrame, model: OneVsRestModel, features: list[str] = FEATURES, attribute: bool = True) -> DataFrame:
-    """predicted, ensemble_signal, ensemble_confidence (normalised sigmoid of twice the margin), margin, base, and shap_<feature> of the predicted class."""
-    trees = [list(zip(part.treeWeights, trees_of(part, df.sparkSession), strict=True)) for part in model.models]
-    bases = [sum(w * leaf.value * leaf.share for w, found in one for leaf in found) for one in trees]
-    names = [CLASSES[k] for k in sorted(CLASSES)]
-    shap = [f"shap_{f}" for f in features]
-
-    def margin(one: list[tuple[float, list[Leaf]]], x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for w, found in one:
-            for leaf in found:
-                inside = np.ones(len(x), bool)
-                for f, lo, hi, _ in leaf.path:
-                    inside &= (x[:, f] > lo) & (x[:, f] <= hi)
-                total += w * leaf.value * inside
-        return total
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return df.dropna(subset=list(features))
+
+
+def fit(df: DataFrame, n_trees: int = 300, depth: int = 4, rate: float = 0.05, share: float = 0.8, train_share: float = 0.8, seed: int = 42, features: list[str] = FEATURES, fit_upto: float | None = None, rows_per_task: int = 50_000) -> Boosted:
+    """A pooled model from the first train_share of each series' complete rows. The labels' threshold is over all rows; fit_upto goes to it."""
+    rows = train_test_split(feature_matrix(target_labels(df, fit_upto=fit_upto), features), train_share).where("is_train").select(*[F.col(c).cast("double").alias(c) for c in features], "label")
+    return boosting.fit(staged(rows, "training"), features, "label", len(CLASSES), n_trees, depth, rate, share, share, seed=seed, block_rows=rows_per_task)
+
+
+def predict(df: DataFrame, model: Boosted, attribute: bool = True) -> DataFrame:
+    """The frame with predicted, ensemble_signal, ensemble_confidence (the softmax probability), margin, base, and shap_<feature> of the predicted class.
+
+    Rows stay as they are, one for one; those with a missing feature get NULLs.
+    """
+    features, names = model.features, [CLASSES[k] for k in sorted(CLASSES)]
+    added = "predicted int, ensemble_signal string, ensemble_confidence double, margin double, base double" + "".join(f", shap_{f} double" for f in features if attribute)
+    by_class = [[leaves(each[k]) for each in model.trees] for k in range(model.n_classes)] if attribute else []
+    bases = np.array([sum(leaf.value * leaf.share for each in model.trees for leaf in leaves(each[k])) for k in range(model.n_classes)])
+    given = df.withColumns({f"__x{i}": (encoded() if f == "regime_encoded" else F.col(f)).cast("double") for i, f in enumerate(features)})
+    kept = [c for c in df.columns if c not in {p.split()[0] for p in added.split(", ")}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b[features].to_numpy(float)
-            margins = np.stack([margin(t, x) for t in trees], axis=1)
-            p = 1 / (1 + np.exp(-2 * margins))
-            p /= p.sum(1, keepdims=True)
-            k = p.argmax(1)
-            out = pd.DataFrame({KEY: b[KEY], TS: b[TS], "predicted": k.astype("int32"), "ensemble_signal": [names[i] for i in k], "ensemble_confidence": p.max(1), "margin": margins[np.arange(len(x)), k], "base": np.array(bases)[k]})
+            x = np.stack([b.column(len(kept) + i).to_numpy(zero_copy_only=False) for i in range(len(features))], axis=1).astype(float)
+            whole = ~np.isnan(x).any(1)
+            margins = model.margins(x[whole])
+            k = margins.argmax(1)
+            made = [k, None, boosting.softmax(margins).max(1), margins[np.arange(len(k)), k], bases[k]]
             if attribute:
-                phi = np.zeros(x.shape)
-                for c in range(len(trees)):
-                    phi[k == c] = attributions(trees[c], x[k == c])
-                out[shap] = phi
-            yield out
-
-    matrix = df.withColumn("regime_encoded", encoded()).select(KEY, TS, *features).dropna()
-    schema = f"{KEY} string, {TS} timestamp, predicted int, ensemble_signal string, ensemble_confidence double, margin double, base double" + "".join(f", {s} double" for s in shap if attribute)
-    return matrix.mapInPandas(run, schema)
+                phi = np.zeros((len(k), len(features)))
+                for c in range(model.n_classes):
+                    phi[k == c] = attributions(by_class[c], x[whole][k == c])
+                made += list(phi.T)
+            columns = []
+            for i, v in enumerate(made):
+                if i == 1:
+                    signal = np.full(len(x), None, object)
+                    signal[whole] = [names[c] for c in k]
+                    columns.append(pa.array(signal, pa.string()))
+                else:
+                    every = np.zeros(len(x))
+                    every[whole] = v
+                    columns.append(pa.array(every.astype(np.int32) if i == 0 else every, mask=~whole))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *columns], names=[*kept, *[p.split()[0] for p in added.split(", ")]])
+
+    schema = StructType([df.schema[c] for c in kept] + StructType.fromDDL(added).fields)
+    return given.select(*kept, *[f"__x{i}" for i in range(len(features))]).mapInArrow(run, schema)
 
 
 def fit_and_predict(df: DataFrame, **options) -> DataFrame:
-    """The frame with predictions and attributions; rows with a missing feature keep NULLs."""
-    return df.join(predict(df, fit(df, **options)), [KEY, TS], "left")
+    """The frame with predictions and attributions, row for row."""
+    df = staged(df, "signals")  # looked at by the fit and by the prediction
+    return predict(df, fit(df, **options))
 
 
 def _long(df: DataFrame, prefix: str) -> DataFrame:

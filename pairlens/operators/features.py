@@ -70,15 +70,17 @@ def volatility_features(df: DataFrame, conditional: bool = True) -> DataFrame:
     return df
 
 
+def all_features(bars: DataFrame) -> DataFrame:
+    """All features on all rows, those before the windows fill with NULLs."""
+    return volatility_features(momentum_features(ratio_features(bars)))
+
+
 def feature_frame(bars: DataFrame, staged: bool = False) -> DataFrame:
     """All features, complete rows only. staged drops incomplete rows after each of the three groups, which starts later averages later."""
-    df = ratio_features(bars)
-    if staged:
-        df = drop_incomplete(df)
-    df = momentum_features(df)
-    if staged:
-        df = with_returns(drop_incomplete(df))
-    return drop_incomplete(volatility_features(df))
+    if not staged:
+        return drop_incomplete(all_features(bars))
+    df = drop_incomplete(momentum_features(drop_incomplete(ratio_features(bars))))
+    return drop_incomplete(volatility_features(with_returns(df)))
 
 
 def ratio_band(df: DataFrame, size: int = 30) -> DataFrame:

@@ -20,6 +20,8 @@ from ..sources.shared import staged
 from .features import long_bar_index
 
 FEATURES = ["ratio_zscore_30", "ratio_slope", "vol_ratio", "a_ema_slope", "b_ema_slope", "ratio_ema_slope", "a_macd_hist", "rel_strength_20", "a_atr_pct", "a_cond_vol", "cond_vol_ratio"]
+#: Names a row of a staged frame, so that labels come back to the row they are of, whatever times repeat.
+ROW = "__row"
 REGIMES = ["crisis", "range_bound", "risk_on", "trending"]
 
 
@@ -169,11 +171,12 @@ def fit_rows(df: DataFrame, share: float | None) -> DataFrame:
 
 
 def series_blocks(df: DataFrame, features: list[str], mean: np.ndarray, scale: np.ndarray, block_rows: int) -> DataFrame:
-    """Complete rows packed into blocks in time order: series_id, block, times, x (the standardised features one row after the other)."""
-    rows = long_bar_index(df.select(KEY, TS, *features).dropna())
-    item = F.struct(F.col(TS).alias("at"), F.array(*standardised(rows, features, mean, scale)).alias("x"))
+    """Complete rows packed into blocks in time order: series_id, block, rows (the ROW of each, or its time), x (the standardised features one row after the other)."""
+    name = ROW if ROW in df.columns else TS
+    rows = long_bar_index(df.select(*dict.fromkeys([KEY, TS, name, *features])).dropna())
+    item = F.struct(F.col(TS).alias("at"), F.col(name).alias("row"), F.array(*standardised(rows, features, mean, scale)).alias("x"))
     packed = rows.groupBy(KEY, F.floor(F.col("bar_idx") / block_rows).alias("block")).agg(F.sort_array(F.collect_list(item)).alias("r"))
-    return staged(packed.select(KEY, "block", F.transform("r", lambda r: r["at"]).alias("times"), F.flatten(F.transform("r", lambda r: r["x"])).alias("x")), "blocks")
+    return staged(packed.select(KEY, "block", F.transform("r", lambda r: r["row"]).alias("rows"), F.flatten(F.transform("r", lambda r: r["x"])).alias("x")), "blocks")
 
 
 def starts(rows: DataFrame, features: list[str], mean: np.ndarray, scale: np.ndarray, n_states: int, n_restarts: int, seed: int) -> list[HiddenMarkov]:
@@ -254,7 +257,7 @@ def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4,
         if not live:
             break
         sided = blocks if alone else blocks.join(_messages(blocks, [models[k] for k in live], d), [KEY, "block"])
-        parts = sided.drop("times").mapInPandas(sums, "restart int, v array<double>").select("restart", F.posexplode("v").alias("at", "v"))
+        parts = sided.drop("rows").mapInPandas(sums, "restart int, v array<double>").select("restart", F.posexplode("v").alias("at", "v"))
         got = parts.groupBy("restart", "at").agg(F.sum("v").alias("v")).toPandas()
         for k in list(live):
             m = models[k]
@@ -271,9 +274,10 @@ def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4,
 
 
 def hmm_states(df: DataFrame, model: HiddenMarkov, block_rows: int = 4096) -> DataFrame:
-    """(series_id, ts, regime_state): the likeliest path of each series over its complete rows. Blocks give their best scores, which
+    """(series_id, ts, regime_state), or (ROW, regime_state) of rows with one: the likeliest path of each series over its complete rows. Blocks give their best scores, which
     are followed along the series to the states at the blocks' ends; then each block finds its own part of the path."""
-    d, kind = len(model.features), dict(df.dtypes)[TS]
+    d, name = len(model.features), ROW if ROW in df.columns else TS
+    kind = dict(df.dtypes)[name]
     blocks = series_blocks(df, model.features, model.mean, model.scale, block_rows)
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,11 +299,12 @@ def hmm_states(df: DataFrame, model: HiddenMarkov, block_rows: int = 4096) -> Da
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["state"] = [path_between(model, np.array(r.x, float).reshape(-1, d), r.block == 0, r.before, r.end) for r in b.itertuples(index=False)]
-            yield b[[KEY, "times", "state"]]
+            yield b[[KEY, "rows", "state"]]
 
     at = blocks.select(KEY, "block", "x").mapInPandas(scores, f"{KEY} string, block bigint, m array<double>").groupBy(KEY).applyInPandas(ends, f"{KEY} string, block bigint, before int, end int")
-    got = blocks.join(at, [KEY, "block"]).mapInPandas(paths, f"{KEY} string, times array<{kind}>, state array<int>")
-    return got.select(KEY, F.inline(F.arrays_zip("times", "state"))).select(KEY, F.col("times").alias(TS), F.col("state").alias("regime_state"))
+    got = blocks.join(at, [KEY, "block"]).mapInPandas(paths, f"{KEY} string, rows array<{kind}>, state array<int>")
+    each = got.select(KEY, F.inline(F.arrays_zip("rows", "state")))
+    return each.select(*([KEY] if name == TS else []), F.col("rows").alias(name), F.col("state").alias("regime_state"))
 
 
 def model_tables(spark: SparkSession, model: HiddenMarkov) -> tuple[DataFrame, DataFrame]:
@@ -311,50 +316,55 @@ def model_tables(spark: SparkSession, model: HiddenMarkov) -> tuple[DataFrame, D
 
 
 def name_states(means: np.ndarray, features: list[str], volatility: str = "a_atr_pct", score: str = "ratio_zscore_30") -> dict[int, str]:
-    """crisis: highest sum of the ranks of volatility and score; range_bound: least volatility of the rest; risk_on: lowest score of the rest; trending: all others."""
-    frame = pd.DataFrame(means, columns=features)
-    ranks = frame[volatility].rank() + frame[score].rank()
-    left, names = list(frame.index), {}
-    for name, pick in (("crisis", lambda s: ranks[s].idxmax()), ("range_bound", lambda s: frame.loc[s, volatility].idxmin()), ("risk_on", lambda s: frame.loc[s, score].idxmin())):
-        if left:
-            k = int(pick(left))
-            names[k] = name
-            left.remove(k)
-    return names | {int(k): "trending" for k in left}
+    """crisis: highest sum of the ranks of volatility and score; range_bound: least volatility of the rest; risk_on: lowest score of the rest; trending: all others.
+
+    Equal values share the mean of their ranks; of equal states the first counts.
+    """
+    vol, z = (means[:, features.index(c)].tolist() for c in (volatility, score))
+    rank = lambda x, of: sum(y < x for y in of) + sum(y == x for y in of) / 2
+    order = {"crisis": lambda k: (-rank(vol[k], vol) - rank(z[k], z), k), "range_bound": lambda k: (vol[k], k), "risk_on": lambda k: (z[k], k)}
+    names: dict[int, str] = {}
+    for name, key in order.items():
+        first = min((k for k in range(len(means)) if k not in names), key=key, default=None)
+        if first is not None:
+            names[first] = name
+    return {k: names.get(k, "trending") for k in range(len(means))}
 
 
 def fit_and_label(df: DataFrame, n_states: int = 4, n_restarts: int = 10, model: str = "hmm", seed: int = 42, max_iter: int = 1000, features: list[str] | None = None, fit_upto: float | None = None) -> DataFrame:
     """The frame with regime_state and regime; rows with a missing feature keep NULLs. model: hmm, gmm, or none (all range_bound).
 
-    Models are fitted on all rows, or on the first share fit_upto of each series, and label all rows.
+    Models are fitted on all rows, or on the first share fit_upto of each series, and label all rows. Rows stay one for one, also where a series has a time twice:
+    the frame is written once with a number for each row, and labels come back by it.
     """
     features = features or FEATURES
     if model == "none":
         return df.withColumns({"regime_state": F.lit(None).cast("int"), "regime": F.lit("range_bound")})
+    df = staged(df.withColumn(ROW, F.monotonically_increasing_id()), "frame")
     if model == "gmm":
         states, means = gmm_states(df, features, n_states, n_restarts, seed, fit_upto)
     else:
         fitted = hmm_fit(fit_rows(df, fit_upto), features, n_states, n_restarts, max_iter, seed=seed)
         states, means = hmm_states(df, fitted), fitted.state_means()
     names = F.create_map(*[F.lit(x) for pair in name_states(means, features).items() for x in pair])
-    return df.join(states, [KEY, TS], "left").withColumn("regime", names[F.col("regime_state")])
+    return df.join(states, ROW, "left").withColumn("regime", names[F.col("regime_state")]).drop(ROW)
 
 
 def gmm_states(df: DataFrame, features: list[str], n_states: int, n_restarts: int, seed: int, fit_upto: float | None = None) -> tuple[DataFrame, np.ndarray]:
-    """States of a Gaussian mixture without time; the best of a few seeds by log likelihood."""
+    """(ROW, regime_state) of a Gaussian mixture without time; the best of a few seeds by log likelihood."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
-    rows = df.select(KEY, TS, *features).dropna()
+    rows = df.select(KEY, TS, ROW, *features).dropna()
     known = fit_rows(rows, fit_upto)
     mean, scale = standard(known, features)
-    vectors = lambda r: VectorAssembler(inputCols=features, outputCol="__features").transform(r.select(KEY, TS, *standardised(r, features, mean, scale))).select(KEY, TS, "__features")
+    vectors = lambda r: VectorAssembler(inputCols=features, outputCol="__features").transform(r.select(ROW, *standardised(r, features, mean, scale))).select(ROW, "__features")
     train = vectors(known).persist()
     fits = [GaussianMixture(featuresCol="__features", predictionCol="regime_state", k=n_states, seed=seed + k, maxIter=100).fit(train) for k in range(n_restarts)]
     best = max(fits, key=lambda m: m.summary.logLikelihood)
     train.unpersist()
     centre = np.array([g.mean.toArray() for g in best.gaussians])
-    return best.transform(vectors(rows)).select(KEY, TS, F.col("regime_state").cast("int").alias("regime_state")), centre * scale + mean
+    return best.transform(vectors(rows)).select(ROW, F.col("regime_state").cast("int").alias("regime_state")), centre * scale + mean
 
 
 def regime_statistics(df: DataFrame) -> DataFrame:

@@ -335,7 +335,7 @@ def latest_columns(spark, sf_dir):
 
 def predictions(spark: SparkSession, sf_dir: str, attribute: bool = True) -> DataFrame:
     df = staged(signal_frame(spark, sf_dir), "signals")
-    return ensemble.predict(df, ensemble.fit(df), attribute=attribute)
+    return ensemble.predict(df, ensemble.fit(df), attribute).where("predicted is not null")
 
 
 @query
@@ -384,14 +384,14 @@ def gmm_regimes(spark, sf_dir):
 
 @query
 def hmm_regimes(spark, sf_dir):
-    df = regimes.fit_and_label(staged(features.feature_frame(bars(spark, sf_dir)), "features"), model="hmm")
+    df = regimes.fit_and_label(features.feature_frame(bars(spark, sf_dir)), model="hmm")
     return out(df, KEY, "regime_state", "regime", day=day())
 
 
 @query
 def hmm_holds(spark, sf_dir):
     """What labels must hold: every complete row has one, a state has one name, and the crisis is not the calmest state."""
-    df = regimes.fit_and_label(staged(features.feature_frame(bars(spark, sf_dir)), "features"), model="hmm")
+    df = regimes.fit_and_label(features.feature_frame(bars(spark, sf_dir)), model="hmm")
     per_state = df.groupBy("regime_state").agg(F.count_distinct("regime").alias("names"), F.avg("a_atr_pct").alias("vol"), F.first("regime").alias("name"))
     whole = per_state.agg((F.max("names") == 1).alias("one_name"), (F.max_by("name", -F.col("vol")) != "crisis").alias("crisis_moves"), (F.count("*") <= 4).alias("few_states"))
     n = df.groupBy(KEY).agg(F.count("regime").alias("n_labelled"))

@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -130,21 +131,86 @@ def test_garch_parameters_are_found_again(spark):
 
 def test_attributions_add_up(spark):
     df = s.strategy_signals(regimes.rule_regime(f.feature_frame(spark.createDataFrame(panel(300, ("x", "y")))))).persist()
-    out = ensemble.predict(df, ensemble.fit(df, n_trees=4)).toPandas()
+    model = ensemble.fit(df, n_trees=4)
+    out = ensemble.predict(df, model).where("predicted is not null").toPandas()
     shap = out[[c for c in out if c.startswith("shap_")]].sum(axis=1)
     np.testing.assert_allclose(shap + out.base, out.margin, atol=1e-9)
     assert out.ensemble_confidence.between(1 / 3 - 1e-9, 1).all()
-    counts = [leaf.share for tree in ensemble.trees_of(ensemble.fit(df, n_trees=2).models[0], spark) for leaf in tree]
-    assert sum(counts) == pytest.approx(2)  # the leaves of each tree share all rows
+    for each in model.trees:  # the leaves of each tree share all training weight
+        assert [sum(leaf.share for leaf in ensemble.leaves(t)) for t in each] == pytest.approx([1, 1, 1])
     assert ensemble.top_features(spark.createDataFrame(out), 3).count() == 3
     with pytest.raises(ValueError):
         ensemble.top_features(df, 3)
 
 
+def test_rows_of_equal_times_stay_one_for_one(spark):
+    p = panel(300)
+    p = pd.concat([p, p.iloc[[250, 250, 280]].assign(a_close=lambda d: d.a_close * 1.001)])
+    df = s.strategy_signals(regimes.rule_regime(f.feature_frame(spark.createDataFrame(p))))
+    n = df.count()
+    both = ensemble.fit_and_predict(df, n_trees=2)
+    complete = ensemble.feature_matrix(df).count()
+    assert both.count() == n and both.where("predicted is not null").count() == complete > 150
+    assert set(df.columns) < set(both.columns)
+    for model in ("hmm", "gmm"):
+        got = regimes.fit_and_label(df.drop("regime"), n_states=2, n_restarts=1, model=model, max_iter=2)
+        assert got.count() == n and got.where("regime is null").count() == 0 and regimes.ROW not in got.columns
+    holes = df.withColumn("a_macd_hist", F.when(F.col("ts") < "2020-05-01", None).otherwise(F.col("a_macd_hist")))
+    got = ensemble.fit_and_predict(holes, n_trees=1)
+    assert got.count() == n and got.where("predicted is not null and a_macd_hist is null").count() == 0
+
+
+def test_labels_look_at_all_rows(spark):
+    """The threshold is that of all rows, also of those that the model cannot use."""
+    df = s.strategy_signals(regimes.rule_regime(f.feature_frame(spark.createDataFrame(panel(300)))))
+    holes = df.withColumn("a_macd_hist", F.when(F.col("ts") < "2020-07-01", None).otherwise(F.col("a_macd_hist")))
+    seen = {}
+    before = ensemble.boosting.fit
+    ensemble.boosting.fit = lambda rows, *a, **k: seen.update(rows=rows.count(), labels=rows.groupBy("label").count().collect()) or before(rows, *a, **k)
+    try:
+        ensemble.fit(holes, n_trees=1)
+    finally:
+        ensemble.boosting.fit = before
+    want = s.train_test_split(s.target_labels(holes).dropna(subset=["a_macd_hist"])).where("is_train").groupBy("label").count().collect()
+    assert sorted(map(tuple, seen["labels"])) == sorted(map(tuple, want)) and seen["rows"] == sum(r["count"] for r in want)
+
+
+def by_subsets(leaf, x):
+    """Shapley values of a leaf from all subsets of the other features on its path."""
+    m, phi = len(leaf.path), np.zeros(len(x))
+    along = [float(lo < x[f_] <= hi) for f_, lo, hi, _ in leaf.path]
+    for i, (f_, *_) in enumerate(leaf.path):
+        rest = [j for j in range(m) if j != i]
+        for size in range(m):
+            for known in itertools.combinations(rest, size):
+                weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
+                phi[f_] += weight * leaf.value * (along[i] - leaf.path[i][3]) * math.prod(along[j] if j in known else leaf.path[j][3] for j in rest)
+    return phi
+
+
+@pytest.mark.parametrize("depth", [1, 4, 7])
+def test_attributions_equal_all_subsets(depth):
+    rng = np.random.default_rng(depth)
+    trees = [[ensemble.Leaf(rng.normal(), [(int(k), *sorted(rng.normal(size=2)), rng.uniform(0.05, 0.95)) for k in rng.choice(9, depth, replace=False)]) for _ in range(5)] for _ in range(3)]
+    x = rng.normal(size=(20, 9))
+    want = [sum(by_subsets(leaf, row) for tree in trees for leaf in tree) for row in x]
+    np.testing.assert_allclose(ensemble.attributions(trees, x), want, atol=1e-10)
+
+
+def test_attributions_of_deep_trees():
+    """A thousand leaves of depth 10 add up to their part of the margin, as they could not over all subsets."""
+    rng = np.random.default_rng(1)
+    trees = [[ensemble.Leaf(rng.normal(), [(int(k), *np.sort(rng.normal(size=2)), rng.uniform(0.01, 0.99)) for k in rng.choice(22, 10, replace=False)]) for _ in range(1000)]]
+    x = rng.normal(size=(200, 22))
+    inside = lambda leaf, row: math.prod(float(lo < row[k] <= hi) for k, lo, hi, _ in leaf.path)
+    want = [sum(leaf.value * (inside(leaf, row) - math.prod(z for *_, z in leaf.path)) for leaf in trees[0]) for row in x[:20]]
+    np.testing.assert_allclose(ensemble.attributions(trees, x).sum(1)[:20], want, atol=1e-8)
+
+
 def test_attributions_of_a_hand_made_tree():
     inf = float("inf")
     tree = [ensemble.Leaf(1.0, [(0, -inf, 0.0, 0.5)]), ensemble.Leaf(3.0, [(0, 0.0, inf, 0.5)])]
-    phi = ensemble.attributions([(1.0, tree)], np.array([[-1.0], [1.0]]))
+    phi = ensemble.attributions([tree], np.array([[-1.0], [1.0]]))
     np.testing.assert_allclose(phi[:, 0], [-1, 1])
 
 
