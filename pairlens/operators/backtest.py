@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, TS, average_rank, bar_index, correlation, forward_change, over_series
 from ..sources.shared import staged
+from .features import halo_blocks
+from .scan import BLOCK, INDEX, Scan, numbered, scan
 from .signals import available_signals, position_size, rule_signal
 
 METRICS = ["sharpe", "cagr", "max_drawdown", "hit_rate", "calmar"]
@@ -21,15 +23,35 @@ def apply_costs(returns: Column, switched: Column, spread: float | Column = 0.00
     return returns - switched * (F.lit(spread) + F.lit(slippage) if not isinstance(spread, Column) else spread + slippage)
 
 
-def trade(df: DataFrame, keys: Sequence[str] = (), signal_col: str | None = None, spread: float | Column = 0.0002, slippage: float | Column = 0.0001) -> DataFrame:
+def trade(df: DataFrame, keys: Sequence[str] = (), signal_col: str | None = None, spread: float | Column = 0.0002, slippage: float | Column = 0.0001, block_rows: int | None = None) -> DataFrame:
     """All rows of each fold (series and keys): signal, size, switched, daily_return, capital; the last two are NULL on the first row.
 
     The first row only gives the price before; on the second the position is still flat and is set at its close. A switch is paid
-    on the row where the new signal is seen. signal_col trades a column of 'a' and 'b' in place of the rule.
+    on the row where the new signal is seen. signal_col trades a column of 'a' and 'b' in place of the rule. With block_rows a fold of any length is
+    traded in blocks of so many rows, each seeing the last row of the one before, and capital and peak are scans over blocks (peak and drawdown are then there too).
     """
-    w = over_series(*keys)
     df = df.withColumn("signal", F.col(signal_col) if signal_col else rule_signal())
-    df = df.withColumns({"size": position_size(F.col("signal")), "bar_no": F.row_number().over(w) - 1})
+    df = df.withColumn("size", position_size(F.col("signal")))
+    if block_rows is None:
+        w = over_series(*keys)
+        df = paid(df.withColumn("bar_no", F.row_number().over(w) - 1), w, spread, slippage)
+        return df.withColumn("capital", growth("daily_return", w))
+    by = (KEY, *keys)
+    own = [c for c in (INDEX, "n_bars") if c in df.columns]
+    blocks = halo_blocks(numbered(df.withColumnsRenamed({c: f"__{c}" for c in own}), by, TS, block_rows).drop(BLOCK), block_rows, 1)
+    rows = paid(blocks.withColumn("bar_no", F.col(INDEX)), Window.partitionBy(*by, BLOCK).orderBy(INDEX), spread, slippage).where("not is_halo").drop("is_halo")
+    rows = scan(rows.withColumn("__growth", 1 + F.col("daily_return")), [Scan("capital", "product", "__growth")], by)
+    rows = rows.withColumn("capital", F.when(F.col("daily_return").isNotNull(), F.col("capital")))
+    rows = scan(rows, [Scan("peak", "max", "capital")], by).withColumn("drawdown", fall())
+    return rows.drop("__growth", INDEX, "n_bars", BLOCK).withColumnsRenamed({f"__{c}": c for c in own})
+
+
+def fall() -> Column:
+    return F.try_divide(F.col("capital") - F.col("peak"), F.col("peak"))
+
+
+def paid(df: DataFrame, w: WindowSpec, spread: float | Column, slippage: float | Column) -> DataFrame:
+    """gross, held_size, switched and daily_return, from rows with bar_no whose window holds the row before."""
     held = F.col("bar_no") >= 2
     leg = lambda c: F.try_divide(F.col(c), F.lag(c).over(w)) - 1
     df = df.withColumns(
@@ -39,9 +61,8 @@ def trade(df: DataFrame, keys: Sequence[str] = (), signal_col: str | None = None
             "switched": F.when(held & (F.col("signal") != F.lag("signal").over(w)), 1).otherwise(0),
         }
     )
-    paid = apply_costs(F.col("held_size") * F.col("gross"), F.col("switched"), spread, slippage)
-    df = df.withColumn("daily_return", F.when(F.col("bar_no") >= 1, paid))
-    return df.withColumn("capital", growth("daily_return", w))
+    net = apply_costs(F.col("held_size") * F.col("gross"), F.col("switched"), spread, slippage)
+    return df.withColumn("daily_return", F.when(F.col("bar_no") >= 1, net))
 
 
 def growth(returns: str, w: WindowSpec) -> Column:
@@ -55,8 +76,10 @@ def run_folds(df: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
 
 
 def drawdowns(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    if {"peak", "drawdown"} <= set(curve.columns):
+        return curve
     peak = F.max("capital").over(over_series(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return curve.withColumn("peak", peak).withColumn("drawdown", F.try_divide(F.col("capital") - F.col("peak"), F.col("peak")))
+    return curve.withColumn("peak", peak).withColumn("drawdown", fall())
 
 
 def metrics(curve: DataFrame, keys: Sequence[str] = (), per_year: int = 252) -> DataFrame:
@@ -116,7 +139,8 @@ def window_sweep(df: DataFrame, grid: Sequence[tuple[int, int]], purge: int = 5,
 
 def anchored_folds(df: DataFrame, n_splits: int = 5, purge: int = 20, least: int = 30) -> DataFrame:
     """fold (from 1) of each bar. Test folds of max(n / (splits + 1), least) rows follow one another after the purge; those that overrun the series are left out."""
-    rows = bar_index(df).withColumn("__size", F.greatest(F.floor(F.col("n_bars") / (n_splits + 1)), F.lit(least)))
+    rows = df if {"bar_idx", "n_bars"} <= set(df.columns) else bar_index(df)
+    rows = rows.withColumn("__size", F.greatest(F.floor(F.col("n_bars") / (n_splits + 1)), F.lit(least)))
     fold = F.floor((F.col("bar_idx") - purge) / F.col("__size"))
     rows = rows.withColumn("fold", fold.cast("long"))
     fits = F.col("fold").between(1, n_splits) & ((F.col("fold") + 1) * F.col("__size") + purge <= F.col("n_bars"))
@@ -134,8 +158,10 @@ def anchored_curve(df: DataFrame, n_splits: int = 5, purge: int = 20, **costs) -
     return run_folds(whole, ["fold"], **costs)
 
 
-def walk_forward_anchored(df: DataFrame, n_splits: int = 5, purge: int = 20, **costs) -> DataFrame:
-    """Metrics and span of each anchored test fold of at least 10 bars."""
+def walk_forward_anchored(df: DataFrame, n_splits: int = 5, purge: int = 20, block_rows: int | None = None, **costs) -> DataFrame:
+    """Metrics and span of each anchored test fold of at least 10 bars. With block_rows bars are numbered, and folds traded, in blocks."""
+    if block_rows is not None:
+        df, costs = numbered(df, (KEY,), TS, block_rows).drop(BLOCK), costs | {"block_rows": block_rows}
     folds = anchored_folds(df, n_splits, purge)
     return fold_spans(folds, "fold").where("n_bars >= 10").join(metrics(run_folds(folds, ["fold"], **costs), ["fold"]), [KEY, "fold"])
 
@@ -156,11 +182,20 @@ def information_coefficients(folds: DataFrame, signals: Sequence[str], key: str
     return each.groupBy(KEY, key).agg(*[F.round(F.max(F.when(F.col("signal_name") == s, F.col("ic"))), 6).alias(f"ic_{s}") for s in signals], F.avg("ic").alias("ic_composite"))
 
 
-def walk_forward_rolling(df: DataFrame, size: int = 60, step: int = 20, purge: int = 5, ahead: int = 5, signals: Sequence[str] | None = None, **costs) -> DataFrame:
-    """Metrics, span and information coefficients of each rolling window. Changes ahead are of the whole series."""
+def walk_forward_rolling(df: DataFrame, size: int = 60, step: int = 20, purge: int = 5, ahead: int = 5, signals: Sequence[str] | None = None, block_rows: int | None = None, **costs) -> DataFrame:
+    """Metrics, span and information coefficients of each rolling window. Changes ahead are of the whole series.
+
+    Windows are groups of their own; with block_rows bars are numbered, and meet the bars ahead of them, without a series in one task.
+    """
     signals = list(signals or available_signals(df))
     needed = [KEY, TS, "ratio", "a_close", "b_close", "ratio_zscore_30", "ratio_slope", "a_vol_20", "b_vol_20", *signals, *([costs["signal_col"]] if costs.get("signal_col") else [])]
-    folds = rolling_windows(df.withColumn("fwd", forward_change(F.col("ratio"), ahead, over_series())).select(*dict.fromkeys(needed), "fwd"), size, step, purge)
+    if block_rows is None:
+        df = df.withColumn("fwd", forward_change(F.col("ratio"), ahead, over_series())).select(*dict.fromkeys(needed), "fwd")
+    else:
+        rows = numbered(df.select(*dict.fromkeys(needed)), (KEY,), TS, block_rows).drop(BLOCK)
+        later = rows.select(KEY, (F.col(INDEX) - ahead).alias(INDEX), F.col("ratio").alias("__later"))
+        df = rows.join(later, [KEY, INDEX], "left").withColumn("fwd", F.try_divide("__later", "ratio") - 1).drop("__later")
+    folds = rolling_windows(df, size, step, purge)
     # spans, metrics and coefficients start from the windows
     folds = staged(folds, "windows")
     out = fold_spans(folds, "window_idx").join(metrics(run_folds(folds, ["window_idx"], **costs), ["window_idx"]), [KEY, "window_idx"])

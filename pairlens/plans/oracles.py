@@ -161,6 +161,9 @@ def _decay() -> str:
 _FITTED = "alpha_initial, decay_rate, alpha_floor, half_life_windows, half_life_days"
 
 
+_KINDS = "SELECT series_id, '{kind}' AS kind, {number} AS number, n_bars, strftime(first_ts, '%Y-%m-%d') AS first_day, strftime(last_ts, '%Y-%m-%d') AS last_day, {metrics}, round({ic}, 6) AS ic_composite FROM span JOIN met USING (series_id, {number})"
+
+
 def oracle_sql() -> dict[str, str]:
     rows = {
         "pair_bars": _with(f"{BARS}, {RAW}", f"SELECT series_id, {DAY}, {r('a_close', 'b_close', 'ratio')} FROM raw"),
@@ -194,6 +197,14 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(x, 6) AS x, round(last_valu
         "rule_signal": _with(PLAIN, f"SELECT series_id, {DAY}, signal, {r('ratio_zscore_30', 'ratio_slope')} FROM frame"),
         "position_size": _with(PLAIN, f"SELECT series_id, {DAY}, {r('size')} FROM sized"),
         "backtest_curve": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT series_id, {DAY}, signal, CAST(switched AS BIGINT) AS switched, {r('daily_return', 'capital', 'drawdown')} FROM dd"),
+        "long_averages": _with(
+            f"""{BARS}, {RAW}, num AS (SELECT *, row_number() {W} - 1 AS i FROM raw),
+ema AS (SELECT series_id, i, ts, ratio AS e10, ratio AS e99, ratio AS e199 FROM num WHERE i = 0
+  UNION ALL SELECT n.series_id, n.i, n.ts, e10 + (n.ratio - e10) * {2 / 11!r}, e99 + (n.ratio - e99) * {2 / 100!r}, e199 + (n.ratio - e199) * {2 / 200!r} FROM ema e JOIN num n ON n.series_id = e.series_id AND n.i = e.i + 1)""",
+            f"SELECT series_id, {DAY}, round(e10, 4) AS ema_10, round(e99, 4) AS ema_99, round(e199, 4) AS ema_199 FROM ema",
+        ),
+        "long_walk_forward": f"SELECT * FROM ({_with(WALK + ', ' + SPANS.replace('@', 'window_idx'), _KINDS.format(kind='rolling', number='window_idx', ic='ic_composite', metrics=r(*METRICS)) + ' LEFT JOIN ic USING (series_id, window_idx)')}) UNION ALL "
+        f"SELECT * FROM ({_with(_anchored() + ', ' + SPANS.replace('@', 'fold'), _KINDS.format(kind='anchored', number='fold', ic='CAST(NULL AS DOUBLE)', metrics=r(*METRICS)) + ' WHERE n_bars >= 10')})",
         "backtest_columns": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT s.series_id, strftime(s.ts, '%Y-%m-%d') AS day, round(s.ratio, 6) AS ratio, round(capital, 6) AS capital, CASE WHEN round(daily_return, 6) = 0 THEN 0.0 ELSE round(daily_return, 6) END AS daily_return FROM sized s LEFT JOIN bt USING (series_id, ts)"),
         "backtest_metrics": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT series_id, {r(*METRICS, 'final_capital')}, round(final_capital - 1, 6) AS total_return, n_turns FROM met"),
         "cost_sweep": _with(
@@ -283,4 +294,4 @@ SELECT 'click/view' AS series_id, strftime(w, '%Y-%m-%d %H:%M') AS hour, round(a
             f"SELECT series_id, {DAY}, round(ratio, 6) AS ratio, round(ratio_ema_slope, 6) AS ema_slope, round(ratio_zscore_30, 6) AS zscore_30, round(ratio_zscore_90, 6) AS zscore_90, {RULE} AS signal FROM emas",
         ),
     }
-    return rows
+    return rows | {"long_backtest": rows["backtest_curve"]}

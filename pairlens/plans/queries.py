@@ -11,6 +11,7 @@ from ..functions.columns import KEY, TS, drop_incomplete, over_series, soft_zsco
 from ..operators import backtest as bt
 from ..operators import ensemble, features, garch, regimes, signals
 from ..operators.recurrence import ewm_std
+from ..operators.scan import Scan, numbered, scan
 from ..sources import bars as src
 from ..sources.shared import shared_folder, staged
 from ..streaming import bars as streams
@@ -166,6 +167,33 @@ def backtest_curve(spark, sf_dir):
     return out(bt.drawdowns(bt.run_folds(frame(spark, sf_dir))), KEY, "signal", "switched", "daily_return", "capital", "drawdown", day=day())
 
 
+@query
+def long_backtest(spark, sf_dir):
+    """backtest_curve for series too long for one task: blocks of 250 bars, capital and peak by scans over blocks."""
+    df = bt.trade(frame(spark, sf_dir), block_rows=250).where("bar_no >= 1")
+    return out(df, KEY, "signal", "switched", "daily_return", "capital", "drawdown", day=day())
+
+
+@query
+def long_averages(spark, sf_dir):
+    """Moving averages of spans 10 to 199 (decays to 0.99) over blocks of 300 bars, with nothing forgotten between them."""
+    rows = numbered(features.with_ratio(bars(spark, sf_dir)), block_rows=300)
+    spans, x = {"ema_10": 10, "ema_99": 99, "ema_199": 199}, F.col("ratio")
+    # a scan starts from 0, an average from its first value
+    rows = rows.withColumns({f"in_{n}": F.when(F.col("bar_idx") == 0, x).otherwise(x * (2 / (span + 1))) for n, span in spans.items()})
+    return out(scan(rows, [Scan(n, "affine", f"in_{n}", 1 - 2 / (span + 1)) for n, span in spans.items()]), KEY, *spans, places=4, day=day())
+
+
+@query
+def long_walk_forward(spark, sf_dir):
+    """wf_rolling's metrics and the anchored folds, with bars numbered and folds traded in blocks of 150 bars."""
+    df = frame(spark, sf_dir)
+    rolling, anchored = bt.walk_forward_rolling(df, block_rows=150), bt.walk_forward_anchored(df, block_rows=150)
+    pick = lambda d, kind, number, *more: d.select(KEY, F.lit(kind).alias("kind"), F.col(number).cast("long").alias("number"), "first_ts", "last_ts", "n_bars", *bt.METRICS, *more)
+    both = pick(rolling, "rolling", "window_idx", "ic_composite").union(pick(anchored, "anchored", "fold", F.lit(None).cast("double")))
+    return out(both, KEY, "kind", "number", "n_bars", *bt.METRICS, "ic_composite", first_day=day("first_ts"), last_day=day("last_ts"))
+
+
 @query
 def backtest_columns(spark, sf_dir):
     return out(bt.backtest(frame(spark, sf_dir)), KEY, "ratio", "capital", "daily_return", day=day())
