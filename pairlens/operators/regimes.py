@@ -8,7 +8,7 @@ all rows of the blocks side by side. A long series is many tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -222,19 +222,21 @@ def _messages(blocks: DataFrame, models: list[HiddenMarkov], d: int) -> DataFram
     return made.groupBy(KEY).applyInPandas(along, f"{KEY} string, block bigint, incoming array<double>, outgoing array<double>")
 
 
-def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4, n_restarts: int = 10, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42, ridge: float = 1e-3, block_rows: int = 4096) -> HiddenMarkov:
-    """Baum-Welch pooled over series. Each round is one job: tasks add up the expected counts of their blocks, for all restarts that
+def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4, n_restarts: int = 10, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42, ridge: float = 1e-3, block_rows: int = 4096, initial: list[HiddenMarkov] | None = None) -> HiddenMarkov:
+    """Baum-Welch pooled over series, from mixtures or from the models given (which also fix scaling, states and restarts). Each round is one job: tasks add up the expected counts of their blocks, for all restarts that
     have not settled, Spark adds those up, and the driver holds a few numbers a state. The best restart by log likelihood is returned;
     its ``converged`` tells whether it gained less than tol in the last round."""
-    features = features or FEATURES
+    features = initial[0].features if initial else features or FEATURES
     require_columns(df, features, "hmm_fit")
+    if initial:
+        n_states, n_restarts = len(initial[0].start), len(initial)
     rows = df.select(KEY, TS, *features).dropna()
     n = rows.count()
     if n < 10 * n_states:
         raise ValueError(f"{n} complete rows are too few for {n_states} states")
-    mean, scale = standard(rows, features)
+    mean, scale = (initial[0].mean, initial[0].scale) if initial else standard(rows, features)
     d = len(features)
-    models = starts(rows, features, mean, scale, n_states, n_restarts, seed)
+    models = [replace(m) for m in initial] if initial else starts(rows, features, mean, scale, n_states, n_restarts, seed)
     blocks = series_blocks(df, features, mean, scale, block_rows).persist()
     alone = blocks.where("block > 0").isEmpty()
     live = list(range(n_restarts))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.backtest import decay_grid, refining
 from ..operators.garch import COARSE
-from .queries import COSTS, IC_SIGNALS, WINDOWS
+from .queries import COSTS, FIXED_HMM, IC_SIGNALS, WINDOWS
 
 BARS = """bars AS (
   SELECT l_linestatus AS series_id, CAST(l_shipdate AS TIMESTAMP) AS ts,
@@ -161,6 +161,100 @@ def _decay() -> str:
 _FITTED = "alpha_initial, decay_rate, alpha_floor, half_life_windows, half_life_days"
 
 
+def _density(k: int) -> str:
+    """Of state k of the fixed model at (x, y)."""
+    (mx, my), ((a, b), (_, d)) = FIXED_HMM["centre"][k], FIXED_HMM["covariance"][k]
+    det = a * d - b * b
+    return f"exp(-0.5 * ({d / det!r} * pow(x - ({mx}), 2) - 2 * {b / det!r} * (x - ({mx})) * (y - ({my})) + {a / det!r} * pow(y - ({my}), 2))) / {2 * 3.141592653589793 * det**0.5!r}"
+
+
+def _hmm(then: str, select: str) -> str:
+    obs = f"obs AS (SELECT series_id, ts, bar_idx AS i, n, ratio_zscore_30 AS x, ratio_zscore_90 AS y FROM frame), d AS (SELECT *, {_density(0)} AS b0, {_density(1)} AS b1 FROM obs)"
+    return _with(PLAIN + ", " + obs + ", " + then, select)
+
+
+def _em() -> str:
+    """Forward and backward messages row by row, each divided by its sum."""
+    (s0, s1), ((p00, p01), (p10, p11)) = FIXED_HMM["start"], FIXED_HMM["move"]
+    f0, f1 = f"(f.a0 * {p00} + f.a1 * {p10}) * d.b0", f"(f.a0 * {p01} + f.a1 * {p11}) * d.b1"
+    g0, g1 = f"({p00} * d.b0 * b.z0 + {p01} * d.b1 * b.z1)", f"({p10} * d.b0 * b.z0 + {p11} * d.b1 * b.z1)"
+    then = f"""fwd AS (SELECT series_id, i, {s0} * b0 / ({s0} * b0 + {s1} * b1) AS a0, {s1} * b1 / ({s0} * b0 + {s1} * b1) AS a1, {s0} * b0 + {s1} * b1 AS c FROM d WHERE i = 0
+  UNION ALL SELECT d.series_id, d.i, {f0} / ({f0} + {f1}), {f1} / ({f0} + {f1}), {f0} + {f1} FROM fwd f JOIN d ON d.series_id = f.series_id AND d.i = f.i + 1),
+bwd AS (SELECT series_id, i, 1.0::DOUBLE AS z0, 1.0::DOUBLE AS z1 FROM d WHERE i = n - 1
+  UNION ALL SELECT d.series_id, d.i - 1, {g0} / ({g0} + {g1}), {g1} / ({g0} + {g1}) FROM bwd b JOIN d ON d.series_id = b.series_id AND d.i = b.i WHERE d.i > 0),
+g AS (SELECT d.*, a0, a1, z0, z1, c, a0 * z0 / (a0 * z0 + a1 * z1) AS g0, a1 * z1 / (a0 * z0 + a1 * z1) AS g1, lag(a0) OVER (PARTITION BY series_id ORDER BY i) AS q0, lag(a1) OVER (PARTITION BY series_id ORDER BY i) AS q1 FROM d JOIN fwd USING (series_id, i) JOIN bwd USING (series_id, i)),
+x AS (SELECT *, q0 * {p00} * b0 * z0 AS x00, q0 * {p01} * b1 * z1 AS x01, q1 * {p10} * b0 * z0 AS x10, q1 * {p11} * b1 * z1 AS x11 FROM g),
+m AS (SELECT sum(ln(c)) AS ll, {", ".join(f"sum(x{i}{j} / (x00 + x01 + x10 + x11)) + 1e-8 AS m{i}{j}" for i in "01" for j in "01")}, {", ".join(f"sum(g{i}) FILTER (WHERE i = 0) AS s{i}, sum(g{i}) AS n{i}, sum(g{i} * x) AS x{i}, sum(g{i} * y) AS y{i}, sum(g{i} * x * x) AS xx{i}, sum(g{i} * x * y) AS xy{i}, sum(g{i} * y * y) AS yy{i}" for i in "01")} FROM x)"""
+    row = lambda name, value, i=0, j=0, k=0: f"SELECT '{name}' AS name, {i}::BIGINT AS i, {j}::BIGINT AS j, {k}::BIGINT AS k, round({value}, 5) AS value FROM m"
+    rows = [row("log_likelihood", "ll")]
+    for i in (0, 1):
+        rows += [row("start", f"s{i} / (s0 + s1)", i), *[row("move", f"m{i}{j} / (m{i}0 + m{i}1)", i, j) for j in (0, 1)], row("centre", f"x{i} / n{i}", i), row("centre", f"y{i} / n{i}", i, 1)]
+        rows += [row("covariance", f"{v}{w}{i} / n{i} - {v}{i} * {w}{i} / (n{i} * n{i}) + {0.001 if v == w else 0.0}", i, a, b) for a, v, b, w in ((0, "x", 0, "x"), (0, "x", 1, "y"), (1, "y", 1, "y"))]
+    return _hmm(then, " UNION ALL ".join(rows))
+
+
+def _path() -> str:
+    """The best score of each state row by row with the state before it, then back from the best end."""
+    import math
+
+    (s0, s1), move = FIXED_HMM["start"], [[math.log(p) for p in row] for row in FIXED_HMM["move"]]
+    to = lambda j: f"v.v0 + ({move[0][j]!r}), v.v1 + ({move[1][j]!r})"
+    came = lambda j: f"CASE WHEN v.v1 + ({move[1][j]!r}) > v.v0 + ({move[0][j]!r}) THEN 1 ELSE 0 END"
+    then = f"""v AS (SELECT series_id, i, n, ts, ln({s0}) + ln(b0) AS v0, ln({s1}) + ln(b1) AS v1, 0 AS p0, 0 AS p1 FROM d WHERE i = 0
+  UNION ALL SELECT d.series_id, d.i, d.n, d.ts, greatest({to(0)}) + ln(d.b0), greatest({to(1)}) + ln(d.b1), {came(0)}, {came(1)} FROM v JOIN d ON d.series_id = v.series_id AND d.i = v.i + 1),
+back AS (SELECT series_id, i, ts, CASE WHEN v1 > v0 THEN 1 ELSE 0 END AS s, CASE WHEN v1 > v0 THEN p1 ELSE p0 END AS p FROM v WHERE i = n - 1
+  UNION ALL SELECT v.series_id, v.i, v.ts, b.p, CASE WHEN b.p = 1 THEN v.p1 ELSE v.p0 END FROM back b JOIN v ON v.series_id = b.series_id AND v.i = b.i - 1)"""
+    return _hmm(then, f"SELECT series_id, {DAY}, CAST(s AS BIGINT) AS regime_state FROM back")
+
+
+def _stumps() -> str:
+    """Derivatives at equal scores, every border of every column for each class, the best of each, and what rows get."""
+    names = ["ratio_zscore_30", "ratio_slope", "a_ret_5", "b_ret_5"]
+    long = " UNION ALL ".join(f"SELECT rid, label, {k} AS f, {c} AS v FROM t" for k, c in enumerate(names))
+    edges = "SELECT f, v AS edge FROM (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS place, count(*) OVER (PARTITION BY f) AS n FROM cells) WHERE " + " OR ".join(f"place = ceil({q} * n)" for q in (0.25, 0.5, 0.75))
+    gain = lambda g, h: f"pow({g}, 2) / ({h} + 1)"
+    pays = f"{gain('gl', 'hl')} + {gain('gr', 'hr')} - {gain('(gl + gr)', '(hl + hr)')} > 1e-9"
+    margins = ", ".join(f"max(CASE WHEN c = {k} THEN m END) AS m{k}, max(CASE WHEN c = {k} THEN w END) AS w{k}" for k in range(3))
+    pick = lambda p: "CASE WHEN m0 >= m1 AND m0 >= m2 THEN " + f"{p}0 WHEN m1 >= m2 THEN {p}1 ELSE {p}2 END"
+    return _with(
+        PLAIN
+        + f""", t0 AS (SELECT *, stddev_samp(fwd) OVER (PARTITION BY series_id) * 0.3 AS threshold FROM sized),
+t AS (SELECT *, row_number() OVER () AS rid, CASE WHEN fwd > threshold THEN 0 WHEN fwd < -threshold THEN 2 ELSE 1 END AS label FROM t0), cells AS ({long}), edges AS (SELECT DISTINCT * FROM ({edges})),
+s AS (SELECT c, e.f, e.edge, sum(g) FILTER (WHERE v <= edge) AS gl, sum(g) FILTER (WHERE v > edge) AS gr, count(*) FILTER (WHERE v <= edge) * 4.0 / 9 AS hl, count(*) FILTER (WHERE v > edge) * 4.0 / 9 AS hr
+  FROM (SELECT rid, f, v, c, 1.0 / 3 - CASE WHEN label = c THEN 1 ELSE 0 END AS g FROM cells, (VALUES (0), (1), (2)) k(c)) x JOIN edges e ON e.f = x.f GROUP BY ALL),
+best AS (SELECT * FROM s WHERE hl >= 1 AND hr >= 1 QUALIFY row_number() OVER (PARTITION BY c ORDER BY {gain("gl", "hl")} + {gain("gr", "hr")} DESC, f, edge) = 1),
+m AS (SELECT rid, {margins} FROM (SELECT rid, c, -0.5 * CASE WHEN {pays} THEN CASE WHEN v <= edge THEN gl / (hl + 1) ELSE gr / (hr + 1) END ELSE (gl + gr) / (hl + hr + 1) END AS m,
+  -0.5 * CASE WHEN {pays} THEN (gl / (hl + 1) * hl + gr / (hr + 1) * hr) / (hl + hr) ELSE (gl + gr) / (hl + hr + 1) END AS w FROM cells JOIN best USING (f)) GROUP BY rid)""",
+        f"SELECT series_id, {DAY}, CAST(label AS BIGINT) AS label, CAST({pick('')} AS BIGINT) AS predicted, round(exp({pick('m')}) / (exp(m0) + exp(m1) + exp(m2)), 6) AS ensemble_confidence, round({pick('m')}, 6) AS margin, round({pick('w')}, 6) AS base FROM t JOIN m USING (rid)",
+    )
+
+
+def _variances(name: str, candidates: str) -> str:
+    """Variances of candidates (series_id, leg, alpha, beta), row by row."""
+    return f"""{name} AS (
+  SELECT t.series_id, t.leg, c.alpha, c.beta, i, ts, e, target, target AS variance FROM tar t JOIN {candidates} c ON c.series_id = t.series_id AND c.leg = t.leg WHERE i = 0
+  UNION ALL
+  SELECT n.series_id, n.leg, v.alpha, v.beta, n.i, n.ts, n.e, n.target, (1 - v.alpha - v.beta) * n.target + v.alpha * v.e * v.e + v.beta * v.variance FROM {name} v JOIN tar n ON n.series_id = v.series_id AND n.leg = v.leg AND n.i = v.i + 1)"""
+
+
+def _garch(refinements: int) -> str:
+    """best0 of the coarse grid, best1 and so on of the grids around the one before."""
+    parts = [
+        f"""{BARS}, {RAW}, legs AS (SELECT series_id, 'a_ret_1' AS leg, ts, a_ret_1 * 100 AS x FROM raw WHERE a_ret_1 IS NOT NULL UNION ALL SELECT series_id, 'b_ret_1', ts, b_ret_1 * 100 FROM raw WHERE b_ret_1 IS NOT NULL),
+cen AS (SELECT series_id, leg, ts, x - avg(x) OVER (PARTITION BY series_id, leg) AS e, row_number() OVER (PARTITION BY series_id, leg ORDER BY ts) - 1 AS i FROM legs),
+tar AS (SELECT *, avg(e * e) OVER (PARTITION BY series_id, leg) AS target FROM cen),
+tried0 AS (SELECT * FROM (SELECT DISTINCT series_id, leg FROM tar), (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in COARSE)}) g(alpha, beta))"""
+    ]
+    for k in range(refinements + 1):
+        if k:
+            shrink = 0.35 ** (k - 1)
+            near = ", ".join(f"({x**shrink!r}::DOUBLE, {y * shrink!r}::DOUBLE)" for x in (0.6, 0.8, 1.0, 1.3, 1.6) for y in (-0.06, -0.03, 0.0, 0.03, 0.06))
+            parts.append(f"tried{k} AS (SELECT DISTINCT * FROM (SELECT series_id, leg, round(alpha * fa, 6) AS alpha, round(least(greatest(beta + fb, 0.2), 0.98), 6) AS beta FROM best{k - 1}, (VALUES {near}) g(fa, fb)) WHERE alpha + beta < 0.999)")
+        parts.append(_variances(f"var{k}", f"tried{k}"))
+        parts.append(f"best{k} AS (SELECT series_id, leg, alpha, beta, ll FROM (SELECT series_id, leg, alpha, beta, sum(-0.5 * (ln(variance) + e * e / variance)) AS ll FROM var{k} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY series_id, leg ORDER BY ll DESC, alpha DESC, beta DESC) = 1)")
+    return ", ".join(parts)
+
+
 _KINDS = "SELECT series_id, '{kind}' AS kind, {number} AS number, n_bars, strftime(first_ts, '%Y-%m-%d') AS first_day, strftime(last_ts, '%Y-%m-%d') AS last_day, {metrics}, round({ic}, 6) AS ic_composite FROM span JOIN met USING (series_id, {number})"
 
 
@@ -197,6 +291,9 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M') AS hour, round(x, 6) AS x, round(last_valu
         "rule_signal": _with(PLAIN, f"SELECT series_id, {DAY}, signal, {r('ratio_zscore_30', 'ratio_slope')} FROM frame"),
         "position_size": _with(PLAIN, f"SELECT series_id, {DAY}, {r('size')} FROM sized"),
         "backtest_curve": _with(PLAIN + ", " + folds("sized", "series_id"), f"SELECT series_id, {DAY}, signal, CAST(switched AS BIGINT) AS switched, {r('daily_return', 'capital', 'drawdown')} FROM dd"),
+        "hmm_round": _em(),
+        "hmm_path": _path(),
+        "boosted_stumps": _stumps(),
         "long_averages": _with(
             f"""{BARS}, {RAW}, num AS (SELECT *, row_number() {W} - 1 AS i FROM raw),
 ema AS (SELECT series_id, i, ts, ratio AS e10, ratio AS e99, ratio AS e199 FROM num WHERE i = 0
@@ -239,16 +336,14 @@ bt AS (SELECT *, product(1 + daily_return) OVER (PARTITION BY series_id ORDER BY
         ),
         "anchored_curve": _with(_anchored(), f"SELECT series_id, fold, {DAY}, {r('daily_return', 'capital')} FROM bt"),
         "signal_counts": _with(FULL, "SELECT series_id, count(*) AS n_rows, count(CASE WHEN mr_signal IS NOT NULL AND mom_signal IS NOT NULL AND bo_signal IS NOT NULL THEN 1 END) AS n_all, count(mr_signal) AS n_mr_signal, count(mom_signal) AS n_mom_signal, count(bo_signal) AS n_bo_signal FROM strategy GROUP BY 1"),
-        "garch_coarse": _with(
-            f"""{BARS}, {RAW}, legs AS (SELECT series_id, 'a_ret_1' AS leg, ts, a_ret_1 * 100 AS x FROM raw WHERE a_ret_1 IS NOT NULL UNION ALL SELECT series_id, 'b_ret_1', ts, b_ret_1 * 100 FROM raw WHERE b_ret_1 IS NOT NULL),
-cen AS (SELECT series_id, leg, ts, x - avg(x) OVER (PARTITION BY series_id, leg) AS e, row_number() OVER (PARTITION BY series_id, leg ORDER BY ts) - 1 AS i FROM legs),
-tar AS (SELECT *, avg(e * e) OVER (PARTITION BY series_id, leg) AS target FROM cen),
-grid(alpha, beta) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in COARSE)}),
-var AS (
-  SELECT series_id, leg, alpha, beta, i, e, target, target AS variance FROM tar, grid WHERE i = 0
-  UNION ALL
-  SELECT n.series_id, n.leg, v.alpha, v.beta, n.i, n.e, n.target, (1 - v.alpha - v.beta) * n.target + v.alpha * v.e * v.e + v.beta * v.variance FROM var v JOIN tar n ON n.series_id = v.series_id AND n.leg = v.leg AND n.i = v.i + 1)""",
-            "SELECT series_id, leg, round(alpha, 4) AS alpha, round(beta, 4) AS beta, round(ll, 4) AS ll FROM (SELECT series_id, leg, alpha, beta, sum(-0.5 * (ln(variance) + e * e / variance)) AS ll FROM var GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY series_id, leg ORDER BY ll DESC) = 1",
+        "garch_coarse": _with(_garch(0), "SELECT series_id, leg, round(alpha, 4) AS alpha, round(beta, 4) AS beta, round(ll, 4) AS ll FROM best0"),
+        "garch_fitted": _with(_garch(2), "SELECT series_id, leg, round(alpha, 5) AS alpha, round(beta, 5) AS beta, round(ll, 3) AS ll FROM best2"),
+        "garch_vol": _with(
+            _garch(2)
+            + ", "
+            + _variances("won", "(SELECT series_id, leg, alpha, beta FROM best2)")
+            + ", vol AS (SELECT series_id, ts, max(CASE WHEN leg = 'a_ret_1' THEN sqrt(variance) / 100 END) AS a, max(CASE WHEN leg = 'b_ret_1' THEN sqrt(variance) / 100 END) AS b FROM won GROUP BY ALL)",
+            f"SELECT r.series_id, strftime(r.ts, '%Y-%m-%d') AS day, round(a, 6) AS a_garch_vol, round(b, 6) AS b_garch_vol, round(b / a, 6) AS garch_vol_ratio FROM raw r LEFT JOIN vol v ON v.series_id = r.series_id AND v.ts = r.ts",
         ),
         "hmm_holds": _with(PLAIN, "SELECT series_id, count(*) AS n_labelled, true AS one_name, true AS crisis_moves, true AS few_states FROM frame GROUP BY 1"),
         "missing_regimes": _regimes(f"SELECT series_id, {DAY}, regime, CAST({_weight(0.7, 0.4, 1.2, 1.5)} AS DOUBLE) AS weight, CASE regime WHEN 'crisis' THEN 0::DOUBLE WHEN 'risk_on' THEN 2::DOUBLE WHEN 'trending' THEN 3::DOUBLE ELSE 1::DOUBLE END AS code FROM reg"),

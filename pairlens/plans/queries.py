@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEY, TS, drop_incomplete, over_series, soft_zscore, zscore
 from ..operators import backtest as bt
-from ..operators import ensemble, features, garch, regimes, signals
+from ..operators import boosting, ensemble, features, garch, regimes, signals
 from ..operators.recurrence import ewm_std
 from ..operators.scan import Scan, numbered, scan
 from ..sources import bars as src
@@ -435,6 +436,39 @@ def hmm_tables(spark, sf_dir):
     return out(named.union(means.select(F.lit("mean"), "regime", "feature", "mean")), "kind", "regime", "name", "value")
 
 
+#: A two-state model that SQL can follow: start, move, centres and covariances over two features.
+FIXED_HMM = {"start": [0.6, 0.4], "move": [[0.9, 0.1], [0.2, 0.8]], "centre": [[-1.0, -0.5], [1.0, 0.5]], "covariance": [[[1.0, 0.3], [0.3, 1.0]], [[0.8, -0.1], [-0.1, 1.2]]]}
+HMM_FEATURES = ["ratio_zscore_30", "ratio_zscore_90"]
+
+
+def fixed_hmm() -> regimes.HiddenMarkov:
+    return regimes.HiddenMarkov(HMM_FEATURES, np.zeros(2), np.ones(2), **{k: np.array(v) for k, v in FIXED_HMM.items()})
+
+
+@query
+def hmm_round(spark, sf_dir):
+    """One round of Baum-Welch from a fixed model, over blocks of 500 rows: the log likelihood, and the parameters it leads to."""
+    m = regimes.hmm_fit(frame(spark, sf_dir), initial=[fixed_hmm()], max_iter=1, block_rows=500)
+    rows = [("log_likelihood", 0, 0, 0, m.log_likelihood), *[("start", i, 0, 0, m.start[i]) for i in range(2)], *[("move", i, j, 0, m.move[i, j]) for i in range(2) for j in range(2)]]
+    rows += [("centre", i, a, 0, m.centre[i, a]) for i in range(2) for a in range(2)] + [("covariance", i, a, b, m.covariance[i, a, b]) for i in range(2) for a in range(2) for b in range(a, 2)]
+    return out(spark.createDataFrame([(*r[:4], float(r[4])) for r in rows], "name string, i long, j long, k long, value double"), "name", "i", "j", "k", "value", places=5)
+
+
+@query
+def hmm_path(spark, sf_dir):
+    """The likeliest states under the fixed model, over blocks of 500 rows."""
+    return out(regimes.hmm_states(frame(spark, sf_dir), fixed_hmm(), block_rows=500), KEY, "regime_state", day=day())
+
+
+@query
+def boosted_stumps(spark, sf_dir):
+    """One round of joint boosting by single splits (quarter borders, all rows and columns) on rule labels, and each row's class and confidence."""
+    df, names = signals.target_labels(frame(spark, sf_dir)), ["ratio_zscore_30", "ratio_slope", "a_ret_5", "b_ret_5"]
+    model = boosting.fit(df, names, rounds=1, depth=1, rate=0.5, row_share=1.0, column_share=1.0, bins=4, error=0.0)
+    got = ensemble.predict(df, model, attribute=False)
+    return out(got, KEY, "label", "predicted", "ensemble_confidence", "margin", "base", day=day())
+
+
 @query
 def garch_vol(spark, sf_dir):
     df = garch.with_garch(features.with_returns(bars(spark, sf_dir)))
@@ -448,6 +482,14 @@ def garch_coarse(spark, sf_dir):
     return out(garch.fit_legs(rows, 0), KEY, "leg", "alpha", "beta", "ll", places=4)
 
 
+@query
+def garch_fitted(spark, sf_dir):
+    """The likeliest candidate of each leg after two finer grids."""
+    rows = staged(garch.centred(features.with_returns(bars(spark, sf_dir)), ["a_ret_1", "b_ret_1"]), "returns")
+    fits = garch.fit_legs(rows)
+    return fits.select(KEY, "leg", *[F.round(c, n).alias(c) for c, n in (("alpha", 5), ("beta", 5), ("ll", 3))])
+
+
 @query
 def garch_gain(spark, sf_dir):
     """What the fit must hold for each series: parameters in range, no candidate of the coarse grid likelier, the variances' start at the mean square."""
