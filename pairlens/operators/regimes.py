@@ -242,39 +242,115 @@ def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4,
     live = list(range(n_restarts))
     cut = np.cumsum([1, n_states, n_states**2, n_states, n_states * d])
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(part: Iterator[tuple]) -> np.ndarray:
+        """Expected counts of all live models over blocks (x, whether it is a series' first, messages from both sides for each model)."""
         total = np.zeros((len(live), cut[-1] + n_states * d * d))
+        for x, first, sides in part:
+            for k, (incoming, outgoing) in enumerate(sides or [(None, None)] * len(live)):
+                ll, g, moves = expectation(models[live[k]], x, first, None if first else incoming, outgoing)
+                second = np.stack([(x * g[:, [j]]).T @ x for j in range(n_states)])
+                total[k] += np.concatenate([[ll], g[0] * first, moves.ravel(), g.sum(0), (g.T @ x).ravel(), second.ravel()])
+        return total
+
+    def sided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                x, first = np.array(row.x, float).reshape(-1, d), row.block == 0
-                sides = [(None, None)] * len(live) if alone else zip(np.reshape(row.incoming, (len(live), -1)), np.reshape(row.outgoing, (len(live), -1)), strict=True)
-                for k, (incoming, outgoing) in enumerate(sides):
-                    ll, g, moves = expectation(models[live[k]], x, first, None if first else incoming, outgoing)
-                    second = np.stack([(x * g[:, [j]]).T @ x for j in range(n_states)])
-                    total[k] += np.concatenate([[ll], g[0] * first, moves.ravel(), g.sum(0), (g.T @ x).ravel(), second.ravel()])
-        if total.any():
-            yield pd.DataFrame({"restart": live, "v": list(total)})
+            rows = ((np.array(r.x, float).reshape(-1, d), r.block == 0, list(zip(np.reshape(r.incoming, (len(live), -1)), np.reshape(r.outgoing, (len(live), -1)), strict=True))) for r in b.itertuples(index=False))
+            yield pd.DataFrame({"restart": live, "v": list(counted(rows))})
+
+    if alone:
+        held = blocks.rdd.map(lambda r: (np.array(r["x"], float).reshape(-1, d), True, None)).persist()
+
+    def round_() -> np.ndarray:
+        """The sums over all blocks for each live model, added up in the tasks and then by Spark."""
+        if alone:
+            return held.mapPartitions(lambda part: [counted(part)]).treeReduce(np.add)
+        both = blocks.join(_messages(blocks, [models[k] for k in live], d), [KEY, "block"]).drop("rows")
+        parts = both.mapInPandas(sided, "restart int, v array<double>").select("restart", F.posexplode("v").alias("at", "v"))
+        got = parts.groupBy("restart", "at").agg(F.sum("v").alias("v")).toPandas()
+        return np.stack([got[got.restart == k].sort_values("at").v.to_numpy() for k in live])
 
+    climbers = [Climber(m) for m in models]
     for _ in range(max_iter):
         if not live:
             break
-        sided = blocks if alone else blocks.join(_messages(blocks, [models[k] for k in live], d), [KEY, "block"])
-        parts = sided.drop("rows").mapInPandas(sums, "restart int, v array<double>").select("restart", F.posexplode("v").alias("at", "v"))
-        got = parts.groupBy("restart", "at").agg(F.sum("v").alias("v")).toPandas()
-        for k in list(live):
-            m = models[k]
-            ll, start, moves, mass, first, second = np.split(got[got.restart == k].sort_values("at").v.to_numpy(), cut)
+        for k, sums in zip(live, round_(), strict=True):
+            ll, start, moves, mass, first, second = np.split(sums, cut)
             mass = np.maximum(mass, 1e-8)
-            m.start, moves = start / start.sum(), moves.reshape(n_states, n_states) + 1e-8
-            m.move, m.centre = moves / moves.sum(1, keepdims=True), first.reshape(n_states, d) / mass[:, None]
-            m.covariance = second.reshape(n_states, d, d) / mass[:, None, None] - np.einsum("ki,kj->kij", m.centre, m.centre) + ridge * np.eye(d)
-            m.converged, m.rounds = bool(ll[0] - m.log_likelihood < tol), m.rounds + 1
-            m.log_likelihood = float(ll[0])
+            moves = moves.reshape(n_states, n_states) + 1e-8
+            centre = first.reshape(n_states, d) / mass[:, None]
+            covariance = second.reshape(n_states, d, d) / mass[:, None, None] - np.einsum("ki,kj->kij", centre, centre) + ridge * np.eye(d)
+            after = replace(models[k], start=start / start.sum(), move=moves / moves.sum(1, keepdims=True), centre=centre, covariance=covariance)
+            models[k] = climbers[k].step(float(ll[0]), after, tol)
         live = [k for k in live if not models[k].converged]
     blocks.unpersist()
+    if alone:
+        held.unpersist()
     return max(models, key=lambda m: m.log_likelihood)
 
 
+class Climber:
+    """Takes a model from round to round: two plain rounds, then a leap along what they had in common (squared extrapolation), which counts only if it
+    is likelier than the round before it. Moves leap as logarithms, and covariances as the logarithms of matrices, so that what comes out are models."""
+
+    def __init__(self, model: HiddenMarkov):
+        self.before: list[HiddenMarkov] = []
+        self.now, self.rounds, self.safe, self.best, self.reach = model, 0, None, -np.inf, 4.0
+
+    def step(self, ll: float, after: HiddenMarkov, tol: float) -> HiddenMarkov:
+        """The model to look at next, from the log likelihood of the one looked at and what a plain round makes of it."""
+        self.rounds += 1
+        if self.safe is not None:
+            leaped, self.before = ll >= self.best, []
+            self.reach = self.reach * 2 if leaped else max(1.0, self.reach / 4)
+            if not leaped:
+                after, ll = self.safe, self.best
+            self.safe = None
+            self.now = replace(after, log_likelihood=max(ll, self.best), rounds=self.rounds)
+            self.best = max(ll, self.best)
+            return self.now
+        done = bool(ll - self.best < tol)
+        self.best = max(ll, self.best)
+        self.before.append(self.now)
+        if done or len(self.before) < 2:
+            self.now = replace(after, log_likelihood=self.best, rounds=self.rounds, converged=done)
+            return self.now
+        self.safe = after
+        leap = extrapolated(self.before[0], self.before[1], after, self.reach)
+        self.now = replace(leap if leap is not None else after, log_likelihood=self.best, rounds=self.rounds)
+        return self.now
+
+
+def _logs(m: HiddenMarkov) -> np.ndarray:
+    value, vector = np.linalg.eigh(m.covariance)
+    logs = np.einsum("kij,kj,klj->kil", vector, np.log(np.maximum(value, 1e-12)), vector)
+    return np.concatenate([np.log(np.maximum(m.move, 1e-6)).ravel(), m.centre.ravel(), logs.ravel()])
+
+
+def extrapolated(a: HiddenMarkov, b: HiddenMarkov, c: HiddenMarkov, reach: float = np.inf) -> HiddenMarkov | None:
+    """The model that rounds a, b, c lead towards, at most reach steps ahead; None if they do not move, or lead nowhere."""
+    x, y, z = map(_logs, (a, b, c))
+    r, v = y - x, z - 2 * y + x
+    size = np.linalg.norm(v)
+    if size < 1e-12:
+        return None
+    far = -min(reach, max(1.0, np.linalg.norm(r) / size))
+    p = x - 2 * far * r + far**2 * v
+    k, d = a.centre.shape
+    move, centre, logs = np.split(p, np.cumsum([k * k, k * d]))
+    move = np.exp(np.clip(move.reshape(k, k), -30, 30))
+    logs = logs.reshape(k, d, d)
+    if not np.isfinite(logs).all():
+        return None
+    value, vector = np.linalg.eigh((logs + logs.transpose(0, 2, 1)) / 2)
+    # no narrower and no wider than what it comes from by more than a hundred times
+    spread = np.log(np.linalg.eigvalsh(c.covariance))
+    low, high = spread.min() - 4.6, spread.max() + 4.6
+    covariance = np.einsum("kij,kj,klj->kil", vector, np.exp(np.clip(value, low, high)), vector)
+    if not all(np.isfinite(q).all() for q in (move, centre, covariance)):
+        return None
+    return replace(c, move=move / move.sum(1, keepdims=True), centre=centre.reshape(k, d), covariance=covariance)
+
+
 def hmm_states(df: DataFrame, model: HiddenMarkov, block_rows: int = 4096) -> DataFrame:
     """(series_id, ts, regime_state), or (ROW, regime_state) of rows with one: the likeliest path of each series over its complete rows. Blocks give their best scores, which
     are followed along the series to the states at the blocks' ends; then each block finds its own part of the path."""

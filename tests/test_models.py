@@ -227,3 +227,38 @@ def test_sources(spark, tmp_path):
     q = spark.createDataFrame([("s", 1, "A", "close", 1.0), ("s", 1, "B", "close", 2.0), ("s", 2, "A", "close", 3.0), ("s", 1, "A", "open", 9.0)], "series_id string, ts int, ticker string, field string, value double")
     assert [tuple(r) for r in src.quotes_to_bars(q, "A", "B").collect()] == [("s", 1, 1.0, 2.0)]
     assert src.pair_universe(q.where("field = 'close'").select("ticker", "ts", F.col("value").alias("close"))).count() == 1
+
+
+def test_leaps_reach_the_same_optimum_in_fewer_rounds():
+    """More states than there are, which plain rounds take long to settle."""
+    rng = np.random.default_rng(12)
+    state, x = 0, []
+    for _ in range(900):
+        state = state if rng.random() < 0.9 else rng.integers(3)
+        x.append(np.array([[0, 0], [0.9, 0], [0, 0.9]])[state] + rng.normal(0, 0.6, 2))
+    x, k = (np.array(x) - np.mean(x, 0)) / np.std(x, 0), 5
+
+    def plain(m):
+        ll, g, moves = regimes.expectation(m, x)
+        mass, moves = g.sum(0), moves + 1e-8
+        centre = (g.T @ x) / mass[:, None]
+        covariance = np.stack([(x * g[:, [j]]).T @ x for j in range(k)]) / mass[:, None, None] - np.einsum("ki,kj->kij", centre, centre) + 1e-3 * np.eye(2)
+        return ll, regimes.replace(m, start=g[0] / g[0].sum(), move=moves / moves.sum(1, keepdims=True), centre=centre, covariance=covariance)
+
+    rounds = []
+    for seed in range(3):
+        near = np.random.default_rng(seed).choice(900, k)
+        first = regimes.HiddenMarkov(["u", "v"], np.zeros(2), np.ones(2), np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), x[near], np.stack([np.eye(2)] * k))
+        m = first
+        best = -np.inf
+        for n in range(1, 1000):
+            ll, m = plain(m)
+            if ll - best < 1e-4:
+                break
+            best = ll
+        climber, now = regimes.Climber(first), first
+        while not now.converged:
+            now = climber.step(*plain(now), 1e-4)
+        assert now.log_likelihood >= best - 0.01
+        rounds.append((now.rounds, n))
+    assert sum(a for a, _ in rounds) < 0.55 * sum(b for _, b in rounds)
