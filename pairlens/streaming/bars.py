@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import KEY, TS
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, staged
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
@@ -92,22 +92,78 @@ def run_available(stream: DataFrame, name: str, folder: str | None = None) -> Da
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{name}")
 
 
-def upsert_latest(stream: DataFrame, folder: str):
-    """Keep one row a series, its latest, in versions below folder: each batch is merged with the version before. A batch that is
-    run again after a failure makes the same version."""
-    spark = stream.sparkSession
+class KeyedStore:
+    """The latest row of each key below a folder, in hash buckets.
+
+    A bucket's rows are files of their own version; a manifest for each batch says which version of each bucket counts. A batch reads and rewrites the buckets
+    it touches and no others, so what it writes follows the batch, not the store. A batch that is run again writes its versions anew and the same manifest. Versions that no
+    manifest of the last ``keep`` names go.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema, keys: tuple[str, ...] = (KEY,), order: str = TS, buckets: int = 64, keep: int = 3):
+        self.spark, self.folder, self.keys, self.order, self.buckets, self.keep = spark, folder.rstrip("/"), list(keys), order, buckets, keep
+        self.schema = schema if isinstance(schema, str) else schema.toDDL()
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = lambda p: hadoop.Path(f"{self.folder}/{p}")
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[int]:
+        """Batches with a whole manifest, oldest first."""
+        if not self._fs.exists(self._path("manifests")):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path("manifests"))]
+        return sorted(int(n[2:]) for n in names if n.startswith("b=") and self._fs.exists(self._path(f"manifests/{n}/_SUCCESS")))
+
+    def versions(self, batch: int) -> dict[int, int]:
+        """{bucket: version}, a number for each bucket."""
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version long").parquet(f"{self.folder}/manifests/b={batch}").collect()}
+
+    def rows(self, versions: dict[int, int]) -> DataFrame:
+        paths = [f"{self.folder}/data/version={v}/bucket={b}" for b, v in versions.items()]
+        reader = self.spark.read.schema(self.schema)
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        done = self.batches()
+        return self.rows(self.versions(done[-1]) if done else {})
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        before = [b for b in self.batches() if b < batch_id]
+        known = self.versions(before[-1]) if before else {}
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        columns = batch.columns
+        # of a crowd of rows of one key one is left in each task before they meet
+        latest = lambda df: df.groupBy(*self.keys).agg(F.max_by(F.struct(*columns), F.struct(self.order, *[c for c in columns if c != self.order])).alias("r")).select("r.*")
+        news = staged(latest(batch).withColumn("bucket", bucket), "news")
+        touched = sorted(r["bucket"] for r in news.select("bucket").distinct().collect())
+        if touched:
+            old = self.rows({b: known[b] for b in touched if b in known})
+            both = latest(news.drop("bucket").unionByName(old)).withColumn("bucket", bucket)
+            both.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/version={batch_id}")
+        now = known | dict.fromkeys(touched, batch_id)
+        self.spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifests/b={batch_id}")
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Remove manifests before the last few, and the files that no manifest names."""
+        done = self.batches()
+        kept, old = done[-self.keep :], done[: -self.keep]
+        if not old:
+            return
+        named = {(b, v) for m in kept for b, v in self.versions(m).items()}
+        for m in old:
+            for b, v in self.versions(m).items():
+                if (b, v) not in named:
+                    self._fs.delete(self._path(f"data/version={v}/bucket={b}"), True)
+            self._fs.delete(self._path(f"manifests/b={m}"), True)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = f"{folder}/versions/v={batch_id - 1}"
-        both = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(before))
-        last = both.groupBy(KEY).agg(F.max_by(F.struct(*batch.columns), TS).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{folder}/versions/v={batch_id}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+def upsert_latest(stream: DataFrame, folder: str, buckets: int = 64, keep: int = 3):
+    """Keep one row a series, its latest, in a KeyedStore below folder, batch by batch. A batch that is run again after a failure makes the same store."""
+    store = KeyedStore(stream.sparkSession, folder, stream.schema, buckets=buckets, keep=keep)
+    return stream.writeStream.foreachBatch(store.merge).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """The rows of the newest version below folder."""
-    versions = spark.read.schema(f"{schema if isinstance(schema, str) else schema.toDDL()}, v long").parquet(f"{folder}/versions")
-    newest = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == newest).drop("v")
+    """The rows of the store below folder."""
+    return KeyedStore(spark, folder, schema).read()

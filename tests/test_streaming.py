@@ -55,3 +55,27 @@ def test_pieces_of_a_batch_and_late_bars(spark, tmp_path):
     want = f.momentum_features(f.ratio_features(spark.createDataFrame(p))).orderBy("ts").toPandas()
     assert len(got) == 300
     np.testing.assert_allclose(got.ema_slope, want.ratio_ema_slope, rtol=1e-8, atol=1e-12)
+
+
+def test_store_writes_what_a_batch_touches(spark, tmp_path):
+    """Against a dictionary; files follow the batch, old versions go, and a batch that runs again changes nothing."""
+    schema = "series_id string, ts timestamp, a_close double, b_close double"
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    store, want = st.KeyedStore(spark, str(tmp_path / "s"), schema, buckets=16, keep=2), {}
+    assert store.read().count() == 0
+    rng = np.random.default_rng(3)
+    batches = [[(f"k{k}", day(0), float(k), 1.0) for k in range(200)]] + [[(f"k{rng.integers(200)}", day(int(rng.integers(-2, 9))), float(rng.random()), 2.0) for _ in range(3)] for _ in range(5)] + [[]]
+    for n, rows in enumerate(batches):
+        for _ in range(2 if n in (0, 3) else 1):
+            store.merge(spark.createDataFrame(rows, schema), n)
+        for r in rows:
+            if r[0] not in want or r[1:] > want[r[0]][1:]:
+                want[r[0]] = r
+        assert sorted(map(tuple, store.read().collect())) == sorted(want.values())
+        if rows and n:
+            touched = [p for p in (tmp_path / f"s/data/version={n}").glob("bucket=*")]
+            assert len(touched) <= 3
+    assert store.batches() == [5, 6]
+    named = {(b, v) for m in store.batches() for b, v in store.versions(m).items()}
+    there = {(int(p.name[7:]), int(p.parent.name[8:])) for p in (tmp_path / "s/data").glob("version=*/bucket=*")}
+    assert there == named
