@@ -1,6 +1,6 @@
 """Joint boosting of several classes: second-order softmax on binned features.
 
-Rows are cut into blocks of small integers (bins). A level of all classes' trees is one job: tasks add up the histograms of gradients over their blocks, Spark adds those up
+Rows are cut into blocks of small integers (bins). A level of all classes' trees is one job (many rounds are, where one block holds all rows): tasks add up the histograms of gradients over their blocks, Spark adds those up
 in a tree, and the driver, which holds bins and not rows, chooses the splits. Scores of rows stay with the blocks, are taken on by one round after the other, and are
 written to the checkpoint folder every few rounds, so that a lost executor costs those only. A tree looks at a share of the columns, a round at a share of the rows; both follow
 from the seed and from the rows' own hashes, however the rows are dealt out.
@@ -8,7 +8,7 @@ from the seed and from the rows' own hashes, however the rows are dealt out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -88,8 +88,8 @@ def edges_of(rows: DataFrame, features: list[str], bins: int, error: float | Non
     return [np.unique(np.array(q, float)) for q in found]
 
 
-def blocks_of(rows: DataFrame, features: list[str], label: str, edges: list[np.ndarray], block_rows: int) -> RDD:
-    """(bins, labels, hashes) of at most block_rows rows each."""
+def blocks_of(rows: DataFrame, features: list[str], label: str, edges: list[np.ndarray], block_rows: int) -> tuple[RDD, int]:
+    """(bins, labels, hashes) of at most block_rows rows each, and the number of all rows. If one block holds them all, there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,14 +100,18 @@ def blocks_of(rows: DataFrame, features: list[str], label: str, edges: list[np.n
                 cut = slice(at, at + block_rows)
                 yield pa.RecordBatch.from_arrays([pa.array([v[cut].tobytes()], pa.binary()) for v in (binned, y, key)], names=["bins", "label", "key"])
 
-    d = len(features)
+    d, n = len(features), rows.count()
     # each of many short jobs goes over all blocks: as few as the rows fill
-    packed = rows.repartition(max(1, -(-rows.count() // block_rows))).select(*features, F.col(label).cast("int").alias("label"), F.xxhash64(*features, F.col(label).cast("int")).alias("key")).mapInArrow(run, "bins binary, label binary, key binary")
+    packed = rows.repartition(max(1, -(-n // block_rows))).select(*features, F.col(label).cast("int").alias("label"), F.xxhash64(*features, F.col(label).cast("int")).alias("key")).mapInArrow(run, "bins binary, label binary, key binary")
     packed = staged(packed, "blocks")
-    return packed.rdd.map(lambda r: (np.frombuffer(r["bins"], np.uint8).reshape(-1, d), np.frombuffer(r["label"], np.int8), np.frombuffer(r["key"], np.uint64)))
+    found = packed.rdd.map(lambda r: (np.frombuffer(r["bins"], np.uint8).reshape(-1, d), np.frombuffer(r["label"], np.int8), np.frombuffer(r["key"], np.uint64)))
+    if n <= block_rows:
+        # batches of one task become one block
+        found = found.coalesce(1).mapPartitions(lambda part: [tuple(np.concatenate(v) for v in zip(*part, strict=True))])
+    return found, n
 
 
-def histograms(blocks: Iterator[tuple], trees: list[Tree], level: int, turn: int, share: float, n_bins: int) -> np.ndarray:
+def histograms(blocks: Iterable[tuple], trees: list[Tree], level: int, turn: int, share: float, n_bins: int) -> np.ndarray | None:
     """Sums of both derivatives: (classes, nodes of the level, features, bins, 2)."""
     k, first, width = len(trees), 2**level - 1, 2**level
     total = None
@@ -151,40 +155,89 @@ def grow(trees: list[Tree], sums: np.ndarray, level: int, columns: list[np.ndarr
     return grown and not last
 
 
+@dataclass(frozen=True)
+class Growth:
+    """How trees grow."""
+
+    n_features: int
+    n_classes: int
+    depth: int
+    rate: float
+    row_share: float
+    column_share: float
+    smoothing: float
+    least_cover: float
+    bins: int
+    seed: int
+
+    def round(self, turn: int, summed: Callable[[list[Tree], int], np.ndarray]) -> list[Tree]:
+        """One tree a class. summed gives the histograms of a level over all rows."""
+        rng, size = np.random.default_rng([self.seed, turn]), max(1, round(self.column_share * self.n_features))
+        columns = [rng.choice(self.n_features, size, replace=False) for _ in range(self.n_classes)]
+        trees = [Tree.root(self.depth) for _ in range(self.n_classes)]
+        for level in range(self.depth):
+            if not grow(trees, summed(trees, level), level, columns, self.smoothing, self.least_cover, level == self.depth - 1):
+                break
+        for tree in trees:
+            tree.value *= self.rate
+        return trees
+
+    def sums(self, blocks: Iterable[tuple], trees: list[Tree], level: int, turn: int) -> np.ndarray | None:
+        return histograms(blocks, trees, level, turn, self.row_share, self.bins)
+
+
+def taken_on(block: tuple, rounds: list[list[Tree]]) -> tuple:
+    """A block with what some rounds add to its scores."""
+    margins = block[3].copy()
+    for trees in rounds:
+        margins += np.stack([t.value[t.places(block[0])] for t in trees], axis=1)
+    return (*block[:3], margins)
+
+
+def rounds_of_one_block(part: Iterator[tuple], growth: Growth, before: list[list[Tree]], turns: range) -> Iterator[list[list[Tree]]]:
+    """Some rounds in a task that has all rows, as one block: its histograms are those of all rows."""
+    for block in part:
+        block, made = taken_on(block, before), []
+        for turn in turns:
+            made.append(growth.round(turn, lambda trees, level, block=block, turn=turn: growth.sums([block], trees, level, turn)))
+            block = taken_on(block, made[-1:])
+        yield made
+
+
 def fit(rows: DataFrame, features: list[str], label: str = "label", n_classes: int = 3, rounds: int = 300, depth: int = 4, rate: float = 0.05, row_share: float = 0.8, column_share: float = 0.8, smoothing: float = 1.0, least_cover: float = 1.0, bins: int = 64, seed: int = 42, block_rows: int = 50_000, checkpoint_every: int = 25, error: float | None = None) -> Boosted:
-    """rows: complete features (doubles) and a label from 0. Each round grows one tree a class, all from the scores before it."""
+    """rows: complete features (doubles) and a label from 0. Each round grows one tree a class, all from the scores before it.
+
+    Where block_rows hold all rows, checkpoint_every rounds are one job, as one block's histograms are whole; otherwise each level is one.
+    """
     if not 2 <= bins <= 256:
         raise ValueError("bins must be between 2 and 256")
     context, model = rows.sparkSession.sparkContext, Boosted(list(features), n_classes)
     edges = edges_of(rows, features, bins, error)
     if not edges or any(len(e) == 0 for e in edges):
         return model
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(rows.sparkSession, "checkpoints"))
-    size = max(1, round(column_share * len(features)))
-    state = blocks_of(rows, features, label, edges, block_rows).map(lambda b: (*b, np.zeros((len(b[1]), n_classes)))).persist(StorageLevel.MEMORY_AND_DISK)
-    for turn in range(rounds):
-        rng = np.random.default_rng([seed, turn])
-        columns = [rng.choice(len(features), size, replace=False) for _ in range(n_classes)]
-        trees = [Tree.root(depth) for _ in range(n_classes)]
-        for level in range(depth):
-            job = state.mapPartitions(lambda part, trees=trees, level=level, turn=turn: [s for s in [histograms(part, trees, level, turn, row_share, bins)] if s is not None])
-            sums = job.treeReduce(np.add)
-            if not grow(trees, sums, level, columns, smoothing, least_cover, level == depth - 1):
-                break
-        for tree in trees:
-            tree.value *= rate
-        after = state.map(lambda b, trees=trees: (*b[:3], b[3] + np.stack([t.value[t.places(b[0])] for t in trees], axis=1))).persist(StorageLevel.MEMORY_AND_DISK)
-        if (turn + 1) % checkpoint_every == 0:
-            after.checkpoint()
-            after.count()
-        if turn:
-            before.unpersist()
-        before, state = state, after
-        model.trees.append(trees)
+    growth = Growth(len(features), n_classes, depth, rate, row_share, column_share, smoothing, least_cover, bins, seed)
+    blocks, n = blocks_of(rows, features, label, edges, block_rows)
+    state = blocks.map(lambda b: (*b, np.zeros((len(b[1]), n_classes)))).persist(StorageLevel.MEMORY_AND_DISK)
+    if n <= block_rows:
+        for turn in range(0, rounds, checkpoint_every):
+            turns, before = range(turn, min(turn + checkpoint_every, rounds)), model.trees
+            model.trees = before + state.mapPartitions(lambda part, before=before, turns=turns: rounds_of_one_block(part, growth, before, turns)).collect()[0]
+    else:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(shared_folder(rows.sparkSession, "checkpoints"))
+        for turn in range(rounds):
+            summed = lambda trees, level, state=state, turn=turn: state.mapPartitions(lambda part: [s for s in [growth.sums(part, trees, level, turn)] if s is not None]).treeReduce(np.add)
+            trees = growth.round(turn, summed)
+            after = state.map(lambda b, trees=trees: taken_on(b, [trees])).persist(StorageLevel.MEMORY_AND_DISK)
+            if (turn + 1) % checkpoint_every == 0:
+                after.checkpoint()
+                after.count()
+            if turn:
+                last.unpersist()
+            last, state = state, after
+            model.trees.append(trees)
+        last.unpersist()
     state.unpersist()
-    if rounds:
-        before.unpersist()
     for each in model.trees:
         for tree in each:
             split = tree.feature >= 0
