@@ -389,4 +389,4 @@ SELECT 'click/view' AS series_id, strftime(w, '%Y-%m-%d %H:%M') AS hour, round(a
             f"SELECT series_id, {DAY}, round(ratio, 6) AS ratio, round(ratio_ema_slope, 6) AS ema_slope, round(ratio_zscore_30, 6) AS zscore_30, round(ratio_zscore_90, 6) AS zscore_90, {RULE} AS signal FROM emas",
         ),
     }
-    return rows | {"long_backtest": rows["backtest_curve"]}
+    return rows | {"long_backtest": rows["backtest_curve"], "pair_universe_blocks": rows["pair_universe"]}

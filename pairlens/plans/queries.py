@@ -69,10 +69,20 @@ def lookback_scan(spark, sf_dir):
     return out(src.between(bars(spark, sf_dir), "1996-01-01 00:00:00", "1998-01-01 00:00:00"), KEY, "a_close", "b_close", day=day())
 
 
+def pair_summary(pairs: DataFrame) -> DataFrame:
+    pairs = features.with_ratio(pairs)
+    return out(pairs.groupBy(KEY).agg(F.count("*").alias("n_bars"), F.avg("ratio").alias("mean_ratio"), F.stddev_samp("ratio").alias("std_ratio"), F.min(day()).alias("first_day"), F.max(day()).alias("last_day")), KEY, "n_bars", "mean_ratio", "std_ratio", "first_day", "last_day")
+
+
 @query
 def pair_universe(spark, sf_dir):
-    pairs = src.pair_universe(src.quotes_from_orders(spark, sf_dir)).transform(features.with_ratio)
-    return out(pairs.groupBy(KEY).agg(F.count("*").alias("n_bars"), F.avg("ratio").alias("mean_ratio"), F.stddev_samp("ratio").alias("std_ratio"), F.min(day()).alias("first_day"), F.max(day()).alias("last_day")), KEY, "n_bars", "mean_ratio", "std_ratio", "first_day", "last_day")
+    return pair_summary(src.pair_universe(src.quotes_from_orders(spark, sf_dir)))
+
+
+@query
+def pair_universe_blocks(spark, sf_dir):
+    """The same with instruments in three buckets, each two of them a key."""
+    return pair_summary(src.pair_universe(src.quotes_from_orders(spark, sf_dir), 3))
 
 
 @query

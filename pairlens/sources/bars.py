@@ -76,11 +76,21 @@ def quotes_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("timestamp").alias(TS)).agg(fixed(F.avg(F.col("o_totalprice").cast("double"))).alias("close"))
 
 
-def pair_universe(quotes: DataFrame) -> DataFrame:
-    """Bars of each pair of instruments, a before b by name: a self join on time with an order on the names."""
-    a, b = quotes.alias("a"), quotes.alias("b")
-    joined = a.join(b, (F.col("a.ts") == F.col("b.ts")) & (F.col("a.ticker") < F.col("b.ticker")))
-    return joined.select(F.concat_ws("/", F.col("a.ticker"), F.col("b.ticker")).alias(KEY), F.col("a.ts").alias(TS), F.col("a.close").alias("a_close"), F.col("b.close").alias("b_close"))
+def pair_universe(quotes: DataFrame, buckets: int = 1) -> DataFrame:
+    """Bars of each pair of instruments, a before b by name.
+
+    A time with many instruments makes a crowd of pairs, so instruments are dealt into buckets, and each two buckets (and each with itself) at a time are a key of their own: a row
+    goes to as many keys as there are buckets, and a key makes the pairs of two buckets only. One bucket is a plain self join on time.
+    """
+    own = F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int")
+    item = F.struct("ticker", "close").alias("q")
+    x = quotes.select(TS, item, own.alias("lo")).select("*", F.explode(F.sequence("lo", F.lit(buckets - 1))).alias("hi"))
+    y = quotes.select(TS, item.alias("r"), own.alias("hi")).select("*", F.explode(F.sequence(F.lit(0), "hi")).alias("lo"))
+    joined = x.join(y, [TS, "lo", "hi"]).where((F.col("lo") < F.col("hi")) & (F.col("q.ticker") != F.col("r.ticker")) | (F.col("lo") == F.col("hi")) & (F.col("q.ticker") < F.col("r.ticker")))
+    first = F.col("q.ticker") < F.col("r.ticker")
+    a, b = F.when(first, F.col("q")).otherwise(F.col("r")), F.when(first, F.col("r")).otherwise(F.col("q"))
+    pairs = joined.select(TS, a.alias("a"), b.alias("b"))
+    return pairs.select(F.concat_ws("/", "a.ticker", "b.ticker").alias(KEY), TS, F.col("a.close").alias("a_close"), F.col("b.close").alias("b_close"))
 
 
 def filled_forward(df: DataFrame, columns: Sequence[str], limit: int = 3) -> DataFrame:

@@ -214,6 +214,16 @@ def test_attributions_of_a_hand_made_tree():
     np.testing.assert_allclose(phi[:, 0], [-1, 1])
 
 
+def test_pairs_of_many_instruments_are_dealt_out(spark):
+    quotes = spark.createDataFrame([(f"i{k:03d}", t, float(k + t)) for k in range(120) for t in range(2)], "ticker string, ts int, close double")
+    plain = src.pair_universe(quotes).collect()
+    dealt = src.pair_universe(quotes, 5).collect()
+    assert sorted(map(tuple, dealt)) == sorted(map(tuple, plain)) and len(plain) == 2 * 120 * 119 // 2
+    # 15 keys a time in place of one, none with more than the pairs of two buckets
+    own = quotes.where("ts = 0").select(F.pmod(F.xxhash64("ticker"), F.lit(5)).alias("b")).groupBy("b").count().collect()
+    assert len(own) == 5 and max(r["count"] for r in own) ** 2 < len(plain) / 2 / 4
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame(panel(20))
     src.write_stage(df, str(tmp_path / "p"))
