@@ -17,7 +17,7 @@ class Config:
     spread: float = 0.0002
     slippage: float = 0.0001
     regime_model: str = "none"  # none, rule, gmm, hmm
-    vol_model: str = "ewma"  # ewma, garch
+    vol_model: str = "ewma"  # ewma, garch (variance targeting on grids), garch_ml (likelihood over all parameters)
     fit_upto: float | None = None  # share of each series' rows that models and thresholds may look at; None: all
     ensemble_trees: int = 0  # 0: no ensemble; 300 in the classic form
     window: int = 60
@@ -30,18 +30,18 @@ class Config:
 
 def signal_frame(bars: DataFrame, config: Config = Config()) -> DataFrame:
     """Features, regimes and strategy signals of complete rows. Conditional volatility is fitted to all returns, before incomplete rows go."""
-    if config.vol_model == "garch":
+    if config.vol_model in ("garch", "garch_ml"):
         # several models look at what follows: computed once
-        df = staged(garch_features(bars), "features")
+        df = staged(garch_features(bars, steps=8 if config.vol_model == "garch_ml" else 0), "features")
     else:
         df = features.feature_frame(bars)
     df = regimes.rule_regime(df) if config.regime_model == "rule" else regimes.fit_and_label(df, model=config.regime_model, fit_upto=config.fit_upto)
     return signals.strategy_signals(df)
 
 
-def garch_features(bars: DataFrame) -> DataFrame:
+def garch_features(bars: DataFrame, steps: int = 0) -> DataFrame:
     """feature_frame with GARCH volatility in the place of the weighted one, which is kept as *_ewm_vol."""
-    df = garch.with_garch(features.all_features(bars))
+    df = garch.with_garch(features.all_features(bars), steps=steps)
     df = df.withColumnsRenamed({"a_cond_vol": "a_ewm_vol", "b_cond_vol": "b_ewm_vol", "cond_vol_ratio": "ewm_vol_ratio"})
     return drop_incomplete(df.withColumnsRenamed({"a_garch_vol": "a_cond_vol", "b_garch_vol": "b_cond_vol", "garch_vol_ratio": "cond_vol_ratio"}))
 

@@ -500,6 +500,13 @@ def garch_fitted(spark, sf_dir):
     return fits.select(KEY, "leg", *[F.round(c, n).alias(c) for c, n in (("alpha", 5), ("beta", 5), ("ll", 3))])
 
 
+@query
+def garch_likelihood(spark, sf_dir):
+    """The likelihood over mean, omega, alpha and beta, from the finer grids on."""
+    rows = staged(garch.centred(features.with_returns(bars(spark, sf_dir)), ["a_ret_1", "b_ret_1"]), "returns")
+    return out(garch.likelihood_fit(rows), KEY, "leg", "shift", "omega", "alpha", "beta", "ll", places=4)
+
+
 @query
 def garch_gain(spark, sf_dir):
     """What the fit must hold for each series: parameters in range, no candidate of the coarse grid likelier, the variances' start at the mean square."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairlens.operators import ensemble, garch, regimes
 from pairlens.operators import features as f
 from pairlens.operators import signals as s
+from pairlens.plans import pipeline
 from pairlens.sources import bars as src
 
 
@@ -129,6 +130,59 @@ def test_garch_parameters_are_found_again(spark):
     assert fit.alpha == pytest.approx(0.1, abs=0.05) and fit.beta == pytest.approx(0.8, abs=0.1)
 
 
+def plain_likelihood(r, shift, omega, alpha, beta):
+    e = r - r.mean()
+    v, total, u = np.mean(e * e), 0.0, e - shift
+    for t in range(len(e)):
+        if t:
+            v = omega + alpha * u[t - 1] ** 2 + beta * v
+        total -= 0.5 * (np.log(v) + u[t] ** 2 / v)
+    return total
+
+
+def test_garch_likelihood_over_all_parameters(spark):
+    """No neighbour is likelier, by a likelihood row after row; never below the grid's; planted parameters are found."""
+    rng = np.random.default_rng(10)
+    parts = []
+    for name, n, (omega, alpha, beta) in (("s", 6000, (0.1, 0.1, 0.8)), ("t", 1500, (0.4, 0.25, 0.5))):
+        v, r = omega / (1 - alpha - beta), []
+        for _ in range(n):
+            e = rng.normal(0, np.sqrt(v))
+            r.append((0.05 + e) / 100)
+            v = omega + alpha * e * e + beta * v
+        parts.append(pd.DataFrame({"series_id": name, "ts": pd.date_range("2000-01-01", periods=n), "r": r}))
+    rows = garch.centred(spark.createDataFrame(pd.concat(parts)), ["r"]).persist()
+    grid = garch.fit_legs(rows)
+    before = {r.series_id: r.ll for r in grid.collect()}
+    got = {r.series_id: r for r in garch.likelihood_fit(rows, grid, steps=6).collect()}
+    for part, truth in zip(parts, ((0.1, 0.1, 0.8), (0.4, 0.25, 0.5))):
+        r = got[part.series_id[0]]
+        found, x = np.array([r.shift, r.omega, r.alpha, r.beta]), part.r.to_numpy() * 100
+        best = plain_likelihood(x, *found)
+        assert r.ll == pytest.approx(best) and r.ll >= before[r.series_id] - 1e-9
+        for k in range(4):
+            for side in (-1, 1):
+                near = found.copy()
+                near[k] += side * max(0.02 * abs(found[k]), 0.004)
+                assert plain_likelihood(x, *near) < best + 1e-3
+        np.testing.assert_allclose(found[1:], truth, rtol=0.35)
+    rows.unpersist()
+
+
+def test_volatility_of_both_garch_fits(spark):
+    """Both give a volatility on every row with a return; the frame has complete rows only, fitted before the others went."""
+    from pyspark.sql import functions as sf
+
+    bars = spark.createDataFrame(panel(400))
+    frames = [pipeline.garch_features(bars, steps).orderBy("ts").toPandas() for steps in (0, 2)]
+    assert len(frames[0]) == len(frames[1]) == f.feature_frame(bars).count()
+    assert all((x.a_cond_vol > 0).all() and "a_ewm_vol" in x for x in frames)
+    every = garch.with_garch(f.all_features(bars))
+    assert every.count() == 400 and every.where(sf.col("a_garch_vol").isNull()).count() == 1
+    late = every.where("ratio_zscore_90 is not null").orderBy("ts").toPandas()
+    np.testing.assert_allclose(late.a_garch_vol, frames[0].a_cond_vol, rtol=1e-9)
+
+
 def test_attributions_add_up(spark):
     df = s.strategy_signals(regimes.rule_regime(f.feature_frame(spark.createDataFrame(panel(300, ("x", "y")))))).persist()
     model = ensemble.fit(df, n_trees=4)
