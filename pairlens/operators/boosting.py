@@ -225,6 +225,7 @@ def fit(rows: DataFrame, features: list[str], label: str = "label", n_classes: i
     else:
         if not context.getCheckpointDir():
             context.setCheckpointDir(shared_folder(rows.sparkSession, "checkpoints"))
+        last = None
         for turn in range(rounds):
             summed = lambda trees, level, state=state, turn=turn: state.mapPartitions(lambda part: [s for s in [growth.sums(part, trees, level, turn)] if s is not None]).treeReduce(np.add)
             trees = growth.round(turn, summed)
@@ -232,11 +233,12 @@ def fit(rows: DataFrame, features: list[str], label: str = "label", n_classes: i
             if (turn + 1) % checkpoint_every == 0:
                 after.checkpoint()
                 after.count()
-            if turn:
+            if last is not None:
                 last.unpersist()
             last, state = state, after
             model.trees.append(trees)
-        last.unpersist()
+        if last is not None:
+            last.unpersist()
     state.unpersist()
     for each in model.trees:
         for tree in each:
