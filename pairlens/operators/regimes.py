@@ -1,17 +1,19 @@
 """Regimes: hidden Markov and mixture models over standardised features, their names, and what is counted about them.
 
 A hidden Markov model is fitted over blocks of at most ``block_rows`` rows of a series. A block's rows are one product of k x k matrices, so
-messages come in two steps: the blocks' products side by side, their running products along each series (k * k numbers a block), then
-all rows of the blocks side by side. A long series is many tasks.
+messages come in two steps: the products of each task's blocks side by side, their running products along each series (k * k numbers a task), then
+all rows of the blocks side by side, for all restarts in one pass. A long series is many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,73 +58,148 @@ class HiddenMarkov:
         return self.centre * self.scale + self.mean
 
 
-def steps(model: HiddenMarkov, x: np.ndarray, first: bool) -> tuple[np.ndarray, float]:
-    """What each row does to the forward message, as k x k matrices, and the logarithm that was divided out. A series' first row moves nowhere."""
-    d = model.log_density(x)
-    top = d.max(1)
-    b = np.exp(d - top[:, None])
-    m = model.move[None] * b[:, None, :]
-    if first:
-        m[0] = np.diag(b[0])
-    return m, float(top.sum())
+class Joint:
+    """Models of one size side by side, as arrays: one pass over rows serves all of them.
 
+    Rows lie in pieces of ``length``; a step takes one row of each piece of each model. Arrays of rows are (place in the piece, model, piece, state).
+    """
 
-def _norm(p: np.ndarray) -> np.ndarray:
-    return np.maximum(p.max(axis=(-1, -2), keepdims=True), 1e-300)
+    def __init__(self, models: list[HiddenMarkov], length: int = 64):
+        centre, covariance = np.stack([m.centre for m in models]), np.stack([m.covariance for m in models])
+        self.length, self.start, self.move = length, np.stack([m.start for m in models]), np.stack([m.move for m in models])
+        r, k, d = centre.shape
+        half = np.linalg.inv(np.linalg.cholesky(covariance))
+        self.half, self.shift = half.reshape(r, k * d, d), np.einsum("rkij,rkj->rki", half, centre)
+        self.level = np.log(np.diagonal(half, axis1=2, axis2=3)).sum(2) - 0.5 * d * np.log(2 * np.pi)
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        """(model, state, row)."""
+        r, k, d = self.shift.shape
+        flat, out = np.ascontiguousarray(x.T), np.empty((r, k, len(x)))
+        for m in range(r):
+            z = (self.half[m] @ flat).reshape(k, d, -1) - self.shift[m][:, :, None]
+            out[m] = self.level[m][:, None] - 0.5 * np.einsum("kdn,kdn->kn", z, z)
+        return out
+
+    def prepared(self, x: np.ndarray, first: bool) -> Prepared:
+        density = self.log_density(x)
+        r, k, n = density.shape
+        top, pieces = density.max(1), -(-n // self.length)
+        b = np.ones((r, k, pieces * self.length))
+        b[:, :, :n] = np.exp(density - top[:, None])
+        b = np.ascontiguousarray(b.reshape(r, k, pieces, self.length).transpose(3, 0, 2, 1))
+        used = n - (pieces - 1) * self.length  # rows of the last piece
+        # products of each piece's matrices move * b, as (model, state before it, piece, state at its end)
+        a = np.broadcast_to(self.move[:, :, None, :], (r, k, pieces, k)) * b[0][:, None]
+        if first:
+            a[:, :, 0] = np.eye(k) * b[0][:, None, 0]
+        for t in range(1, self.length):
+            now = (a.reshape(r, k * pieces, k) @ self.move).reshape(r, k, pieces, k) * b[t][:, None]
+            if t >= used:
+                now[:, :, -1] = a[:, :, -1]
+            a = now
+            if t % 8 == 7:
+                a /= np.maximum(a.max((1, 3), keepdims=True), 1e-300)
+        m = np.ascontiguousarray(a.transpose(2, 0, 1, 3))
+        total = m[0] / _norm(m[0])
+        for s in range(1, pieces):
+            total = total @ m[s]
+            total /= _norm(total)
+        return Prepared(first, n, used, b, top.sum(1), m, total)
+
+    def expectation(self, p: Prepared, incoming: np.ndarray, outgoing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihood, state probabilities (model, row, state) and expected moves of a block, from the messages (model, state) that reach it from both sides."""
+        pieces, r, k = p.pieces.shape[:3]
+        carry, back = np.empty((pieces, r, k)), np.empty((pieces, r, k))
+        carry[0], back[-1] = incoming / incoming.sum(1, keepdims=True), outgoing / outgoing.max(1, keepdims=True)
+        for s in range(1, pieces):
+            now = (carry[s - 1][:, None] @ p.pieces[s - 1])[:, 0]
+            carry[s] = now / now.sum(1, keepdims=True)
+        for s in range(pieces - 1, 0, -1):
+            now = (p.pieces[s] @ back[s][:, :, None])[:, :, 0]
+            back[s - 1] = now / now.max(1, keepdims=True)
+        b, one = p.b, np.ones((k, 1))
+        before, forward, behind, weight = np.empty_like(b), np.empty_like(b), np.empty_like(b), np.empty((*b.shape[:3], 1))
+        before[0] = carry.transpose(1, 0, 2)
+        for t in range(self.length):
+            now = before[t] @ self.move
+            if t == 0 and p.first:
+                now[:, 0] = before[0, :, 0]
+            now *= b[t]
+            weight[t] = now @ one
+            forward[t] = now / weight[t]
+            if t + 1 < self.length:
+                before[t + 1] = forward[t]
+        behind[-1], turned = back.transpose(1, 0, 2), np.ascontiguousarray(self.move.transpose(0, 2, 1))
+        for t in range(self.length - 1, 0, -1):
+            now = (behind[t] * b[t]) @ turned
+            now /= now @ one
+            if t >= p.used:
+                now[:, -1] = behind[t][:, -1]
+            behind[t - 1] = now
+        rows = lambda v: v.transpose(1, 2, 0, 3).reshape(r, pieces * self.length, -1)[:, : p.n]
+        g = rows(forward * behind)
+        mass = g @ one
+        onward = rows(b * behind) / (rows(weight) * mass)
+        out = slice(1 if p.first else 0, None)
+        moves = self.move * (rows(before)[:, out].transpose(0, 2, 1) @ onward[:, out])
+        return np.log(rows(weight)).sum((1, 2)) + p.log_top, g / mass, moves
+
+    def run(self, blocks: list[np.ndarray], first: bool, incoming: np.ndarray | None, outgoing: np.ndarray | None) -> Iterator[tuple]:
+        """(x, whether it is a series' first, log likelihood, state probabilities, expected moves) of each of a series' blocks that follow each other."""
+        made = [self.prepared(x, first and at == 0) for at, x in enumerate(blocks)]
+        ahead = [np.ones_like(self.start) if outgoing is None else outgoing]
+        for p in made[:0:-1]:
+            now = (p.total @ ahead[-1][:, :, None])[:, :, 0]
+            ahead.append(now / now.max(1, keepdims=True))
+        incoming = self.start if incoming is None else incoming
+        for x, p, after in zip(blocks, made, ahead[::-1], strict=True):
+            yield x, p.first, *self.expectation(p, incoming, after)
+            now = (incoming[:, None] @ p.total)[:, 0]
+            incoming = now / now.sum(1, keepdims=True)
+
+
+@dataclass
+class Prepared:
+    """A block's rows as Joint needs them: emissions b up to factors whose logarithms sum to log_top, products of its pieces (piece, model, state, state) and over all of it."""
 
+    first: bool
+    n: int
+    used: int
+    b: np.ndarray
+    log_top: np.ndarray
+    pieces: np.ndarray
+    total: np.ndarray
 
-def products(m: np.ndarray, length: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Running products of matrices m (n, k, k) inside pieces of this length, from each piece's left and from its right, each up to a factor."""
-    n, k, _ = m.shape
-    pieces = -(-n // length)
-    padded = np.concatenate([m, np.broadcast_to(np.eye(k), (pieces * length - n, k, k))]).reshape(pieces, length, k, k)
-    left, right = np.empty_like(padded), np.empty_like(padded)
-    left[:, 0] = padded[:, 0] / _norm(padded[:, 0])
-    for t in range(1, length):
-        now = left[:, t - 1] @ padded[:, t]
-        left[:, t] = now / _norm(now)
-    right[:, -1] = np.eye(k)
-    for t in range(length - 2, -1, -1):
-        now = padded[:, t + 1] @ right[:, t + 1]
-        right[:, t] = now / _norm(now)
-    return left, right
+
+def _norm(p: np.ndarray) -> np.ndarray:
+    return np.maximum(p.max(axis=(-1, -2), keepdims=True), 1e-300)
 
 
 def transfer(model: HiddenMarkov, x: np.ndarray, first: bool) -> np.ndarray:
     """The product over a whole block, up to a factor."""
-    total = np.eye(len(model.centre))
-    for piece in products(steps(model, x, first)[0])[0][:, -1]:
-        total = total @ piece
-        total = total / _norm(total)
-    return total
+    return Joint([model]).prepared(x, first).total[0]
 
 
 def expectation(model: HiddenMarkov, x: np.ndarray, first: bool = True, incoming: np.ndarray | None = None, outgoing: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """Log likelihood, state probabilities of each row and expected moves of a block, from the messages that reach it from both sides."""
-    m, log_top = steps(model, x, first)
-    n, k = len(x), len(model.centre)
-    incoming = model.start if incoming is None else incoming / incoming.sum()
-    left, right = products(m)
-    pieces, length = left.shape[:2]
-    carry, back = np.empty((pieces + 1, k)), np.ones((pieces + 1, k))
-    carry[0] = incoming
-    for s in range(pieces):
-        now = carry[s] @ left[s, -1]
-        carry[s + 1] = now / now.sum()
-    back[pieces] = np.ones(k) if outgoing is None else outgoing / outgoing.max()
-    for s in range(pieces - 1, 0, -1):
-        now = left[s, -1] @ back[s + 1]
-        back[s] = now / now.max()
-    forward = np.einsum("si,slij->slj", carry[:-1], left).reshape(-1, k)[:n]
-    forward /= forward.sum(1, keepdims=True)
-    behind = np.einsum("slij,sj->sli", right, back[1:]).reshape(-1, k)[:n]
-    before = np.concatenate([incoming[None], forward[:-1]])
-    weight = np.einsum("ti,tij->t", before, m)
-    g = forward * behind
-    g /= g.sum(1, keepdims=True)
-    moves = before[:, :, None] * m * behind[:, None, :]
-    moves /= moves.sum(axis=(1, 2), keepdims=True)
-    return float(np.log(weight).sum() + log_top), g, moves[1 if first else 0 :].sum(0)
+    joint = Joint([model])
+    ll, g, moves = joint.expectation(joint.prepared(x, first), joint.start if incoming is None else incoming[None], np.ones_like(joint.start) if outgoing is None else outgoing[None])
+    return float(ll[0]), g[0], moves[0]
+
+
+def squares(x: np.ndarray) -> np.ndarray:
+    """Each row's 1, values and products of two values (i <= j): what weighted sums give counts, means and covariances of."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
+
+
+def moments(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mass, first, second) from weighted sums (..., 1 + d + d (d + 1) / 2) of squares."""
+    i, j = np.triu_indices(d)
+    second = np.empty((*sums.shape[:-1], d, d))
+    second[..., i, j] = second[..., j, i] = sums[..., 1 + d :]
+    return sums[..., 0], sums[..., 1 : 1 + d], second
 
 
 def best_scores(model: HiddenMarkov, x: np.ndarray, first: bool) -> np.ndarray:
@@ -179,52 +256,122 @@ def series_blocks(df: DataFrame, features: list[str], mean: np.ndarray, scale: n
     return staged(packed.select(KEY, "block", F.transform("r", lambda r: r["row"]).alias("rows"), F.flatten(F.transform("r", lambda r: r["x"])).alias("x")), "blocks")
 
 
-def starts(rows: DataFrame, features: list[str], mean: np.ndarray, scale: np.ndarray, n_states: int, n_restarts: int, seed: int) -> list[HiddenMarkov]:
-    """Models that start from mixtures of a few rounds, one for each seed."""
+def runs(part: Iterable[tuple]) -> Iterator[tuple[str, int, list[np.ndarray]]]:
+    """(series, number of the first block, rows of each block) of blocks (series, number, rows) in order."""
+    for key, group in groupby(part, lambda b: b[0]):
+        blocks = list(group)
+        yield key, blocks[0][1], [x for _, _, x in blocks]
+
+
+def held_blocks(blocks: DataFrame, d: int, blocks_a_task: int = 16) -> RDD:
+    """(series, number, rows as an array), in order, at most about so many neighbours in a partition."""
+    context = blocks.sparkSession.sparkContext
+    n = blocks.count()
+    parts = max(1, min(n, max(context.defaultParallelism, -(-n // blocks_a_task))))
+    ordered = blocks.select(KEY, "block", "x").repartitionByRange(parts, KEY, "block").sortWithinPartitions(KEY, "block")
+    return ordered.rdd.map(lambda r: (r[0], r[1], np.array(r[2], float).reshape(-1, d))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def summed(parts: RDD) -> np.ndarray:
+    """The sum of one array from each partition; many are added up in tasks first."""
+    return parts.treeReduce(np.add, 1 if parts.getNumPartitions() <= 64 else 2)
+
+
+def starts(rows: DataFrame, held: RDD, features: list[str], mean: np.ndarray, scale: np.ndarray, n_states: int, n_restarts: int, seed: int, max_iter: int = 8, tol: float = 0.01) -> list[HiddenMarkov]:
+    """Models that start from mixtures of a few rounds, one for each seed. Spark's mixtures draw the first centres; a round is one job for all mixtures that have not settled."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
     vectors = VectorAssembler(inputCols=features, outputCol="__features").transform(rows.select(*standardised(rows, features, mean, scale))).select("__features").persist()
-    d, out = len(features), []
-    for k in range(n_restarts):
-        mixed = GaussianMixture(featuresCol="__features", k=n_states, seed=seed + k, maxIter=8).fit(vectors)
-        move = np.full((n_states, n_states), 0.1 / n_states) + 0.9 * np.eye(n_states)
-        covariance = np.stack([g.cov.toArray() for g in mixed.gaussians]) + 0.05 * np.eye(d)
-        out.append(HiddenMarkov(features, mean, scale, np.full(n_states, 1 / n_states), move, np.stack([g.mean.toArray() for g in mixed.gaussians]), covariance))
+    d = len(features)
+    drawn = [GaussianMixture(featuresCol="__features", k=n_states, seed=seed + k, maxIter=0).fit(vectors) for k in range(n_restarts)]
     vectors.unpersist()
+    weight = np.stack([m.weights for m in drawn])
+    centre = np.stack([[g.mean.toArray() for g in m.gaussians] for m in drawn])
+    covariance = np.stack([[g.cov.toArray() for g in m.gaussians] for m in drawn])
+    live, before = list(range(n_restarts)), np.full(n_restarts, -np.inf)
+    for _ in range(max_iter):
+        if not live:
+            break
+        mixed = [Mixture(weight[k], centre[k], covariance[k]) for k in live]
+        sums = summed(held.mapPartitions(lambda part, mixed=mixed: [mixture_sums(part, mixed, d)]))
+        for k, s in zip(list(live), sums, strict=True):
+            mass, first, second = moments(s[:, 1:], d)
+            weight[k], centre[k] = mass / mass.sum(), first / mass[:, None]
+            covariance[k] = second / mass[:, None, None] - np.einsum("ki,kj->kij", centre[k], centre[k])
+            if abs(s[0, 0] - before[k]) <= tol:
+                live.remove(k)
+            before[k] = s[0, 0]
+    move = np.full((n_states, n_states), 0.1 / n_states) + 0.9 * np.eye(n_states)
+    return [HiddenMarkov(features, mean, scale, np.full(n_states, 1 / n_states), move, m, c + 0.05 * np.eye(d)) for m, c in zip(centre, covariance, strict=True)]
+
+
+class Mixture:
+    """A Gaussian mixture's densities; a direction in which a covariance has no width counts for none."""
+
+    def __init__(self, weight: np.ndarray, centre: np.ndarray, covariance: np.ndarray):
+        k, d = centre.shape
+        value, vector = np.linalg.eigh(covariance)
+        wide = value > np.finfo(float).eps * d * value.max(1, keepdims=True)
+        half = np.where(wide, 1 / np.sqrt(np.where(wide, value, 1.0)), 0.0)[:, :, None] * vector.transpose(0, 2, 1)
+        self.weight, self.half, self.shift = weight, half.reshape(k * d, d), np.einsum("kij,kj->ki", half, centre)
+        self.level = -0.5 * (d * np.log(2 * np.pi) + np.log(np.where(wide, value, 1.0)).sum(1))
+
+    def shares(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log likelihood, and each component's share (component, row) of each row."""
+        k, d = self.shift.shape
+        z = (self.half @ x.T).reshape(k, d, -1) - self.shift[:, :, None]
+        p = np.finfo(float).eps + self.weight[:, None] * np.exp(self.level[:, None] - 0.5 * np.einsum("kdn,kdn->kn", z, z))
+        total = p.sum(0)
+        return float(np.log(total).sum()), p / total
+
+
+def mixture_sums(part: Iterable[tuple], mixed: list[Mixture], d: int) -> np.ndarray:
+    """(mixture, component, log likelihood and weighted sums of squares) over blocks."""
+    out = np.zeros((len(mixed), len(mixed[0].weight), 2 + d + d * (d + 1) // 2))
+    for _, _, x in part:
+        powers = squares(x)
+        for k, m in enumerate(mixed):
+            ll, share = m.shares(x)
+            out[k, :, 0] += ll
+            out[k, :, 1:] += share @ powers
     return out
 
 
-def _messages(blocks: DataFrame, models: list[HiddenMarkov], d: int) -> DataFrame:
-    """(series_id, block, incoming, outgoing): what reaches each block from both sides, for one model after the other."""
-    k = len(models[0].centre)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = [np.array(v, float).reshape(-1, d) for v in b["x"]]
-            yield pd.DataFrame({KEY: b[KEY], "block": b["block"], "m": [np.concatenate([transfer(m, v, at == 0).ravel() for m in models]) for v, at in zip(x, b["block"], strict=True)]})
-
-    def along(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("block")
-        m = np.stack(part["m"].to_numpy()).reshape(len(part), len(models), k, k)
-        incoming, outgoing = np.empty((len(part), len(models), k)), np.ones((len(part), len(models), k))
-        incoming[0] = np.stack([x.start for x in models])
-        for t in range(1, len(part)):
-            now = np.einsum("ri,rij->rj", incoming[t - 1], m[t - 1])
-            incoming[t] = now / now.sum(1, keepdims=True)
-        for t in range(len(part) - 2, -1, -1):
-            now = np.einsum("rij,rj->ri", m[t + 1], outgoing[t + 1])
-            outgoing[t] = now / now.max(1, keepdims=True)
-        flat = lambda a: list(a.reshape(len(part), -1))
-        return pd.DataFrame({KEY: part[KEY], "block": part["block"], "incoming": flat(incoming), "outgoing": flat(outgoing)})
-
-    made = blocks.select(KEY, "block", "x").mapInPandas(whole, f"{KEY} string, block bigint, m array<double>")
-    return made.groupBy(KEY).applyInPandas(along, f"{KEY} string, block bigint, incoming array<double>, outgoing array<double>")
+def _messages(held: RDD, joint: Joint) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """What reaches a partition's run of blocks from both sides, by series and first block. Only a partition's first and last run can go on elsewhere, so the driver
+    sees k * k numbers a model for two runs of each partition, however many rows or series there are."""
+
+    def ends(part: Iterator[tuple]) -> Iterator[tuple]:
+        first, last = None, None
+        for run in runs(part):
+            first, last = first or run, run
+        for key, block, blocks in ([first] if first is last else [first, last]) if first else []:
+            total = None
+            for at, x in enumerate(blocks):
+                now = joint.prepared(x, block == 0 and at == 0).total
+                total = now if total is None else total @ now
+                total = total / _norm(total)
+            yield key, block, total
+
+    out, along = {}, sorted(held.mapPartitions(ends).collect(), key=lambda e: (e[0] is not None, e[0] or "", e[1]))
+    for key, group in groupby(along, lambda e: e[0]):
+        found = list(group)
+        outgoing = [np.ones_like(joint.start)]
+        for _, _, m in found[:0:-1]:
+            now = (m @ outgoing[-1][:, :, None])[:, :, 0]
+            outgoing.append(now / now.max(1, keepdims=True))
+        incoming = joint.start
+        for (_, block, m), after in zip(found, outgoing[::-1], strict=True):
+            out[key, block] = incoming, after
+            now = (incoming[:, None] @ m)[:, 0]
+            incoming = now / now.sum(1, keepdims=True)
+    return out
 
 
 def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4, n_restarts: int = 10, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42, ridge: float = 1e-3, block_rows: int = 4096, initial: list[HiddenMarkov] | None = None) -> HiddenMarkov:
-    """Baum-Welch pooled over series, from mixtures or from the models given (which also fix scaling, states and restarts). Each round is one job: tasks add up the expected counts of their blocks, for all restarts that
-    have not settled, Spark adds those up, and the driver holds a few numbers a state. The best restart by log likelihood is returned;
+    """Baum-Welch pooled over series, from mixtures or from the models given (which also fix scaling, states and restarts). Each round is one job, and one before it for messages where
+    a series has several blocks: tasks add up the expected counts of their blocks, for all restarts that have not settled, Spark adds those up, and the driver holds a few numbers a state. The best restart by log likelihood is returned;
     its ``converged`` tells whether it gained less than tol in the last round."""
     features = initial[0].features if initial else features or FEATURES
     require_columns(df, features, "hmm_fit")
@@ -236,55 +383,44 @@ def hmm_fit(df: DataFrame, features: list[str] | None = None, n_states: int = 4,
         raise ValueError(f"{n} complete rows are too few for {n_states} states")
     mean, scale = (initial[0].mean, initial[0].scale) if initial else standard(rows, features)
     d = len(features)
-    models = [replace(m) for m in initial] if initial else starts(rows, features, mean, scale, n_states, n_restarts, seed)
-    blocks = series_blocks(df, features, mean, scale, block_rows).persist()
+    blocks = series_blocks(df, features, mean, scale, block_rows)
     alone = blocks.where("block > 0").isEmpty()
+    held = held_blocks(blocks, d)
+    models = [replace(m) for m in initial] if initial else starts(rows, held, features, mean, scale, n_states, n_restarts, seed)
     live = list(range(n_restarts))
-    cut = np.cumsum([1, n_states, n_states**2, n_states, n_states * d])
-
-    def counted(part: Iterator[tuple]) -> np.ndarray:
-        """Expected counts of all live models over blocks (x, whether it is a series' first, messages from both sides for each model)."""
-        total = np.zeros((len(live), cut[-1] + n_states * d * d))
-        for x, first, sides in part:
-            for k, (incoming, outgoing) in enumerate(sides or [(None, None)] * len(live)):
-                ll, g, moves = expectation(models[live[k]], x, first, None if first else incoming, outgoing)
-                second = np.stack([(x * g[:, [j]]).T @ x for j in range(n_states)])
-                total[k] += np.concatenate([[ll], g[0] * first, moves.ravel(), g.sum(0), (g.T @ x).ravel(), second.ravel()])
-        return total
-
-    def sided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = ((np.array(r.x, float).reshape(-1, d), r.block == 0, list(zip(np.reshape(r.incoming, (len(live), -1)), np.reshape(r.outgoing, (len(live), -1)), strict=True))) for r in b.itertuples(index=False))
-            yield pd.DataFrame({"restart": live, "v": list(counted(rows))})
-
-    if alone:
-        held = blocks.rdd.map(lambda r: (np.array(r["x"], float).reshape(-1, d), True, None)).persist()
+    cut = np.cumsum([1, n_states, n_states**2])
 
     def round_() -> np.ndarray:
         """The sums over all blocks for each live model, added up in the tasks and then by Spark."""
-        if alone:
-            return held.mapPartitions(lambda part: [counted(part)]).treeReduce(np.add)
-        both = blocks.join(_messages(blocks, [models[k] for k in live], d), [KEY, "block"]).drop("rows")
-        parts = both.mapInPandas(sided, "restart int, v array<double>").select("restart", F.posexplode("v").alias("at", "v"))
-        got = parts.groupBy("restart", "at").agg(F.sum("v").alias("v")).toPandas()
-        return np.stack([got[got.restart == k].sort_values("at").v.to_numpy() for k in live])
+        joint = Joint([models[k] for k in live])
+        sides = {} if alone else _messages(held, joint)
+
+        def counted(part: Iterator[tuple]) -> Iterator[np.ndarray]:
+            total = np.zeros((len(joint.start), cut[-1] + n_states * (1 + d + d * (d + 1) // 2)))
+            for key, block, found in runs(part):
+                # a run that does not begin its series has messages, or the blocks are not in order
+                for x, first, ll, g, moves in joint.run(found, block == 0, *(sides[key, block] if block else sides.get((key, block), (None, None)))):
+                    powers = g.transpose(0, 2, 1).reshape(-1, len(x)) @ squares(x)
+                    total += np.concatenate([ll[:, None], g[:, 0] * first, moves.reshape(len(g), -1), powers.reshape(len(g), -1)], 1)
+            yield total
+
+        return summed(held.mapPartitions(counted))
 
     climbers = [Climber(m) for m in models]
     for _ in range(max_iter):
         if not live:
             break
         for k, sums in zip(live, round_(), strict=True):
-            ll, start, moves, mass, first, second = np.split(sums, cut)
+            ll, start, moves, powers = np.split(sums, cut)
+            mass, first, second = moments(powers.reshape(n_states, -1), d)
             mass = np.maximum(mass, 1e-8)
             moves = moves.reshape(n_states, n_states) + 1e-8
-            centre = first.reshape(n_states, d) / mass[:, None]
-            covariance = second.reshape(n_states, d, d) / mass[:, None, None] - np.einsum("ki,kj->kij", centre, centre) + ridge * np.eye(d)
+            centre = first / mass[:, None]
+            covariance = second / mass[:, None, None] - np.einsum("ki,kj->kij", centre, centre) + ridge * np.eye(d)
             after = replace(models[k], start=start / start.sum(), move=moves / moves.sum(1, keepdims=True), centre=centre, covariance=covariance)
             models[k] = climbers[k].step(float(ll[0]), after, tol)
         live = [k for k in live if not models[k].converged]
-    blocks.unpersist()
-    if alone:
-        held.unpersist()
+    held.unpersist()
     return max(models, key=lambda m: m.log_likelihood)
 
 

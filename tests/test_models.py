@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,83 @@ def test_a_series_in_many_blocks(spark):
     assert tuple(got) == max(best)[1]
 
 
+def test_models_side_by_side_and_runs_of_blocks():
+    models = [small_model(seed)[0] for seed in (3, 4, 5)]
+    x = np.random.default_rng(6).normal(0, 1, (120, 2))
+    joint = regimes.Joint(models, length=16)
+    got = list(joint.run([x[:70], x[70:71], x[71:]], True, None, None))
+    for m, model in enumerate(models):
+        ll, g, moves = sequential_messages(model, x)
+        assert sum(b[2][m] for b in got) == pytest.approx(ll)
+        np.testing.assert_allclose(np.concatenate([b[3][m] for b in got]), g, atol=1e-9)
+        np.testing.assert_allclose(sum(b[4][m] for b in got), moves, atol=1e-9)
+
+
+def uneven(spark):
+    """Series of many blocks, few rows and one row; and a model of each restart."""
+    _, rng = small_model()
+    p = pd.concat([pd.DataFrame(rng.normal(0, 1.5, (n, 2)), columns=["u", "v"]).assign(series_id=s, ts=pd.date_range("2020-01-01", periods=n)) for s, n in (("w", 1), ("x", 120), ("y", 40), ("z", 90))])
+    return spark.createDataFrame(p), p
+
+
+def test_rounds_over_blocks_that_lie_in_any_partitions(spark):
+    """Few or many neighbours in a partition: the sums are those of whole series."""
+    df, p = uneven(spark)
+    models = [small_model(seed)[0] for seed in (3, 4)]
+    whole = [sum(sequential_messages(m, x[["u", "v"]].to_numpy())[0] for _, x in p.groupby("series_id")) for m in models]
+    for size in (8, 64, 4096):
+        best = regimes.hmm_fit(df, initial=models, max_iter=1, block_rows=size)
+        assert best.log_likelihood == pytest.approx(max(whole))
+        blocks = regimes.series_blocks(df, ["u", "v"], np.zeros(2), np.ones(2), size)
+        joint = regimes.Joint(models)
+        for a_task in (1, 3, 1000):
+            held = regimes.held_blocks(blocks, 2, a_task)
+            sides = regimes._messages(held, joint)
+            found = held.mapPartitions(lambda part, sides=sides: [sum((b[2] for key, at, x in regimes.runs(part) for b in joint.run(x, at == 0, *sides.get((key, at), (None, None)))), np.zeros(2))]).sum()
+            np.testing.assert_allclose(found, whole)
+
+
+def jobs_of(spark, fit):
+    """(jobs, stages that were not skipped) that fit ran."""
+    context, group = spark.sparkContext, f"fit-{uuid.uuid4()}"
+    context.setJobGroup(group, "")
+    fit()
+    tracker = context.statusTracker()
+    jobs = tracker.getJobIdsForGroup(group)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(k) for k in {k for j in jobs for k in tracker.getJobInfo(j).stageIds}]
+    return len(jobs), sum(bool(k and k.numCompletedTasks) for k in stages)
+
+
+def test_a_round_is_two_jobs_without_a_shuffle(spark):
+    """Also where series have many blocks; and a restart costs what draws its first centres, not a job for each round of its mixture."""
+    df, _ = uneven(spark)
+    models = [small_model(seed)[0] for seed in (3, 4)]
+    few, many = (jobs_of(spark, lambda n=n: regimes.hmm_fit(df, initial=models, max_iter=n, tol=-np.inf, block_rows=16)) for n in (1, 6))
+    assert many[0] - few[0] <= 10 and many[1] - few[1] <= 10
+    two, five = (jobs_of(spark, lambda n=n: regimes.hmm_fit(df, ["u", "v"], 2, n, max_iter=1)) for n in (2, 5))
+    assert five[0] - two[0] <= 3 * 6
+
+
+def test_mixtures_side_by_side_are_those_of_spark(spark):
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    df, _ = uneven(spark)
+    # a feature that never changes: covariances have no width in its direction
+    df = df.withColumn("w", F.lit(0.0)).cache()
+    names, zero, one = ["u", "v", "w"], np.zeros(3), np.ones(3)
+    held = regimes.held_blocks(regimes.series_blocks(df, names, zero, one, 50), 3)
+    got = regimes.starts(df, held, names, zero, one, 2, 2, seed=7)
+    vectors = VectorAssembler(inputCols=names, outputCol="f").transform(df.select(*regimes.standardised(df, names, zero, one))).select("f").persist()
+    for k, model in enumerate(got):
+        of_spark = GaussianMixture(featuresCol="f", k=2, seed=7 + k, maxIter=8).fit(vectors)
+        np.testing.assert_allclose(model.centre, [g.mean.toArray() for g in of_spark.gaussians], atol=1e-9)
+        np.testing.assert_allclose(model.covariance - 0.05 * np.eye(3), [g.cov.toArray() for g in of_spark.gaussians], atol=1e-9)
+    vectors.unpersist()
+    df.unpersist()
+
+
 def test_fits_that_do_not_look_ahead(spark):
     model, rng = small_model()
     p = pd.DataFrame(rng.normal(0, 1, (200, 2)), columns=["u", "v"]).assign(series_id="s", ts=pd.date_range("2020-01-01", periods=200))
